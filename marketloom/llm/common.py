@@ -60,3 +60,24 @@ def slabs(items: Iterator[tuple], text_at: int, chars: int = 2_000_000) -> Itera
             held, size = [], 0
     if held:
         yield held
+
+
+def described(df: DataFrame, text_col: str, fields: list[tuple[str, pa.DataType, str]], describe, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of df and new ones that describe(list of texts) gives as a tuple per text. fields: name, Arrow type, Spark type.
+
+    No shuffle. describe is made anew for each partition by calling describe() there."""
+    if clash := {f[0] for f in fields} & set(keep):
+        raise ValueError(f"columns {sorted(clash)} stand in both the input and the result")
+    kept = [f for f in df.select(*keep).schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = describe()
+        for b in batches:
+            size = max(1, min(b.num_rows, 2_000_000 * max(1, b.num_rows) // max(1, b.nbytes)))
+            for k in range(0, b.num_rows, size):
+                part = b.slice(k, size)
+                new = list(zip(*of(part.column("text described").to_pylist())))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(x, f[1]) for x, f in zip(new, fields))], names=[*keep, *(f[0] for f in fields)])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{n} {t}" for n, _, t in fields)])
+    return df.select(*keep, df[text_col].alias("text described")).mapInArrow(run, schema)
