@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +16,8 @@ from .tokens import word_encoder
 
 #: What a cut costs, in units of one padded token.
 SENTENCE_CUT, INNER_CUT, PER_WINDOW = 6, 40, 2
-#: Where a text has no sentence ends, every so many ids may still be a cut.
-INNER_EVERY = 64
+#: Of sentence ends, one in so many ids may be a cut; where there are none, every so many ids may.
+SENTENCE_EVERY, INNER_EVERY = 12, 96
 _OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -31,29 +30,32 @@ def best_cuts(places: np.ndarray, penalty: np.ndarray, window: int) -> list[int]
     For a right end j the padded cost is window - places[j] + min(cost[i] + places[i]) over the i in reach; the
     reach only moves right, so a monotone queue has the minimum at its head. Lengths of 1, 2, 4 ... are tried besides."""
     m = len(places)
-    exact: list[list[int]] = [[] for _ in range(m)]
+    exact: dict[int, list[int]] = {}
     for k in range(window.bit_length()):
         if (1 << k) < window:
             at = np.searchsorted(places, places - (1 << k))
             for j in np.flatnonzero(places[np.minimum(at, m - 1)] == places - (1 << k)).tolist():
-                exact[j].append(int(at[j]))
-    pos, pen = places.tolist(), penalty.tolist()
+                exact.setdefault(j, []).append(int(at[j]))
+    pos, pen = places.tolist(), (penalty + PER_WINDOW).tolist()
     cost, source = [0] * m, [0] * m
-    queue = deque([(pos[0], 0)])  # (cost[i] + places[i], i), rising in both
+    values, queue, head = [pos[0]], [0], 0  # cost[i] + places[i] and i, rising in both from head on
     for j in range(1, m):
         p = pos[j]
-        while pos[queue[0][1]] < p - window:
-            queue.popleft()
-        best, i = queue[0]
-        best += window - p
-        for x in exact[j]:
-            if cost[x] < best:
-                best, i = cost[x], x
-        cost[j], source[j] = best + pen[j] + PER_WINDOW, i
-        value = cost[j] + p
-        while queue and queue[-1][0] >= value:
+        while pos[queue[head]] < p - window:
+            head += 1
+        best, i = values[head] + window - p, queue[head]
+        if j in exact:
+            for x in exact[j]:
+                if cost[x] < best:
+                    best, i = cost[x], x
+        cost[j] = best = best + pen[j]
+        source[j] = i
+        best += p
+        while len(values) > head and values[-1] >= best:
+            values.pop()
             queue.pop()
-        queue.append((value, j))
+        values.append(best)
+        queue.append(j)
     cuts = [m - 1]
     while cuts[-1]:
         cuts.append(source[cuts[-1]])
@@ -65,7 +67,8 @@ def cut_places(ids: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray,
     total = len(ids)
     penalty = np.full(total + 1, -1, np.int64)
     penalty[np.arange(0, total, min(INNER_EVERY, window))] = INNER_CUT
-    penalty[np.flatnonzero(ends_sentence[np.minimum(ids, len(ends_sentence) - 1)]) + 1] = SENTENCE_CUT
+    ends = np.flatnonzero(ends_sentence.take(ids, mode="clip")) + 1
+    penalty[ends[np.unique(ends // SENTENCE_EVERY, return_index=True)[1]]] = SENTENCE_CUT
     penalty[doc_ends] = 0
     penalty[[0, total]] = 0
     places = np.flatnonzero(penalty >= 0)

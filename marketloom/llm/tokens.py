@@ -36,7 +36,7 @@ class WordEncoder:
     A text is therefore the concatenation of its words' ids, and a word is encoded by the library once
     and then looked up. ``keep`` bounds the number of words held; beyond it, the words are forgotten."""
 
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str, keep: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
