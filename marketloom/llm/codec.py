@@ -17,7 +17,7 @@ import zlib
 import numpy as np
 
 MAGIC, HEAD = b"MLTB", struct.Struct("<4sBxHIIII")
-LANES, VOCAB = 2048, 1 << 16
+LANES, VOCAB = 4096, 1 << 16
 _U = np.uint64
 _TOP, _LEAST, _DIGIT = _U(1 << 48), _U(1 << 40), _U(16)
 _WEIGHT_BITS, _ID_BITS = _U(16), _U(20)
@@ -25,50 +25,56 @@ _HASH_BITS = 18
 
 
 class _Model:
-    """The statistics of one block. predict() and learn() are called in turn, alike by the encoder and the decoder."""
+    """The statistics of one block. predict() and learn() are called in turn, alike by the encoder and the decoder.
+
+    Guesses are kept as id * 8 + confidence, by the last id and by a hash of the last two."""
 
     def __init__(self, vocab: int, lanes: int, inverse: bool):
         self.vocab, self.inverse = vocab, inverse
-        self.next1, self.sure1 = np.zeros(vocab, np.int32), np.zeros(vocab, np.int32)
-        self.next2, self.sure2 = np.zeros(1 << _HASH_BITS, np.int32), np.zeros(1 << _HASH_BITS, np.int32)
-        self.seen, self.counts = np.zeros(vocab, np.int64), np.zeros((3, 128), np.int64)
-        self.last, self.before = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
-        self.step, self.due, self.held = 0, 1, []
+        self.after1, self.after2 = np.zeros(vocab, np.int64), np.zeros(1 << _HASH_BITS, np.int64)
+        self.seen, self.counts = np.zeros(vocab, np.int64), np.zeros(384, np.int64)
+        self.last, self.hashed = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.step, self.due, self.ids, self.places = 0, 1, [], []
         self._refresh()
 
     def _refresh(self) -> None:
-        if self.held:
-            at, kind, ids = (np.concatenate(x) for x in zip(*self.held))
-            self.seen += np.bincount(ids, minlength=self.vocab)
-            self.counts += np.bincount(at + 128 * kind, minlength=384).reshape(3, 128)
-            self.held = []
-        n = self.counts.sum(0) + 8
-        w2, w1 = 1 + self.counts[0] * 60000 // n, 1 + self.counts[1] * 60000 // n
+        if self.ids:
+            self.seen += np.bincount(np.concatenate(self.ids), minlength=self.vocab)
+            self.counts += np.bincount(np.concatenate(self.places), minlength=384)
+            self.ids, self.places = [], []
+        by_kind = self.counts.reshape(3, 128)
+        n = by_kind.sum(0) + 8
+        w2, w1 = 1 + by_kind[0] * 60000 // n, 1 + by_kind[1] * 60000 // n
         self.w2, self.w21 = w2.astype(_U), (w2 + w1).astype(_U)
+        self.start = np.concatenate([0 * w2, w2, w2 + w1]).astype(_U)
+        self.size = np.concatenate([w2, w1, (1 << 16) - w2 - w1]).astype(_U)
         room, total = (1 << 20) - self.vocab, int(self.seen.sum())
         f = 1 + (self.seen * room // total if total else np.full(self.vocab, room // self.vocab))
         f[int(f.argmax())] += (1 << 20) - int(f.sum())
-        self.freq, self.cum = f.astype(_U), (np.cumsum(f) - f).astype(_U)
+        # The row behind the last id is the whole range, for ids that a guess has named.
+        self.freq, self.cum = np.append(f, 1 << 20).astype(_U), np.append(np.cumsum(f) - f, 0).astype(_U)
         if self.inverse:
-            self.owner = np.repeat(np.arange(self.vocab, dtype=np.int32), f)
-
-    def predict(self) -> tuple[np.ndarray, ...]:
-        self.at2 = ((self.before * np.int32(0x2F0B4C47) ^ self.last * np.int32(0x5BD1E995)) >> np.int32(32 - _HASH_BITS)) & np.int32((1 << _HASH_BITS) - 1)
-        self.a, self.sure_a = self.next2[self.at2], self.sure2[self.at2]
-        self.b, self.sure_b = self.next1[self.last], self.sure1[self.last]
-        self.at = (self.sure_a << 4) + (self.sure_b << 1) + (self.a == self.b)
-        return self.a, self.b, self.w2[self.at], self.w21[self.at]
-
-    def learn(self, ids: np.ndarray, kind: np.ndarray) -> None:
-        self.held.append((self.at, kind, ids))
-        for table, sure, at, guess, s in ((self.next2, self.sure2, self.at2, self.a, self.sure_a), (self.next1, self.sure1, self.last, self.b, self.sure_b)):
-            right = guess == ids
-            table[at] = np.where(right | (s > 2), guess, ids)
-            sure[at] = np.where(right, np.minimum(s + 1, 7), s >> 1)
-        self.before, self.last = self.last, ids
+            self.owner = np.repeat(np.arange(self.vocab, dtype=np.uint16), f)
+
+    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The guesses of order 2 and order 1, and the place of their confidences in the tables of weights."""
+        self.v2, self.v1 = self.after2.take(self.hashed), self.after1.take(self.last)
+        self.a, self.b = self.v2 >> 3, self.v1 >> 3
+        self.at = ((self.v2 & 7) << 4) + ((self.v1 & 7) << 1) + (self.a == self.b)
+        return self.a, self.b, self.at
+
+    def learn(self, ids: np.ndarray, place: np.ndarray) -> None:
+        self.ids.append(ids)
+        self.places.append(place)
+        fresh = ids << 3
+        for table, at, v, guess in ((self.after2, self.hashed, self.v2, self.a), (self.after1, self.last, self.v1, self.b)):
+            sure = v & 7
+            table[at] = np.where(guess == ids, v + (sure < 7), np.where(sure > 2, v - sure, fresh) + (sure >> 1))
+        self.hashed = (self.last * 0x2F0B4C47 + ids * 0x5BD1E995) >> 13 & (1 << _HASH_BITS) - 1
+        self.last = ids
         self.step += 1
         if self.step >= self.due:
-            self.due = self.step + min(64, self.step)
+            self.due = self.step + min(32, self.step)
             self._refresh()
 
 
@@ -86,38 +92,38 @@ def encode_block(ids: np.ndarray, vocab: int = VOCAB) -> bytes:
     if not n:
         return HEAD.pack(MAGIC, 1, 0, vocab, 0, 0, crc)
     lanes, steps = _shape(n)
-    grid = np.zeros(lanes * steps, np.int32)
+    grid = np.zeros(lanes * steps, np.int64)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     model = _Model(vocab, lanes, inverse=False)
     low, width = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
-    out, used = np.zeros((lanes, steps + 16), np.uint16), np.zeros(lanes, np.int64)
+    out, used = np.zeros((lanes, steps + 24), np.uint16), np.zeros(lanes, np.int64)
     with np.errstate(over="ignore"):
-        for i in range(steps):
-            x = grid[i]
-            a, b, w2, w21 = model.predict()
-            kind = np.where(x == a, 0, np.where(x == b, 1, 2))
-            start = np.where(kind == 0, _U(0), np.where(kind == 1, w2, w21))
-            size = np.where(kind == 0, w2, np.where(kind == 1, w21 - w2, _U(1 << 16) - w21))
+        for x in grid:
+            a, b, at = model.predict()
+            kind = np.where(x == a, 0, np.where(x == b, 128, 256))
+            place = at + kind
             part = width >> _WEIGHT_BITS
-            low += part * start
-            width = part * size
-            by_id = kind == 2
-            part = width >> _ID_BITS
-            low += np.where(by_id, part * model.cum[x], _U(0))
-            width = np.where(by_id, part * model.freq[x], width)
-            model.learn(x, kind)
+            low += part * model.start.take(place)
+            part = (part * model.size.take(place)) >> _ID_BITS
+            row = np.where(kind == 256, x, vocab)
+            low += part * model.cum.take(row)
+            width = part * model.freq.take(row)
+            model.learn(x, place)
+            if int(used.max()) + 8 >= out.shape[1]:
+                out = np.concatenate([out, np.zeros_like(out)], axis=1)
             while True:
                 same = (low ^ (low + width)) < _TOP
                 go = (same | (width < _LEAST)).nonzero()[0]
                 if not len(go):
                     break
-                lo, wi = low[go], width[go]
-                wi = np.where(same[go], wi, (_U(0) - lo) & (_LEAST - _U(1)))
-                if int(used.max()) + 4 >= out.shape[1]:
-                    out = np.concatenate([out, np.zeros_like(out)], axis=1)
-                out[go, used[go]] = lo >> _U(48)
-                used[go] += 1
+                lo, wi = low.take(go), width.take(go)
+                tight = ~same.take(go)
+                if tight.any():
+                    wi = np.where(tight, (_U(0) - lo) & (_LEAST - _U(1)), wi)
+                to = used.take(go)
+                out[go, to] = lo >> _U(48)
+                used[go] = to + 1
                 low[go], width[go] = lo << _DIGIT, wi << _DIGIT
     end = (low + width - _U(1)) >> _U(32)
     rest = np.arange(lanes)
@@ -146,40 +152,43 @@ def decode_block(block: bytes) -> np.ndarray:
     at, most = np.full(lanes, 4), words.shape[1] - 1
     model = _Model(vocab, lanes, inverse=True)
     low, width = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
-    grid = np.empty((steps, lanes), np.int32)
+    grid = np.empty((steps, lanes), np.int64)
     with np.errstate(over="ignore", divide="ignore"):
         for i in range(steps):
-            a, b, w2, w21 = model.predict()
+            a, b, at_weights = model.predict()
             part = width >> _WEIGHT_BITS
             q = (code - low) // np.maximum(part, _U(1))
-            kind = (q >= w2).astype(np.int64) + (q >= w21)
-            start = np.where(kind == 0, _U(0), np.where(kind == 1, w2, w21))
-            size = np.where(kind == 0, w2, np.where(kind == 1, w21 - w2, _U(1 << 16) - w21))
-            low += part * start
-            width = part * size
+            kind = np.where(q < model.w2.take(at_weights), 0, np.where(q < model.w21.take(at_weights), 128, 256))
+            place = at_weights + kind
+            low += part * model.start.take(place)
+            part = (part * model.size.take(place)) >> _ID_BITS
             x = np.where(kind == 0, a, b)
-            go = (kind == 2).nonzero()[0]
+            go = (kind == 256).nonzero()[0]
+            width = part << _ID_BITS
             if len(go):
-                part = width[go] >> _ID_BITS
-                q = np.minimum((code[go] - low[go]) // np.maximum(part, _U(1)), _U((1 << 20) - 1))
-                got = model.owner[q.astype(np.int64)]
+                wi, lo = part.take(go), low.take(go)
+                q = np.minimum((code.take(go) - lo) // np.maximum(wi, _U(1)), _U((1 << 20) - 1))
+                got = model.owner.take(q.astype(np.int64)).astype(np.int64)
                 x[go] = got
-                low[go] += part * model.cum[got]
-                width[go] = part * model.freq[got]
+                low[go] = lo + wi * model.cum.take(got)
+                width[go] = wi * model.freq.take(got)
             grid[i] = x
-            model.learn(x, kind)
+            model.learn(x, place)
             while True:
                 same = (low ^ (low + width)) < _TOP
                 go = (same | (width < _LEAST)).nonzero()[0]
                 if not len(go):
                     break
-                lo, wi = low[go], width[go]
-                wi = np.where(same[go], wi, (_U(0) - lo) & (_LEAST - _U(1)))
+                lo, wi = low.take(go), width.take(go)
+                tight = ~same.take(go)
+                if tight.any():
+                    wi = np.where(tight, (_U(0) - lo) & (_LEAST - _U(1)), wi)
                 low[go], width[go] = lo << _DIGIT, wi << _DIGIT
-                code[go] = code[go] << _DIGIT | words[go, np.minimum(at[go], most)]
-                at[go] += 1
-                if int(at.max()) > 8 * steps + 64:
-                    raise ValueError("damaged token block")
+                to = at.take(go)
+                code[go] = code.take(go) << _DIGIT | words[go, np.minimum(to, most)]
+                at[go] = to + 1
+            if i % 64 == 0 and int(at.max()) > 8 * i + 64:
+                raise ValueError("damaged token block")
     ids = np.ascontiguousarray(grid.T).reshape(-1)[:n].astype(np.uint32)
     if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
         raise ValueError("the checksum of a token block is wrong")
