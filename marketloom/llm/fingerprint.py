@@ -32,29 +32,45 @@ class Node:
     children: list
 
 
-def tree(text: str | None) -> Node:
-    """The Merkle tree of a text: root, sections, paragraphs (lines), pieces. A parent's digest covers its children's.
+def _pieces(line: str) -> list[str]:
+    return [piece for sentence in SENTENCE.findall(line) for piece in PIECE.findall(sentence)]
+
+
+def _paragraph(line: str) -> tuple[bytes, bytes]:
+    """The digest of a paragraph, and its pieces' digests one after another."""
+    leaves = b"".join(map(xxhash.xxh3_128_digest, _pieces(line)))
+    return xxhash.xxh3_128_digest(b"p" + leaves), leaves
+
+
+def _sections(digests: list[bytes]) -> list[tuple[bytes, int, int]]:
+    """Digest, first and last paragraph of each section.
 
     A section ends behind a paragraph whose digest says so, so that an edit moves only the section ends near it."""
+    out, first = [], 0
+    for k, d in enumerate(digests):
+        if d[0] % 8 == 0 or k == len(digests) - 1:
+            out.append((xxhash.xxh3_128_digest(b"s" + b"".join(digests[first : k + 1])), first, k))
+            first = k + 1
+    return out
+
+
+def _root(sections: list[tuple[bytes, int, int]]) -> bytes:
+    return xxhash.xxh3_128_digest(b"r" + b"".join(s[0] for s in sections))
+
+
+def tree(text: str | None) -> Node:
+    """The Merkle tree of a text: root, sections, paragraphs (lines), pieces. A parent's digest covers its children's."""
     text = text or ""
-    sections, paragraphs, at = [], [], 0
-    lines = text.split("\n")
-    for k, line in enumerate(lines):
+    paragraphs, at = [], 0
+    for line in text.split("\n"):
         pieces, p = [], at
-        for sentence in SENTENCE.findall(line):
-            for piece in PIECE.findall(sentence):
-                pieces.append(Node(xxhash.xxh3_128_digest(piece), p, p + len(piece), []))
-                p += len(piece)
-        paragraphs.append(_over(b"p", pieces, at, at + len(line)))
+        for piece in _pieces(line):
+            pieces.append(Node(xxhash.xxh3_128_digest(piece), p, p + len(piece), []))
+            p += len(piece)
+        paragraphs.append(Node(_paragraph(line)[0], at, at + len(line), pieces))
         at += len(line) + 1
-        if paragraphs[-1].digest[0] % 8 == 0 or k == len(lines) - 1:
-            sections.append(_over(b"s", paragraphs, paragraphs[0].start, paragraphs[-1].end))
-            paragraphs = []
-    return _over(b"r", sections, 0, len(text))
-
-
-def _over(kind: bytes, children: list, start: int, end: int) -> Node:
-    return Node(xxhash.xxh3_128_digest(kind + b"".join(c.digest for c in children)), start, end, children)
+    sections = _sections([p.digest for p in paragraphs])
+    return Node(_root(sections), 0, len(text), [Node(d, paragraphs[i].start, paragraphs[j].end, paragraphs[i : j + 1]) for d, i, j in sections])
 
 
 def differing(a: Node, b: Node) -> list[tuple[int, int]]:
@@ -72,20 +88,28 @@ def differing(a: Node, b: Node) -> list[tuple[int, int]]:
     return out
 
 
-def _leaves(node: Node) -> Iterator[Node]:
-    for s in node.children:
-        for p in s.children:
-            yield from p.children
+@dataclass
+class Print:
+    """A fingerprint: the bounded string, its slots, and the paragraphs' digests that it was made from."""
+
+    text: str
+    slots: np.ndarray
+    paragraphs: list
 
 
-def fingerprint(text: str | None) -> tuple[str, np.ndarray]:
-    """A bounded string and its slots: the root's digest, and a byte from each of SLOTS sets that the leaves are dealt to.
+def fingerprint(text: str | None, known: dict[str, tuple[bytes, bytes]] | None = None) -> Print:
+    """The root's digest, and a byte from each of SLOTS sets that the leaves are dealt to.
 
     The root alone tests equality. The slots hold the least leaf digest of each set, so that two fingerprints agree
-    in about the share of leaves that two trees have in common."""
-    root = tree(text)
+    in about the share of leaves that two trees have in common. ``known`` keeps paragraphs between versions of a text."""
+    known = {} if known is None else known
+    paragraphs = []
+    for line in (text or "").split("\n"):
+        if line not in known:
+            known[line] = _paragraph(line)
+        paragraphs.append(known[line])
     slots = np.full(SLOTS, _EMPTY)
-    digests = b"".join(x.digest for x in _leaves(root))
+    digests = b"".join(p[1] for p in paragraphs)
     if digests:
         h = np.sort(np.frombuffer(digests, "<u8")[::2])
         first = np.flatnonzero(np.diff(h, prepend=~h[:1]))
@@ -93,15 +117,29 @@ def fingerprint(text: str | None) -> tuple[str, np.ndarray]:
         h = (h ^ times.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)  # the second of equal leaves is another leaf
         h ^= h >> np.uint64(32)
         np.minimum.at(slots, (h & np.uint64(SLOTS - 1)).astype(np.int64), h >> np.uint64(7))
-    text_of = "".join("--" if x == _EMPTY else f"{int(x) & 255:02x}" for x in slots)
-    return f"{root.digest.hex()}:{text_of}", slots
+    shown = "".join("--" if x == 2**64 - 1 else f"{x & 255:02x}" for x in slots.tolist())
+    return Print(f"{_root(_sections([p[0] for p in paragraphs])).hex()}:{shown}", slots, [p[0] for p in paragraphs])
+
+
+def first_difference(a: Print, b: Print, text_a: str, text_b: str) -> int | None:
+    """Where a's text first differs from b's by whole pieces: at the first unlike paragraph, then at the first unlike piece; null if the roots are equal."""
+    if a.text == b.text:
+        return None
+    lines_a, lines_b = text_a.split("\n"), text_b.split("\n")
+    k = next((k for k, (x, y) in enumerate(zip(a.paragraphs, b.paragraphs)) if x != y), min(len(lines_a), len(lines_b)))
+    at = sum(map(len, lines_a[:k])) + k
+    for x, y in zip(_pieces(lines_a[k]), _pieces(lines_b[k])) if k < min(len(lines_a), len(lines_b)) else ():
+        if x != y:
+            break
+        at += len(x)
+    return min(at, len(text_a))
 
 
-def likeness(a: tuple[str, np.ndarray], b: tuple[str, np.ndarray]) -> float:
+def likeness(a: Print, b: Print) -> float:
     """0 to 1 from two fingerprints: 1 if the roots are equal, else the estimated share of leaves in common (Dice)."""
-    if a[0] == b[0]:
+    if a.text == b.text:
         return 1.0
-    x, y = a[1], b[1]
+    x, y = a.slots, b.slots
     either = int(((x != _EMPTY) | (y != _EMPTY)).sum())
     both = (x != _EMPTY) & (y != _EMPTY)
     same = int((((x ^ y) & np.uint64(255)) == 0)[both].sum())
@@ -141,7 +179,7 @@ def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     One shuffle: rows go to buckets between quantiles of the ids, and the first row of a bucket goes to the bucket
     before it as well, so that every row meets its successor. Null texts count as empty. Null ids come first; repeated ids
     stay, ordered by text, and follow one another. A table of one row is its own successor; an empty table gives no rows.
-    first_change is where the trees first differ, null if nowhere."""
+    first_change is where the two texts' trees first differ (by whole pieces), null if nowhere."""
     spark = docs.sparkSession
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     n = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -164,17 +202,16 @@ def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(np.full(len(at), ahead), pa.int32()), part.column("id"), part.column("text").cast(pa.string())], schema=dealt)
 
     def results(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        waiting = None  # bucket, id, text, fingerprint
+        waiting = None  # bucket, id, text, fingerprint, its paragraphs
         for bucket, ahead, doc_id, text in rows(batches, "bucket", "ahead", "id", "text"):
-            text, own = text or "", None
+            text, known, own = text or "", {}, None
             if waiting and waiting[0] == bucket:
-                own = fingerprint(text)
-                _, i, t, f = waiting
+                own = fingerprint(text, known)
+                _, i, t, f, there = waiting
                 e = edited_by(t, text)
-                fe = f if e == t else fingerprint(e)
-                change = None if e == t else min((s for s, _ in differing(tree(t), tree(e))), default=None)
-                yield i, len(t), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), f[0], fe[0], likeness(f, fe), likeness(f, own), change
-            waiting = None if ahead else (bucket, doc_id, text, own or fingerprint(text))
+                fe = f if e == t else fingerprint(e, there)
+                yield i, len(t), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), f.text, fe.text, likeness(f, fe), likeness(f, own), first_difference(f, fe, t, e)
+            waiting = None if ahead else (bucket, doc_id, text, own or fingerprint(text, known), known)
 
     moved = chosen.mapInArrow(deal, "bucket int, ahead int, id long, text string").repartition("bucket").sortWithinPartitions("bucket", "ahead", "id", "text")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, first_change long"
