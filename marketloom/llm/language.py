@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,7 +19,7 @@ LETTERS = regex.compile(r"\p{L}+")
 SPACE = "▁"
 #: Added to every count of a piece; the probability of a character that no piece has.
 SMOOTH, STRANGE = 0.05, 1e-7
-KEEP = 200_000
+KEEP = 500_000
 
 
 @lru_cache(maxsize=2)
@@ -47,7 +48,7 @@ class Languages:
         p = (counts + SMOOTH) / (counts.sum(0) + SMOOTH * len(counts))
         self.p = np.vstack([p, np.zeros(len(names)), np.full(len(names), STRANGE)])  # then: no such piece, a strange character
         self.kept: dict[str, int] = {}
-        self.logs = np.zeros((1, len(names)))
+        self.logs = np.zeros((1 << 14, len(names)))
 
     def forward(self, words: list[str]) -> np.ndarray:
         """Log probabilities (words, languages) of words of one length."""
@@ -79,8 +80,11 @@ class Languages:
         for same in by_length.values():
             for k in range(0, len(same), 4096):
                 part = same[k : k + 4096]
-                self.kept.update(zip(part, range(len(self.logs), len(self.logs) + len(part))))
-                self.logs = np.vstack([self.logs, self.forward(part)])
+                n = len(self.kept)
+                while n + len(part) > len(self.logs):
+                    self.logs = np.concatenate([self.logs, np.zeros_like(self.logs)])
+                self.kept.update(zip(part, range(n, n + len(part))))
+                self.logs[n : n + len(part)] = self.forward(part)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """The likeliest language and its posterior probability under equal priors; ("und", 0) without letters."""
@@ -88,7 +92,7 @@ class Languages:
         if not self.names:
             return [("und", 0.0)] * len(texts)
         if len(self.kept) > KEEP:
-            self.kept, self.logs = {}, self.logs[:1]
+            self.kept = {}
         new = {w for ws in split for w in ws if w not in self.kept}
         if new:
             self.learn(sorted(new))
@@ -142,11 +146,23 @@ def train(docs: DataFrame, pieces: str, text_col: str = "text", lang_col: str =
     return names, counts
 
 
+_held: dict[str, Languages] = {}
+
+
+def _worker(key: str, model: tuple) -> Languages:
+    """The model of a broadcast, with the words it has seen; a Python worker keeps the last one for its next tasks."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = Languages(*model)
+    return _held[key]
+
+
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], pieces: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` with lang_pred and score (posterior, 0 to 1) for every row. No shuffle.
 
     Texts that are null or without a letter, and all texts if no language was learned, give "und" with score 0. Repeated rows and null ids stay.
     A kept column named like a result is an error."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x vocabulary: bounded
+    shared = docs.sparkSession.sparkContext.broadcast((pieces, *model))  # languages x vocabulary: bounded
+    key = uuid.uuid4().hex
     fields = [("lang_pred", pa.string(), "string"), ("score", pa.float64(), "double")]
-    return described(docs, text_col, fields, lambda: Languages(pieces, *shared.value).predict, list(keep))
+    return described(docs, text_col, fields, lambda: _worker(key, shared.value).predict, list(keep))
