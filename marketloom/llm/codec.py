@@ -17,7 +17,7 @@ import zlib
 import numpy as np
 
 MAGIC, HEAD = b"MLTB", struct.Struct("<4sBxHIIII")
-LANES, VOCAB = 4096, 1 << 16
+LANES, VOCAB = 8192, 1 << 16
 _U = np.uint64
 _TOP, _LEAST, _DIGIT = _U(1 << 48), _U(1 << 40), _U(16)
 _WEIGHT_BITS, _ID_BITS = _U(16), _U(20)
@@ -97,7 +97,7 @@ def encode_block(ids: np.ndarray, vocab: int = VOCAB) -> bytes:
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     model = _Model(vocab, lanes, inverse=False)
     low, width = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
-    out, used = np.zeros((lanes, steps + 24), np.uint16), np.zeros(lanes, np.int64)
+    said: list[tuple[np.ndarray, np.ndarray]] = []  # lanes and the digits they put out, in order
     with np.errstate(over="ignore"):
         for x in grid:
             a, b, at = model.predict()
@@ -110,8 +110,6 @@ def encode_block(ids: np.ndarray, vocab: int = VOCAB) -> bytes:
             low += part * model.cum.take(row)
             width = part * model.freq.take(row)
             model.learn(x, place)
-            if int(used.max()) + 8 >= out.shape[1]:
-                out = np.concatenate([out, np.zeros_like(out)], axis=1)
             while True:
                 same = (low ^ (low + width)) < _TOP
                 go = (same | (width < _LEAST)).nonzero()[0]
@@ -121,16 +119,15 @@ def encode_block(ids: np.ndarray, vocab: int = VOCAB) -> bytes:
                 tight = ~same.take(go)
                 if tight.any():
                     wi = np.where(tight, (_U(0) - lo) & (_LEAST - _U(1)), wi)
-                to = used.take(go)
-                out[go, to] = lo >> _U(48)
-                used[go] = to + 1
+                said.append((go.astype(np.int16), (lo >> _U(48)).astype(np.uint16)))
                 low[go], width[go] = lo << _DIGIT, wi << _DIGIT
-    end = (low + width - _U(1)) >> _U(32)
-    rest = np.arange(lanes)
-    out[rest, used], out[rest, used + 1] = end >> _U(16), end & _U(0xFFFF)
-    used += 2
-    words = out[np.arange(out.shape[1]) < used[:, None]]
-    return HEAD.pack(MAGIC, 1, 0, vocab, n, lanes, crc) + used.astype("<u4").tobytes() + words.astype("<u2").tobytes()
+    end = (low + _U((1 << 32) - 1)) >> _U(32)  # whatever follows these two digits, the code stays in the range
+    every = np.arange(lanes, dtype=np.int16)
+    said += [(every, (end >> _U(16)).astype(np.uint16)), (every, (end & _U(0xFFFF)).astype(np.uint16))]
+    lane = np.concatenate([x for x, _ in said])
+    words = np.concatenate([x for _, x in said]).astype("<u2")[np.argsort(lane, kind="stable")]
+    used = np.bincount(lane, minlength=lanes)
+    return HEAD.pack(MAGIC, 1, 0, vocab, n, lanes, crc) + used.astype("<u4").tobytes() + words.tobytes()
 
 
 def decode_block(block: bytes) -> np.ndarray:
@@ -146,10 +143,9 @@ def decode_block(block: bytes) -> np.ndarray:
     used = np.frombuffer(block, "<u4", lanes, HEAD.size).astype(np.int64)
     if len(block) != HEAD.size + 4 * lanes + 2 * int(used.sum()):
         raise ValueError("damaged token block")
-    words = np.zeros((lanes, int(used.max()) + 8), _U)
-    words[np.arange(words.shape[1]) < used[:, None]] = np.frombuffer(block, "<u2", -1, HEAD.size + 4 * lanes)
-    code = words[:, 0] << _U(48) | words[:, 1] << _U(32) | words[:, 2] << _U(16) | words[:, 3]
-    at, most = np.full(lanes, 4), words.shape[1] - 1
+    words = np.concatenate([np.frombuffer(block, "<u2", -1, HEAD.size + 4 * lanes).astype(_U), np.zeros(8, _U)])
+    at = np.cumsum(used) - used + 4
+    code = words.take(at - 4) << _U(48) | words.take(at - 3) << _U(32) | words.take(at - 2) << _U(16) | words.take(at - 1)
     model = _Model(vocab, lanes, inverse=True)
     low, width = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
     grid = np.empty((steps, lanes), np.int64)
@@ -157,8 +153,8 @@ def decode_block(block: bytes) -> np.ndarray:
         for i in range(steps):
             a, b, at_weights = model.predict()
             part = width >> _WEIGHT_BITS
-            q = (code - low) // np.maximum(part, _U(1))
-            kind = np.where(q < model.w2.take(at_weights), 0, np.where(q < model.w21.take(at_weights), 128, 256))
+            ahead = code - low
+            kind = np.where(ahead < part * model.w2.take(at_weights), 0, np.where(ahead < part * model.w21.take(at_weights), 128, 256))
             place = at_weights + kind
             low += part * model.start.take(place)
             part = (part * model.size.take(place)) >> _ID_BITS
@@ -167,7 +163,7 @@ def decode_block(block: bytes) -> np.ndarray:
             width = part << _ID_BITS
             if len(go):
                 wi, lo = part.take(go), low.take(go)
-                q = np.minimum((code.take(go) - lo) // np.maximum(wi, _U(1)), _U((1 << 20) - 1))
+                q = np.minimum((code.take(go) - lo) // wi, _U((1 << 20) - 1))
                 got = model.owner.take(q.astype(np.int64)).astype(np.int64)
                 x[go] = got
                 low[go] = lo + wi * model.cum.take(got)
@@ -185,10 +181,8 @@ def decode_block(block: bytes) -> np.ndarray:
                     wi = np.where(tight, (_U(0) - lo) & (_LEAST - _U(1)), wi)
                 low[go], width[go] = lo << _DIGIT, wi << _DIGIT
                 to = at.take(go)
-                code[go] = code.take(go) << _DIGIT | words[go, np.minimum(to, most)]
+                code[go] = code.take(go) << _DIGIT | words.take(to, mode="clip")
                 at[go] = to + 1
-            if i % 64 == 0 and int(at.max()) > 8 * i + 64:
-                raise ValueError("damaged token block")
     ids = np.ascontiguousarray(grid.T).reshape(-1)[:n].astype(np.uint32)
     if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
         raise ValueError("the checksum of a token block is wrong")

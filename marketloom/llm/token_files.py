@@ -20,7 +20,7 @@ _ARROW = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n_ids", pa.in
 _READ = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("doc_id", pa.int64()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("ids_crc32", pa.int64())])
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block_ids: int = 1 << 21) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block_ids: int = 3 << 20) -> None:
     """Encode every text, append ``end_id``, and write the ids under ``path`` in ascending ``id_col`` order.
 
     A row of the files is one independently decodable block: whole documents of about ``block_ids`` ids, their

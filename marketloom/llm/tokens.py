@@ -29,12 +29,41 @@ class _Index(dict):
         return row
 
 
+class _Rows:
+    """Ids of strings, one row after another, and an index by string."""
+
+    def __init__(self):
+        self.index = _Index()
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.begin, self.length = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
+        self.used = self.rows = 0
+
+    def add(self, ids: np.ndarray, n: np.ndarray) -> None:
+        """New rows of n[k] ids each."""
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.rows + len(n) > len(self.begin):
+            self.begin, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.begin[self.rows : self.rows + len(n)] = self.used + np.cumsum(n) - n
+        self.length[self.rows : self.rows + len(n)] = n
+        self.used, self.rows = self.used + len(ids), self.rows + len(n)
+
+    def joined(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of rows one after another, and where each ends."""
+        size = self.length.take(at)
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids.take(np.repeat(self.begin.take(at) - (ends - size), size) + np.arange(total)), ends
+
+
 class WordEncoder:
     """ids of texts by a tokenizer that drops white space and never joins across it.
 
     The word_bpe files are so: their normaliser turns white space into a space, their splitting drops it.
-    A text is therefore the concatenation of its words' ids, and a word is encoded by the library once
-    and then looked up. ``keep`` bounds the number of words held; beyond it, the words are forgotten."""
+    A text is therefore the concatenation of its words' ids, and a word is looked up once it is known. A new word of letters with
+    marks behind them is split there, as the tokenizer does; the parts go to the library, those of letters alone many at once.
+    ``keep`` bounds the number of words held; beyond it, the words are forgotten."""
 
     def __init__(self, path: str, keep: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -44,67 +73,64 @@ class WordEncoder:
         ids = self.library.get_vocab()
         self.ends_word = np.zeros(max(ids.values()) + 1, bool)
         self.ends_word[[i for t, i in ids.items() if t.endswith("</w>")]] = True
-        self._forget()
-
-    def _forget(self) -> None:
-        self.index = _Index()
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.begin, self.length = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
-        self.used = 0
-
-    def _library(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _ids(self, words: list[str]) -> list[list[int]]:
-        """The ids of words. Words of letters alone go to the library many at once, as each ends at the first id that ends a word."""
-        plain = [w for w in words if w.isalpha()]
-        joined = [plain[i : i + 500] for i in range(0, len(plain), 500)]
-        known: dict[str, list[int]] = {}
-        for part, ids in zip(joined, self._library([" ".join(x) for x in joined])):
+        self.words, self.parts = _Rows(), _Rows()
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_parts(self) -> None:
+        """Encode the parts that wait. Of joined parts of letters, each ends at the first id that ends a word."""
+        index = self.parts.index
+        waiting, index.waiting = index.waiting, []
+        plain, rest = [w for w in waiting if w.isalpha()], [w for w in waiting if not w.isalpha()]
+        known: list[str] = []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        batches = [plain[i : i + 500] for i in range(0, len(plain), 500)]
+        for part, got in zip(batches, self._library([" ".join(x) for x in batches])):
+            ids = np.array(got, np.int64)
             to = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(to) != len(part) or (len(ids) and to[-1] != len(ids)):
-                known.update(zip(part, self._library(part)))
-                continue
-            begin = 0
-            for w, end in zip(part, to.tolist()):
-                known[w] = ids[begin:end]
-                begin = end
-        rest = [w for w in words if w not in known]
-        known.update(zip(rest, self._library(rest)))
-        return [known[w] for w in words]
+            if len(to) == len(part) and to[-1] == len(ids):
+                known += part
+                found.append((ids, np.diff(to, prepend=0)))
+            else:
+                rest += part
+        got = self._library(rest)
+        found.append((np.fromiter(chain.from_iterable(got), np.int64), np.fromiter(map(len, got), np.int64, len(got))))
+        first = len(index) - len(waiting)
+        index.update(zip(known + rest, range(first, len(index))))
+        for ids, n in found:
+            self.parts.add(ids, n)
 
     def _learn(self) -> None:
-        """Encode the words that wait. Letters with marks behind them are split there, as the tokenizer does."""
-        words, self.index.waiting = self.index.waiting, []
-        cut = [w.rstrip(MARKS) for w in words]
-        cut = [s if s.isalpha() else w for s, w in zip(cut, words)]
-        new = list(dict.fromkeys(chain(cut, (w[len(s) :] for s, w in zip(cut, words) if len(s) < len(w)))))
-        ids = dict(zip(new, self._ids(new)))
-        got = [ids[s] + ids[w[len(s) :]] if len(s) < len(w) else ids[s] for s, w in zip(cut, words)]
-        n = np.fromiter(map(len, got), np.int64, len(got))
-        total, rows, first = int(n.sum()), len(self.index), len(self.index) - len(words)
-        while self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while rows > len(self.begin):
-            self.begin, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length))
-        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), np.uint32, total)
-        self.begin[first:rows] = self.used + np.cumsum(n) - n
-        self.length[first:rows] = n
-        self.used += total
+        words, self.words.index.waiting = self.words.index.waiting, []
+        split: list[str] = []
+        pieces = []
+        for w in words:
+            s = w.rstrip(MARKS)
+            if len(s) < len(w) and s.isalpha():
+                split += (s, w[len(s) :])
+                pieces.append(2)
+            else:
+                split.append(w)
+                pieces.append(1)
+        rows = self.parts.index
+        for s in split:
+            rows[s]  # a new one joins those that wait
+        if rows.waiting:
+            self._learn_parts()
+        ids, ends = self.parts.joined(np.fromiter(map(rows.__getitem__, split), np.int64, len(split)))
+        self.words.add(ids, np.diff(np.concatenate([[0], ends])[np.cumsum(pieces)], prepend=0))
 
     def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) one after another, and the number of ids of each text; ``end`` is put behind each text."""
-        if len(self.index) > self.keep:
-            self._forget()
+        if len(self.words.index) > self.keep:
+            self.words, self.parts = _Rows(), _Rows()
         words = [(t if OTHER.search(t) else t.lower()).replace("\n", " ").split(" ") if t else [] for t in texts]
         n = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(words)), np.int64, int(n.sum()))
-        if self.index.waiting:
+        at = np.fromiter(map(self.words.index.__getitem__, chain.from_iterable(words)), np.int64, int(n.sum()))
+        if self.words.index.waiting:
             self._learn()
-        size = self.length[at]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.repeat(self.begin[at] - (ends - size), size) + np.arange(total)]
+        ids, ends = self.words.joined(at)
         to = np.concatenate([[0], ends])[np.cumsum(n)]
         lengths = np.diff(to, prepend=0)
         if end is None:
