@@ -31,6 +31,18 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_held: dict = {}
+
+
+def held(key, make):
+    """An object that a Python worker keeps between tasks. There is one at a time, so that the stages of a pipeline don't add up their models and caches."""
+    if key not in _held:
+        _held.clear()
+        if make is not None:
+            _held[key] = make()
+    return _held.get(key)
+
+
 def rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     """The rows of Arrow batches as tuples, with one batch in memory."""
     for b in batches:

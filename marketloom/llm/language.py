@@ -13,13 +13,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, described, rows
+from .common import batched, described, held, rows
 
 LETTERS = regex.compile(r"\p{L}+")
 SPACE = "▁"
 #: Added to every count of a piece; the probability of a character that no piece has.
 SMOOTH, STRANGE = 0.05, 1e-7
-KEEP = 500_000
+KEEP = 400_000
 
 
 @lru_cache(maxsize=2)
@@ -146,17 +146,6 @@ def train(docs: DataFrame, pieces: str, text_col: str = "text", lang_col: str =
     return names, counts
 
 
-_held: dict[str, Languages] = {}
-
-
-def _worker(key: str, model: tuple) -> Languages:
-    """The model of a broadcast, with the words it has seen; a Python worker keeps the last one for its next tasks."""
-    if key not in _held:
-        _held.clear()
-        _held[key] = Languages(*model)
-    return _held[key]
-
-
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], pieces: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` with lang_pred and score (posterior, 0 to 1) for every row. No shuffle.
 
@@ -165,4 +154,4 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], pieces: str,
     shared = docs.sparkSession.sparkContext.broadcast((pieces, *model))  # languages x vocabulary: bounded
     key = uuid.uuid4().hex
     fields = [("lang_pred", pa.string(), "string"), ("score", pa.float64(), "double")]
-    return described(docs, text_col, fields, lambda: _worker(key, shared.value).predict, list(keep))
+    return described(docs, text_col, fields, lambda: held(key, lambda: Languages(*shared.value)).predict, list(keep))

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import described, written
+from .common import described, held, written
 from .html_text import STOP
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -124,7 +124,7 @@ def judge(docs: DataFrame, threshold: float = 0.5, text_col: str = "text", keep:
     def measure(texts: list[str | None]) -> list[tuple]:
         return [(*(m[c] for c in COUNTS), votes(m)) for m in map(measures, texts)]
 
-    measured = written(described(docs, text_col, fields, lambda: measure, list(keep)))
+    measured = written(described(docs, text_col, fields, lambda: held("quality", lambda: measure), list(keep)))
     patterns = {r["votes"]: r["n"] for r in measured.groupBy("votes").agg(F.count("*").alias("n")).collect()}
     table = spark.createDataFrame(list(fit(patterns).items()) or [("", 0.5)], "votes string, p_good double")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))

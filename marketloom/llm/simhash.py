@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows, written
+from .common import held, rows, written
 from .components import components
 
 #: Rows of one bucket that are compared in one go; a larger bucket is dealt to several such blocks.
@@ -53,6 +53,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, lanes: int = 1, id_col: str
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("simhash", None)
         for b in batches:
             fp = [simhash(t, shingle, lanes) for (t,) in rows(iter([b]), "text")]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fp, pa.binary())], schema=schema)
@@ -239,7 +240,7 @@ def near_components(prints: DataFrame, radius: int, tables: list[list[int]]) ->
     """doc_id, fp, component_id for rows (doc_id, fp): fingerprints within ``radius`` bits that meet in a key table are linked.
 
     Equal fingerprints are one vertex, named by its least doc_id, so that copies are never compared. A bucket is the vertices of
-    equal key in a table. Buckets beyond BLOCK rows are dealt to blocks: links within blocks come first, then, after components, pairs of blocks
+    equal key in a table, and one shuffle brings it together. Buckets beyond BLOCK rows, few by their size, are dealt to blocks: links within blocks come first, then, after components, pairs of blocks
     whose rows aren't all connected yet. With all_parts no pair within the radius is missed."""
     prints = written(prints)
     vertices = written(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
@@ -253,16 +254,14 @@ def near_components(prints: DataFrame, radius: int, tables: list[list[int]]) ->
                 for k, (t, w) in enumerate(zip(tables, weights)):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bits), k), pa.int32()), pa.array(bits[:, t] @ w), b.column("rep"), b.column("fp").cast(pa.binary())], schema=schema)
 
-    keyed = written(vertices.mapInArrow(keys, "part int, key long, rep long, fp binary"))
-    sizes = keyed.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = keyed.join(sizes, ["part", "key"])
-    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)).cast("int")
-    shared = shared.withColumn("block", block)
+    keyed = vertices.mapInArrow(keys, "part int, key long, rep long, fp binary")
+    large = written(keyed.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK))
+    block = F.coalesce(F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)), F.lit(0)).cast("int")
+    shared = keyed.join(large, ["part", "key"], "left").withColumn("block", block)
     links = written(_first_links(shared, radius))
-    large = sizes.where(F.col("n") > BLOCK)
     if not large.isEmpty():
         labels = components(links)
-        rest = shared.where(F.col("n") > BLOCK).join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
+        rest = shared.where("n is not null").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
         links = links.union(written(_cross_links(rest, radius)))
     labels = components(links).withColumnRenamed("id", "rep")
     named = vertices.join(labels, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows
+from .common import held, rows
 
 #: The splitting rule of byte-level BPE vocabularies (a fixed value of the public file format).
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -71,10 +70,9 @@ class TokenCounter(dict):
         return self.ordinary(text)
 
 
-@lru_cache(maxsize=4)
 def counter(path: str) -> TokenCounter:
     """One counter for each Python worker; the proof runs once there."""
-    return TokenCounter(path)
+    return held(("counts", path), lambda: TokenCounter(path))
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import os
 import re
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 
+from .common import held
+
 
 #: Marks that the tokenizer splits from the letters before them, and joins with each other.
 MARKS = ".,;:!?*$%&#|\"()"
@@ -65,7 +66,7 @@ class WordEncoder:
     marks behind them is split there, as the tokenizer does; the parts go to the library, those of letters alone many at once.
     ``keep`` bounds the number of words held; beyond it, the words are forgotten."""
 
-    def __init__(self, path: str, keep: int = 800_000):
+    def __init__(self, path: str, keep: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -138,7 +139,6 @@ class WordEncoder:
         return np.insert(ids, to, np.uint32(end)), lengths + 1
 
 
-@lru_cache(maxsize=4)
 def word_encoder(path: str) -> WordEncoder:
     """One encoder for each Python worker."""
-    return WordEncoder(path)
+    return held(("words", path), lambda: WordEncoder(path))
