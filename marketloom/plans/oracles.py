@@ -24,7 +24,7 @@ ORD = _candles("ord", "day", "1d", "orders", "o_orderpriority", "o_orderdate", "
 WALK = (
     EV
     + """, w0 AS (SELECT *, avg(close) OVER (PARTITION BY symbol) AS mean FROM ev),
-w1 AS (SELECT *, round(1000 + sum(close - mean) OVER (PARTITION BY symbol ORDER BY open_time ROWS UNBOUNDED PRECEDING) / 40, 4) AS walk FROM w0),
+w1 AS (SELECT *, round(1000 + sum(close - mean) OVER (PARTITION BY symbol ORDER BY open_time ROWS UNBOUNDED PRECEDING) / 37, 4) AS walk FROM w0),
 w2 AS (SELECT *, coalesce(lag(walk) OVER (PARTITION BY symbol ORDER BY open_time), 1000.0) AS prior FROM w1),
 walk AS (SELECT symbol, timeframe, open_time, prior AS open, round(greatest(prior, walk) + (high - low) / 400, 6) AS high, round(least(prior, walk) - (high - low) / 400, 6) AS low, walk AS close, volume FROM w2)"""
 )

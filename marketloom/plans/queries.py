@@ -49,7 +49,7 @@ def walk_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event candles whose closes are summed to a walk around 1000, so that trends and ranges both occur."""
     w = Window.partitionBy("symbol").orderBy("open_time")
     df = event_candles(spark, sf_dir).withColumn("mean", F.avg("close").over(Window.partitionBy("symbol")))
-    df = df.withColumn("walk", F.round(1000 + F.sum(F.col("close") - F.col("mean")).over(w.rowsBetween(Window.unboundedPreceding, 0)) / 40, 4)).withColumn("from", F.coalesce(F.lag("walk").over(w), F.lit(1000.0)))
+    df = df.withColumn("walk", F.round(1000 + F.sum(F.col("close") - F.col("mean")).over(w.rowsBetween(Window.unboundedPreceding, 0)) / 37, 4)).withColumn("from", F.coalesce(F.lag("walk").over(w), F.lit(1000.0)))
     spread = (F.col("high") - F.col("low")) / 400
     return df.select("symbol", "timeframe", "open_time", F.col("from").alias("open"), F.round(F.greatest("from", "walk") + spread, 6).alias("high"), F.round(F.least("from", "walk") - spread, 6).alias("low"), F.col("walk").alias("close"), "volume")
 

@@ -46,8 +46,8 @@ def time_series(payloads: DataFrame, payload: str = "payload", timeframe: str =
     Fields are found as "1. open", "1a. open", "open", or any key that contains the name; volume may be missing. ``limit`` keeps the earliest rows of each payload."""
     checked = F.when(failure(F.col(payload)).isNotNull(), F.raise_error(failure(F.col(payload)))).otherwise(F.col(payload))
     named = F.map_filter(F.from_json(checked, "map<string,string>"), lambda k, _: F.lower(k).startswith("time series"))
-    series = F.map_entries(F.from_json(F.map_values(named)[0], "map<string,map<string,string>>"))
-    entries = F.array_sort(series)
+    series = F.from_json(F.map_values(named)[0], "map<string,map<string,string>>")
+    entries = F.transform(F.array_sort(F.map_keys(series)), lambda k: F.struct(k.alias("key"), series[k].alias("value")))
     each = payloads.withColumn("e", F.explode(F.slice(entries, 1, limit) if limit else entries))
 
     def field(name: str, k: int) -> Column:
@@ -70,7 +70,8 @@ def published_time(text: Column, as_of: Column) -> Column:
 def news_feed(payloads: DataFrame, as_of: Column, payload: str = "payload") -> DataFrame:
     """News candidates from the array under "feed": trimmed, blank titles and non-objects skipped, empty id and label null, source "unknown" by default."""
     item = "struct<id:string,title:string,summary:string,url:string,source:string,time_published:string,overall_sentiment_score:string,overall_sentiment_label:string,ticker_sentiment:array<struct<ticker:string>>>"
-    each = payloads.select(F.posexplode(F.from_json(F.get_json_object(payload, "$.feed"), f"array<{item}>")).alias("seq", "i")).where("trim(i.title) <> ''")
+    listed = payloads.select(F.posexplode(F.from_json(F.get_json_object(payload, "$.feed"), "array<string>")).alias("seq", "text"))
+    each = listed.select("seq", F.from_json("text", item).alias("i")).where("trim(i.title) <> ''")
     tickers = F.filter(F.transform(F.coalesce("i.ticker_sentiment", F.array().cast("array<struct<ticker:string>>")), lambda x: F.upper(F.trim(x["ticker"]))), lambda x: x != "")
     blank = lambda c: F.nullif(F.trim(f"i.{c}"), F.lit(""))
     return each.select(
