@@ -268,8 +268,8 @@ def oracle_sql() -> dict[str, str]:
         "news_feed_symbol": f"WITH {_feed(50, 'seq IN (SELECT seq FROM tagged WHERE symbol = ' + _q('EURUSD') + ')')} SELECT * FROM feed",
         "thesis_confidence": f"{_THESIS} SELECT symbol, direction, coalesce(setup_type, 'none') AS setup_type, cl AS label, round(cs, 2) AS score, len(fors)::BIGINT AS n_for, na::BIGINT AS n_against FROM th",
         "thesis_invalidation": f"""{_THESIS} SELECT symbol, round(CASE WHEN setup_type IS NOT NULL THEN round(stop, 8) WHEN direction = 'bullish' THEN support WHEN direction = 'bearish' THEN resistance END, 6) AS level,
-          CASE WHEN setup_type IS NOT NULL THEN printf('Invalidate if price closes %s %.6f.', CASE direction WHEN 'bullish' THEN 'below' ELSE 'above' END, stop) WHEN direction = 'bullish' AND support IS NOT NULL THEN printf('Invalidate if price loses support near %.6f.', support)
-          WHEN direction = 'bearish' AND resistance IS NOT NULL THEN printf('Invalidate if price reclaims resistance near %.6f.', resistance) WHEN support IS NOT NULL AND resistance IS NOT NULL THEN printf('No directional thesis until price breaks above %.6f or below %.6f.', resistance, support)
+          CASE WHEN setup_type IS NOT NULL THEN printf('Invalidate if price closes %s %.6f.', CASE direction WHEN 'bullish' THEN 'below' ELSE 'above' END, round(stop, 6)) WHEN direction = 'bullish' AND support IS NOT NULL THEN printf('Invalidate if price loses support near %.6f.', round(support, 6))
+          WHEN direction = 'bearish' AND resistance IS NOT NULL THEN printf('Invalidate if price reclaims resistance near %.6f.', round(resistance, 6)) WHEN support IS NOT NULL AND resistance IS NOT NULL THEN printf('No directional thesis until price breaks above %.6f or below %.6f.', round(resistance, 6), round(support, 6))
           ELSE 'Insufficient structure for a precise invalidation level.' END AS condition FROM th""",
         "thesis_text": f"""{_THESIS} SELECT symbol, timeframe, array_to_string(fors, ' | ') AS supporting, array_to_string(against, ' | ') AS contradicting,
           printf('%s %s: %s thesis from %s with %s confidence. View this as a conditional scenario, not a prediction, and monitor %d opposing signal(s).', symbol, timeframe, direction, coalesce(setup_type, 'no clear setup'), cl, na) AS summary, {_q(DISCLAIMER)} AS disclaimer FROM th""",
