@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import held, rows, written
@@ -167,12 +167,12 @@ class _Forest:
             self.root = flat[self.root]
 
 
-def links_within(fps: np.ndarray, group: np.ndarray, start: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links that span all pairs of one group within ``radius`` bits. Rows are sorted by group; fps is (n, bytes).
+def trees_within(fps: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
+    """For every row, the first row of its tree of pairs of one group within ``radius`` bits. Rows are sorted by group; fps is (n, bytes).
 
-    ``start`` has a label per row; rows of equal label are linked already. All rows are compared at once with the
-    row s further on, for s = 1, 2, ...; once a step has few pairs left, the others' rows are dropped from the planes."""
-    forest = _Forest(start)
+    All rows are compared at once with the row s further on, for s = 1, 2, ...; rows of smaller groups, and of
+    groups that are one tree by then, are dropped from the planes."""
+    forest = _Forest(np.arange(len(fps)))
     rows_left, s = np.arange(len(fps)), 0
     while True:
         g = group[rows_left]
@@ -188,7 +188,7 @@ def links_within(fps: np.ndarray, group: np.ndarray, start: np.ndarray, radius:
             mixed = odd[last + 1] - odd[head] > 0
         stay = (size > s + 1) & mixed
         if not stay.any():
-            return forest.links
+            return forest.root
         if not stay.all():
             rows_left = rows_left[stay]
             continue
@@ -258,7 +258,7 @@ def near_components(prints: DataFrame, radius: int, tables: list[list[int]]) ->
     large = written(keyed.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK))
     block = F.coalesce(F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)), F.lit(0)).cast("int")
     shared = keyed.join(large, ["part", "key"], "left").withColumn("block", block)
-    links = written(_first_links(shared, radius))
+    links = written(_fewer(_first_links(shared, radius)))
     if not large.isEmpty():
         labels = components(links)
         rest = shared.where("n is not null").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
@@ -269,8 +269,14 @@ def near_components(prints: DataFrame, radius: int, tables: list[list[int]]) ->
     return found.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def _fewer(links: DataFrame) -> DataFrame:
+    """Links with the same components: each row's links (a, b), one per table, become a's link to its least b, and links of the other b to that one."""
+    least = links.select("b", "a", F.min("b").over(Window.partitionBy("a")).alias("least"))
+    return least.select("a", F.col("least").alias("b")).union(least.select(F.col("b").alias("a"), F.col("least").alias("b"))).where("a <> b").distinct()
+
+
 def _first_links(shared: DataFrame, radius: int) -> DataFrame:
-    """Links within blocks. A partition is sorted by block, and whole blocks are gathered up to a bounded number of rows."""
+    """Links within blocks, from each row to the least of its tree. A partition is sorted by block, and whole blocks are gathered up to a bounded number of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[int] = []
@@ -279,8 +285,12 @@ def _first_links(shared: DataFrame, radius: int) -> DataFrame:
         last, n = None, 0
 
         def compare() -> pa.RecordBatch:
-            ids = np.array(reps, np.int64)
-            return _link_batch(ids, ids, links_within(_matrix(fps), np.array(group), np.arange(len(fps)), radius))
+            ids, least = np.array(reps, np.int64), np.array(reps, np.int64)
+            root = trees_within(_matrix(fps), np.array(group), radius)
+            np.minimum.at(least, root, ids)
+            low = least[root]
+            far = ids != low
+            return pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(low[far])], schema=_LINK)
 
         for part, key, block, rep, fp in rows(batches, "part", "key", "block", "rep", "fp"):
             if (part, key, block) != last:
