@@ -258,7 +258,7 @@ def near_components(prints: DataFrame, radius: int, tables: list[list[int]]) ->
     large = written(keyed.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK))
     block = F.coalesce(F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)), F.lit(0)).cast("int")
     shared = keyed.join(large, ["part", "key"], "left").withColumn("block", block)
-    links = written(_fewer(_first_links(shared, radius)))
+    links = written(_fewer(written(_first_links(shared, radius))))
     if not large.isEmpty():
         labels = components(links)
         rest = shared.where("n is not null").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
