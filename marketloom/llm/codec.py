@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -21,7 +22,26 @@ LANES, VOCAB = 8192, 1 << 16
 _U = np.uint64
 _TOP, _LEAST, _DIGIT = _U(1 << 48), _U(1 << 40), _U(16)
 _WEIGHT_BITS, _ID_BITS = _U(16), _U(20)
-_HASH_BITS = 18
+_HASH_BITS, _CUM_BITS, _FREQ = 18, _U(21), _U((1 << 21) - 1)
+
+
+def _confidence_steps() -> np.ndarray:
+    """What an event does to the two guesses, by its place, as one number: bits 0 and 1 say that the guess of order 2, of order 1
+    is replaced, bits 2 to 5 and 6 to 9 have 8 plus what is added to id * 8 + confidence.
+
+    A place is kind * 128 + confidence of order 2 * 16 + confidence of order 1 * 2 + whether they agree; kind 0 says that order 2
+    was right, 1 order 1, 2 neither. A right guess gains confidence, a wrong one loses half, and one of at most 2 is replaced."""
+    place = np.arange(384)
+    kind, agree = place >> 7, place & 1
+    out = np.zeros(384, np.int32)
+    for order, (sure, right) in enumerate(((place >> 4 & 7, kind == 0), (place >> 1 & 7, (kind == 1) | (kind == 0) & (agree == 1)))):
+        replaced = ~right & (sure <= 2)
+        add = np.where(right, sure < 7, np.where(replaced, sure >> 1, (sure >> 1) - sure))
+        out += replaced << order | add + 8 << 2 + 4 * order
+    return out
+
+
+_STEPS = _confidence_steps()
 
 
 class _Model:
@@ -31,9 +51,9 @@ class _Model:
 
     def __init__(self, vocab: int, lanes: int, inverse: bool):
         self.vocab, self.inverse = vocab, inverse
-        self.after1, self.after2 = np.zeros(vocab, np.int64), np.zeros(1 << _HASH_BITS, np.int64)
+        self.after1, self.after2 = np.zeros(vocab, np.int32), np.zeros(1 << _HASH_BITS, np.int32)
         self.seen, self.counts = np.zeros(vocab, np.int64), np.zeros(384, np.int64)
-        self.last, self.hashed = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.last, self.hashed, self.mixed = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, np.uint32)
         self.step, self.due, self.ids, self.places = 0, 1, [], []
         self._refresh()
 
@@ -45,33 +65,34 @@ class _Model:
         by_kind = self.counts.reshape(3, 128)
         n = by_kind.sum(0) + 8
         w2, w1 = 1 + by_kind[0] * 60000 // n, 1 + by_kind[1] * 60000 // n
-        self.w2, self.w21 = w2.astype(_U), (w2 + w1).astype(_U)
-        self.start = np.concatenate([0 * w2, w2, w2 + w1]).astype(_U)
-        self.size = np.concatenate([w2, w1, (1 << 16) - w2 - w1]).astype(_U)
+        # By place, where its share of the range begins and how large it is, in one number; by confidences, where orders 1 and 0 begin.
+        self.shares = np.concatenate([w2, w2 << 21 | w1, w2 + w1 << 21 | (1 << 16) - w2 - w1]).astype(_U)
+        self.bounds = (w2 << 21 | w2 + w1).astype(_U)
         room, total = (1 << 20) - self.vocab, int(self.seen.sum())
         f = 1 + (self.seen * room // total if total else np.full(self.vocab, room // self.vocab))
         f[int(f.argmax())] += (1 << 20) - int(f.sum())
-        # The row behind the last id is the whole range, for ids that a guess has named.
-        self.freq, self.cum = np.append(f, 1 << 20).astype(_U), np.append(np.cumsum(f) - f, 0).astype(_U)
+        # Frequency and the sum of those before, in one number. The row behind the last id is the whole range, for ids that a guess has named.
+        self.slots = np.append((np.cumsum(f) - f << 21) + f, 1 << 20).astype(_U)
         if self.inverse:
             self.owner = np.repeat(np.arange(self.vocab, dtype=np.uint16), f)
 
     def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The guesses of order 2 and order 1, and the place of their confidences in the tables of weights."""
         self.v2, self.v1 = self.after2.take(self.hashed), self.after1.take(self.last)
-        self.a, self.b = self.v2 >> 3, self.v1 >> 3
-        self.at = ((self.v2 & 7) << 4) + ((self.v1 & 7) << 1) + (self.a == self.b)
-        return self.a, self.b, self.at
+        a, b = self.v2 >> 3, self.v1 >> 3
+        return a, b, ((self.v2 & 7) << 4) + ((self.v1 & 7) << 1) + (a == b)
 
     def learn(self, ids: np.ndarray, place: np.ndarray) -> None:
+        """ids (int32) came true at these places."""
         self.ids.append(ids)
         self.places.append(place)
         fresh = ids << 3
-        for table, at, v, guess in ((self.after2, self.hashed, self.v2, self.a), (self.after1, self.last, self.v1, self.b)):
-            sure = v & 7
-            table[at] = np.where(guess == ids, v + (sure < 7), np.where(sure > 2, v - sure, fresh) + (sure >> 1))
-        self.hashed = (self.last * 0x2F0B4C47 + ids * 0x5BD1E995) >> 13 & (1 << _HASH_BITS) - 1
-        self.last = ids
+        steps = _STEPS.take(place)
+        self.after2[self.hashed] = self.v2 + ((fresh - self.v2) & -(steps & 1)) + ((steps >> 2 & 15) - 8)
+        self.after1[self.last] = self.v1 + ((fresh - self.v1) & -(steps >> 1 & 1)) + ((steps >> 6) - 8)
+        mixed = ids.astype(np.uint32) * np.uint32(0x9E3779B1)
+        self.hashed = ((self.mixed + mixed) * np.uint32(0x85EBCA6B) >> np.uint32(32 - _HASH_BITS)).astype(np.int64)
+        self.mixed, self.last = mixed * np.uint32(0x2545F491), ids.astype(np.int64)
         self.step += 1
         if self.step >= self.due:
             self.due = self.step + min(32, self.step)
@@ -83,6 +104,29 @@ def _shape(n: int) -> tuple[int, int]:
     return lanes, -(-n // lanes)
 
 
+def _kinds(second: np.ndarray, third: np.ndarray) -> np.ndarray:
+    """The kind times 128, from whether order 2 was wrong and whether both were."""
+    return (second.view(np.int8) + third.view(np.int8)).astype(np.int32) << 7
+
+
+def _ready(low: np.ndarray, width: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Lanes whose upper digit is settled, with their low and width before it is shifted out; again while there are some.
+
+    A range that has become too narrow around a change of the upper digit is cut there."""
+    same = (low ^ (low + width)) < _TOP
+    go = (same | (width < _LEAST)).nonzero()[0]
+    lo, wi, same = low.take(go), width.take(go), same.take(go)
+    while len(go):
+        if not same.all():
+            wi = np.where(same, wi, (_U(0) - lo) & (_LEAST - _U(1)))
+        yield go, lo, wi
+        lo, wi = lo << _DIGIT, wi << _DIGIT
+        low[go], width[go] = lo, wi
+        same = (lo ^ (lo + wi)) < _TOP
+        more = (same | (wi < _LEAST)).nonzero()[0]
+        go, lo, wi, same = go.take(more), lo.take(more), wi.take(more), same.take(more)
+
+
 def encode_block(ids: np.ndarray, vocab: int = VOCAB) -> bytes:
     """The bytes of one block. Every id must be below ``vocab``, which is at most 65536."""
     n = len(ids)
@@ -92,7 +136,7 @@ def encode_block(ids: np.ndarray, vocab: int = VOCAB) -> bytes:
     if not n:
         return HEAD.pack(MAGIC, 1, 0, vocab, 0, 0, crc)
     lanes, steps = _shape(n)
-    grid = np.zeros(lanes * steps, np.int64)
+    grid = np.zeros(lanes * steps, np.int32)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     model = _Model(vocab, lanes, inverse=False)
@@ -101,26 +145,20 @@ def encode_block(ids: np.ndarray, vocab: int = VOCAB) -> bytes:
     with np.errstate(over="ignore"):
         for x in grid:
             a, b, at = model.predict()
-            kind = np.where(x == a, 0, np.where(x == b, 128, 256))
-            place = at + kind
+            second = x != a
+            third = second & (x != b)
+            place = at + _kinds(second, third)
             part = width >> _WEIGHT_BITS
-            low += part * model.start.take(place)
-            part = (part * model.size.take(place)) >> _ID_BITS
-            row = np.where(kind == 256, x, vocab)
-            low += part * model.cum.take(row)
-            width = part * model.freq.take(row)
+            share = model.shares.take(place)
+            low += part * (share >> _CUM_BITS)
+            part *= share & _FREQ
+            part >>= _ID_BITS
+            slot = model.slots.take(vocab + ((x - vocab) & -third.view(np.int8).astype(np.int32)))
+            low += part * (slot >> _CUM_BITS)
+            width = part * (slot & _FREQ)
             model.learn(x, place)
-            while True:
-                same = (low ^ (low + width)) < _TOP
-                go = (same | (width < _LEAST)).nonzero()[0]
-                if not len(go):
-                    break
-                lo, wi = low.take(go), width.take(go)
-                tight = ~same.take(go)
-                if tight.any():
-                    wi = np.where(tight, (_U(0) - lo) & (_LEAST - _U(1)), wi)
+            for go, lo, wi in _ready(low, width):
                 said.append((go.astype(np.int16), (lo >> _U(48)).astype(np.uint16)))
-                low[go], width[go] = lo << _DIGIT, wi << _DIGIT
     end = (low + _U((1 << 32) - 1)) >> _U(32)  # whatever follows these two digits, the code stays in the range
     every = np.arange(lanes, dtype=np.int16)
     said += [(every, (end >> _U(16)).astype(np.uint16)), (every, (end & _U(0xFFFF)).astype(np.uint16))]
@@ -148,38 +186,33 @@ def decode_block(block: bytes) -> np.ndarray:
     code = words.take(at - 4) << _U(48) | words.take(at - 3) << _U(32) | words.take(at - 2) << _U(16) | words.take(at - 1)
     model = _Model(vocab, lanes, inverse=True)
     low, width = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
-    grid = np.empty((steps, lanes), np.int64)
+    grid = np.empty((steps, lanes), np.int32)
     with np.errstate(over="ignore", divide="ignore"):
         for i in range(steps):
             a, b, at_weights = model.predict()
             part = width >> _WEIGHT_BITS
             ahead = code - low
-            kind = np.where(ahead < part * model.w2.take(at_weights), 0, np.where(ahead < part * model.w21.take(at_weights), 128, 256))
-            place = at_weights + kind
-            low += part * model.start.take(place)
-            part = (part * model.size.take(place)) >> _ID_BITS
-            x = np.where(kind == 0, a, b)
-            go = (kind == 256).nonzero()[0]
+            bound = model.bounds.take(at_weights)
+            second, third = ahead >= part * (bound >> _CUM_BITS), ahead >= part * (bound & _FREQ)
+            place = at_weights + _kinds(second, third)
+            share = model.shares.take(place)
+            low += part * (share >> _CUM_BITS)
+            part *= share & _FREQ
+            part >>= _ID_BITS
+            x = a + ((b - a) & -second.view(np.int8).astype(np.int32))
+            go = third.nonzero()[0]
             width = part << _ID_BITS
             if len(go):
                 wi, lo = part.take(go), low.take(go)
                 q = np.minimum((code.take(go) - lo) // wi, _U((1 << 20) - 1))
-                got = model.owner.take(q.astype(np.int64)).astype(np.int64)
+                got = model.owner.take(q.view(np.int64))
                 x[go] = got
-                low[go] = lo + wi * model.cum.take(got)
-                width[go] = wi * model.freq.take(got)
+                slot = model.slots.take(got)
+                low[go] = lo + wi * (slot >> _CUM_BITS)
+                width[go] = wi * (slot & _FREQ)
             grid[i] = x
             model.learn(x, place)
-            while True:
-                same = (low ^ (low + width)) < _TOP
-                go = (same | (width < _LEAST)).nonzero()[0]
-                if not len(go):
-                    break
-                lo, wi = low.take(go), width.take(go)
-                tight = ~same.take(go)
-                if tight.any():
-                    wi = np.where(tight, (_U(0) - lo) & (_LEAST - _U(1)), wi)
-                low[go], width[go] = lo << _DIGIT, wi << _DIGIT
+            for go, _, _ in _ready(low, width):
                 to = at.take(go)
                 code[go] = code.take(go) << _DIGIT | words.take(to, mode="clip")
                 at[go] = to + 1

@@ -68,26 +68,33 @@ class WordEncoder:
 
     def __init__(self, path: str, keep: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.library, self.keep = Tokenizer.from_file(path), keep
+        self.library, self.letters, self.keep = Tokenizer.from_file(path), Tokenizer.from_file(path), keep
+        # Lower-case letters below OTHER are normal already, and white space alone parts them: the library needs none of its patterns there.
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.letters.model._resize_cache(0)
         ids = self.library.get_vocab()
         self.ends_word = np.zeros(max(ids.values()) + 1, bool)
         self.ends_word[[i for t, i in ids.items() if t.endswith("</w>")]] = True
         self.words, self.parts = _Rows(), _Rows()
 
-    def _library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    @staticmethod
+    def _ids(library, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn_parts(self) -> None:
         """Encode the parts that wait. Of joined parts of letters, each ends at the first id that ends a word."""
         index = self.parts.index
         waiting, index.waiting = index.waiting, []
-        plain, rest = [w for w in waiting if w.isalpha()], [w for w in waiting if not w.isalpha()]
+        plain, rest = [], []
+        for w in waiting:
+            (plain if w.isalpha() and w.islower() and not OTHER.search(w) else rest).append(w)
         known: list[str] = []
         found: list[tuple[np.ndarray, np.ndarray]] = []
         batches = [plain[i : i + 500] for i in range(0, len(plain), 500)]
-        for part, got in zip(batches, self._library([" ".join(x) for x in batches])):
+        for part, got in zip(batches, self._ids(self.letters, [" ".join(x) for x in batches])):
             ids = np.array(got, np.int64)
             to = np.flatnonzero(self.ends_word[ids]) + 1
             if len(to) == len(part) and to[-1] == len(ids):
@@ -95,7 +102,7 @@ class WordEncoder:
                 found.append((ids, np.diff(to, prepend=0)))
             else:
                 rest += part
-        got = self._library(rest)
+        got = self._ids(self.library, rest)
         found.append((np.fromiter(chain.from_iterable(got), np.int64), np.fromiter(map(len, got), np.int64, len(got))))
         first = len(index) - len(waiting)
         index.update(zip(known + rest, range(first, len(index))))
