@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -48,17 +49,23 @@ def simhash(text: str | None, shingle: int = 3, lanes: int = 1) -> bytes:
     return b"".join(out)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (binary) of every row. No shuffle."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary())])
+def fingerprints(docs: DataFrame, shingle: int = 3, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
+    """doc_id and fp (binary) of every row, and words_hash (binary), one for all texts of the same words, if asked for. No shuffle."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), *[("words_hash", pa.binary())] * hashed])
+
+    def words_hash(text: str | None) -> bytes:
+        return hashlib.blake2b(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()), digest_size=16).digest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("simhash", None)
         for b in batches:
-            fp = [simhash(t, shingle, lanes) for (t,) in rows(iter([b]), "text")]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fp, pa.binary())], schema=schema)
+            texts = [t for (t,) in rows(iter([b]), "text")]
+            columns = [b.column("id"), pa.array([simhash(t, shingle, lanes) for t in texts], pa.binary())]
+            if hashed:
+                columns.append(pa.array([words_hash(t) for t in texts], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp binary" + ", words_hash binary" * hashed)
 
 
 def all_parts(radius: int) -> list[list[int]]:
@@ -167,12 +174,24 @@ class _Forest:
             self.root = flat[self.root]
 
 
+class _Pairs(_Forest):
+    """Every pair of rows with different labels, which stay as they are."""
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        new = self.root[i] != self.root[j]
+        self.links += zip(i[new].tolist(), j[new].tolist())
+
+
 def trees_within(fps: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
-    """For every row, the first row of its tree of pairs of one group within ``radius`` bits. Rows are sorted by group; fps is (n, bytes).
+    """For every row, the first row of its tree of pairs of one group within ``radius`` bits. Rows are sorted by group; fps is (n, bytes)."""
+    return _linked(_Forest(np.arange(len(fps))), fps, group, radius).root
+
+
+def _linked(forest: _Forest, fps: np.ndarray, group: np.ndarray, radius: int) -> _Forest:
+    """The forest with the pairs of one group within ``radius`` bits added.
 
     All rows are compared at once with the row s further on, for s = 1, 2, ...; rows of smaller groups, and of
     groups that are one tree by then, are dropped from the planes."""
-    forest = _Forest(np.arange(len(fps)))
     rows_left, s = np.arange(len(fps)), 0
     while True:
         g = group[rows_left]
@@ -188,7 +207,7 @@ def trees_within(fps: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
             mixed = odd[last + 1] - odd[head] > 0
         stay = (size > s + 1) & mixed
         if not stay.any():
-            return forest.root
+            return forest
         if not stay.all():
             rows_left = rows_left[stay]
             continue
@@ -207,9 +226,9 @@ def trees_within(fps: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
                 forest.add(rows_left[i], rows_left[i + s])
 
 
-def links_between(a: np.ndarray, b: np.ndarray, label_a: np.ndarray, label_b: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links that span all pairs of a row of a and a row of b within ``radius`` bits; each row of a goes over b's planes."""
-    forest = _Forest(np.concatenate([label_a, label_b]))
+def links_between(a: np.ndarray, b: np.ndarray, label_a: np.ndarray, label_b: np.ndarray, radius: int, kind: type[_Forest] = _Forest) -> list[tuple[int, int]]:
+    """Links that span all pairs of a row of a and a row of b within ``radius`` bits, or all pairs; each row of a goes over b's planes."""
+    forest = kind(np.concatenate([label_a, label_b]))
     p, n = _Planes(b), len(b)
     full = (1 << n) - 1
     for i, bits in enumerate(np.unpackbits(a, axis=1)):
@@ -236,14 +255,8 @@ def _link_batch(ids: np.ndarray, other: np.ndarray, links: list[tuple[int, int]]
     return pa.RecordBatch.from_arrays([pa.array(ids[at[:, 0]]), pa.array(other[at[:, 1]])], schema=_LINK)
 
 
-def near_components(prints: DataFrame, radius: int, tables: list[list[int]]) -> DataFrame:
-    """doc_id, fp, component_id for rows (doc_id, fp): fingerprints within ``radius`` bits that meet in a key table are linked.
-
-    Equal fingerprints are one vertex, named by its least doc_id, so that copies are never compared. A bucket is the vertices of
-    equal key in a table, and one shuffle brings it together. Buckets beyond BLOCK rows, few by their size, are dealt to blocks: links within blocks come first, then, after components, pairs of blocks
-    whose rows aren't all connected yet. With all_parts no pair within the radius is missed."""
-    prints = written(prints)
-    vertices = written(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
+def _buckets(vertices: DataFrame, tables: list[list[int]]) -> tuple[DataFrame, DataFrame]:
+    """Vertices (rep, fp) with part, key and block once for every key table, and the buckets of more than BLOCK rows."""
     schema = pa.schema([("part", pa.int32()), ("key", pa.int64()), ("rep", pa.int64()), ("fp", pa.binary())])
     weights = [np.array([1 << i for i in range(len(t))], np.int64) for t in tables]
 
@@ -258,6 +271,18 @@ def near_components(prints: DataFrame, radius: int, tables: list[list[int]]) ->
     large = written(keyed.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK))
     block = F.coalesce(F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)), F.lit(0)).cast("int")
     shared = keyed.join(large, ["part", "key"], "left").withColumn("block", block)
+    return shared, large
+
+
+def near_components(prints: DataFrame, radius: int, tables: list[list[int]]) -> DataFrame:
+    """doc_id, fp, component_id for rows (doc_id, fp): fingerprints within ``radius`` bits that meet in a key table are linked.
+
+    Equal fingerprints are one vertex, named by its least doc_id, so that copies are never compared. A bucket is the vertices of
+    equal key in a table, and one shuffle brings it together. Buckets beyond BLOCK rows, few by their size, are dealt to blocks: links within blocks come first, then, after components, pairs of blocks
+    whose rows aren't all connected yet. With all_parts no pair within the radius is missed."""
+    prints = written(prints)
+    vertices = written(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    shared, large = _buckets(vertices, tables)
     links = written(_fewer(written(_first_links(shared, radius))))
     if not large.isEmpty():
         labels = components(links)
@@ -308,7 +333,34 @@ def _first_links(shared: DataFrame, radius: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _cross_links(rest: DataFrame, radius: int) -> DataFrame:
+def _real_links(shared: DataFrame, radius: int, kind: type[_Forest]) -> DataFrame:
+    """Pairs within blocks as they were compared: those that span the trees of rows of different labels, or all of different labels."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_rows: list[tuple] = []
+        group: list[int] = []
+        last, n = None, 0
+
+        def compare() -> pa.RecordBatch:
+            reps = np.array([x[0] for x in held_rows], np.int64)
+            forest = kind(np.array([x[2] for x in held_rows], np.int64))
+            return _link_batch(reps, reps, _linked(forest, _matrix([x[1] for x in held_rows]), np.array(group), radius).links)
+
+        for part, key, block, *row in rows(batches, "part", "key", "block", "rep", "fp", "label"):
+            if (part, key, block) != last:
+                last, n = (part, key, block), n + 1
+                if len(held_rows) > 8 * BLOCK:
+                    yield compare()
+                    held_rows, group = [], []
+            group.append(n)
+            held_rows.append(row)
+        if held_rows:
+            yield compare()
+
+    dealt = shared.select("part", "key", "block", "rep", "fp", "label").repartition("part", "key", "block").sortWithinPartitions("part", "key", "block", "rep")
+    return dealt.mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+
+
+def _cross_links(rest: DataFrame, radius: int, kind: type[_Forest] = _Forest) -> DataFrame:
     """Links between different blocks of a bucket. A block is one row with its fingerprints; pairs of blocks in one component are left out."""
     cols = ["part", "key", "block"]
     blocks = rest.groupBy(*cols).agg(F.collect_list(F.struct("rep", "fp", "label")).alias("rows"), F.min("label").alias("least"), F.max("label").alias("most"))
@@ -320,7 +372,7 @@ def _cross_links(rest: DataFrame, radius: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ra, fa, la, rb, fb, lb in rows(batches, "a_reps", "a_fps", "a_labels", "b_reps", "b_fps", "b_labels"):
-            yield _link_batch(np.array(ra), np.array(rb), links_between(_matrix(fa), _matrix(fb), np.array(la), np.array(lb), radius))
+            yield _link_batch(np.array(ra), np.array(rb), links_between(_matrix(fa), _matrix(fb), np.array(la), np.array(lb), radius, kind))
 
     return pairs.repartition(2 * int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(run, "a long, b long").distinct()
 
@@ -337,14 +389,72 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col:
 
 
 #: For shingle sets of Jaccard J, SimHash bits differ with probability acos(2J / (1 + J)) / pi: 0.152 at J = 0.8.
-SIMILAR_BITS, SIMILAR_WIDTH, SIMILAR_TABLES = 256, 18, 64
+SIMILAR_BITS, SIMILAR_WIDTH, SIMILAR_TABLES, SIMILAR_RADIUS = 256, 18, 64, 56
+
+
+def shingle_set(text: str | None, shingle: int = 5) -> frozenset[bytes]:
+    """The distinct shingles of a text, as simhash has them; none of a text without words."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    return frozenset(b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))) if words else frozenset()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a similarity of 0.8 or more. texts is (rep, text); an id with several texts is similar by any of them."""
+    needed = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    some = written(texts.join(needed, "rep", "left_semi").distinct())
+    both = pairs.join(some.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a").join(some.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for a, b, x, y in rows(iter([batch]), "a", "b", "text_a", "text_b"):
+                one, other = shingle_set(x, shingle), shingle_set(y, shingle)
+                if 9 * len(one & other) >= 4 * (len(one) + len(other)):  # common / (one + other - common) >= 4 / 5
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], schema=_LINK)
+
+    return written(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct())
+
+
+def _candidates(vertices: DataFrame, tables: list[list[int]], radius: int, labels: DataFrame | None) -> DataFrame:
+    """Pairs (a, b) of vertices (rep, fp) within ``radius`` bits that meet in a key table: some that connect all such pairs, or, given labels (id, component), all pairs of different labels."""
+    shared, large = _buckets(vertices, tables)
+    kind = _Forest if labels is None else _Pairs
+
+    def labelled(df: DataFrame, of: DataFrame | None) -> DataFrame:
+        if of is None:
+            return df.withColumn("label", F.col("rep"))
+        return df.join(of.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
+
+    links = written(_real_links(labelled(shared, labels), radius, kind))
+    if not large.isEmpty():
+        rest = labelled(shared.where("n is not null"), components(links) if labels is None else labels)
+        cross = _cross_links(rest, radius, kind).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        links = written(links.union(cross).where("a < b").distinct())
+    return links
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and component_id of documents whose five-word shingles have a similarity of 0.8 or more, by a wider SimHash.
+    """doc_id and component_id of documents whose five-word shingle sets have a similarity of 0.8 or more. A wider SimHash finds candidates, each is checked.
 
-    Bits are 256, so that a similarity of 0.8 is 39 differing bits, with a standard deviation of 6. The radius is 48. SIMILAR_TABLES random key tables
-    of SIMILAR_WIDTH bits find a pair of similarity 0.8 with probability 0.96, 0.9 with 0.99993, and nothing is dropped afterwards.
+    Bits are 256, so that a similarity of 0.8 is 39 differing bits, with a standard deviation of 6. The radius is 56. SIMILAR_TABLES random key tables
+    of SIMILAR_WIDTH bits find a pair of similarity 0.8 with probability 0.96, 0.9 with 0.99993.
+    Texts of the same words are one vertex. Candidates that connect all others are checked first. Where one of them fails, pairs of its group that
+    the remaining links leave apart are all checked, so that every candidate is either checked or between documents already linked.
     Nulls, wordless texts and repeats are as in near_duplicates."""
     tables = drawn_parts(SIMILAR_BITS, SIMILAR_WIDTH, SIMILAR_TABLES)
-    return near_components(fingerprints(docs, shingle, SIMILAR_BITS // 64, id_col, text_col), 48, tables).select("doc_id", "component_id")
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).where("rep is not null")
+    prints = written(fingerprints(docs, shingle, SIMILAR_BITS // 64, id_col, text_col, hashed=True))
+    vertices = written(prints.where("doc_id is not null").groupBy("words_hash", "fp").agg(F.min("doc_id").alias("rep")))
+    first = _candidates(vertices, tables, SIMILAR_RADIUS, None)
+    links = _verified(first, texts, shingle)
+    labels = components(links)
+    groups = components(first).withColumnRenamed("component", "loose").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    torn = groups.groupBy("loose").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
+    unsure = written(vertices.join(groups.join(torn, "loose", "left_semi").select(F.col("id").alias("rep")), "rep", "left_semi"))
+    if not unsure.isEmpty():
+        more = _candidates(unsure, tables, SIMILAR_RADIUS, labels).join(first, ["a", "b"], "left_anti")
+        labels = components(links.union(_verified(written(more), texts, shingle)))
+    named = vertices.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("words_hash", F.coalesce("component", "rep").alias("component_id"))
+    found = prints.join(named, "words_hash", "left")
+    return found.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

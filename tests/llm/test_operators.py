@@ -130,6 +130,23 @@ def test_similar_documents(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 1}
 
 
+def test_similar_documents_are_verified(spark):
+    """Pairs of similarity 0.74 to 0.85 around long texts: 0.8 decides, not the radius."""
+    rows, n = [], 300
+    for k in range(40):
+        words = [f"k{k}w{i}" for i in range(n)]
+        changed = 4 + k % 8
+        for i in range(changed):
+            words[10 + i * 20] = f"x{k}y{i}"
+        rows += [(2 * k, " ".join(f"k{k}w{i}" for i in range(n))), (2 * k + 1, " ".join(words))]
+    rows += [(1000 + i, "a short text") for i in range(2)] + [(1002, "A  short text"), (1003, "a short")]
+    sets = {i: simhash.shingle_set(t) for i, t in rows}
+    want = brute_components(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] in (i, want[i]) for i in got)
+    assert sum(got[i] != want[i] for i in got) <= 1  # the tables miss a pair of 0.8 with probability 0.04
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (7, 7), (None, 3)]
     got = {r.id: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
