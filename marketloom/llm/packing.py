@@ -16,8 +16,8 @@ from .tokens import word_encoder
 
 #: What a cut costs, in units of one padded token.
 SENTENCE_CUT, INNER_CUT, PER_WINDOW = 6, 40, 2
-#: Of sentence ends, one in so many ids may be a cut; where there are none, every so many ids may.
-SENTENCE_EVERY, INNER_EVERY = 12, 96
+#: Besides every sentence end, every so many ids may be a cut.
+INNER_EVERY = 64
 _OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -63,12 +63,11 @@ def best_cuts(places: np.ndarray, penalty: np.ndarray, window: int) -> list[int]
 
 
 def cut_places(ids: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where a stream of ids may be cut, and the penalty there: none at a document's end, little at a sentence's."""
+    """Where a stream of ids may be cut, and the penalty there: none at a document's end, little at every sentence's."""
     total = len(ids)
     penalty = np.full(total + 1, -1, np.int64)
     penalty[np.arange(0, total, min(INNER_EVERY, window))] = INNER_CUT
-    ends = np.flatnonzero(ends_sentence.take(ids, mode="clip")) + 1
-    penalty[ends[np.unique(ends // SENTENCE_EVERY, return_index=True)[1]]] = SENTENCE_CUT
+    penalty[np.flatnonzero(ends_sentence.take(ids, mode="clip")) + 1] = SENTENCE_CUT
     penalty[doc_ends] = 0
     penalty[[0, total]] = 0
     places = np.flatnonzero(penalty >= 0)

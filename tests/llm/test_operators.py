@@ -229,6 +229,16 @@ def test_best_cuts(steps):
     assert price(packing.best_cuts(places, penalty, window)) == min(p for p in prices if p is not None)
 
 
+def test_every_sentence_end_is_a_place():
+    ids = np.array([5, 9, 5, 9, 9, 5, 5, 9, 5, 1] * 30)
+    ends = np.zeros(10, bool)
+    ends[9] = True
+    doc_ends = np.arange(10, 301, 10)
+    places, penalty = packing.cut_places(ids, doc_ends, ends, 2048)
+    at = dict(zip(places.tolist(), penalty.tolist()))
+    assert all(at[i + 1] == packing.SENTENCE_CUT for i in np.flatnonzero(ids == 9).tolist()) and all(at[i] == 0 for i in doc_ends.tolist())
+
+
 def test_html(spark):
     page = """<html><head><title>T</title><style>p{}</style></head><body><header>Site</header><nav><ul><li><a href=/>Home</a></li></ul></nav><div class="cookie-notice">We use cookies on this site for you and for us.</div>
     <article><h1>Head &amp; more</h1><p>The first paragraph of the story is here, and it goes on for a while so that it is long enough.<p>Short.<br>One</p><div class="ad">Buy the new thing now</div><script>var a = "<p>x</p>"</script><!-- gone -->
