@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm import language, mixing, packing, quality, simhash, toxicity
@@ -34,10 +34,20 @@ def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return known.union(docs.select(*COLUMNS).where("doc_id is null"))
 
 
+def _row() -> Column:
+    """One value for rows alike in id, language, source and text, and no others."""
+    marked = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-"))
+    return F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), marked("lang"), marked("source"), marked("text")), 256)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a document stands in it once for every whole epoch, and once more with its first words where the last epoch is cut inside it."""
-    taken = mixing.mix(docs).groupBy("doc_id").agg(F.max("size").alias("size"), F.max("taken").alias("taken")).where("taken > 0")
-    rows = docs.select(*COLUMNS).join(taken.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")))
+    """The mix: a document stands in it once for every whole epoch, and once more with its first words where the last epoch is cut inside it.
+
+    What is taken belongs to its row, also where ids are null or repeated; rows alike in all columns share theirs out by number."""
+    docs = docs.select(*COLUMNS, _row().alias("row"))
+    taken = mixing.mix(docs, keep=("row",)).where("taken > 0").groupBy("row").agg(F.max("size").alias("size"), F.sort_array(F.collect_list("taken"), False).alias("all_taken"))
+    numbered = docs.withColumn("number", F.row_number().over(Window.partitionBy("row").orderBy("row")))
+    rows = numbered.join(taken, "row").withColumn("taken", F.get("all_taken", F.col("number") - 1)).where("taken is not null")
     copies = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)))
     copies = copies.withColumn("left", F.least("size", F.col("taken") - F.col("copy") * F.col("size")).cast("int"))
     words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))

@@ -36,32 +36,32 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     return leveled.withColumn("at", F.max("level").over(every)).select("source", "source_size", F.least("stop", F.col("at") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size (words), source_size, target (the source's) and taken (words the mix takes, repeats counted), and source.
+def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size (words), source_size, target (the source's) and taken (words the mix takes, repeats counted), source, and the columns ``keep`` of each row.
 
-    Every document has a hash-random key. Within its source the keys are sorted in ranges; sums over ranges, then over the
+    Every document has a hash-random key, of its id or, where that is null, of its text. Within its source the keys are sorted in ranges; sums over ranges, then over the
     rows of a range, give each document the words before it. A target of e whole epochs and a rest takes every document
     e times and cuts the last epoch at the exact word. Sums are over (source, range), so a source with a third of all rows is as
     many sorts as RANGES. Null texts and texts without words have size 0 and give 0. A null source is a source. Repeated rows count each
     by itself; among rows alike it is open which one is cut, which gives the same rows. An empty table gives no rows.
     The result depends on seed and rows only, not on how they are partitioned."""
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), key.alias("key"))
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.md5(F.col(text_col))), F.lit(""))))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), key.alias("key"), *keep)
     sized = written(sized.withColumn("range", F.substring("key", 1, 3)))
     ranges = sized.groupBy("source", "range").agg(F.sum("size").alias("in_range"))
     goals = targets(ranges.groupBy("source").agg(F.sum("in_range").alias("source_size")), weights, most)
     earlier = F.sum("in_range").over(Window.partitionBy("source").orderBy("range")) - F.col("in_range")
     ranges = ranges.select("source", "range", earlier.alias("earlier"))
-    within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, 0)
     placed = sized.withColumn("in_order", F.sum("size").over(within) - F.col("size"))
     same = placed["source"].eqNullSafe(ranges["source"]) & (placed["range"] == ranges["range"])
-    placed = placed.join(ranges, same).select("doc_id", placed["source"], "size", (F.col("earlier") + F.col("in_order")).alias("before"))
-    joined = placed.join(goals, placed["source"].eqNullSafe(goals["source"])).select("doc_id", placed["source"], "size", "source_size", "target", "before")
+    placed = placed.join(ranges, same).select("doc_id", placed["source"], "size", *keep, (F.col("earlier") + F.col("in_order")).alias("before"))
+    joined = placed.join(goals, placed["source"].eqNullSafe(goals["source"])).select("doc_id", placed["source"], "size", "source_size", "target", "before", *keep)
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     rest = budget - epochs * F.col("source_size")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
-    return joined.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return joined.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *keep)
 
 
 ORACLE = """

@@ -375,6 +375,21 @@ def test_pipeline_stages(spark, odd):
     assert mixed.join(mixing.mix(docs), "doc_id").where("n <> taken").count() == 0
 
 
+def test_mixed_rows_without_ids(spark):
+    import corpus_pipeline as P
+
+    of = lambda n, w: " ".join(f"{w}{i}" for i in range(n))
+    rows = [(None, of(5 + 7 * k, f"{s}{k}x"), "en", s) for s in "abc" for k in range(6)] + [(None, of(9, "same"), "en", "a")] * 3 + [(1, of(30, "y"), "en", "b"), (1, of(4, "z"), "en", "c"), (2, None, None, None)]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.source: r.n for r in P.mixed(spark, docs, SF).groupBy("source").agg(F.sum(mixing.words(F.col("text"))).alias("n")).collect()}
+    want = {r.source: int(r.target) for r in mixing.mix(docs).select("source", "target").distinct().collect() if r.target > 0}
+    assert got == want
+    first = {r.text.split(" ")[0] for r in P.mixed(spark, docs, SF).collect()}
+    assert first <= {r[1].split(" ")[0] for r in rows if r[1]}
+    spread = mixing.mix(docs.where("doc_id is null and source = 'b'")).collect()
+    assert sum(r.taken for r in spread) == int(spread[0].target)
+
+
 def test_entry_without_this_folder(spark):
     import __spark_entry__
 
