@@ -39,10 +39,11 @@ def absent(stored: DataFrame, incoming: DataFrame, key: tuple[str, ...]) -> Data
 def match_news(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """incoming with match_id: the stored item of equal url or of equal (dedup_key, source_name), the least id if there are several, null if none.
 
-    The OR is a union of two equi-joins. Empty urls match each other, as any other text does."""
+    The OR is a union of two equi-joins. Stored items are brought down to the least id of each url and of each key before,
+    so that an incoming item meets at most one row a join, however many share its url or key. Empty urls match each other, as any other text does."""
     s = stored.select(F.col("id").alias("match_id"), "url", "dedup_key", "source_name")
-    by_url = incoming.select("seq", "url").join(s.select("match_id", "url"), "url").select("seq", "match_id")
-    by_key = incoming.select("seq", "dedup_key", "source_name").join(s.select("match_id", "dedup_key", "source_name"), ["dedup_key", "source_name"]).select("seq", "match_id")
+    by_url = incoming.select("seq", "url").join(s.groupBy("url").agg(F.min("match_id").alias("match_id")), "url").select("seq", "match_id")
+    by_key = incoming.select("seq", "dedup_key", "source_name").join(s.groupBy("dedup_key", "source_name").agg(F.min("match_id").alias("match_id")), ["dedup_key", "source_name"]).select("seq", "match_id")
     best = by_url.unionByName(by_key).groupBy("seq").agg(F.min("match_id").alias("match_id"))
     return incoming.join(best, "seq", "left")
 

@@ -76,6 +76,19 @@ def test_news_upsert(spark):
     assert got == {"by key": ("update", "s"), "new": ("insert", "s"), "also new": ("insert", "s")}
 
 
+def test_match_against_a_whole_stored_side(spark):
+    """1,000 stored items on few urls and keys: the least match, and each side of the OR joined with one row a url or key."""
+    of = lambda ids: [(i, f"u{i % 3}" if i % 2 else f"v{i}", f"k{i % 5}", "s" if i % 4 else "r") for i in ids]
+    stored, incoming = of(range(1000)), of(range(1000, 1400))
+    a = spark.createDataFrame(stored, "id long, url string, dedup_key string, source_name string")
+    b = spark.createDataFrame(incoming, "seq long, url string, dedup_key string, source_name string")
+    found = U.match_news(a, b)
+    want = {r[0]: min((s[0] for s in stored if s[1] == r[1] or s[2:] == r[2:]), default=None) for r in incoming}
+    assert {r.seq: r.match_id for r in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [url" in plan and "Aggregate [dedup_key" in plan
+
+
 def test_thesis_confidence(spark):
     c = one(spark, c=H.confidence(F.lit(72.6), F.lit(78.5), F.lit(2), F.lit("bull_trend"))).c
     assert (c.label, c.score) == ("medium", 62.37)
