@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from .common import batched, rows
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(/?)>|</?[a-zA-Z][^<>]*$|<(?=/?[a-zA-Z])[^>]*>?", re.S)
-MARKERS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+MARKERS = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+MAY_HIDE = re.compile(r"hidden|display", re.I)
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 LETTERS = re.compile(r"[^\W\d_]+")
 SPACE = re.compile(r"\s+")
 
@@ -29,12 +31,37 @@ BLOCK = frozenset(
 BOILER = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer masthead menu modal nav navbar navigation newsletter notice alert pager pagination popup promo promoted promotion recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored sponsors subscribe toolbar widget widgets complementary contentinfo disclaimer paywall login discussion".split()
 )
+#: Words before them that only say where a part of the page stands.
+PLACES = frozenset("site page main post entry article global top bottom left right".split())
 #: The commonest function words of widely written languages.
 STOP = frozenset(
     "the of and to in a is that it for was on are as with be by this from at have or an they which not he we but you der die das und den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei noch wie einem le la les et des en un une du que est pour qui dans au sur pas par plus avec ne ce se son il sont aux el los las de y que una por con para del se no su al lo como más o pero di che è il della per non i una sono da os um do na não com uma het van een dat op te zijn".split()
 )
 
 
+def hidden(attributes: str) -> bool:
+    """Whether the attributes hide an element: by name (hidden, aria-hidden) or by style, not by words in other values."""
+    if not MAY_HIDE.search(attributes):
+        return False
+    for x in ATTRIBUTE.finditer(attributes):
+        name, value = x[1].lower(), (x[2] or x[3] or x[4] or "").strip().lower()
+        if name == "hidden" and value != "false" or name == "aria-hidden" and value == "true" or name == "style" and NO_DISPLAY.search(value):
+            return True
+    return False
+
+
+def marked(attributes: str) -> set[str]:
+    """What class, id and role call an element: of every token the leading word, behind words of PLACES. has-sidebar is no sidebar."""
+    out = set()
+    for x in MARKERS.finditer(attributes):
+        for token in (x[1] or x[2] or x[3] or "").lower().split():
+            words = [w for w in re.split(r"[^a-z]+", token) if w]
+            while len(words) > 1 and words[0] in PLACES:
+                del words[0]
+            out.update(words[:1])
+    return out
+
+
 class Block:
     __slots__ = ("text", "linked", "links", "apart", "inside", "item", "good")
 
@@ -107,8 +134,11 @@ def blocks(page: str) -> list[Block]:
         if name == "li" and stack and stack[-1][0] == "li":
             pop(len(stack) - 1)
         attributes = m[2] or ""
-        marks = {w for x in MARKERS.finditer(attributes) for w in re.split(r"[^a-z]+", (x[1] or x[2] or x[3] or "").lower())} if "=" in attributes else set()
-        boiler = bool(marks & BOILER) or bool(attributes and HIDDEN.search(attributes))
+        marks = marked(attributes) if "=" in attributes else set()
+        boiler = bool(marks & BOILER)
+        if name in ("article", "main") and not apart:  # a name alone doesn't discard an article; within comments or the like it does
+            boiler = False
+        boiler |= hidden(attributes)
         is_main = name in ("article", "main") and not boiler
         if is_main and not main and apart and not any(x[0] in ("aside", "form") or x[1] and x[0] == "section" for x in stack):
             while apart:  # an unclosed menu or advert before the article
@@ -116,7 +146,7 @@ def blocks(page: str) -> list[Block]:
         if name == "a":
             links += 1
             anchors += 1
-        boiler |= name in APART or name == "header" and not main or "header" in marks and not main
+        boiler |= name in APART or name == "header" and not main or "header" in marks and not main and not is_main
         stack.append((name, boiler and name not in ("body", "html"), is_main))
         apart += stack[-1][1]
         main += is_main

@@ -250,6 +250,17 @@ def test_html(spark):
     assert sorted(r.n_chars for r in html_text.extract(df).collect())[0] == 0 and html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_names_that_only_look_like_boilerplate():
+    text = "The first paragraph of the story is here, and it goes on for a while so that it is long enough."
+    for article in ("<article class='post has-sidebar'>", '<article class="no-comments">', '<main id="social-policy">', '<article class="comment">', '<article title="The hidden valley">'):
+        assert html_text.main_text(f"<body><nav>Home</nav>{article}<p>{text}</p></body>") == text
+    for part in ('class="overflow-hidden"', 'title="The hidden valley"', 'hidden="false"', 'aria-hidden="false"', 'class="has-sidebar no-comments"', 'data-hidden="1"', 'title="display: none"'):
+        assert html_text.main_text(f"<article><div {part}><p {part}>{text}</p></div></article>") == text
+    for part in ("hidden", 'class="a" hidden', 'aria-hidden="true"', 'style="color: red; display : none"', 'class="site-footer"', 'id="comments"', 'class="cookie-notice x"'):
+        assert html_text.main_text(f"<article><p>{text}</p><div {part}><p>{text} Again.</p></div></article>") == text
+    assert html_text.main_text(f'<article><p>{text}</p></article><div id="comments"><article class="comment"><p>{text} Me too.</p></article></div>') == text
+
+
 def test_language(spark, odd):
     rows = queries.op6_language(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null")
     assert rows.where("lang = lang_pred").count() >= 0.98 * rows.count()
