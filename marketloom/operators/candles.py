@@ -27,10 +27,10 @@ def with_dimensions(candles: DataFrame, assets: DataFrame, providers: DataFrame)
     return candles.join(assets, "asset_id").join(providers, "provider_id")
 
 
-def series_frame(candles: DataFrame, limit: int = 2000) -> DataFrame:
-    """What indicators read: the latest candles with doubles, missing volume as 0, and t numbering a series from 1."""
+def series_frame(candles: DataFrame, limit: int | None = None) -> DataFrame:
+    """What indicators read: all candles, or the latest ``limit``, with doubles, missing volume as 0, and t numbering a series from 1."""
     order = Window.partitionBy("symbol", "timeframe").orderBy("open_time", *(["provider_code"] if "provider_code" in candles.columns else []))
-    typed = latest_n(candles, limit).withColumns({c: F.col(c).cast("double") for c in ("open", "high", "low", "close")} | {"volume": F.coalesce(F.col("volume").cast("double"), F.lit(0.0))})
+    typed = (candles if limit is None else latest_n(candles, limit)).withColumns({c: F.col(c).cast("double") for c in ("open", "high", "low", "close")} | {"volume": F.coalesce(F.col("volume").cast("double"), F.lit(0.0))})
     return typed.withColumn("t", F.row_number().over(order))
 
 

@@ -2,10 +2,12 @@
 
 import datetime as dt
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from marketloom.functions.ewm import span, with_ew
 from marketloom.operators import candles as C
 from marketloom.operators import indicators as I
 from marketloom.operators import levels as L
@@ -67,6 +69,23 @@ def test_gaps_in_a_mean(spark):
     pd.testing.assert_series_equal(got, pd.Series(x).ewm(alpha=0.3, adjust=False, min_periods=2).mean(), check_names=False, rtol=1e-12)
 
 
+def test_long_series(spark):
+    """Every row of a series of 7,000, with values over all its history, and a gap longer than a segment in a mean."""
+    rng = np.random.default_rng(3)
+    df = pd.DataFrame(series((100 + rng.normal(0, 1, 7000).cumsum() / 20).tolist()), columns=[c.split()[0] for c in SCHEMA.split(", ")])
+    rows = I.macd(I.emas(C.series_frame(spark.createDataFrame(df, SCHEMA)))).orderBy("t").toPandas()
+    ema = lambda s, n: s.ewm(span=n, adjust=False).mean()
+    line = ema(df.close, 12) - ema(df.close, 26)
+    assert len(rows) == 7000
+    for got, want in [(f"ema_{n}", ema(df.close, n)) for n in (20, 50, 200)] + [("macd_line", line), ("macd_signal", ema(line, 9))]:
+        assert np.allclose(rows[got], want, rtol=1e-9, atol=1e-9), got
+    x = df.close.where((df.index < 100) | (df.index > 5500) & (df.index % 3 != 0))
+    gaps = spark.createDataFrame([("A", "1h", i + 1, None if pd.isna(v) else float(v)) for i, v in enumerate(x)], "symbol string, timeframe string, t long, x double")
+    got = with_ew(gaps, {"m": ("x", span(9), 1), "w": ("x", span(200), 14)}).orderBy("t").toPandas()
+    assert np.allclose(got.m, ema(x, 9), rtol=1e-9)
+    assert np.allclose(got.w, x.ewm(span=200, adjust=False, min_periods=14).mean(), rtol=1e-9, equal_nan=True)
+
+
 def test_trend(spark, frame):
     row = A.analyze(frame).where("symbol = 'B'").first()
     assert row.regime.label == "bull_trend" and row.regime.confidence >= 0.55
