@@ -1,10 +1,15 @@
-"""Main text of HTML pages by two passes of rules over blocks."""
+"""Main text of HTML pages by two passes of rules over blocks.
+
+The first pass scores every block by itself: its length, the density of stop words, the density of links, and, as further
+features, what its elements and their names say about the part of the page. High scores are text, low ones are not.
+The second pass gives the blocks between, mostly short ones, the label of their nearest decided neighbour."""
 
 from __future__ import annotations
 
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +32,7 @@ APART = frozenset("nav aside footer form button menu dialog head".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul caption".split()
 )
+MAIN, WALLS, HOLDS, BREAKS = frozenset(("article", "main")), frozenset(("article", "main", "body")), frozenset(("aside", "form")), frozenset(("br", "td", "th"))
 #: Words in class, id or role that mark a part as no article text.
 BOILER = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer masthead menu modal nav navbar navigation newsletter notice alert pager pagination popup promo promoted promotion recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored sponsors subscribe toolbar widget widgets complementary contentinfo disclaimer paywall login discussion".split()
@@ -62,53 +68,66 @@ def marked(attributes: str) -> set[str]:
     return out
 
 
+#: What the features of a block add to its score. At GOOD or more it is text, at BAD or less it is not.
+LONG, MEDIUM, SHORT = 1.0, 0.5, 0.0  # from 200 characters, from 70, below
+MANY_STOP, SOME_STOP, NO_STOP = 1.0, 0.5, -0.5  # a share of stop words from 0.2, from 0.1, below 0.05; not for short blocks
+MOSTLY_LINK, HALF_LINK, LINK_ITEM, RIGHTS = -1.5, -0.5, -1.0, -1.5
+IN_ARTICLE, BESIDE_ARTICLE, IN_PART = 1.0, -3.0, -4.0
+GOOD, BAD = 1.5, -1.0
+
+
+@dataclass(slots=True)
 class Block:
-    __slots__ = ("text", "linked", "links", "apart", "inside", "item", "good")
+    """A block's text and features: characters in links, whether it is an item of a list, in a part such as a menu or advert, in an article."""
 
-    def __init__(self, text: str, linked: int, links: int, apart: bool, inside: bool, item: bool):
-        self.text, self.linked, self.links, self.apart, self.inside, self.item, self.good = text, linked, links, apart, inside, item, None
+    text: str
+    linked: int
+    item: bool
+    part: bool
+    article: bool
 
 
 def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order, with what their elements say about them. Broken markup is no error."""
+    """The text blocks of a page in order. Broken markup is no error; time is linear in the page's length, however deep its elements are."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, apart, main
+    stack: list[tuple[str, bool, bool]] = []  # element, part, article
+    places: dict[str, list[int]] = {}  # where the open elements of a name stand in the stack
+    walls = [-1]  # open articles and bodies, which end tags of inner elements don't close
     parts: list[str] = []
-    linked = links = anchors = 0
-    apart = main = 0
-    at, raw = 0, ""
+    linked = in_part = in_article = held = 0  # held: open elements that an article doesn't break out of
+    at = 0
 
     def close() -> None:
-        nonlocal parts, linked, links
+        nonlocal parts, linked
         if parts and (text := SPACE.sub(" ", "".join(parts)).strip()):
-            out.append(Block(text, linked, links, apart > 0, main > 0, any(x[0] == "li" for x in stack[-3:])))
-        parts, linked, links = [], 0, 0
+            out.append(Block(text, linked, any(x[0] == "li" for x in stack[-3:]), in_part > 0, in_article > 0))
+        parts, linked = [], 0
 
     def pop(to: int) -> None:
-        nonlocal apart, main, anchors
+        nonlocal in_part, in_article, held
         while len(stack) > to:
-            name, a, m = stack.pop()
-            apart -= a
-            main -= m
-            anchors -= name == "a"
-
-    def say(text: str) -> None:
-        nonlocal linked
-        if text:
-            text = html.unescape(text)
-            parts.append(text)
-            if anchors:
-                linked += len(text.strip())
+            name, part, article = stack.pop()
+            places[name].pop()
+            in_part -= part
+            in_article -= article
+            held -= name in HOLDS or part and name == "section"
+            if walls[-1] >= len(stack):
+                walls.pop()
 
     for m in TOKEN.finditer(page):
-        if m.start() < at:
+        start = m.start()
+        if start < at:
             continue
-        say(page[at : m.start()])
+        if start > at:
+            text = html.unescape(page[at:start])
+            parts.append(text)
+            if places.get("a"):
+                linked += len(text.strip())
         at = m.end()
         name = (m[1] or "").lower()
         if not name:
             continue
-        end = m[0][1] == "/"
+        end = page[start + 1] == "/"
         if name in RAW:
             if not end and m[3] != "/":
                 stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
@@ -117,88 +136,92 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in BLOCK:
             close()
-        elif name in ("br", "td", "th"):
+        elif name in BREAKS:
             parts.append(" ")
+        known = places.get(name)
         if end:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    pop(k)
-                    break
-                if stack[k][0] in ("article", "main", "body") and name not in ("body", "html"):
-                    break
+            if known and (known[-1] >= walls[-1] or name == "body" or name == "html"):
+                pop(known[-1])
             continue
         if name in VOID or m[3] == "/":
             continue
-        if name in BLOCK and any(x[0] == "p" for x in stack[-6:]):  # a new block ends a paragraph
-            pop(max(k for k in range(len(stack)) if stack[k][0] == "p"))
-        if name == "li" and stack and stack[-1][0] == "li":
-            pop(len(stack) - 1)
+        if name in BLOCK and (p := places.get("p")) and p[-1] >= len(stack) - 6:  # a new block ends a paragraph
+            pop(p[-1])
+        if name == "li" and stack and stack[-1][0] == "li" or name == "a" and known and known[-1] > walls[-1]:
+            pop(known[-1])
         attributes = m[2] or ""
-        marks = marked(attributes) if "=" in attributes else set()
-        boiler = bool(marks & BOILER)
-        if name in ("article", "main") and not apart:  # a name alone doesn't discard an article; within comments or the like it does
-            boiler = False
-        boiler |= hidden(attributes)
-        is_main = name in ("article", "main") and not boiler
-        if is_main and not main and apart and not any(x[0] in ("aside", "form") or x[1] and x[0] == "section" for x in stack):
-            while apart:  # an unclosed menu or advert before the article
+        part = article = False
+        if attributes and ("=" in attributes or MAY_HIDE.search(attributes)):
+            marks = marked(attributes)
+            part = bool(marks & BOILER) and (name not in MAIN or in_part > 0)  # its name alone doesn't make an article a comment
+            part |= hidden(attributes) or "header" in marks and not in_article and name not in MAIN
+        article = name in MAIN and not part
+        if article and in_part and not in_article and not held:
+            while in_part:  # an unclosed menu or advert before the article
                 pop(len(stack) - 1)
-        if name == "a":
-            links += 1
-            anchors += 1
-        boiler |= name in APART or name == "header" and not main or "header" in marks and not main and not is_main
-        stack.append((name, boiler and name not in ("body", "html"), is_main))
-        apart += stack[-1][1]
-        main += is_main
-    say(page[at:])
+        part = (part or name in APART or name == "header" and not in_article) and name not in ("body", "html")
+        places.setdefault(name, []).append(len(stack))
+        if name in WALLS:
+            walls.append(len(stack))
+        stack.append((name, part, article))
+        in_part += part
+        in_article += article
+        held += name in HOLDS or part and name == "section"
+    if at < len(page):
+        parts.append(html.unescape(page[at:]))
     close()
     return out
 
 
-def decide(b: Block) -> bool | None:
-    """First pass, a block by itself: True text, False none, None ambiguous."""
-    if b.apart:
-        return False
-    density = b.linked / max(1, len(b.text))
-    if density > 0.5 and (b.item or b.links > 1):
-        return False
-    if density > 0.66 or "©" in b.text and len(b.text) < 200 and not b.inside:
-        return None if b.inside else False
-    words = LETTERS.findall(b.text.lower())
-    stop = sum(w in STOP for w in words) / max(1, len(words))
-    if len(b.text) >= 200:
-        return True if stop >= 0.1 or b.inside else None
-    if len(b.text) >= 70:
-        return True if stop >= 0.2 else None
-    return None
+def score(b: Block, beside: bool) -> float:
+    """The first pass: what a block's features add up to. beside: there is an article on the page and the block isn't in it."""
+    n = len(b.text)
+    s = LONG if n >= 200 else MEDIUM if n >= 70 else SHORT
+    if n >= 70:
+        words = LETTERS.findall(b.text.lower())
+        stop = sum(w in STOP for w in words) / max(1, len(words))
+        s += MANY_STOP if stop >= 0.2 else SOME_STOP if stop >= 0.1 else NO_STOP if stop < 0.05 else 0.0
+    density = b.linked / n
+    s += MOSTLY_LINK if density > 0.5 else HALF_LINK if density > 0.25 else 0.0
+    s += LINK_ITEM if b.item and density > 0.5 else 0.0
+    s += RIGHTS if "©" in b.text and n < 200 else 0.0
+    return s + (IN_PART if b.part else 0.0) + (IN_ARTICLE if b.article else BESIDE_ARTICLE if beside else 0.0)
 
 
-def main_text(page: str | None) -> str:
-    """The article's blocks joined by blank lines; empty if there are none.
+def decide(found: list[Block]) -> list[bool | None]:
+    """The first pass over a page: True text, False none, None not decided."""
+    some = any(b.article and not b.part for b in found)
+    return [True if s >= GOOD else False if s <= BAD else None for s in (score(b, some and not b.article) for b in found)]
+
+
+def inherit(found: list[Block], labels: list[bool | None]) -> list[bool]:
+    """The second pass: blocks that aren't decided take the label of the nearest decided block, those of an article among themselves.
 
-    Ambiguous blocks take the label of the nearest decided block, the blocks of an article among themselves. At equal distance, and
-    where nothing is decided, a block inside an article is text, and outside it is if no page part says otherwise."""
+    At equal distance of unlike labels, and where nothing is decided, they are text."""
+    out = list(labels)
+    for region in (True, False):
+        group = [k for k, b in enumerate(found) if b.article is region]
+        before: list[tuple[int, bool]] = [(-1, True)] * len(group)  # how far the last decided block is, and its label
+        last = None
+        for k, i in enumerate(group):
+            last = (k, labels[i]) if labels[i] is not None else last
+            before[k] = (k - last[0], last[1]) if last else (len(found) + 1, True)
+        last = None
+        for k in range(len(group) - 1, -1, -1):
+            i = group[k]
+            last = (k, labels[i]) if labels[i] is not None else last
+            if labels[i] is None:
+                after = (last[0] - k, last[1]) if last else (len(found) + 1, True)
+                out[i] = before[k][1] if before[k][0] < after[0] else after[1] if after[0] < before[k][0] else before[k][1] or after[1]
+    return out
+
+
+def main_text(page: str | None) -> str:
+    """The blocks that the two passes call text, joined by blank lines; empty if there are none."""
     if not page:
         return ""
     found = blocks(page)
-    inside = any(b.inside and not b.apart for b in found)
-    for b in found:
-        b.good = decide(b)
-        if inside and not b.inside:
-            b.good = False
-    for region in (True, False):
-        group = [b for b in found if b.inside is region and not b.apart]
-        known = [(k, b.good) for k, b in enumerate(group) if b.good is not None]
-        after = 0
-        for k, b in enumerate(group):
-            if b.good is None:
-                while after < len(known) and known[after][0] < k:
-                    after += 1
-                left = known[after - 1] if after else None
-                right = known[after] if after < len(known) else None
-                near_left, near_right = (k - left[0] if left else 1 << 60), (right[0] - k if right else 1 << 60)
-                b.good = True if near_left == near_right and (region or not known) else (left if near_left < near_right else right)[1] if known else True
-    return "\n\n".join(b.text for b in found if b.good)
+    return "\n\n".join(b.text for b, good in zip(found, inherit(found, decide(found))) if good)
 
 
 _OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
