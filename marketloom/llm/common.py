@@ -7,19 +7,28 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_local: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir. Only where that is unset, as in tests, a local one."""
+    """A new folder under spark.checkpoint.dir, which all executors share.
+
+    Where that is unset, a temporary folder serves if driver and executors are one machine, as in tests; on a cluster it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="marketloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not _local:
+            _local.append(tempfile.mkdtemp(prefix="marketloom-"))
+        root = _local[0]
     return f"{root.rstrip('/')}/marketloom-{uuid.uuid4().hex}"
 
 
@@ -31,6 +40,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_key(df: DataFrame) -> Column:
+    """16 bytes that are the same for rows alike in all columns, and for no others."""
+    marked = [F.coalesce(F.concat(F.length(df[c].cast("string")), F.lit(":"), df[c].cast("string")), F.lit("-")) for c in df.columns]
+    return F.unhex(F.md5(F.concat(*marked)))
+
+
 _held: dict = {}
 
 
@@ -61,6 +76,12 @@ def batched(items: Iterator[tuple], schema: pa.Schema, n: int = 2000) -> Iterato
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
 
+def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) in partitions of ascending id, nulls first, and rows of one id by a hash of their texts, so that no id, nor null, has to fit in one of them."""
+    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
+    return chosen.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie", "text").select("id", "text")
+
+
 def slabs(items: Iterator[tuple], text_at: int, chars: int = 2_000_000) -> Iterator[list[tuple]]:
     """Lists of consecutive rows with about so many characters of text, so that work goes in vectors but memory stays bounded."""
     held, size = [], 0

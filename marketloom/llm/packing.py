@@ -9,9 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import rows, slabs
+from .common import in_order, rows, slabs
 from .tokens import word_encoder
 
 #: What a cut costs, in units of one padded token.
@@ -81,7 +80,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2048, id_co
     over runs of about ``run_ids`` ids, so that memory is bounded by a run or the largest document, whichever is larger.
     Returns one row per piece: doc_id, start (its document's ids before it), length, ids_crc32, doc_tokens, sequence_id
     (rising with the order), offset in the sequence, and ids (little-endian uint32) if asked for.
-    Null texts count as empty and give the end id alone. Rows with a null id come first; repeated rows are packed
+    Null texts count as empty and give the end id alone. Rows with a null id come first, rows of one id follow by a hash of their texts; repeated rows are packed
     one by one. An empty table gives no rows. Other columns are ignored."""
 
     def run(encoder, part: int) -> callable:
@@ -127,6 +126,5 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2048, id_co
         if doc_ids:
             yield packed(doc_ids, np.concatenate(ids), np.concatenate(lengths))
 
-    ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
-    out = ordered.mapInArrow(partition, SCHEMA)
+    out = in_order(docs, id_col, text_col).mapInArrow(partition, SCHEMA)
     return out if with_ids else out.drop("ids")

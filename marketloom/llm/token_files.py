@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .codec import decode_block, encode_block
-from .common import rows, slabs
+from .common import in_order, rows, slabs
 from .tokens import word_encoder
 
 SCHEMA = "part int, block int, n_ids long, doc_ids array<bigint>, doc_lengths array<bigint>, payload binary"
@@ -26,7 +26,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
     A row of the files is one independently decodable block: whole documents of about ``block_ids`` ids, their
     doc ids and lengths, and the checksummed bytes. Files are in order of part, rows of block.
     Null texts count as empty and give the end id alone. Rows with a null id come first. Repeated ids stay,
-    ordered by text. An empty table gives files without rows. Other columns are ignored. A document
+    ordered by a hash of their texts. An empty table gives files without rows. Other columns are ignored. A document
     larger than ``block_ids`` has a block of its own."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,8 +54,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
         if doc_ids:
             yield batch()
 
-    ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
-    ordered.mapInArrow(encode, SCHEMA).write.option("compression", "none").parquet(path)
+    in_order(docs, id_col, text_col).mapInArrow(encode, SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:

@@ -13,7 +13,7 @@ from .common import held
 
 #: Marks that the tokenizer splits from the letters before them, and joins with each other.
 MARKS = ".,;:!?*$%&#|\"()"
-#: Characters that str.lower might treat unlike the library, as letters with combining marks; such texts stay as they are.
+#: Characters that str.lower might treat unlike the library, or that it takes apart into letters and marks; such texts and words go to it as they are.
 OTHER = re.compile("[\u0130\u0180-\U0010ffff]")
 
 
@@ -62,8 +62,9 @@ class WordEncoder:
     """ids of texts by a tokenizer that drops white space and never joins across it.
 
     The word_bpe files are so: their normaliser turns white space into a space, their splitting drops it.
-    A text is therefore the concatenation of its words' ids, and a word is looked up once it is known. A new word of letters with
+    A text is therefore the concatenation of its words' ids, and a word is looked up once it is known. A new word of letters that stay letters with
     marks behind them is split there, as the tokenizer does; the parts go to the library, those of letters alone many at once.
+    The library finds special strings before it lowers case, so a text with one, in whatever case, goes to it whole.
     ``keep`` bounds the number of words held; beyond it, the words are forgotten."""
 
     def __init__(self, path: str, keep: int = 700_000):
@@ -75,6 +76,9 @@ class WordEncoder:
         self.letters.normalizer = normalizers.Sequence([])
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.letters.model._resize_cache(0)
+        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)), re.I) if special else None
+        self.hint = special[0][:2] if special and all(x[:2] == special[0][:2] for x in special) else ""  # a faster look for what all begin with
         ids = self.library.get_vocab()
         self.ends_word = np.zeros(max(ids.values()) + 1, bool)
         self.ends_word[[i for t, i in ids.items() if t.endswith("</w>")]] = True
@@ -115,7 +119,7 @@ class WordEncoder:
         pieces = []
         for w in words:
             s = w.rstrip(MARKS)
-            if len(s) < len(w) and s.isalpha():
+            if len(s) < len(w) and s.isalpha() and not OTHER.search(s):
                 split += (s, w[len(s) :])
                 pieces.append(2)
             else:
@@ -133,6 +137,9 @@ class WordEncoder:
         """All ids (uint32) one after another, and the number of ids of each text; ``end`` is put behind each text."""
         if len(self.words.index) > self.keep:
             self.words, self.parts = _Rows(), _Rows()
+        odd = [k for k, t in enumerate(texts) if t and self.hint in t and self.special and self.special.search(t)]
+        if odd:
+            return self._with_whole(texts, odd, end)
         words = [(t if OTHER.search(t) else t.lower()).replace("\n", " ").split(" ") if t else [] for t in texts]
         n = np.fromiter(map(len, words), np.int64, len(words))
         at = np.fromiter(map(self.words.index.__getitem__, chain.from_iterable(words)), np.int64, int(n.sum()))
@@ -145,6 +152,15 @@ class WordEncoder:
             return ids, lengths
         return np.insert(ids, to, np.uint32(end)), lengths + 1
 
+    def _with_whole(self, texts: list[str | None], odd: list[int], end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """As encode, with the texts ``odd`` encoded by the library as they are."""
+        whole = set(odd)
+        ids, lengths = self.encode([None if k in whole else t for k, t in enumerate(texts)], end)
+        parts = np.split(ids, np.cumsum(lengths)[:-1])
+        for k, found in zip(odd, self._ids(self.library, [texts[k] for k in odd])):
+            parts[k] = np.array(found + ([] if end is None else [end]), np.uint32)
+        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+
 
 def word_encoder(path: str) -> WordEncoder:
     """One encoder for each Python worker."""
