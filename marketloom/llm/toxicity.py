@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from .common import batched, rows, written
 from .language import words_of
 
-#: What every other token costs, and the usual constant of the extreme-value law for the number of independent starts.
+#: What every other token costs, and the usual constant of the extreme-value law for the number of independent starts. Fitted to clean rows, the
+#: constant comes out a hundred times smaller, since hardly any of them has a scored token at all, and single words in clean texts then count as passages.
 DRIFT, STARTS = 0.05, 0.1
 
 
@@ -32,29 +33,27 @@ class Model:
 def segments(words: list[str], scores: dict[str, float]) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (begin, end, score) of a text in linear time, left to right.
 
-    A segment is kept with the sums before it and up to its end. A new one is joined to the last one with a lower
-    sum before it, if its end is higher; each is pushed and joined once."""
-    found: list[tuple[float, float, int, int]] = []  # sum before, sum after, begin, end
+    A segment is kept with the sums before it and up to its end, and where the nearest one with a lower sum before it stands.
+    A new one is joined to that one if its own end is higher, again and again; each is pushed once, and looked at along those pointers only."""
+    found: list[tuple[float, float, int, int, int]] = []  # sum before, sum after, begin, end, the nearest with a lower sum before
     at, total = 0, 0.0
     for k, w in enumerate(words):
         s = scores.get(w)
         if s is None:
             continue
         total -= DRIFT * (k - at)
-        before, total, at = total, total + s, k + 1
-        begin, left = k, before
+        left, total, at, begin = total, total + s, k + 1, k
+        j = len(found) - 1
         while True:
-            j = len(found) - 1
-            hidden = []
             while j >= 0 and found[j][0] >= left:
-                hidden.append(j)
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][1] >= total:
-                found.append((left, total, begin, k + 1))
+                found.append((left, total, begin, k + 1, j))
                 break
-            left, _, begin, _ = found[j]
+            left, _, begin, _, before = found[j]
             del found[j:]
-    return [(b, e, after - before) for before, after, b, e in found]
+            j = before
+    return [(b, e, after - before) for before, after, b, e, _ in found]
 
 
 def evidence(words: list[str], model: Model) -> tuple[float, list[tuple[int, int, float]]]:
@@ -71,13 +70,15 @@ def _probability(x: float, model: Model) -> float:
     return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 50_000, vocabulary: int = 20_000, least_z: float = 2.5, least_odds: float = 3.0, mass: float = 20.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 50_000, least_z: float = 4.5, least_odds: float = 2.0, mass: float = 20.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit token scores and the calibration on labelled rows.
 
     ``sample`` bounds the labelled documents used: of more, a hash of the id chooses about so many. They are broadcast, so no text is shuffled.
     Of labelled rows with equal texts one is counted, so that copies don't make their words look toxic. A token's score is the log-odds of
     toxic against clean documents having it, with a Dirichlet prior of ``mass`` documents in proportion to its overall frequency.
-    Tokens of ``least_odds`` or more that are ``least_z`` standard deviations above 0 are kept; ``vocabulary`` bounds them, the most certain first.
+    Tokens of ``least_odds`` or more are kept if their documents' labels differ from chance by ``least_z`` standard deviations (the root of the likelihood
+    ratio against the share of toxic documents). That counts the evidence alike for tokens that no clean text has; few pass by chance among a million tokens.
+    All of them are kept: the sample bounds their number. The decay is solved for from the clean rows' tokens and length.
     Labels that are null are left out; of several for one id the highest counts. Without labels of both kinds nothing is toxic."""
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
@@ -93,9 +94,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 50_000, vocabulary:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = (Counter(), Counter())
         for text, y in rows(batches, "text", "y"):
-            words = set(words_of(text))
-            totals[y > 0].update(words)
-            totals[y > 0][""] += 1  # documents
+            words = words_of(text)
+            totals[y > 0].update(set(words))
+            totals[y > 0][" "] += len(words)  # no word is a space
             if len(totals[0]) + len(totals[1]) > 400_000:
                 yield from batched(((w, totals[1][w], totals[0][w]) for w in totals[0].keys() | totals[1].keys()), schema, 20_000)
                 totals = (Counter(), Counter())
@@ -108,10 +109,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 50_000, vocabulary:
     share = (F.col("toxic") + F.col("clean")) / F.lit(n["toxic"] + n["clean"])
     yt, yc = F.col("toxic") + mass * share, F.col("clean") + mass * share
     odds = F.log(yt / (F.lit(n["toxic"] + mass) - yt + 1e-9)) - F.log(yc / (F.lit(n["clean"] + mass) - yc + 1e-9))
-    scored = sums.where("word <> '' and toxic > 1").select("word", "toxic", "clean", odds.alias("score"), (odds / F.sqrt(1 / yt + 1 / yc)).alias("z"))
-    best = scored.where((F.col("z") >= least_z) & (F.col("score") >= least_odds)).orderBy(F.desc("z"), "word").limit(vocabulary).collect()
-    model = Model({r["word"]: float(r["score"]) for r in best})
-    model.decay = _decay(model.scores, {r["word"]: r["clean"] / n["clean"] for r in best})
+    both, part = F.col("toxic") + F.col("clean"), n["toxic"] / (n["toxic"] + n["clean"])
+    ratio = F.col("toxic") * F.log(F.col("toxic") / (both * part)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (both * (1 - part)))).otherwise(0.0)
+    scored = sums.withColumns({"score": odds, "z": F.sqrt(2 * F.greatest(ratio, F.lit(0.0)))})
+    chosen = scored.where((F.col("word") == " ") | (F.col("toxic") > 1) & (F.col("toxic") > both * part) & (F.col("z") >= least_z) & (F.col("score") >= least_odds)).select("word", "clean", "score").collect()
+    words = max([1.0, *(r["clean"] / n["clean"] for r in chosen if r["word"] == " ")])
+    best = [r for r in chosen if r["word"] != " "]
+    model = Model({r["word"]: float(r["score"]) for r in sorted(best, key=lambda r: r["word"])})
+    model.decay = _decay(model.scores, {r["word"]: r["clean"] / n["clean"] for r in best}, words)
     shared = spark.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,8 +127,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 50_000, vocabulary:
     return model
 
 
-def _decay(scores: dict[str, float], clean_share: dict[str, float], words: int = 300) -> float:
-    """The positive root of E[exp(decay score)] = 1 for the tokens of clean text of about ``words`` words a document."""
+def _decay(scores: dict[str, float], clean_share: dict[str, float], words: float) -> float:
+    """The positive root of E[exp(decay score)] = 1 for the tokens of clean text with ``words`` words a document, of which a share has a token."""
     if not scores:
         return 1.0
     s = np.array([scores[w] for w in scores])
@@ -173,7 +178,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """doc_id, score (0 to 1) and predicted of every row. No shuffle.
 
     Null and empty texts have no evidence and get the model's base probability. Repeated rows and null ids stay."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most ``vocabulary`` tokens
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # its tokens are from a bounded sample
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
