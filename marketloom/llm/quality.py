@@ -57,24 +57,24 @@ def repeated_words(words: list[str], size: int = 5) -> int:
 
 
 def votes(m: dict[str, int]) -> str:
-    """One digit per rule in RULES. A rule that can't tell abstains; most can only tell that a text is bad."""
+    """One digit per rule in RULES. Between its two bounds, or without enough to go by, a rule abstains."""
     n, lines, letters = m["n_words"], m["n_lines"], m["n_letters"]
     if not n:
         return "0" * len(RULES)
-    bad_if = lambda x: "1" if x else "0"
-    between = lambda x, bad, good: "1" if x < bad else "2" if x >= good else "0"
+    high_bad = lambda x, good, bad: "1" if x > bad else "2" if x <= good else "0"
+    low_bad = lambda x, bad, good: "1" if x < bad else "2" if x >= good else "0"
     mean = m["word_chars"] / n
     return "".join(
         (
-            bad_if(m["n_symbols"] > 0.15 * n),
-            bad_if(letters >= 10 and m["n_upper"] > 0.4 * letters),
-            bad_if(lines > 2 and m["n_dup_lines"] > 0.3 * lines),
-            bad_if(m["n_repeat_words"] > 0.2 * n),
-            bad_if(m["n_bare"] > 0.1 * n),
+            high_bad(m["n_symbols"] / n, 0.02, 0.15),
+            high_bad(m["n_upper"] / letters, 0.15, 0.4) if letters >= 10 else "0",
+            high_bad(m["n_dup_lines"] / lines, 0.1, 0.3) if lines > 2 else "0",
+            high_bad(m["n_repeat_words"] / n, 0.05, 0.2) if n > 20 else "0",
+            high_bad(m["n_bare"] / n, 0.02, 0.1),
             "1" if not 2 <= mean <= 14 else "2" if 3 <= mean <= 9 else "0",
-            between(m["n_function"] / n, 0.01, 0.08) if n >= 30 else "0",
-            between(m["n_ended"] / lines, 0.1, 0.6) if n >= 30 else "0",
-            between(letters / max(1, m["word_chars"]), 0.65, 0.88),
+            low_bad(m["n_function"] / n, 0.01, 0.08) if n >= 30 else "0",
+            low_bad(m["n_ended"] / lines, 0.1, 0.6) if n >= 30 else "0",
+            low_bad(letters / max(1, m["word_chars"]), 0.65, 0.88),
         )
     )
 
@@ -86,18 +86,12 @@ def fit(patterns: dict[str, int], rounds: int = 60, prior_votes: float = 5.0) ->
     A few imagined votes of the right sign start each rule and keep it the right way round."""
     if not patterns:
         return {}
-    keys = list(patterns)
+    keys = sorted(patterns)
     v = np.array([[int(c) for c in k] for k in keys])
     n = np.array([patterns[k] for k in keys], float)
     bad_vote, voted = (v == 1).astype(float), (v > 0).astype(float)
-    start = np.array([0.05, 0.6])  # P(vote bad) on good and on bad texts, before any is seen
-    only_bad = ~(v == 2).any(0)  # a rule that never says good: abstaining is its other answer
-    voted[:, only_bad] = 1
-    p_bad = np.tile(start[:, None], (1, v.shape[1]))
-    p_bad[1, only_bad] = 0.3
-    p_bad[0, only_bad] = 0.01
-    prior = p_bad.copy()
-    share = 0.9
+    prior = np.tile(np.array([[0.02], [0.4]]), (1, v.shape[1]))  # P(vote bad) on good and on bad texts, before any is seen
+    p_bad, share = prior.copy(), 0.9
     for _ in range(rounds):
         log = [np.log(s) + bad_vote @ np.log(p) + (voted - bad_vote) @ np.log(1 - p) for s, p in ((share, p_bad[0]), (1 - share, p_bad[1]))]
         good = 1 / (1 + np.exp(np.clip(log[1] - log[0], -700, 700)))
