@@ -13,13 +13,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, described, held, rows
+from .common import batched, described, held, rows, written
 
 LETTERS = regex.compile(r"\p{L}+")
 SPACE = "▁"
 #: Added to every count of a piece; the probability of a character that no piece has.
 SMOOTH, STRANGE = 0.05, 1e-7
 KEEP = 400_000
+#: Characters of a word that are segmented together in training.
+CUT = 32
 
 
 @lru_cache(maxsize=2)
@@ -35,6 +37,27 @@ def words_of(text: str | None) -> list[str]:
     return LETTERS.findall(text.lower()) if text else []
 
 
+class _Lattice:
+    """Words of one length and the pieces that may stand at each place of theirs: spans (begin, end, row of P for every word).
+
+    Rows of P are the pieces, then one for no such piece (0) and one for a character that no piece has."""
+
+    def __init__(self, words: list[str], piece: dict[str, int], longest: int):
+        self.n, none = len(words[0]), len(piece)
+        self.spans: list[list[tuple[int, np.ndarray]]] = []
+        get = piece.get
+        for i in range(self.n):
+            here = []
+            for j in range(i + 1, min(self.n, i + longest) + 1):
+                at = np.array([get(s[i:j], none) for s in words])
+                if j == i + 1:
+                    at[at == none] = none + 1
+                elif (at == none).all():
+                    continue
+                here.append((j, at))
+            self.spans.append(here)
+
+
 class Languages:
     """Piece probabilities of each language over one public vocabulary, and the forward algorithm over words.
 
@@ -45,33 +68,25 @@ class Languages:
         self.names = names
         _, self.piece, _ = _pieces(path)
         self.longest = max(map(len, self.piece))
-        p = (counts + SMOOTH) / (counts.sum(0) + SMOOTH * len(counts))
-        self.p = np.vstack([p, np.zeros(len(names)), np.full(len(names), STRANGE)])  # then: no such piece, a strange character
+        self.p = probabilities(counts)
         self.kept: dict[str, int] = {}
         self.logs = np.zeros((1 << 14, len(names)))
 
     def forward(self, words: list[str]) -> np.ndarray:
         """Log probabilities (words, languages) of words of one length."""
-        n, none = len(words[0]) + 1, len(self.p) - 2
-        a = np.zeros((len(words), n + 1, len(self.names)))
+        lattice = _Lattice([SPACE + w for w in words], self.piece, self.longest)
+        a = np.zeros((len(words), lattice.n + 1, len(self.names)))
         a[:, 0] = 1
         scale = np.zeros((len(words), 1))
-        get = self.piece.get
-        spelled = [SPACE + w for w in words]
-        for i in range(n):
+        for i, spans in enumerate(lattice.spans):
             if i and i % 8 == 0:  # keeps long words in the range of floats
                 top = a[:, i : i + self.longest].max((1, 2))[:, None]
                 top = np.where(top > 0, top, 1)
                 a[:, i : i + self.longest] /= top[:, :, None]
                 scale += np.log(top)
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                at = np.array([get(s[i:j], none) for s in spelled])
-                if j == i + 1:
-                    at[at == none] = none + 1
-                elif (at == none).all():
-                    continue
+            for j, at in spans:
                 a[:, j] += a[:, i] * self.p[at]
-        return np.log(np.maximum(a[:, n], 1e-300)) + scale
+        return np.log(np.maximum(a[:, lattice.n], 1e-300)) + scale
 
     def learn(self, words: list[str]) -> None:
         by_length: dict[int, list[str]] = {}
@@ -108,44 +123,100 @@ class Languages:
         return out
 
 
-def train(docs: DataFrame, pieces: str, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages by name and the counts of pieces (pieces, languages) over all rows with a language.
-
-    Partitions count words by language, split each different word once by the public model, and send counts of pieces; the sums reach the
-    driver as at most one number per language and piece. Rows with a null language or text are left out."""
-    schema = pa.schema([("lang", pa.string()), ("piece", pa.int32()), ("n", pa.int64())])
+def probabilities(counts: np.ndarray) -> np.ndarray:
+    """P (pieces and two more rows, languages) from counts of pieces."""
+    p = (counts + SMOOTH) / (counts.sum(0) + SMOOTH * len(counts))
+    return np.vstack([p, np.zeros(counts.shape[1]), np.full(counts.shape[1], STRANGE)])
+
+
+def expected_counts(words: list[str], times: list[int], p: np.ndarray, piece: dict[str, int], longest: int) -> np.ndarray:
+    """How often each piece stands in the words, over all segmentations by their probability under p (rows as in _Lattice, one language): forward, then backward.
+
+    Words of over CUT characters are counted in parts of so many, whose probabilities don't underflow."""
+    by_length: dict[int, list[tuple[str, int]]] = {}
+    for w, k in zip(words, times):
+        s = SPACE + w
+        for i in range(0, len(s), CUT):
+            by_length.setdefault(min(CUT, len(s) - i), []).append((s[i : i + CUT], k))
+    places, amounts = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for same in by_length.values():
+        for k in range(0, len(same), 4096):
+            part = same[k : k + 4096]
+            lattice = _Lattice([s for s, _ in part], piece, longest)
+            forward, backward = np.zeros((2, lattice.n + 1, len(part)))
+            forward[0] = backward[lattice.n] = 1
+            shares = [[p[at] for _, at in spans] for spans in lattice.spans]
+            for i, spans in enumerate(lattice.spans):
+                for (j, _), q in zip(spans, shares[i]):
+                    forward[j] += forward[i] * q
+            weight = np.array([n for _, n in part]) / forward[lattice.n]
+            for i in range(lattice.n - 1, -1, -1):
+                for (j, at), q in zip(lattice.spans[i], shares[i]):
+                    through = q * backward[j]
+                    backward[i] += through
+                    places.append(at)
+                    amounts.append(forward[i] * through * weight)
+    return np.bincount(np.concatenate(places), np.concatenate(amounts), len(p))[:-2]
+
+
+def train(docs: DataFrame, pieces: str, rounds: int = 2, most_languages: int = 500, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
+    """Languages by name and the expected counts of pieces (pieces, languages) over all rows with a language, by expectation-maximisation.
+
+    Words are counted by language in one shuffle and written. A round counts pieces over all segmentations of each word, weighed by their
+    probabilities, and the counts are the next round's probabilities; the first starts from Zipf's law over the vocabulary's order. The sums reach
+    the driver as at most one number per language and piece; more than ``most_languages`` names are an error. Rows with a null language or text are left out."""
+    schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, _, place = _pieces(pieces)
-        totals: dict[str, Counter] = {}
-
-        def split(by: dict[str, Counter]) -> None:
-            for lang, words in by.items():
-                names = list(words)
-                into = totals.setdefault(lang, Counter())
-                for w, ids in zip(names, model.encode(names, num_threads=1)):
-                    for i in ids:
-                        if i in place:
-                            into[place[i]] += words[w]
-
         by: dict[str, Counter] = {}
+        out = lambda: batched(((lang, w, n) for lang, words in by.items() for w, n in words.items()), schema, 20_000)
         for lang, text in rows(batches, "lang", "text"):
             by.setdefault(lang, Counter()).update(words_of(text))
             if sum(map(len, by.values())) > KEEP:
-                split(by)
+                yield from out()
                 by = {}
-        split(by)
-        yield from batched(((lang, k, n) for lang, c in totals.items() for k, n in c.items()), schema, 20_000)
+        yield from out()
 
     known = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    sums = known.mapInArrow(count, "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
-    langs = sums.column("lang").to_pylist()
-    names = sorted(set(langs))
-    counts = np.zeros((len(_pieces(pieces)[1]), len(names)))
-    counts[sums.column("piece").to_numpy(), [names.index(x) for x in langs]] = sums.column("n").to_numpy()
+    words = written(known.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    names = [r["lang"] for r in words.select("lang").distinct().limit(most_languages + 1).collect()]
+    if len(names) > most_languages:
+        raise ValueError(f"more than {most_languages} languages; map their names first")
+    names.sort()
+    size = len(_pieces(pieces)[1])
+    counts = np.tile(1 / (np.arange(size) + 10.0)[:, None] * size, (1, len(names)))
+    for _ in range(rounds if names else 0):
+        counts = _round(words, pieces, names, counts)
     return names, counts
 
 
+def _round(words: DataFrame, pieces: str, names: list[str], counts: np.ndarray) -> np.ndarray:
+    shared = words.sparkSession.sparkContext.broadcast((names, counts.astype(np.float32)))  # languages x vocabulary: bounded
+    schema = pa.schema([("lang", pa.string()), ("piece", pa.int32()), ("n", pa.float64())])
+
+    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, (_, piece, _) = {}, _pieces(pieces)
+        longest, totals = max(map(len, piece)), {}
+        for b in batches:
+            by: dict[str, tuple[list, list]] = {}
+            for lang, w, n in rows(iter([b]), "lang", "word", "n"):
+                into = by.setdefault(lang, ([], []))
+                into[0].append(w)
+                into[1].append(n)
+            for lang, (ws, times) in by.items():
+                if lang not in of:
+                    k = shared.value[0].index(lang)
+                    of[lang] = probabilities(shared.value[1][:, k : k + 1].astype(float))[:, 0]
+                totals[lang] = totals.get(lang, 0) + expected_counts(ws, times, of[lang], piece, longest)
+        yield from batched(((lang, int(k), float(t[k])) for lang, t in totals.items() for k in np.flatnonzero(t > 1e-9)), schema, 20_000)
+
+    sums = words.mapInArrow(expect, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(counts.shape)
+    at = {x: k for k, x in enumerate(names)}
+    out[sums.column("piece").to_numpy(), [at[x] for x in sums.column("lang").to_pylist()]] = sums.column("n").to_numpy()
+    return out
+
+
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], pieces: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` with lang_pred and score (posterior, 0 to 1) for every row. No shuffle.
 
