@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm import language, mixing, packing, quality, simhash, toxicity
-from marketloom.llm.common import written
+from marketloom.llm.common import row_key, written
 from marketloom.llm.queries import vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -28,23 +28,18 @@ def judged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8): the one with the least doc_id.
 
-    Rows of one doc_id are one document. Rows without one have no group and stay."""
-    kept = simhash.similar_documents(docs).where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.union(docs.select(*COLUMNS).where("doc_id is null"))
-
-
-def _row() -> Column:
-    """One value for rows alike in id, language, source and text, and no others."""
-    marked = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-"))
-    return F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), marked("lang"), marked("source"), marked("text")), 256)
+    A document is a row: rows of one id with different texts are two, rows without an id count as well, and of rows alike in all columns one stays."""
+    docs = docs.select(*COLUMNS)
+    kept = simhash.similar_documents(docs).where("stays").select("row").distinct()
+    return docs.withColumn("row", row_key(docs)).join(kept, "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a document stands in it once for every whole epoch, and once more with its first words where the last epoch is cut inside it.
 
     What is taken belongs to its row, also where ids are null or repeated; rows alike in all columns share theirs out by number."""
-    docs = docs.select(*COLUMNS, _row().alias("row"))
+    docs = docs.select(*COLUMNS)
+    docs = docs.withColumn("row", row_key(docs))
     taken = mixing.mix(docs, keep=("row",)).where("taken > 0").groupBy("row").agg(F.max("size").alias("size"), F.sort_array(F.collect_list("taken"), False).alias("all_taken"))
     numbered = docs.withColumn("number", F.row_number().over(Window.partitionBy("row").orderBy("row")))
     rows = numbered.join(taken, "row").withColumn("taken", F.get("all_taken", F.col("number") - 1)).where("taken is not null")

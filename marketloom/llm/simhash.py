@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -12,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held, rows, written
+from .common import held, row_key, rows, written
 from .components import components
 
 #: Rows of one bucket that are compared in one go; a larger bucket is dealt to several such blocks.
@@ -50,8 +51,8 @@ def simhash(text: str | None, shingle: int = 3, lanes: int = 1) -> bytes:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
-    """doc_id and fp (binary) of every row, and words_hash (binary), one for all texts of the same words, if asked for. No shuffle."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), *[("words_hash", pa.binary())] * hashed])
+    """doc_id and fp (binary) of every row; if asked for, row (see row_key, over all columns) and words_hash (binary), one for all texts of the same words. No shuffle."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), *[("row", pa.binary()), ("words_hash", pa.binary())] * hashed])
 
     def words_hash(text: str | None) -> bytes:
         return hashlib.blake2b(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()), digest_size=16).digest()
@@ -62,17 +63,18 @@ def fingerprints(docs: DataFrame, shingle: int = 3, lanes: int = 1, id_col: str
             texts = [t for (t,) in rows(iter([b]), "text")]
             columns = [b.column("id"), pa.array([simhash(t, shingle, lanes) for t in texts], pa.binary())]
             if hashed:
-                columns.append(pa.array([words_hash(t) for t in texts], pa.binary()))
+                columns += [b.column("row").cast(pa.binary()), pa.array([words_hash(t) for t in texts], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp binary" + ", words_hash binary" * hashed)
+    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[row_key(docs).alias("row")] * hashed)
+    return chosen.mapInArrow(run, "doc_id long, fp binary" + ", row binary, words_hash binary" * hashed)
 
 
-def all_parts(radius: int) -> list[list[int]]:
-    """Bit positions of key tables over 64 bits such that fingerprints within ``radius`` agree in all bits of one table.
+def all_parts(radius: int, bits: list[int] | None = None) -> list[list[int]]:
+    """Bit positions of key tables such that fingerprints that differ in at most ``radius`` of the ``bits`` (all 64) agree in all bits of one table.
 
     The bits are cut into radius + 2 parts; at most ``radius`` parts differ, so two parts are equal."""
-    parts = [list(map(int, x)) for x in np.array_split(np.arange(64), radius + 2)]
+    parts = [list(map(int, x)) for x in np.array_split(np.arange(64) if bits is None else np.array(bits), radius + 2)]
     return [a + b for a, b in combinations(parts, 2)]
 
 
@@ -255,39 +257,91 @@ def _link_batch(ids: np.ndarray, other: np.ndarray, links: list[tuple[int, int]]
     return pa.RecordBatch.from_arrays([pa.array(ids[at[:, 0]]), pa.array(other[at[:, 1]])], schema=_LINK)
 
 
-def _buckets(vertices: DataFrame, tables: list[list[int]]) -> tuple[DataFrame, DataFrame]:
-    """Vertices (rep, fp) with part, key and block once for every key table, and the buckets of more than BLOCK rows."""
-    schema = pa.schema([("part", pa.int32()), ("key", pa.int64()), ("rep", pa.int64()), ("fp", pa.binary())])
-    weights = [np.array([1 << i for i in range(len(t))], np.int64) for t in tables]
+_KEYED = pa.schema([("part", pa.int64()), ("key", pa.int64()), ("rep", pa.int64()), ("fp", pa.binary())])
+
+
+def _keys(bits: np.ndarray, table: list[int]) -> np.ndarray:
+    return bits[:, table].astype(np.int64) @ np.array([1 << i for i in range(len(table))], np.int64)
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _in_tables(vertices: DataFrame, tables: list[list[int]]) -> DataFrame:
+    """Vertices (rep, fp) with part and key, once for every key table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                bits = np.unpackbits(_matrix(b.column("fp").to_pylist()), axis=1).astype(np.int64)
-                for k, (t, w) in enumerate(zip(tables, weights)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bits), k), pa.int32()), pa.array(bits[:, t] @ w), b.column("rep"), b.column("fp").cast(pa.binary())], schema=schema)
+                bits = np.unpackbits(_matrix(b.column("fp").to_pylist()), axis=1)
+                for k, t in enumerate(tables):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bits), k), pa.int64()), pa.array(_keys(bits, t)), b.column("rep"), b.column("fp").cast(pa.binary())], schema=_KEYED)
 
-    keyed = vertices.mapInArrow(keys, "part int, key long, rep long, fp binary")
-    large = written(keyed.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK))
+    return vertices.select("rep", "fp").mapInArrow(run, "part long, key long, rep long, fp binary")
+
+
+def _counted(keyed: DataFrame) -> DataFrame:
+    """part, key and n of the buckets of more than BLOCK rows, few by their size."""
+    return written(keyed.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK))
+
+
+def _buckets(vertices: DataFrame, tables: list[list[int]]) -> tuple[DataFrame, DataFrame]:
+    """Vertices (rep, fp) with part, key and block once for every key table, and the buckets of more than BLOCK rows, which are dealt to several blocks."""
+    keyed = _in_tables(vertices, tables)
+    large = _counted(keyed)
     block = F.coalesce(F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)), F.lit(0)).cast("int")
-    shared = keyed.join(large, ["part", "key"], "left").withColumn("block", block)
-    return shared, large
+    return keyed.join(large, ["part", "key"], "left").withColumn("block", block), large
 
 
-def near_components(prints: DataFrame, radius: int, tables: list[list[int]]) -> DataFrame:
-    """doc_id, fp, component_id for rows (doc_id, fp): fingerprints within ``radius`` bits that meet in a key table are linked.
+def _free_bits(part: int, radius: int) -> list[int]:
+    """The bits that are in no key along a part's path: part is part before * (tables + 1) + table + 1, from 0 on."""
+    path, tables = [], (radius + 2) * (radius + 1) // 2
+    while part:
+        path.append(part % (tables + 1) - 1)
+        part //= tables + 1
+    free = list(range(64))
+    for table in reversed(path):
+        key = set(all_parts(radius, free)[table])
+        free = [x for x in free if x not in key]
+    return free
+
+
+def _exact_buckets(vertices: DataFrame, radius: int) -> DataFrame:
+    """Vertices (rep, fp of 64 bits, all different) in buckets of at most BLOCK rows in which every pair within ``radius`` bits meets.
+
+    A bucket beyond BLOCK rows, in which the bits of its key are equal, is taken apart by key tables over its other bits: a pair
+    within the radius meets in one of those as well. So many different fingerprints can't share all but a few bits, so this ends after a few levels
+    and no bucket is compared with itself block by block."""
+    tables = len(all_parts(radius))
+    level, out = vertices.select(F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("key"), "rep", "fp"), []
+
+    def deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free: dict[int, list[int]] = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            bits, part, key = np.unpackbits(_matrix(b.column("fp").to_pylist()), axis=1), b.column("part").to_numpy(), b.column("key").to_numpy()
+            for p in np.unique(part).tolist():
+                at = np.flatnonzero(part == p)
+                rest = free.setdefault(p, _free_bits(p, radius))
+                some = b.take(pa.array(at))
+                for k, t in enumerate(all_parts(radius, rest)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), p * (tables + 1) + k + 1)), pa.array((key[at] << len(t)) + _keys(bits[at], t)), some.column("rep"), some.column("fp").cast(pa.binary())], schema=_KEYED)
+
+    while True:
+        keyed = level.mapInArrow(deeper, "part long, key long, rep long, fp binary")
+        large = _counted(keyed)
+        if large.isEmpty():
+            return reduce(DataFrame.unionByName, [*out, keyed]).withColumn("block", F.lit(0))
+        out.append(keyed.join(large, ["part", "key"], "left_anti"))
+        level = written(keyed.join(large.drop("n"), ["part", "key"]))
+
+
+def near_components(prints: DataFrame, radius: int) -> DataFrame:
+    """doc_id, fp, component_id for rows (doc_id, fp of 64 bits): fingerprints within ``radius`` bits are linked, and none of those is missed.
 
     Equal fingerprints are one vertex, named by its least doc_id, so that copies are never compared. A bucket is the vertices of
-    equal key in a table, and one shuffle brings it together. Buckets beyond BLOCK rows, few by their size, are dealt to blocks: links within blocks come first, then, after components, pairs of blocks
-    whose rows aren't all connected yet. With all_parts no pair within the radius is missed."""
+    equal key in a table (see _exact_buckets), and one shuffle brings it together."""
     prints = written(prints)
     vertices = written(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    shared, large = _buckets(vertices, tables)
-    links = written(_fewer(written(_first_links(shared, radius))))
-    if not large.isEmpty():
-        labels = components(links)
-        rest = shared.where("n is not null").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
-        links = links.union(written(_cross_links(rest, radius)))
+    links = written(_fewer(written(_first_links(_exact_buckets(vertices, radius), radius))))
     labels = components(links).withColumnRenamed("id", "rep")
     named = vertices.join(labels, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     found = prints.join(named, "fp", "left")
@@ -384,7 +438,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col:
     and a null component, and link nothing. Repeated ids are one document if their texts link. An empty table gives no rows."""
     if not 0 <= radius <= 6:
         raise ValueError("key tables without misses are built for a radius of 0 to 6")
-    found = near_components(fingerprints(docs, shingle, 1, id_col, text_col), radius, all_parts(radius))
+    found = near_components(fingerprints(docs, shingle, 1, id_col, text_col), radius)
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
@@ -398,10 +452,10 @@ def shingle_set(text: str | None, shingle: int = 5) -> frozenset[bytes]:
     return frozenset(b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))) if words else frozenset()
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a similarity of 0.8 or more. texts is (rep, text); an id with several texts is similar by any of them."""
-    needed = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    some = written(texts.join(needed, "rep", "left_semi").distinct())
+def _verified(pairs: DataFrame, vertices: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (a, b) of vertices whose shingle sets have a similarity of 0.8 or more. texts is (row, text)."""
+    needed = vertices.join(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "rep", "left_semi").select("rep", "row")
+    some = written(texts.join(needed, "row").groupBy("rep").agg(F.min("text").alias("text")))
     both = pairs.join(some.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a").join(some.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -435,26 +489,31 @@ def _candidates(vertices: DataFrame, tables: list[list[int]], radius: int, label
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and component_id of documents whose five-word shingle sets have a similarity of 0.8 or more. A wider SimHash finds candidates, each is checked.
+    """doc_id, row, component_id and stays for every row: documents whose five-word shingle sets have a similarity of 0.8 or more are linked. A wider SimHash finds candidates, each is checked.
 
     Bits are 256, so that a similarity of 0.8 is 39 differing bits, with a standard deviation of 6. The radius is 56. SIMILAR_TABLES random key tables
     of SIMILAR_WIDTH bits find a pair of similarity 0.8 with probability 0.96, 0.9 with 0.99993.
-    Texts of the same words are one vertex. Candidates that connect all others are checked first. Where one of them fails, pairs of its group that
+    Texts of the same words are one vertex, whatever ids they have. Candidates that connect all others are checked first. Where one of them fails, pairs of its group that
     the remaining links leave apart are all checked, so that every candidate is either checked or between documents already linked.
-    Nulls, wordless texts and repeats are as in near_duplicates."""
+    row is row_key of the row. Of a component, the row with the least doc_id stays, nulls last, then the least row; component_id is that doc_id.
+    Rows alike in all columns are one. Null and wordless texts are one component. An empty table gives no rows."""
     tables = drawn_parts(SIMILAR_BITS, SIMILAR_WIDTH, SIMILAR_TABLES)
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).where("rep is not null")
+    texts = docs.select(row_key(docs).alias("row"), F.col(text_col).alias("text"))
     prints = written(fingerprints(docs, shingle, SIMILAR_BITS // 64, id_col, text_col, hashed=True))
-    vertices = written(prints.where("doc_id is not null").groupBy("words_hash", "fp").agg(F.min("doc_id").alias("rep")))
-    first = _candidates(vertices, tables, SIMILAR_RADIUS, None)
-    links = _verified(first, texts, shingle)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")).alias("first")
+    grouped = prints.groupBy("words_hash", "fp").agg(first)
+    vertices = written(grouped.select("words_hash", "fp", "first", F.col("first.row").alias("row"), F.monotonically_increasing_id().alias("rep")))  # fixed once they are written
+    loose_links = _candidates(vertices, tables, SIMILAR_RADIUS, None)
+    links = _verified(loose_links, vertices, texts, shingle)
     labels = components(links)
-    groups = components(first).withColumnRenamed("component", "loose").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    groups = components(loose_links).withColumnRenamed("component", "loose").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     torn = groups.groupBy("loose").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
     unsure = written(vertices.join(groups.join(torn, "loose", "left_semi").select(F.col("id").alias("rep")), "rep", "left_semi"))
     if not unsure.isEmpty():
-        more = _candidates(unsure, tables, SIMILAR_RADIUS, labels).join(first, ["a", "b"], "left_anti")
-        labels = components(links.union(_verified(written(more), texts, shingle)))
-    named = vertices.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("words_hash", F.coalesce("component", "rep").alias("component_id"))
-    found = prints.join(named, "words_hash", "left")
-    return found.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+        more = _candidates(unsure, tables, SIMILAR_RADIUS, labels).join(loose_links, ["a", "b"], "left_anti")
+        labels = components(links.union(_verified(written(more), vertices, texts, shingle)))
+    named = vertices.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("words_hash", "first", F.coalesce("component", "rep").alias("component"))
+    keepers = named.groupBy("component").agg(F.min("first").alias("keeper"))
+    of_words = written(named.join(keepers, "component").select("words_hash", F.col("keeper.doc_id").alias("component_id"), F.col("keeper.row").alias("kept_row")))
+    found = prints.join(of_words, "words_hash", "left")
+    return found.select("doc_id", "row", "component_id", (F.col("row") == F.col("kept_row")).alias("stays"))
