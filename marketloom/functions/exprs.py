@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +28,18 @@ def number(x: Column) -> Column:
     return F.when(~F.isnan(d), d)
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once, however often f reads it; the optimiser would otherwise repeat x at each place."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def squeeze(x: Column) -> Column:
     """Trimmed, with every run of white space as one space."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"(?U)^\s+", ""), r"(?U)\s+$", ""), r"(?U)\s+", " ")
+    return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
+
+
+def in_range(name: str, value: int, low: int, high: int) -> int:
+    """value, or an error if a request asks for less or more than is allowed."""
+    if not low <= value <= high:
+        raise ValueError(f"{name} must be {low}..{high}")
+    return value

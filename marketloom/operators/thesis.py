@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import contradicts
 from .rules import LOOSE, RANGES
 
 # The texts of a thesis are part of its contract.
@@ -27,12 +28,12 @@ def direction(setup: Column, label: Column) -> Column:
     return F.coalesce(setup["direction"], F.when(label == "bull_trend", "bullish").when(label == "bear_trend", "bearish").otherwise("neutral"))
 
 
-def news_counts(feed: DataFrame) -> DataFrame:
-    """symbol, positive, negative, labelled and contradictions over feed rows exploded by their symbols."""
-    each = feed.withColumn("symbol", F.explode("asset_symbols"))
-    contradictions = F.size(F.filter("contradiction_signals", lambda s: s["is_contradiction"]))
-    label = F.col("sentiment_label")
-    return each.groupBy("symbol").agg(F.count_if(label == "positive").alias("positive"), F.count_if(label == "negative").alias("negative"), F.count_if(label.isNotNull()).alias("labelled"), F.sum(contradictions).alias("contradictions"))
+def news_counts(newest: DataFrame, changes: DataFrame, item_id: str = "id") -> DataFrame:
+    """symbol, positive, negative, labelled and contradictions over each symbol's newest items (news.newest_of_symbols) and all their tags."""
+    tag = newest.select("symbol", item_id, "sentiment_label", F.posexplode("tags.symbol").alias("_at", "_other"))
+    each = tag.join(changes.withColumnRenamed("symbol", "_other"), "_other", "left").withColumn("_label", F.when(F.col("_at") == 0, F.col("sentiment_label")))
+    label, against = F.col("_label"), contradicts(F.col("sentiment_label"), F.col("change_pct"))
+    return each.groupBy("symbol").agg(F.count_if(label == "positive").alias("positive"), F.count_if(label == "negative").alias("negative"), F.count_if(label.isNotNull()).alias("labelled"), F.count_if(against).alias("contradictions"))
 
 
 def supporting(way: Column, setup: Column) -> Column:
@@ -103,3 +104,9 @@ def theses(analysis: DataFrame, counts: DataFrame) -> DataFrame:
     df = df.withColumn("confidence", confidence(F.col("score.total_score"), F.col("primary.score"), against, F.col("regime.label")))
     summary = _say("%s %s: %s thesis from %s with %s confidence. View this as a conditional scenario, not a prediction, and monitor %d opposing signal(s).", F.col("symbol"), F.col("timeframe"), F.col("direction"), F.coalesce("primary.setup_type", F.lit("no clear setup")), F.col("confidence.label"), against)
     return df.select("symbol", "timeframe", "direction", F.coalesce("primary.setup_type", F.lit("none")).alias("setup_type"), "supporting_factors", "contradictory_factors", "invalidation", "confidence", summary.alias("summary"), F.lit(DISCLAIMER).alias("disclaimer"))
+
+
+def document(theses: DataFrame, generated_at: Column) -> DataFrame:
+    """symbol, timeframe and the thesis as JSON, with the time it was made."""
+    whole = F.struct(*theses.columns, F.date_format(generated_at, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("generated_at"))
+    return theses.select("symbol", "timeframe", F.to_json(whole, {"ignoreNullFields": "false"}).alias("document"))

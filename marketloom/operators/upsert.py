@@ -2,29 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from operator import and_, or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.symbols import provider_name
+
 CANDLE_KEY = ("asset_id", "provider_id", "timeframe", "open_time")
 CANDLE_VALUES = ("close_time", "open", "high", "low", "close", "volume", "quote_volume", "trade_count")
 
 
-def last_wins(incoming: DataFrame, key: tuple[str, ...], seq: str) -> DataFrame:
-    """The last delivery of every key."""
-    return incoming.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy(F.col(seq).desc()))).where("_k = 1").drop("_k")
+def last_wins(incoming: DataFrame, key: tuple[str, ...], seq: str | None = None) -> DataFrame:
+    """One delivery of every key: the last by ``seq``, or without one, and among equals, the greatest row. An aggregate, so that repeats are combined before the shuffle."""
+    rest = [c for c in incoming.columns if c not in key]
+    if not rest:
+        return incoming.distinct()
+    last = incoming.groupBy(*key).agg(F.max(F.struct(*([F.col(seq).alias("_order")] if seq else []), *rest)).alias("_last"))
+    return last.select(*(F.col(k) if k in key else F.col(f"_last.{k}").alias(k) for k in incoming.columns))
+
 
+def upsert(stored: DataFrame, incoming: DataFrame, key: tuple[str, ...] = CANDLE_KEY, values: tuple[str, ...] = CANDLE_VALUES, seq: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """All rows after the upsert, with action: insert, update (a value differs), same, or kept (not delivered). One full outer join on the key.
 
-def upsert(stored: DataFrame, incoming: DataFrame, key: tuple[str, ...] = CANDLE_KEY, values: tuple[str, ...] = CANDLE_VALUES) -> DataFrame:
-    """All rows after the upsert, with action: insert, update (a value differs), same, or kept (not delivered). One full outer join on the key."""
-    a, b = stored.alias("a"), incoming.alias("b")
-    joined = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in key], "full_outer")
-    here, there = F.col(f"b.{key[0]}").isNotNull(), F.col(f"a.{key[0]}").isNotNull()
-    differs = F.lit(False)
-    for v in values:
-        differs = differs | ~F.col(f"a.{v}").eqNullSafe(F.col(f"b.{v}"))
+    Of deliveries that repeat a key the last by ``seq`` counts, or the greatest. A null in a key is a value like any other. ``carry`` are columns
+    of the delivery that are shown and not compared."""
+    a = stored.select(*key, *values, F.lit(True).alias("_here")).alias("a")
+    b = last_wins(incoming.select(*dict.fromkeys([*key, *values, *carry, *([seq] if seq else [])])), key, seq).withColumn("_here", F.lit(True)).alias("b")
+    on = reduce(and_, (F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key))
+    here, there = F.col("b._here").isNotNull(), F.col("a._here").isNotNull()
+    differs = reduce(or_, (~F.col(f"a.{v}").eqNullSafe(F.col(f"b.{v}")) for v in values), F.lit(False))
     action = F.when(~there, "insert").when(~here, "kept").when(differs, "update").otherwise("same")
     new = [F.when(here, F.col(f"b.{v}")).otherwise(F.col(f"a.{v}")).alias(v) for v in values]
-    return joined.select(*(F.coalesce(f"b.{k}", f"a.{k}").alias(k) for k in key), *new, action.alias("action"))
+    return a.join(b, on, "full_outer").select(*(F.coalesce(f"b.{k}", f"a.{k}").alias(k) for k in key), *new, *(F.col(f"b.{c}").alias(c) for c in carry), action.alias("action"))
 
 
 def counts(upserted: DataFrame) -> DataFrame:
@@ -32,8 +43,21 @@ def counts(upserted: DataFrame) -> DataFrame:
 
 
 def absent(stored: DataFrame, incoming: DataFrame, key: tuple[str, ...]) -> DataFrame:
-    """Incoming rows whose key is not stored, once each: what get-or-create, seeds and mappings append."""
-    return incoming.dropDuplicates(list(key)).join(stored.select(*key), list(key), "left_anti")
+    """Incoming rows whose key is not stored, once each (of several the greatest): what get-or-create, seeds and mappings append."""
+    return last_wins(incoming, key).join(stored.select(*key), list(key), "left_anti")
+
+
+def provider_rows(codes: DataFrame, category: str) -> DataFrame:
+    """Rows of providers as get-or-create makes them, from a column code."""
+    code = F.col("code")
+    return codes.select(F.sha2("code", 256).alias("id"), code, provider_name(code).alias("name"), F.lit(category).alias("category"), F.lit(True).alias("is_active"))
+
+
+def asset_rows(symbols: DataFrame, symbol: str = "symbol") -> DataFrame:
+    """Rows of assets as get-or-create makes them, from a column of normalized symbols."""
+    s = F.col(symbol)
+    return symbols.select(F.sha2(s["normalized"], 256).alias("id"), s["normalized"].alias("normalized_symbol"), s["display"].alias("display_symbol"), F.concat_ws(" / ", s["base"], s["quote"]).alias("name"),
+                          s["base"].alias("base_currency"), s["quote"].alias("quote_currency"), s["asset_class"].alias("asset_class"), F.lit(True).alias("is_active"))
 
 
 def match_news(stored: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -48,17 +72,22 @@ def match_news(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return incoming.join(best, "seq", "left")
 
 
-def upsert_news(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Items after the upsert, with action. A match is overwritten but for its source_name; a new item's id is the hash of its url and key.
+def news_groups(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """incoming with match_id and the id of the item that each row meets: the match, or the hash of its url, or without one of its key."""
+    key = F.when(F.coalesce("url", F.lit("")) != "", F.col("url")).otherwise(F.concat_ws("|", "dedup_key", "source_name"))
+    return match_news(stored, incoming).withColumn("id", F.coalesce(F.col("match_id").cast("string"), F.sha2(key, 256)))
+
+
+def upsert_news(stored: DataFrame, incoming: DataFrame, grouped: DataFrame | None = None) -> DataFrame:
+    """Items after the upsert, with action. A match is overwritten but for its source_name; a new item's id is the hash of its url, or of its key.
 
-    Rows of one batch that meet the same item, or share a new url or key, give one item: the last delivery wins."""
-    found = match_news(stored, incoming)
-    group = F.coalesce("match_id", F.sha2(F.concat_ws("|", F.when(F.col("url") != "", F.col("url")).otherwise(F.concat_ws("|", "dedup_key", "source_name"))), 256))
-    latest = last_wins(found.withColumn("id", group), ("id",), "seq")
-    old = stored.select("id", F.col("source_name").alias("kept_source"))
+    Rows of one batch that meet the same item, or share a new url or key, give one item: the last delivery by seq wins."""
     shown = [c for c in stored.columns if c not in ("id", "source_name")]
+    found = (news_groups(stored, incoming) if grouped is None else grouped).select("id", "seq", "match_id", "source_name", *shown)
+    latest = last_wins(found, ("id",), "seq")
+    old = stored.select(F.col("id").cast("string").alias("id"), F.col("source_name").alias("kept_source"))
     new = latest.join(old, "id", "left").select("id", F.coalesce("kept_source", "source_name").alias("source_name"), *shown, F.when(F.col("match_id").isNull(), "insert").otherwise("update").alias("action"))
-    rest = stored.join(new.select("id"), "id", "left_anti").select("id", "source_name", *shown, F.lit("kept").alias("action"))
+    rest = stored.withColumn("id", F.col("id").cast("string")).join(new.select("id"), "id", "left_anti").select("id", "source_name", *shown, F.lit("kept").alias("action"))
     return new.unionByName(rest)
 
 

@@ -21,8 +21,13 @@ ASSETS = [("BTCUSDT", "BTC/USDT", "BTC", "USDT", "crypto"), ("ETHUSDT", "ETH/USD
 
 
 def providers(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PROVIDERS, "code string, name string, category string, rate_limit_per_minute int").selectExpr("sha2(code, 256) AS id", "*")
+    return spark.createDataFrame(PROVIDERS, "code string, name string, category string, rate_limit_per_minute int").selectExpr("sha2(code, 256) AS id", "*", "true AS is_active")
 
 
 def assets(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ASSETS, "normalized_symbol string, display_symbol string, base_currency string, quote_currency string, asset_class string").selectExpr("sha2(normalized_symbol, 256) AS id", "*")
+    return spark.createDataFrame(ASSETS, "normalized_symbol string, display_symbol string, base_currency string, quote_currency string, asset_class string").selectExpr("sha2(normalized_symbol, 256) AS id", "*", "concat(base_currency, ' / ', quote_currency) AS name", "true AS is_active")
+
+
+def active(assets: DataFrame) -> DataFrame:
+    """The assets that headlines are tagged with."""
+    return assets.where("is_active")
