@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.upsert import upsert
@@ -23,13 +24,32 @@ def stream_headlines(headlines: DataFrame, delay: str = "2 hours") -> DataFrame:
     return headlines.withWatermark("published_at", delay).dropDuplicatesWithinWatermark(["dedup_key"])
 
 
-def into_store(path: str, key: tuple[str, ...], values: tuple[str, ...]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: late candles correct stored ones. Versions are folders by batch id, so that a repeated batch writes the same folder again."""
+def read_store(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
+    """The rows of a store that into_store writes, with day: of each day its newest version, or the newest before batch ``before``. Empty if nothing is stored yet."""
+    try:
+        rows = spark.read.schema(f"{schema}, day date, version long").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], f"{schema}, day date")
+    if before is not None:
+        rows = rows.where(F.col("version") < before)
+    newest = rows.groupBy("day").agg(F.max("version").alias("version"))
+    return rows.join(newest, ["day", "version"], "left_semi").drop("version")
+
+
+def into_store(path: str, key: tuple[str, ...], values: tuple[str, ...], at: str = "open_time") -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: late candles correct stored ones. Only the days that a batch touches are read and written.
+
+    A day's rows are a folder by batch id, day=.../version=..., and the newest one counts (see read_store). A repeated batch writes the same
+    folders again from the versions before it."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        empty = spark.createDataFrame([], batch.select(*key, *values).schema)
-        stored = spark.read.schema(empty.schema).parquet(f"{path}/version={batch_id - 1}") if batch_id else empty
-        upsert(stored, batch, key, values).drop("action").write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        new = batch.select(*key, *values, F.to_date(at).alias("day"))
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.select(*key, *values).schema.fields)
+        stored = read_store(spark, path, schema, batch_id).join(new.select("day").distinct(), "day", "left_semi")
+        after = upsert(stored, new, (*key, "day"), values).drop("action").withColumn("version", F.lit(batch_id).cast("long"))
+        after.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "version").parquet(path)
 
     return write
