@@ -6,7 +6,7 @@ from ..functions.symbols import FOREX, QUOTES, TIMEFRAMES
 from ..functions.text import NEGATIVE, POSITIVE
 from ..operators.thesis import DISCLAIMER
 from ..sources.schemas import ASSETS
-from .queries import AS_OF, HEADLINES, LABELS, SYMBOLS
+from .queries import AS_OF, HEADLINES, LABELS, SPLIT, SYMBOLS
 
 
 def _q(x) -> str:
@@ -30,9 +30,9 @@ walk AS (SELECT symbol, timeframe, open_time, prior AS open, round(greatest(prio
 )
 
 
-def _frame(source: str, limit: int = 2000) -> str:
+def _frame(source: str, limit: int | None = None) -> str:
     return f"""cut AS (SELECT *, row_number() OVER (PARTITION BY symbol, timeframe ORDER BY open_time DESC) AS rk FROM {source}),
-f AS (SELECT * EXCLUDE rk, row_number() OVER (PARTITION BY symbol, timeframe ORDER BY open_time) AS t FROM cut WHERE rk <= {limit})"""
+f AS (SELECT * EXCLUDE rk, row_number() OVER (PARTITION BY symbol, timeframe ORDER BY open_time) AS t FROM cut {f"WHERE rk <= {limit}" if limit else ""})"""
 
 
 _W = "(PARTITION BY symbol, timeframe ORDER BY t ROWS UNBOUNDED PRECEDING)"
@@ -84,7 +84,7 @@ _AVG = f"av AS (SELECT *, CASE WHEN t >= 20 THEN avg(close) OVER {_L20} END AS s
 _SLOPE = "(CASE WHEN n > 5 THEN coalesce((ema_50 - ema_50_before) / nullif(ema_50_before, 0) * 100, 0) ELSE 0 END)"
 
 
-def _full(source: str, limit: int, keep_all: bool) -> str:
+def _full(source: str, limit: int | None, keep_all: bool) -> str:
     n = "t" if keep_all else "count(*) OVER (PARTITION BY symbol, timeframe)"
     return f"""WITH {WALK}, {_frame(source, limit)}, {_AVG % "f"}, {_moves("bo")}, {_ew("mv", "em", _EMAS)}, {_macd("em")}, {_strength("mac")},
 al0 AS (SELECT *, lag(close) {_LAG} AS prev_close, lag(low) {_LAG} AS prev_low, lag(high) {_LAG} AS prev_high, lag(ema_20) {_LAG} AS prev_ema_20, lag(ema_50, 5) {_LAG} AS ema_50_before, {n} AS n FROM str),
@@ -94,7 +94,7 @@ al2 AS (SELECT *, CASE WHEN n < 30 OR ema_50 IS NULL OR ema_200 IS NULL THEN 'in
 al AS (SELECT *, CASE label WHEN 'insufficient_data' THEN 0 WHEN 'range_compression' THEN 0.65 WHEN 'range' THEN 0.58 WHEN 'transition' THEN 0.5 ELSE least(1, 0.55::DOUBLE + least(adx_14 / 100, 0.3) + least(abs(gap) / 10, 0.15)) END::DOUBLE AS confidence FROM al2)"""
 
 
-ROWS = _full("walk", 2000, True)
+ROWS = _full("walk", None, True)
 SNAP = _full("walk", 300, False) + ", snap AS (SELECT * FROM al WHERE t = n AND n >= 60)"
 _SETUP_OUT = "SELECT symbol, open_time, direction, round(score, 6) AS score, round(close, 6) AS trigger_price, round(stop, 6) AS stop_hint, round(target, 6) AS target_hint, reasons FROM s WHERE direction IS NOT NULL"
 _MR = """CASE WHEN (label IN ('range', 'range_compression', 'transition') OR coalesce(adx_14, 0) < 25) AND close < coalesce(bb_lower, 0) AND coalesce(rsi_14, 0) <= 35 THEN 'bullish'
@@ -193,8 +193,9 @@ feed AS (SELECT seq AS id, published_at, sentiment_label, importance_score, coal
   coalesce((SELECT string_agg(symbol || ':' || is_contradiction::VARCHAR, ',' ORDER BY symbol) FROM sig WHERE sig.id = page.seq), '') AS signals FROM page)"""
 
 
-_NEWS = _feed(None) + """, nc AS (SELECT t.symbol, count(*) FILTER (sentiment_label = 'positive') AS pos, count(*) FILTER (sentiment_label = 'negative') AS neg, count(*) AS lab,
-  sum((SELECT count(*) FROM sig WHERE sig.id = page.seq AND is_contradiction)) AS con FROM page JOIN tagged t USING (seq) GROUP BY t.symbol)"""
+_NEWS = _feed(None) + """, nc0 AS (SELECT t.symbol, page.seq, sentiment_label FROM page JOIN tagged t USING (seq) QUALIFY row_number() OVER (PARTITION BY t.symbol ORDER BY published_at DESC, page.seq) <= 20),
+nc AS (SELECT symbol, count(*) FILTER (sentiment_label = 'positive') AS pos, count(*) FILTER (sentiment_label = 'negative') AS neg, count(*) AS lab,
+  sum((SELECT count(*) FROM sig WHERE sig.id = nc0.seq AND is_contradiction)) AS con FROM nc0 GROUP BY symbol)"""
 _THESIS = (
     _ANALYSIS
     + ", "
@@ -247,7 +248,7 @@ def oracle_sql() -> dict[str, str]:
         "score_breakdown": f"{ROWS}, d AS (SELECT *, {_MR} AS direction FROM al WHERE t >= 60), s AS (SELECT *, coalesce({_MR_SCORE}, 35.0) AS setup, {_SCORES} FROM d) SELECT symbol, open_time, {_SCORE_OUT}, {_clamped('setup')} AS setup_score, {_clamped('0.35 * trend + 0.25 * momentum + 0.15 * volatility + 0.25 * setup')} AS total_score FROM s",
         "analyze_all": f"{_ANALYSIS} SELECT symbol, n, close, label AS regime, CASE WHEN setup_type IS NULL THEN 0 ELSE 1 END::BIGINT AS n_setups, n_supports, n_resistances, support, resistance, trend_score, momentum_score, volatility_score, total_score, {r('rsi_14', 'macd_hist', 'adx_14')} FROM an",
         "rejected_series": f"WITH {EV}, {EV_DAY}, x AS (FROM ev UNION ALL FROM evd) SELECT symbol, timeframe, least(count(*), 300) AS n FROM x GROUP BY 1, 2 HAVING count(*) < 60",
-        "symbol_normalize": f"WITH s(raw, class) AS (VALUES {', '.join(f'({_q(a)}, {_q(b)})' for a, b in SYMBOLS)}), a AS (SELECT *, {upper} AS c, regexp_split_to_array(upper(raw), '[/_-]') AS p FROM s), b AS (SELECT *, len(p) = 2 AND p[1] <> '' AND p[-1] <> '' AS sp, len(c) = 6 AND ((substr(c, 1, 3) IN ({fx}) AND substr(c, 4, 3) IN ({fx})) OR coalesce(class = 'forex', FALSE)) AS fxp FROM a), d AS (SELECT *, CASE WHEN sp THEN p[1] WHEN fxp THEN substr(c, 1, 3) {ends(lambda q: f'substr(c, 1, len(c) - {len(q)})')} END AS base, CASE WHEN sp THEN p[-1] WHEN fxp THEN substr(c, 4, 3) {ends(_q)} END AS quote FROM b), e AS (SELECT *, len(c) >= 6 AND quote IS NOT NULL AS ok FROM d) SELECT raw, class, CASE WHEN ok THEN base || quote END AS normalized, CASE WHEN ok THEN base END AS base, CASE WHEN ok THEN quote END AS quote, CASE WHEN ok THEN coalesce(class, CASE WHEN quote IN ({fx}) THEN 'forex' ELSE 'crypto' END) END AS asset_class, CASE WHEN ok THEN base || '/' || quote END AS at_ccxt FROM e",
+        "symbol_normalize": f"WITH s(raw, class) AS (VALUES {', '.join(f'({_q(a)}, {_q(b)})' for a, b in SYMBOLS)}), a AS (SELECT *, {upper} AS c, regexp_split_to_array(upper(raw), '[/_-]') AS p FROM s), b AS (SELECT *, len(p) = 2 AND p[1] <> '' AND p[-1] <> '' AS sp, len(p) > 1 AS del, coalesce(class = 'forex', FALSE) AS fxc, len(c) = 6 AND ((substr(c, 1, 3) IN ({fx}) AND substr(c, 4, 3) IN ({fx})) OR coalesce(class = 'forex', FALSE)) AS fxp FROM a), d AS (SELECT *, CASE WHEN sp THEN p[1] WHEN del THEN NULL WHEN fxp THEN substr(c, 1, 3) WHEN fxc THEN NULL {ends(lambda q: f'substr(c, 1, len(c) - {len(q)})')} END AS base, CASE WHEN sp THEN p[-1] WHEN del THEN NULL WHEN fxp THEN substr(c, 4, 3) WHEN fxc THEN NULL {ends(_q)} END AS quote FROM b), e AS (SELECT *, len(c) >= 6 AND quote IS NOT NULL AS ok FROM d) SELECT raw, class, CASE WHEN ok THEN base || quote END AS normalized, CASE WHEN ok THEN base END AS base, CASE WHEN ok THEN quote END AS quote, CASE WHEN ok THEN coalesce(class, CASE WHEN quote IN ({fx}) THEN 'forex' ELSE 'crypto' END) END AS asset_class, CASE WHEN ok THEN base || '/' || quote END AS at_ccxt FROM e",
         "timeframe_interval": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v}::INT)" for k, v in TIMEFRAMES.items()) + ", ('2h', NULL)) v(timeframe, minutes)",
         "news_dedup_key": "SELECT doc_id, " + _key("source", "text", "TIMESTAMP '2024-01-05 06:30:00'") + " AS dedup_key FROM documents",
         "news_batch_dedup": f"WITH {_KEYED} SELECT seq, dedup_key FROM firsts",
@@ -258,10 +259,12 @@ def oracle_sql() -> dict[str, str]:
         "news_ingest_counts": f"WITH {_ITEMS} SELECT (SELECT count(*) FROM cand0) AS fetched, (SELECT count(*) FROM cand0) - (SELECT count(*) FROM items) AS deduplicated, (SELECT count(*) FROM tagged) AS tagged_links",
         "candle_upsert": f"{ups} SELECT asset_id, open_time, CASE WHEN action = 'kept' THEN close ELSE close END AS close, action FROM up",
         "candle_upsert_counts": f"{ups} SELECT count(*) FILTER (action = 'insert') AS inserted, count(*) FILTER (action = 'update') AS updated FROM up",
-        "news_upsert_match": f"WITH {_KEYED}, st AS (SELECT * FROM keyed WHERE seq % 7 = 0 AND seq < 400) SELECT k.seq, (SELECT min(s.seq) FROM st s WHERE s.url = k.url OR (s.dedup_key = k.dedup_key AND s.source_name = k.source_name)) AS match_id FROM keyed k WHERE k.seq % 7 <> 0",
+        "news_upsert_match": f"WITH {_KEYED}, st AS (SELECT * FROM keyed WHERE published_at < TIMESTAMP '{SPLIT}'), su AS (SELECT url, min(seq) AS m FROM st GROUP BY 1), sk AS (SELECT dedup_key, source_name, min(seq) AS m FROM st GROUP BY 1, 2) SELECT k.seq, least(su.m, sk.m) AS match_id FROM keyed k LEFT JOIN su USING (url) LEFT JOIN sk ON sk.dedup_key = k.dedup_key AND sk.source_name = k.source_name WHERE k.published_at >= TIMESTAMP '{SPLIT}'",
+        "news_ingest": f"WITH {_CANDS.replace('FROM events', f"FROM events WHERE ts >= TIMESTAMP '{SPLIT}'")}, {_KEYED[len(_CANDS) + 2:]}, {_tags('firsts')}, old AS (SELECT event_id AS seq, event_type AS source_name, [{', '.join(_q(h[0]) for h in HEADLINES)}][event_id % {len(HEADLINES)} + 1] AS title, ts, 'https://news.example/' || (event_id % 50)::VARCHAR AS url FROM events WHERE ts < TIMESTAMP '{SPLIT}' AND event_id % 50 < 30), st AS (SELECT *, {_key('source_name', 'title', 'ts')} AS dedup_key FROM old), new AS (SELECT * FROM firsts f WHERE f.url NOT IN (SELECT url FROM st) AND (f.dedup_key, f.source_name) NOT IN (SELECT (dedup_key, source_name) FROM st)) SELECT (SELECT count(*) FROM cand0) AS fetched, (SELECT count(*) FROM cand0) - (SELECT count(*) FROM firsts) AS deduplicated, (SELECT count(DISTINCT url) FROM new) AS inserted, (SELECT count(*) FROM firsts) - (SELECT count(DISTINCT url) FROM new) AS updated, (SELECT count(*) FROM tagged) AS tagged_links",
+        "ohlcv_ingest": f"WITH {EV}, r AS (SELECT *, CASE symbol WHEN 'click' THEN 'btc/usdt' WHEN 'view' THEN 'ETHUSDT' WHEN 'error' THEN 'SOL-USDC' ELSE upper(substr(symbol, 1, 3)) || '/USDT' END AS raw, row_number() OVER (PARTITION BY symbol, date_trunc('day', open_time) ORDER BY open_time) AS k FROM ev), g AS (SELECT raw || ' ' || strftime(open_time, '%Y-%m-%d') AS request_id, 'success' AS status, upper(regexp_replace(raw, '[/-]', '')) AS symbol, count(*) AS fetched, count(*) FILTER (hour(open_time) >= 12) AS inserted, count(*) FILTER (hour(open_time) = 3) AS updated, NULL::VARCHAR AS error FROM r WHERE k <= 20 GROUP BY ALL) FROM g UNION ALL SELECT * FROM (VALUES ('fine', 'success', 'EURUSD', 1, 1, 0, NULL), ('failed 1', 'failed', 'BTCUSDT', NULL, NULL, NULL, 'not a provider: nobody'), ('failed 2', 'failed', 'BTCUSDT', NULL, NULL, NULL, 'not a timeframe: 2h'), ('failed 3', 'failed', 'EURUSD', NULL, NULL, NULL, 'Note: null'), ('failed 4', 'failed', 'EURUSD', NULL, NULL, NULL, 'no time series in the payload'), ('failed 5', 'failed', 'BTCUSDT', NULL, NULL, NULL, 'no route for crypto 1h'), ('failed 6', 'failed', 'BTCUSDT', NULL, NULL, NULL, 'not an array of rows'), ('bad 1', 'rejected', NULL, NULL, NULL, NULL, 'not a symbol: x'), ('bad 2', 'rejected', NULL, NULL, NULL, NULL, 'not a symbol: BTC/USD/T'), ('bad 3', 'rejected', NULL, NULL, NULL, NULL, 'not an asset class: stock'), ('bad 4', 'rejected', NULL, NULL, NULL, NULL, 'limit must be 1..1000')) v",
         "insert_if_absent": "SELECT 'GBPUSD' AS normalized_symbol, 'GBP/USD' AS display_symbol",
-        "link_upsert": f"WITH {_CANDS}, {_tags('cand0')} SELECT seq AS news_item_id, symbol AS asset_id, CASE WHEN seq % 3 = 0 THEN relevance ELSE 0.1 END::DOUBLE AS relevance_score FROM tagged WHERE seq % 2 = 0 OR seq % 3 = 0",
-        "asset_listing": "SELECT sha256(a) AS id, a AS normalized_symbol, b AS display_symbol, c AS base_currency, d AS quote_currency, e AS asset_class FROM (VALUES " + ", ".join("(" + ", ".join(map(_q, x)) + ")" for x in ASSETS) + ") v(a, b, c, d, e)",
+        "link_upsert": f"WITH {_CANDS}, {_tags('cand0')} SELECT seq AS news_item_id, symbol AS asset_id, CASE WHEN seq % 3 <> 1 THEN relevance ELSE 0.1 END::DOUBLE AS relevance_score FROM tagged",
+        "asset_listing": "SELECT sha256(a) AS id, a AS normalized_symbol, b AS display_symbol, c || ' / ' || d AS name, TRUE AS is_active, c AS base_currency, d AS quote_currency, e AS asset_class FROM (VALUES " + ", ".join("(" + ", ".join(map(_q, x)) + ")" for x in ASSETS) + ") v(a, b, c, d, e)",
         "price_change_30": f"WITH {EV}, {_change('ev')} SELECT symbol, round(change_pct, 4) AS change_pct FROM chg",
         "contradiction_signals": f"WITH {_SIG} SELECT * FROM sig",
         "news_feed": f"WITH {_feed(20)} SELECT * FROM feed",

@@ -20,8 +20,9 @@ from ..operators import upsert as U
 from ..sources import parsers, schemas
 from ..streaming.candles import stream_candles
 from . import analysis as A
+from . import ingest as G
 
-AS_OF = "2024-01-31 00:00:00"
+AS_OF, SPLIT = "2024-01-31 00:00:00", "2024-01-16 00:00:00"
 #: Headlines that stand in for a news provider: an event's id chooses one.
 HEADLINES = (
     ("BTC rally extends as growth beats", "Optimistic desks see a breakout for BTC/USDT"), ("ETH selloff deepens", "Lawsuit and fraud risk weigh on ETHUSDT"),
@@ -178,7 +179,7 @@ def rejected_series(spark, sf_dir):
     return A.rejected(event_candles(spark, sf_dir, "day", "1d").union(event_candles(spark, sf_dir))).select("symbol", "timeframe", "n")
 
 
-SYMBOLS = (("btc/usdt", "crypto"), ("eurusd", None), ("ETHUSDT", "crypto"), ("BTCUSD", None), ("EURUSD", "crypto"), ("sol-usdc", None), ("ADABTC", None), ("gbp_jpy", None), ("x", None), ("XAUEUR", "forex"), ("QQQQQQ", None))
+SYMBOLS = (("btc/usdt", "crypto"), ("eurusd", None), ("ETHUSDT", "crypto"), ("BTCUSD", None), ("EURUSD", "crypto"), ("sol-usdc", None), ("ADABTC", None), ("gbp_jpy", None), ("x", None), ("XAUEUR", "forex"), ("QQQQQQ", None), ("BTC/USD/T", None), ("BTC//USDT", None), ("EURUSDT", "forex"), ("/EURUSD", None), ("EUR-USD", "forex"))
 
 
 def symbol_normalize(spark, sf_dir):
@@ -220,28 +221,31 @@ def news_sentiment(spark, sf_dir):
 def sentiment_lexicon(spark, sf_dir):
     """The lexicon as a parameter, over documents."""
     docs = table(spark, sf_dir, "documents")
-    s = T.sentiment(F.col("text"), F.lit(""), F.lit(None).cast("string"), F.lit(None).cast("double"), ("the", "der", "ion"), ("idiot", "scum", "le ", "que"))
-    return docs.withColumn("s", s).select("doc_id", F.col("s.label").alias("label"), F.round("s.score", 6).alias("score"))
+    found = N.labelled(docs, F.col("text"), F.lit(""), F.lit(None).cast("string"), F.lit(None).cast("double"), ("the", "der", "ion"), ("idiot", "scum", "le ", "que"))
+    return found.select("doc_id", F.col("sentiment_label").alias("label"), F.round("sentiment_score", 6).alias("score"))
 
 
 def _assets(spark):
-    return schemas.assets(spark)
+    return schemas.active(schemas.assets(spark))
 
 
 def news_tagging(spark, sf_dir):
     return N.tags(candidates(spark, sf_dir), _assets(spark))
 
 
+def _ingested(spark, sf_dir) -> DataFrame:
+    return N.ingest(candidates(spark, sf_dir), _assets(spark), F.lit(AS_OF).cast("timestamp"))
+
+
 def news_importance(spark, sf_dir):
-    items, _ = N.ingest(candidates(spark, sf_dir), _assets(spark), F.lit(AS_OF).cast("timestamp"))
-    return items.select("seq", "importance_score")
+    return _ingested(spark, sf_dir).select("seq", "importance_score")
 
 
 def news_ingest_counts(spark, sf_dir):
-    all_rows = candidates(spark, sf_dir)
-    items, links = N.ingest(all_rows, _assets(spark), F.lit(AS_OF).cast("timestamp"))
-    a, b, c = all_rows.agg(F.count("*").alias("fetched")), items.agg(F.count("*").alias("kept")), links.agg(F.count("*").alias("tagged_links"))
-    return a.join(F.broadcast(b)).join(F.broadcast(c)).select("fetched", (F.col("fetched") - F.col("kept")).alias("deduplicated"), "tagged_links")
+    all_rows, items = candidates(spark, sf_dir), _ingested(spark, sf_dir)
+    kept = items.agg(F.count("*").alias("kept"), F.sum(F.size("tags")).cast("long").alias("tagged_links"))
+    fetched = all_rows.agg(F.count("*")).scalar()
+    return kept.select(fetched.alias("fetched"), (fetched - F.col("kept")).alias("deduplicated"), "tagged_links")
 
 
 def _deliveries(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -267,9 +271,54 @@ def candle_upsert_counts(spark, sf_dir):
 
 
 def news_upsert_match(spark, sf_dir):
+    """All news up to a day are stored, all later ones come in."""
     keyed = N.with_keys(candidates(spark, sf_dir))
-    stored = keyed.where("seq % 7 = 0 and seq < 400").select(F.col("seq").alias("id"), "url", "dedup_key", "source_name")
-    return U.match_news(stored, keyed.where("seq % 7 <> 0").select("seq", "url", "dedup_key", "source_name")).select("seq", "match_id")
+    stored = keyed.where(F.col("published_at") < SPLIT).select(F.col("seq").alias("id"), "url", "dedup_key", "source_name")
+    return U.match_news(stored, keyed.where(F.col("published_at") >= SPLIT).select("seq", "url", "dedup_key", "source_name")).select("seq", "match_id")
+
+
+def news_ingest(spark, sf_dir):
+    """The counters of a batch of all later news against items stored from some of the earlier ones."""
+    everything = candidates(spark, sf_dir)
+    early = N.with_keys(everything.where((F.col("published_at") < SPLIT) & (F.pmod("seq", F.lit(50)) < 30)))
+    stored = early.select(F.col("seq").alias("id"), "source_name", "title", "summary", "url", "published_at", "dedup_key")
+    links = spark.createDataFrame([], schemas.SCHEMAS["news_asset_links"]).withColumn("relevance_score", F.col("relevance_score").cast("double"))
+    return G.news(everything.where(F.col("published_at") >= SPLIT), stored, links, schemas.assets(spark), F.lit(AS_OF).cast("timestamp"))["counters"]
+
+
+def ohlcv_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for the candles of every event type and day, and some that go wrong."""
+    symbol = F.when(F.col("symbol") == "click", "btc/usdt").when(F.col("symbol") == "view", "ETHUSDT").when(F.col("symbol") == "error", "SOL-USDC").otherwise(F.concat(F.upper(F.substring("symbol", 1, 3)), F.lit("/USDT")))
+    day, hour = F.to_date("open_time"), F.unix_millis(F.col("open_time").cast("timestamp"))
+    row = F.concat(F.lit("["), F.concat_ws(",", hour, *(F.round(c, 4).cast("decimal(20,4)") for c in ("open", "high", "low", "close")), F.col("volume")), F.lit("]"))
+    sent = event_candles(spark, sf_dir).groupBy(symbol.alias("raw_symbol"), day.alias("day")).agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(row)), ","), F.lit("]")).alias("payload"))
+    good = sent.select(F.concat_ws(" ", "raw_symbol", "day").alias("request_id"), F.lit("ccxt").alias("provider_code"), "raw_symbol", F.lit(None).cast("string").alias("asset_class"), F.lit("1h").alias("timeframe"), F.lit(20).alias("row_limit"), "payload")
+    bad = spark.createDataFrame(list(BAD_REQUESTS), "request_id string, provider_code string, raw_symbol string, asset_class string, timeframe string, row_limit int, payload string")
+    return good.unionByName(bad)
+
+
+#: Requests that are rejected, fail, or bring one daily candle.
+BAD_REQUESTS = (
+    ("bad 1", "ccxt", "x", None, "1h", 10, "[]"), ("bad 2", "ccxt", "BTC/USD/T", None, "1h", 10, "[]"), ("bad 3", "ccxt", "BTCUSDT", "stock", "1h", 10, "[]"), ("bad 4", "ccxt", "BTCUSDT", None, "1h", 0, "[]"),
+    ("failed 1", "nobody", "BTCUSDT", None, "1h", 10, "[]"), ("failed 2", "ccxt", "BTCUSDT", None, "2h", 10, "[]"), ("failed 3", "alpha_vantage", "EURUSD", None, "1h", 10, '{"Note": null}'),
+    ("failed 4", "alpha_vantage", "EURUSD", None, "1h", 10, '{"Meta Data": {}}'), ("failed 5", "alpha_vantage", "BTCUSDT", None, "1h", 10, "{}"), ("failed 6", "ccxt", "BTCUSDT", None, "1h", 10, "no JSON"),
+    ("fine", "alpha_vantage", "EURUSD", None, "1d", 1, '{"Time Series FX (Daily)": {"2025-01-02": {"1. open": "1", "2. high": "2", "3. low": "1", "4. close": "2"}, "2025-01-01": {"1. open": "1", "2. high": "3", "3. low": "1", "4. close": "2"}}}'),
+)
+
+
+def ohlcv_ingest(spark, sf_dir):
+    """A row per request: whether it was rejected, failed or brought candles, and how many; half of the hours are stored before, some with another close."""
+    requests = ohlcv_requests(spark, sf_dir)
+    before = event_candles(spark, sf_dir).where(F.hour("open_time") < 12)
+    raw = F.when(F.col("symbol") == "click", "BTCUSDT").when(F.col("symbol") == "view", "ETHUSDT").when(F.col("symbol") == "error", "SOLUSDC").otherwise(F.concat(F.upper(F.substring("symbol", 1, 3)), F.lit("USDT")))
+    at, price = F.col("open_time").cast("timestamp"), lambda c: F.round(c, 4).cast(schemas.PRICE)
+    close = F.when(F.hour("open_time") == 3, price("close") + F.lit(1).cast(schemas.PRICE)).otherwise(price("close")).cast(schemas.PRICE)
+    candles = before.select(F.sha2(raw, 256).alias("asset_id"), F.sha2(F.lit("ccxt"), 256).alias("provider_id"), "timeframe", at.alias("open_time"), Y.close_time(at, F.col("timeframe")).alias("close_time"), *(price(c).alias(c) for c in ("open", "high", "low")), close.alias("close"), F.col("volume").cast(schemas.VOLUME).alias("volume"), F.lit(None).cast(schemas.VOLUME).alias("quote_volume"), F.lit(None).cast("int").alias("trade_count"))
+    stored = {"providers": schemas.providers(spark), "assets": schemas.assets(spark), "asset_provider_symbols": spark.createDataFrame([], schemas.SCHEMAS["asset_provider_symbols"]), "candles": candles}
+    out = G.ohlcv(requests, stored, F.lit(AS_OF).cast("timestamp"))
+    of = lambda c: F.get_json_object("details", f"$.{c}")
+    runs = out["runs"].select("request_id", "status", of("symbol").alias("symbol"), *(of(f"{c}_count").cast("long").alias(c) for c in ("fetched", "inserted", "updated")), of("error").alias("error"))
+    return runs.unionByName(out["rejected"].withColumn("status", F.lit("rejected")), allowMissingColumns=True)
 
 
 def insert_if_absent(spark, sf_dir):
@@ -280,12 +329,12 @@ def insert_if_absent(spark, sf_dir):
 
 def link_upsert(spark, sf_dir):
     tagged = N.tags(candidates(spark, sf_dir), _assets(spark)).select(F.col("seq").alias("news_item_id"), F.col("symbol").alias("asset_id"), F.col("relevance").alias("relevance_score"))
-    stored = tagged.where("news_item_id % 2 = 0").withColumn("relevance_score", F.lit(0.1))
-    return U.upsert_links(stored, tagged.where("news_item_id % 3 = 0"))
+    stored = tagged.where("news_item_id % 3 <> 0").withColumn("relevance_score", F.lit(0.1))
+    return U.upsert_links(stored, tagged.where("news_item_id % 3 <> 1"))
 
 
 def asset_listing(spark, sf_dir):
-    return _assets(spark).select("id", "normalized_symbol", "display_symbol", "base_currency", "quote_currency", "asset_class")
+    return _assets(spark).select("id", "normalized_symbol", "display_symbol", "name", "base_currency", "quote_currency", "asset_class", "is_active")
 
 
 def _changes(spark, sf_dir) -> DataFrame:
@@ -298,19 +347,16 @@ def price_change_30(spark, sf_dir):
     return C.price_change(event_candles(spark, sf_dir)).select("symbol", F.round("change_pct", 4).alias("change_pct"))
 
 
-def _news(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    items, links = N.ingest(candidates(spark, sf_dir), _assets(spark), F.lit(AS_OF).cast("timestamp"))
-    return items.withColumnRenamed("seq", "id"), links.withColumnRenamed("seq", "id")
+def _news(spark, sf_dir) -> DataFrame:
+    return _ingested(spark, sf_dir).withColumnRenamed("seq", "id")
 
 
 def contradiction_signals(spark, sf_dir):
-    items, links = _news(spark, sf_dir)
-    return N.signals(items, links, _changes(spark, sf_dir)).select("id", "symbol", "price_change_pct_24h", "is_contradiction")
+    return N.signals(_news(spark, sf_dir), _changes(spark, sf_dir))
 
 
 def _feed(spark, sf_dir, limit: int | None = 20, symbol: str | None = None):
-    items, links = _news(spark, sf_dir)
-    return N.feed(items, links, _changes(spark, sf_dir), F.lit(AS_OF).cast("timestamp_ntz"), 72, limit, symbol)
+    return N.feed(_news(spark, sf_dir), _changes(spark, sf_dir), F.lit(AS_OF).cast("timestamp_ntz"), 72, limit, symbol)
 
 
 def _flat_feed(df: DataFrame) -> DataFrame:
@@ -329,7 +375,8 @@ def news_feed_symbol(spark, sf_dir):
 def _theses(spark, sf_dir):
     names = F.when(F.col("symbol") == "click", "BTCUSDT").when(F.col("symbol") == "view", "ETHUSDT").when(F.col("symbol") == "error", "EURUSD").otherwise(F.col("symbol"))
     analysis = A.analyze(walk_candles(spark, sf_dir).withColumn("symbol", names))
-    return H.theses(analysis, H.news_counts(_feed(spark, sf_dir, None)))
+    newest = N.newest_of_symbols(_news(spark, sf_dir), F.lit(AS_OF).cast("timestamp_ntz"))
+    return H.theses(analysis, H.news_counts(newest, _changes(spark, sf_dir)))
 
 
 def thesis_confidence(spark, sf_dir):
@@ -361,7 +408,7 @@ def stream_hourly(spark, sf_dir):
 ALL = (
     candle_resample, candles_latest_n, candles_joined_dims, sma_volume_sma, bollinger, true_range, directional_movement, ema_20_50_200, macd, atr_rsi, adx, swing_points, support_resistance, trend_regime,
     setups_mean_reversion, setups_pullback, setups_breakout_given_levels, score_breakdown, analyze_all, rejected_series, symbol_normalize, timeframe_interval, news_dedup_key, news_batch_dedup, news_sentiment,
-    sentiment_lexicon, news_tagging, news_importance, news_ingest_counts, candle_upsert, candle_upsert_counts, news_upsert_match, insert_if_absent, link_upsert, asset_listing, price_change_30, contradiction_signals,
+    sentiment_lexicon, news_tagging, news_importance, news_ingest_counts, candle_upsert, candle_upsert_counts, news_upsert_match, news_ingest, ohlcv_ingest, insert_if_absent, link_upsert, asset_listing, price_change_30, contradiction_signals,
     news_feed, news_feed_symbol, thesis_confidence, thesis_invalidation, thesis_text, exchange_payloads, stream_hourly,
 )
 

@@ -1,6 +1,10 @@
 """Every market query against its SQL."""
 
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -35,6 +39,28 @@ def test_query(spark, db, name):
     assert close(table_rows(found), table_rows(wanted))
 
 
+def plan(spark, name: str) -> str:
+    df = queries.queries()[name](spark, SF)
+    return df._jdf.queryExecution().optimizedPlan().toString() if name == "news_sentiment" else df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_gone_through_once(spark):
+    assert plan(spark, "news_sentiment").count("regexp_replace") < 20
+
+
+def test_feed_reads_little(spark):
+    assert plan(spark, "news_feed").count("Exchange hashpartitioning") <= 8
+
+
+def test_entry_without_the_training_data_operators(tmp_path):
+    """The entry in a copy of the repository without those folders."""
+    here = Path(__file__).resolve().parents[1]
+    shutil.copytree(here, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    code = "import __spark_entry__ as e; print(len(e.queries()), sorted(e.queries()) == sorted(e.oracle_sql()), any(x.startswith('op') or x == 'pipeline' for x in e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", capture_output=True, text=True, timeout=120, env=os.environ | {"PYTHONPATH": str(tmp_path / "copy")})
+    assert out.stdout.split() == [str(len(queries.queries())), "True", "False"], out.stderr
+
+
 def test_entry(spark):
     import __spark_entry__
 

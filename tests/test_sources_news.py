@@ -1,8 +1,11 @@
 """Parsers, news rules, upserts, the thesis rules and the streaming plan."""
 
 import datetime as dt
+import random
+import re
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketloom.functions import symbols as Y
@@ -20,8 +23,18 @@ def one(spark, **columns):
 def test_symbols(spark):
     s = one(spark, a=Y.normalize_symbol(F.lit("btc/usdt"), F.lit("crypto")), b=Y.normalize_symbol(F.lit("BTCUSD")), c=Y.normalize_symbol(F.lit("x"), strict=False))
     assert (s.a.normalized, s.a.base, s.b.asset_class, s.c) == ("BTCUSDT", "BTC", "forex", None)
-    with pytest.raises(Exception, match="not a symbol"):
-        one(spark, a=Y.normalize_symbol(F.concat(F.lit("x"), F.lit(""))))
+    bad = [("x", None), ("BTC/USD/T", None), ("BTC//USDT", None), ("/EURUSD", None), ("EURUSDT", "forex"), ("QQQQQQ", None), (None, None)]
+    df = spark.createDataFrame(bad, "raw string, class string")
+    assert df.where(Y.normalize_symbol(F.col("raw"), F.col("class"), strict=False).isNotNull()).count() == 0
+    for raw, kind in bad:
+        with pytest.raises(Exception, match="not a symbol"):
+            df.where(F.col("raw").eqNullSafe(raw) & F.col("class").eqNullSafe(kind)).select(Y.normalize_symbol(F.col("raw"), F.col("class"))).collect()
+    six = one(spark, a=Y.normalize_symbol(F.lit("xaueur"), F.lit("forex")))
+    assert (six.a.base, six.a.quote, six.a.asset_class) == ("XAU", "EUR", "forex")
+    with pytest.raises(Exception, match="not a provider"):
+        one(spark, a=Y.provider_symbol(Y.normalize_symbol(F.lit("BTCUSDT")), F.lit("nobody")))
+    names = one(spark, a=Y.provider_name(F.lit("ccxt")), b=Y.provider_name(F.lit("other")), c=Y.base_currencies(F.array(F.lit("eth/usdt"), F.lit("BTCUSDT"), F.lit("BTC-USD"))))
+    assert (names.a, names.b, names.c) == ("CCXT", "OTHER", ["BTC", "ETH"])
 
 
 def test_exchange_rows(spark):
@@ -39,20 +52,35 @@ def test_time_series(spark):
     assert parsers.time_series(df, limit=1).count() == 1
     with pytest.raises(Exception, match="slow down"):
         parsers.time_series(df.withColumn("payload", F.lit('{"Note": "slow down"}'))).collect()
+    with pytest.raises(Exception, match="Information: null"):
+        parsers.time_series(df.withColumn("payload", F.lit('{"Information": null}'))).collect()
+    assert one(spark, a=parsers.route(F.lit("forex"), F.lit("5m")), b=parsers.route(F.lit("crypto"), F.lit("1d")), c=parsers.route(F.lit("crypto"), F.lit("5m"), strict=False))[:3] == ("FX_INTRADAY", "DIGITAL_CURRENCY_DAILY", None)
+    with pytest.raises(Exception, match="no route for crypto 5m"):
+        one(spark, a=parsers.route(F.lit("crypto"), F.concat(F.lit("5"), F.lit("m"))))
 
 
 def test_news_feed_payload(spark):
-    text = '{"feed": [{"title": " A ", "source": "", "time_published": "20250101T101500", "overall_sentiment_score": "x", "ticker_sentiment": [{"ticker": " btc "}, {"ticker": ""}]}, {"title": " "}, 5, {"title": "B", "time_published": "bad"}]}'
+    text = '{"feed": [{"title": " A ", "source": "", "time_published": "20250101T101500", "overall_sentiment_score": "x", "ticker_sentiment": [7, {"ticker": " btc "}, {"ticker": ""}, "x", {"a": 1}]}, {"title": " "}, 5, {"title": "B", "time_published": "bad"}]}'
     df = spark.createDataFrame([(text,)], "payload string")
     got = parsers.news_feed(df, F.lit("2025-02-01 00:00:00").cast("timestamp")).orderBy("seq").collect()
     assert [(r.title, r.source_name, r.tickers) for r in got] == [("A", "unknown", ["BTC"]), ("B", "unknown", [])]
     assert got[0].published_at == dt.datetime(2025, 1, 1, 10, 15) and got[1].published_at == dt.datetime(2025, 2, 1) and got[0].provider_score is None
+    assert '"title":" A "' in got[0].raw_payload.replace(": ", ":")
+    assert [r.title for r in parsers.news_feed(df, F.lit("2025-02-01 00:00:00").cast("timestamp"), limit=1).collect()] == ["A"]
+    for bad, said in (('{"Note": "slow down"}', "slow down"), ('{"Note": null}', "Note"), ("{}", "no feed array"), ('{"feed": {"a": 1}}', "no feed array"), ("no JSON", "no feed array")):
+        with pytest.raises(Exception, match=said):
+            parsers.news_feed(df.withColumn("payload", F.lit(bad)), F.current_timestamp()).collect()
+    with pytest.raises(ValueError):
+        parsers.news_feed(df, F.current_timestamp(), limit=201)
 
 
 def test_text_rules(spark):
     at = F.lit("2025-01-01 10:00:00").cast("timestamp")
-    r = one(spark, a=T.dedup_key(F.lit("S"), F.lit(" BTC  up!"), at), b=T.dedup_key(F.lit("s"), F.lit("btc up"), at), s=T.sentiment(F.lit("bullish breakout"), F.lit("growth against"), F.lit(None).cast("string"), F.lit(None).cast("double")), i=T.importance(F.lit(4.0), F.lit(-0.4), F.lit(0.7), F.lit(0.6)), old=T.importance(F.lit(99.0), F.lit(0.0), F.lit(None).cast("double"), F.lit(None).cast("double")), z=T.sentiment(F.lit("x"), F.lit(None).cast("string"), F.lit("Bearish"), F.lit(0.0)))
-    assert r.a == r.b and r.s.label == "positive" and r.s.score == 1.0 and r.i == 82.1 and r.old == 28.0 and (r.z.label, r.z.score) == ("negative", -0.25)
+    r = one(spark, a=T.dedup_key(F.lit("S"), F.lit(" BTC  up!"), at), b=T.dedup_key(F.lit("s"), F.lit("btc up"), at), i=T.importance(F.lit(4.0), F.lit(-0.4), F.lit(0.7), F.lit(0.6)), old=T.importance(F.lit(99.0), F.lit(0.0), F.lit(None).cast("double"), F.lit(None).cast("double")))
+    assert r.a == r.b and r.i == 82.1 and r.old == 28.0
+    said = [(1, "bullish breakout", "growth against", None, None), (2, "x", None, "Bearish", 0.0), (3, "a rally, a drop", "", "", None), (4, None, None, "Neutral", 0.3), (5, "x", "y", "somewhat positive", None)]
+    got = N.labelled(spark.createDataFrame(said, "seq int, title string, summary string, provider_label string, provider_score double")).orderBy("seq").collect()
+    assert [(x.sentiment_label, x.sentiment_score) for x in got] == [("positive", 1.0), ("negative", -0.25), ("neutral", 0.0), ("neutral", 0.3), ("positive", 0.25)]
     pairs = [("positive", -1.2, True), ("negative", 1.3, True), ("positive", 2.1, False), ("neutral", -5.0, False), (None, 3.0, False)]
     df = spark.createDataFrame(pairs, "label string, change double, want boolean")
     assert df.where(T.contradicts(F.col("label"), F.col("change")) != F.col("want")).count() == 0
@@ -64,6 +92,11 @@ def test_upserts(spark):
     new = spark.createDataFrame([(2, "B"), (3, "c"), (4, None)], "k int, v string")
     got = {r.k: (r.v, r.action) for r in U.upsert(stored, new, key, values).collect()}
     assert got == {1: ("a", "kept"), 2: ("B", "update"), 3: ("c", "insert"), 4: (None, "same")}
+    doubled = spark.createDataFrame([(1, "b", 1), (1, "c", 2), (None, "n", 3), (None, "m", 4), (5, None, 5)], "k int, v string, seq int")
+    got = {r.k: (r.v, r.action) for r in U.upsert(stored.union(spark.createDataFrame([(None, "old")], "k int, v string")), doubled, key, values, "seq").collect()}
+    assert got == {1: ("c", "update"), 2: ("b", "kept"), 4: (None, "kept"), 5: (None, "insert"), None: ("m", "update")}
+    assert {(r.k, r.v) for r in U.absent(stored, doubled.select("k", "v").where("k is not null"), key).collect()} == {(5, None)}
+    assert U.absent(stored.select("k"), doubled.select("k"), key).count() == 2
     again = U.upsert(U.upsert(stored, new, key, values).drop("action"), new, key, values)
     assert U.counts(again).first().asDict() == {"inserted": 0, "updated": 0}
 
@@ -94,13 +127,98 @@ def test_thesis_confidence(spark):
     assert (c.label, c.score) == ("medium", 62.37)
 
 
-def test_feed_without_links(spark):
-    items = spark.createDataFrame([(1, dt.datetime(2025, 1, 1), "positive", None, None)], "id int, published_at timestamp_ntz, sentiment_label string, summary string, url string")
-    links, changes = spark.createDataFrame([], "id int, symbol string"), spark.createDataFrame([], "symbol string, change_pct double")
+def relevance(title, summary, tickers, symbol, base, display):
+    """The five rules asked one by one."""
+    text = re.sub("[^A-Z0-9/]", " ", re.sub(r"\s+", " ", f"{title} {summary}".upper()))
+    given, score = {t.upper() for t in tickers}, 0.0
+    for test, value in ((symbol in given, 0.95), (base in given, 0.82), (symbol in text or display.replace("/", "") in text, 0.9), (re.search(rf"\b{re.escape(base)}\b", text), 0.6), (re.search(rf"\b{re.escape(display)}\b", text), 0.8)):
+        score = max(score, value if test else 0.0)
+    return score
+
+
+def test_tags_against_every_pair(spark):
+    assets = [("BTCUSDT", "BTC", "BTC/USDT"), ("ETHUSDT", "ETH", "ETH/USDT"), ("EURUSD", "EUR", "EUR/USD"), ("AB", "A", "A/B"), ("1INCHUSDT", "1INCH", "1INCH/USDT")]
+    words, rng = ["BTC", "btc/usdt", "xBTCUSDTx", "eth", "ETH/USDT/X", "eur/usd", "EURUSD.", "a/b", "A", "ab", "1inch", "the", "BTC-USDT", "//", "EUR /USD", "usdt"], random.Random(7)
+    news = [(i, " ".join(rng.choices(words, k=rng.randint(0, 4))), " ".join(rng.choices(words, k=2)), rng.choices(["BTC", "ethusdt", "EUR", "x"], k=rng.randint(0, 2))) for i in range(300)]
+    a = spark.createDataFrame(assets, "normalized_symbol string, base_currency string, display_symbol string")
+    b = spark.createDataFrame(news, "seq int, title string, summary string, tickers array<string>")
+    want = {(i, s): r for i, t, u, k in news for s, base, d in assets if (r := relevance(t, u, k, s, base, d)) >= 0.35}
+    found = N.tags(b, a)
+    assert {(r.seq, r.symbol): r.relevance for r in found.collect()} == want
+    tagged = {r.seq: [(x.symbol, x.relevance) for x in r.tags] for r in N.with_tags(b, found).collect()}
+    assert len(tagged) == 300 and all(v == sorted(((s, r) for (j, s), r in want.items() if j == i), key=lambda x: (-x[1], x[0])) for i, v in tagged.items())
+    assert N.tags(b, a.limit(0)).count() == 0
+
+
+def test_feed(spark):
+    items = spark.createDataFrame([(1, dt.datetime(2025, 1, 1), "positive", None, None, []), (2, dt.datetime(2025, 1, 1, 1), "negative", "s", "u", [(0.9, "B"), (0.8, "A")])], "id int, published_at timestamp_ntz, sentiment_label string, summary string, url string, tags array<struct<relevance:double,symbol:string>>")
+    changes = spark.createDataFrame([("A", 2.0)], "symbol string, change_pct double")
     as_of = F.lit("2025-01-02 00:00:00").cast("timestamp_ntz")
-    row = N.feed(items, links, changes, as_of).first()
-    assert row.asset_symbols == [] and row.contradiction_signals == [] and row.summary == ""
-    assert N.feed(items, links, changes, as_of, 1).count() == 0
+    rows = {r.id: r for r in N.feed(items, changes, as_of).collect()}
+    assert rows[1].asset_symbols == [] and rows[1].contradiction_signals == [] and rows[1].summary == ""
+    assert rows[2].asset_symbols == ["A", "B"] and [tuple(x) for x in rows[2].contradiction_signals] == [("A", 2.0, True)]
+    assert [r.id for r in N.feed(items, changes, as_of, limit=1).collect()] == [2] and N.feed(items, changes, as_of, 1).count() == 0
+    links = N.links(items, "id")
+    again = {r.id: r for r in N.feed(items.drop("tags"), changes, as_of, symbol="B", stored_links=links).collect()}
+    assert list(again) == [2] and again[2].contradiction_signals == rows[2].contradiction_signals
+    with pytest.raises(ValueError):
+        N.feed(items, changes, as_of, 721)
+
+
+def test_thesis_counts_the_newest_items_of_a_symbol(spark):
+    day = dt.datetime(2025, 1, 1)
+    rows = [(i, day + dt.timedelta(minutes=i), "positive" if i < 30 else "negative", [(0.9, "A"), (0.8, "B")] if i % 2 else [(0.9, "A")]) for i in range(40)]
+    items = spark.createDataFrame(rows, "id int, published_at timestamp_ntz, sentiment_label string, tags array<struct<relevance:double,symbol:string>>")
+    changes = spark.createDataFrame([("A", 3.0), ("B", -3.0)], "symbol string, change_pct double")
+    got = {r.symbol: r for r in H.news_counts(N.newest_of_symbols(items, F.lit("2025-01-02 00:00:00").cast("timestamp_ntz")), changes).collect()}
+    assert (got["A"].positive, got["A"].negative, got["A"].labelled) == (10, 10, 20) and (got["B"].positive, got["B"].negative) == (15, 5)
+    assert got["A"].contradictions == 10 + 5  # ten falling items against A's rise, five rising ones against B's fall
+    theses = spark.createDataFrame([("A", "1h", None)], "symbol string, timeframe string, setup_type string")
+    assert '"setup_type":null' in H.document(theses, F.lit("2025-01-02 00:00:00").cast("timestamp")).first().document
+
+
+def test_ohlcv_tables(spark):
+    from marketloom.plans import ingest as G
+
+    rows = [("r1", "ccxt", "btc/usdt", None, "1h", 2, "[[0,1,2,1,2,5],[3600000,2,3,2,3,null],[7200000,3,3,3,3,1]]"), ("r2", "ccxt", "BTCUSDT", None, "1h", 9, "[[0,1,2,1,9,5]]"), ("r3", "other", "BTCUSDT", None, "1h", 9, "[]")]
+    requests = spark.createDataFrame(rows, "request_id string, provider_code string, raw_symbol string, asset_class string, timeframe string, row_limit int, payload string")
+    empty = lambda t: spark.createDataFrame([], schemas.SCHEMAS[t])
+    stored = {"providers": schemas.providers(spark), "assets": schemas.assets(spark).limit(0), "asset_provider_symbols": empty("asset_provider_symbols"), "candles": empty("candles")}
+    out = G.ohlcv(requests, stored, F.lit("2025-01-01 00:00:00").cast("timestamp"))
+    candles = sorted((r.open_time.timestamp(), float(r.close), r.action, r.request_id) for r in out["candles"].collect())
+    assert candles == [(0.0, 9.0, "insert", "r2"), (3600.0, 3.0, "insert", "r1")]  # the third is beyond the limit, the last delivery of the first wins
+    assert sorted((r.request_id, r.status) for r in out["runs"].collect()) == [("r1", "success"), ("r2", "success"), ("r3", "failed")]
+    assert [(r.normalized_symbol, r.name, r.asset_class) for r in out["assets"].collect()] == [("BTCUSDT", "BTC / USDT", "crypto")]
+    assert [(r.provider_symbol, r.is_primary) for r in out["asset_provider_symbols"].collect()] == [("BTC/USDT", True)]
+    assert sorted((r.code, r.name) for r in out["providers"].collect()) == [("alpha_vantage", "Alpha Vantage"), ("ccxt", "CCXT"), ("other", "OTHER")]
+    again = G.ohlcv(requests, stored | {"candles": out["candles"].drop("request_id", "action")}, F.lit("2025-01-01 00:00:00").cast("timestamp"))
+    assert U.counts(again["candles"]).first().asDict() == {"inserted": 0, "updated": 0} and again["candles"].where("action = 'same'").count() == 2
+
+
+def test_news_tables(spark):
+    from marketloom.plans import ingest as G
+
+    at = dt.datetime(2025, 1, 1)
+    rows = [(1, "s", "BTC rally", "", "u1", at, None, None, None, ["BTC"]), (2, "s", "btc  RALLY!", "again", "u9", at, None, None, None, []), (3, "s", "ETH drop", "", "u1", at, None, None, None, []), (4, "s", "Old news", "", "u0", at, None, None, None, ["EURUSD"])]
+    candidates = spark.createDataFrame(rows, "seq long, source_name string, title string, summary string, url string, published_at timestamp_ntz, provider_label string, provider_score double, provider_importance double, tickers array<string>")
+    stored = spark.createDataFrame([("7", "first", "t", "", "u0", at, "k")], "id string, source_name string, title string, summary string, url string, published_at timestamp_ntz, dedup_key string")
+    links = spark.createDataFrame([("7", "gone", 0.5)], "news_item_id string, asset_id string, relevance_score double")
+    assets = schemas.assets(spark).withColumn("is_active", F.col("base_currency") != "ETH")
+    out = G.news(candidates, stored, links, assets, F.lit("2025-01-01 01:00:00").cast("timestamp"))
+    assert out["counters"].first().asDict() == {"fetched": 4, "deduplicated": 1, "inserted": 1, "updated": 2, "tagged_links": 2}
+    items = {r.url: r for r in out["items"].collect()}
+    assert (items["u0"].id, items["u0"].action, items["u0"].source_name, items["u0"].title) == ("7", "update", "first", "Old news") and (items["u1"].action, items["u1"].title) == ("insert", "ETH drop")
+    assert sorted((r.news_item_id == "7", float(r.relevance_score)) for r in out["links"].collect()) == [(False, 0.82), (True, 0.5), (True, 0.95)]
+
+
+def test_read_candles(spark):
+    from marketloom.plans import ingest as G
+
+    df = spark.createDataFrame([("BTCUSDT", "1h", dt.datetime(2025, 1, 1, h)) for h in range(5)] + [("BTCUSDT", "1d", dt.datetime(2025, 1, 1))], "symbol string, timeframe string, open_time timestamp_ntz")
+    assert sorted(r.open_time.hour for r in G.read_candles(df, "btc/usdt", "1h", 2).collect()) == [3, 4]
+    for bad in (dict(limit=0), dict(limit=1001), dict(asset_class="stock")):
+        with pytest.raises(ValueError):
+            G.read_candles(df, "btc/usdt", "1h", **bad)
 
 
 def test_resilience():
@@ -130,7 +248,7 @@ def test_resilience():
 
 
 def test_stream(spark, tmp_path):
-    from marketloom.streaming.candles import into_store, stream_candles
+    from marketloom.streaming.candles import into_store, read_store, stream_candles
 
     rows = [("A", dt.datetime(2025, 1, 1, h, m), float(h * 60 + m), h * 60 + m) for h in range(5) for m in (0, 20, 40)]
     df = spark.createDataFrame(rows, "symbol string, ts timestamp, price double, id int")
@@ -138,10 +256,56 @@ def test_stream(spark, tmp_path):
     ticks = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     q = stream_candles(ticks).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(into_store(str(tmp_path / "out"), ("symbol", "open_time"), ("open", "high", "low", "close", "volume"))).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    last = max((tmp_path / "out").iterdir(), key=lambda p: int(p.name.split("=")[1]))
-    stored = sorted((r.open_time, r.open, r.close) for r in spark.read.parquet(str(last)).collect())
+    stored = sorted((r.open_time, r.open, r.close) for r in read_store(spark, str(tmp_path / "out"), STORED).collect())
     assert stored == sorted((r.open_time, r.open, r.close) for r in stream_candles(df).collect()) and len(stored) == 5
 
 
+STORED = "symbol string, open_time timestamp, open double, high double, low double, close double, volume double"
+
+
+def test_store_by_days(spark, tmp_path):
+    from marketloom.streaming.candles import into_store, read_store
+
+    path, write = str(tmp_path / "s"), into_store(str(tmp_path / "s"), ("symbol", "open_time"), ("close",))
+    of = lambda *rows: spark.createDataFrame([("A", dt.datetime(2025, 1, d, h), c) for d, h, c in rows], "symbol string, open_time timestamp, close double")
+    assert read_store(spark, path, "symbol string, open_time timestamp, close double").count() == 0
+    batches = [of((1, 1, 1.0), (2, 1, 2.0)), of((2, 1, 9.0), (2, 2, 3.0)), of((3, 1, 4.0))]
+    for k, b in enumerate(batches):
+        write(b, k)
+    write(batches[1], 1)  # a batch that runs again
+    got = sorted((r.open_time.day, r.open_time.hour, r.close) for r in read_store(spark, path, "symbol string, open_time timestamp, close double").collect())
+    assert got == [(1, 1, 1.0), (2, 1, 9.0), (2, 2, 3.0), (3, 1, 4.0)]
+    assert not list(tmp_path.glob("s/day=2025-01-01/version=1")) and list(tmp_path.glob("s/day=2025-01-02/version=1"))
+
+
+def test_stream_headlines(spark, tmp_path):
+    from marketloom.streaming.candles import stream_headlines
+
+    at = dt.datetime(2025, 1, 1)
+    schema = "dedup_key string, published_at timestamp, n int"
+    for k, rows in enumerate([[("a", at, 1), ("a", at, 2), ("b", at, 3)], [("a", at + dt.timedelta(minutes=5), 4), ("c", at, 5)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = stream_headlines(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.option("checkpointLocation", str(tmp_path / "cp")).format("parquet").option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    assert sorted(r.dedup_key for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
+
+
+def test_stream_means(spark, tmp_path):
+    from marketloom.functions.ewm import with_ew
+    from marketloom.streaming.means import stream_means
+
+    at = dt.datetime(2025, 1, 1)
+    rows = [(s, "1h", at + dt.timedelta(hours=h), None if h % 7 == 3 else float((h * 37) % 11 + (s == "B"))) for s in "AB" for h in range(40)]
+    schema, means = "symbol string, timeframe string, open_time timestamp, close double", {"e": ("close", 0.2, 1), "w": ("close", 1 / 14, 14)}
+    for part in (rows[:25] + rows[40:50], rows[25:40] + rows[50:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = stream_means(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), means).writeStream.option("checkpointLocation", str(tmp_path / "cp")).format("parquet").option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    numbered = spark.createDataFrame(rows, schema).withColumn("t", F.row_number().over(Window.partitionBy("symbol").orderBy("open_time")))
+    want = {(r.symbol, r.open_time): (r.e, r.w) for r in with_ew(numbered, means).collect()}
+    got = {(r.symbol, r.open_time): (r.e, r.w) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert len(got) == 80 and all((a is None or a != a) and (b is None) or abs(a - b) < 1e-9 for k in want for a, b in zip(got[k], want[k]))
+
+
 def test_seeds(spark):
     assert schemas.assets(spark).count() == 3 and schemas.providers(spark).count() == 2
