@@ -33,16 +33,27 @@ def clusters(values: Column, tolerance: float = TOLERANCE) -> Column:
     return F.aggregate(F.array_sort(values), start, step, closed)
 
 
-def levels(frame: DataFrame) -> DataFrame:
-    """One row per series: supports and resistances, ARRAY(STRUCT(level, touches, distance_pct)), the nearest five of each to the last close.
+def extremes(frame: DataFrame) -> DataFrame:
+    """frame with _low and _high: the value where it is the extreme of the rows around it, and null elsewhere. The last rows of a series are still to be left out."""
+    around = Window.partitionBy(*KEY).orderBy("t").rowsBetween(-SIDE, SIDE)
+    at = lambda c, best: F.when((F.col("t") > SIDE) & (F.col(c) == best(c).over(around)), F.struct("t", F.col(c).alias("value")))
+    return frame.withColumns({"_low": at("low", F.min), "_high": at("high", F.max)})
+
 
-    All swing points of a series are collected: it has at most 2000 rows."""
-    found = swings(frame).groupBy(*KEY).agg(F.collect_list("swing_low").alias("lows"), F.collect_list("swing_high").alias("highs"), F.max_by("close", "t").alias("close"))
-    close = F.col("close")
+def near(swings: Column, n: Column, close: Column, below: bool) -> Column:
+    """ARRAY(STRUCT(level, touches, distance_pct)): the nearest five clusters of swing points on one side of the close, from the collected _low or _high of a series of n rows."""
+    values = F.transform(F.filter(swings, lambda x: x["t"] <= n - SIDE), lambda x: x["value"])
+    side = F.filter(clusters(values), lambda c: c["price"] < close if below else c["price"] > close)
+    side = F.reverse(side) if below else side
+    return F.transform(F.slice(side, 1, KEEP), lambda c: F.struct(F.round(c["price"], 8).alias("level"), c["touches"].alias("touches"), F.round((c["price"] - close) / F.nullif(close, F.lit(0.0)) * 100, 4).alias("distance_pct")))
 
-    def near(values: str, below: bool) -> Column:
-        side = F.filter(clusters(F.col(values)), lambda c: c["price"] < close if below else c["price"] > close)
-        side = F.reverse(side) if below else side
-        return F.transform(F.slice(side, 1, KEEP), lambda c: F.struct(F.round(c["price"], 8).alias("level"), c["touches"].alias("touches"), F.round((c["price"] - close) / F.nullif(close, F.lit(0.0)) * 100, 4).alias("distance_pct")))
 
-    return found.select(*KEY, near("lows", True).alias("supports"), near("highs", False).alias("resistances"))
+def collected() -> dict[str, Column]:
+    """Aggregates over a frame with extremes that near() reads. All swing points of a series are collected: an analysis has at most 2000 rows of it."""
+    return {"lows": F.collect_list("_low"), "highs": F.collect_list("_high")}
+
+
+def levels(frame: DataFrame) -> DataFrame:
+    """One row per series: supports and resistances, ARRAY(STRUCT(level, touches, distance_pct)), the nearest five of each to the last close."""
+    found = extremes(frame).groupBy(*KEY).agg(F.max_by("close", "t").alias("close"), F.count("*").alias("n"), *(x.alias(c) for c, x in collected().items()))
+    return found.select(*KEY, near(F.col("lows"), F.col("n"), F.col("close"), True).alias("supports"), near(F.col("highs"), F.col("n"), F.col("close"), False).alias("resistances"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import in_range
 from ..operators import candles as C
 from ..operators import indicators as I
 from ..operators import levels as L
@@ -21,11 +22,10 @@ def _first(levels: str) -> Column:
 
 def latest_rows(candles: DataFrame, limit: int = 300) -> DataFrame:
     """The last row of every series with indicators, regime and levels."""
-    if not MIN_CANDLES <= limit <= MAX_CANDLES:
-        raise ValueError(f"limit must be {MIN_CANDLES}..{MAX_CANDLES}")
-    frame = C.series_frame(candles, limit)
-    rows = I.latest(I.indicators(frame)).where(F.col("n") >= MIN_CANDLES).withColumn("regime", R.regime())
-    return rows.join(L.levels(frame), ["symbol", "timeframe"])
+    frame = I.indicators(L.extremes(C.series_frame(candles, in_range("limit", limit, MIN_CANDLES, MAX_CANDLES))))
+    rows = I.latest(frame, **L.collected()).where(F.col("n") >= MIN_CANDLES).withColumn("regime", R.regime())
+    side = lambda c, below: L.near(F.col(c), F.col("n"), F.col("close"), below)
+    return rows.withColumns({"supports": side("lows", True), "resistances": side("highs", False)}).drop("lows", "highs", "_low", "_high")
 
 
 def rejected(candles: DataFrame, limit: int = 300) -> DataFrame:
