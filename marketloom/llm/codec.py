@@ -4,8 +4,8 @@ Each block starts from the same empty model and carries a checksum, so that bloc
 and repeated one by one. A block's ids are cut into lanes of equal length. All lanes move one id at a time and
 share one model, so that a step is a few vector operations over the lanes and not a loop over ids.
 
-The model says P(id) = w2 [id = a] + w1 [id = b] + w0 P0(id). a is the id that followed the last two ids
-before, b the one that followed the last id, P0 the frequencies in the block so far. The weights w depend on
+The model says P(id) = w2 [id = a] + w3 [id = c] + w1 [id = b] + w0 P0(id). a and c are the ids that most lately
+followed the last two ids, b the one that followed the last id, P0 the frequencies in the block so far. The weights w depend on
 how often a and b came true lately and on whether they agree; they are counted in the block too. Everything
 is in whole numbers, so a decoder on another machine gets the same model."""
 
@@ -26,15 +26,15 @@ _HASH_BITS, _CUM_BITS, _FREQ = 18, _U(21), _U((1 << 21) - 1)
 
 
 def _confidence_steps() -> np.ndarray:
-    """What an event does to the two guesses, by its place, as one number: bits 0 and 1 say that the guess of order 2, of order 1
+    """What an event does to the guesses, by its place, as one number: bits 0 and 1 say that the first guess of order 2, that of order 1
     is replaced, bits 2 to 5 and 6 to 9 have 8 plus what is added to id * 8 + confidence.
 
-    A place is kind * 128 + confidence of order 2 * 16 + confidence of order 1 * 2 + whether they agree; kind 0 says that order 2
-    was right, 1 order 1, 2 neither. A right guess gains confidence, a wrong one loses half, and one of at most 2 is replaced."""
-    place = np.arange(384)
+    A place is kind * 128 + confidence of order 2 * 16 + confidence of order 1 * 2 + whether they agree; kind 0 says that the first guess of order 2
+    was right, 1 its second, 2 order 1, 3 none. A right guess gains confidence, a wrong one loses half, and one of at most 2 is replaced."""
+    place = np.arange(512)
     kind, agree = place >> 7, place & 1
-    out = np.zeros(384, np.int32)
-    for order, (sure, right) in enumerate(((place >> 4 & 7, kind == 0), (place >> 1 & 7, (kind == 1) | (kind == 0) & (agree == 1)))):
+    out = np.zeros(512, np.int32)
+    for order, (sure, right) in enumerate(((place >> 4 & 7, kind == 0), (place >> 1 & 7, (kind == 2) | (kind == 0) & (agree == 1)))):
         replaced = ~right & (sure <= 2)
         add = np.where(right, sure < 7, np.where(replaced, sure >> 1, (sure >> 1) - sure))
         out += replaced << order | add + 8 << 2 + 4 * order
@@ -47,12 +47,12 @@ _STEPS = _confidence_steps()
 class _Model:
     """The statistics of one block. predict() and learn() are called in turn, alike by the encoder and the decoder.
 
-    Guesses are kept as id * 8 + confidence, by the last id and by a hash of the last two."""
+    Guesses are kept as id * 8 + confidence, by the last id and by a hash of the last two, and there a second id besides."""
 
     def __init__(self, vocab: int, lanes: int, inverse: bool):
         self.vocab, self.inverse = vocab, inverse
-        self.after1, self.after2 = np.zeros(vocab, np.int32), np.zeros(1 << _HASH_BITS, np.int32)
-        self.seen, self.counts = np.zeros(vocab, np.int64), np.zeros(384, np.int64)
+        self.after1, self.after2, self.second2 = np.zeros(vocab, np.int32), np.zeros(1 << _HASH_BITS, np.int32), np.zeros(1 << _HASH_BITS, np.int32)
+        self.seen, self.counts = np.zeros(vocab, np.int64), np.zeros(512, np.int64)
         self.last, self.hashed, self.mixed = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, np.uint32)
         self.step, self.due, self.ids, self.places = 0, 1, [], []
         self._refresh()
@@ -60,14 +60,15 @@ class _Model:
     def _refresh(self) -> None:
         if self.ids:
             self.seen += np.bincount(np.concatenate(self.ids), minlength=self.vocab)
-            self.counts += np.bincount(np.concatenate(self.places), minlength=384)
+            self.counts += np.bincount(np.concatenate(self.places), minlength=512)
             self.ids, self.places = [], []
-        by_kind = self.counts.reshape(3, 128)
+        by_kind = self.counts.reshape(4, 128)
         n = by_kind.sum(0) + 8
-        w2, w1 = 1 + by_kind[0] * 60000 // n, 1 + by_kind[1] * 60000 // n
-        # By place, where its share of the range begins and how large it is, in one number; by confidences, where orders 1 and 0 begin.
-        self.shares = np.concatenate([w2, w2 << 21 | w1, w2 + w1 << 21 | (1 << 16) - w2 - w1]).astype(_U)
-        self.bounds = (w2 << 21 | w2 + w1).astype(_U)
+        weights = 1 + by_kind[:3] * 60000 // n
+        upto = np.cumsum(weights, 0)
+        # By place, where its share of the range begins and how large it is, in one number; by confidences, where the second, third and fourth share begin.
+        self.shares = np.concatenate([weights[0], *(upto[k] << 21 | weights[k + 1] for k in (0, 1)), upto[2] << 21 | (1 << 16) - upto[2]]).astype(_U)
+        self.bounds = (upto[0] << 42 | upto[1] << 21 | upto[2]).astype(_U)
         room, total = (1 << 20) - self.vocab, int(self.seen.sum())
         f = 1 + (self.seen * room // total if total else np.full(self.vocab, room // self.vocab))
         f[int(f.argmax())] += (1 << 20) - int(f.sum())
@@ -76,11 +77,11 @@ class _Model:
         if self.inverse:
             self.owner = np.repeat(np.arange(self.vocab, dtype=np.uint16), f)
 
-    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The guesses of order 2 and order 1, and the place of their confidences in the tables of weights."""
-        self.v2, self.v1 = self.after2.take(self.hashed), self.after1.take(self.last)
-        a, b = self.v2 >> 3, self.v1 >> 3
-        return a, b, ((self.v2 & 7) << 4) + ((self.v1 & 7) << 1) + (a == b)
+    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The two guesses of order 2, that of order 1, and the place of their confidences in the tables of weights."""
+        self.v2, self.v1, self.c = self.after2.take(self.hashed), self.after1.take(self.last), self.second2.take(self.hashed)
+        self.a, b = self.v2 >> 3, self.v1 >> 3
+        return self.a, self.c, b, ((self.v2 & 7) << 4) + ((self.v1 & 7) << 1) + (self.a == b)
 
     def learn(self, ids: np.ndarray, place: np.ndarray) -> None:
         """ids (int32) came true at these places."""
@@ -88,6 +89,8 @@ class _Model:
         self.places.append(place)
         fresh = ids << 3
         steps = _STEPS.take(place)
+        newer = ids + ((self.a - ids) & -(steps & 1))  # a first guess that is replaced becomes the second, else the id that came instead of it does
+        self.second2[self.hashed] = self.c + ((newer - self.c) & -(ids != self.a).view(np.int8).astype(np.int32))
         self.after2[self.hashed] = self.v2 + ((fresh - self.v2) & -(steps & 1)) + ((steps >> 2 & 15) - 8)
         self.after1[self.last] = self.v1 + ((fresh - self.v1) & -(steps >> 1 & 1)) + ((steps >> 6) - 8)
         mixed = ids.astype(np.uint32) * np.uint32(0x9E3779B1)
@@ -104,9 +107,9 @@ def _shape(n: int) -> tuple[int, int]:
     return lanes, -(-n // lanes)
 
 
-def _kinds(second: np.ndarray, third: np.ndarray) -> np.ndarray:
-    """The kind times 128, from whether order 2 was wrong and whether both were."""
-    return (second.view(np.int8) + third.view(np.int8)).astype(np.int32) << 7
+def _kinds(second: np.ndarray, third: np.ndarray, fourth: np.ndarray) -> np.ndarray:
+    """The kind times 128, from whether the first guess was wrong, the first two were, and all three."""
+    return (second.view(np.int8) + third.view(np.int8) + fourth.view(np.int8)).astype(np.int32) << 7
 
 
 def _ready(low: np.ndarray, width: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -134,7 +137,7 @@ def encode_block(ids: np.ndarray, vocab: int = VOCAB) -> bytes:
         raise ValueError("an id is not below vocab, or vocab is not in 1..65536")
     crc = zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())
     if not n:
-        return HEAD.pack(MAGIC, 1, 0, vocab, 0, 0, crc)
+        return HEAD.pack(MAGIC, 2, 0, vocab, 0, 0, crc)
     lanes, steps = _shape(n)
     grid = np.zeros(lanes * steps, np.int32)
     grid[:n] = ids
@@ -144,16 +147,17 @@ def encode_block(ids: np.ndarray, vocab: int = VOCAB) -> bytes:
     said: list[tuple[np.ndarray, np.ndarray]] = []  # lanes and the digits they put out, in order
     with np.errstate(over="ignore"):
         for x in grid:
-            a, b, at = model.predict()
+            a, c, b, at = model.predict()
             second = x != a
-            third = second & (x != b)
-            place = at + _kinds(second, third)
+            third = second & (x != c)
+            fourth = third & (x != b)
+            place = at + _kinds(second, third, fourth)
             part = width >> _WEIGHT_BITS
             share = model.shares.take(place)
             low += part * (share >> _CUM_BITS)
             part *= share & _FREQ
             part >>= _ID_BITS
-            slot = model.slots.take(vocab + ((x - vocab) & -third.view(np.int8).astype(np.int32)))
+            slot = model.slots.take(vocab + ((x - vocab) & -fourth.view(np.int8).astype(np.int32)))
             low += part * (slot >> _CUM_BITS)
             width = part * (slot & _FREQ)
             model.learn(x, place)
@@ -165,13 +169,13 @@ def encode_block(ids: np.ndarray, vocab: int = VOCAB) -> bytes:
     lane = np.concatenate([x for x, _ in said])
     words = np.concatenate([x for _, x in said]).astype("<u2")[np.argsort(lane, kind="stable")]
     used = np.bincount(lane, minlength=lanes)
-    return HEAD.pack(MAGIC, 1, 0, vocab, n, lanes, crc) + used.astype("<u4").tobytes() + words.tobytes()
+    return HEAD.pack(MAGIC, 2, 0, vocab, n, lanes, crc) + used.astype("<u4").tobytes() + words.tobytes()
 
 
 def decode_block(block: bytes) -> np.ndarray:
     """The ids (uint32) of one block; ValueError if the block is damaged."""
     magic, version, _, vocab, n, lanes, crc = HEAD.unpack_from(block)
-    if magic != MAGIC or version != 1:
+    if magic != MAGIC or version != 2:
         raise ValueError("not a token block")
     if not n:
         return np.zeros(0, np.uint32)
@@ -189,18 +193,18 @@ def decode_block(block: bytes) -> np.ndarray:
     grid = np.empty((steps, lanes), np.int32)
     with np.errstate(over="ignore", divide="ignore"):
         for i in range(steps):
-            a, b, at_weights = model.predict()
+            a, c, b, at_weights = model.predict()
             part = width >> _WEIGHT_BITS
             ahead = code - low
             bound = model.bounds.take(at_weights)
-            second, third = ahead >= part * (bound >> _CUM_BITS), ahead >= part * (bound & _FREQ)
-            place = at_weights + _kinds(second, third)
+            second, third, fourth = ahead >= part * (bound >> _U(42)), ahead >= part * (bound >> _CUM_BITS & _FREQ), ahead >= part * (bound & _FREQ)
+            place = at_weights + _kinds(second, third, fourth)
             share = model.shares.take(place)
             low += part * (share >> _CUM_BITS)
             part *= share & _FREQ
             part >>= _ID_BITS
-            x = a + ((b - a) & -second.view(np.int8).astype(np.int32))
-            go = third.nonzero()[0]
+            x = np.where(third, b, np.where(second, c, a))
+            go = fourth.nonzero()[0]
             width = part << _ID_BITS
             if len(go):
                 wi, lo = part.take(go), low.take(go)
