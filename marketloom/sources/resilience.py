@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import threading
 import time
-from collections import defaultdict, deque
 from collections.abc import Callable, Hashable
 from typing import Any
 
@@ -27,23 +26,23 @@ class TtlCache:
 
 
 class SlidingWindow:
-    """At most ``limit`` calls of a key in ``window`` seconds; acquire() waits for room. No limit at 0 or less."""
+    """At most ``limit`` calls of a key in ``window`` seconds. No limit at 0 or less.
+
+    acquire() books the next free moment, which is a window after the call ``limit`` places before, and sleeps until then; nobody waits with the lock held."""
 
     def __init__(self, window: float = 60.0, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
-        self._window, self._clock, self._sleep, self._lock = window, clock, sleep, threading.Lock()
-        self._calls: dict[Hashable, deque[float]] = defaultdict(deque)
+        self.window, self.clock, self.sleep, self.lock = window, clock, sleep, threading.Lock()
+        self.booked: dict[Hashable, list[float]] = {}
 
     def acquire(self, key: Hashable, limit: int) -> None:
-        while limit > 0:
-            with self._lock:
-                now, calls = self._clock(), self._calls[key]
-                while calls and calls[0] <= now - self._window:
-                    calls.popleft()
-                if len(calls) < limit:
-                    calls.append(now)
-                    return
-                wait = calls[0] + self._window - now
-            self._sleep(max(wait, 0.0))
+        if limit <= 0:
+            return
+        with self.lock:
+            now, past = self.clock(), self.booked.get(key, [])
+            at = max(now, past[-limit] + self.window) if len(past) >= limit else now
+            self.booked[key] = [x for x in past if x > now - self.window] + [at]
+        if at > now:
+            self.sleep(at - now)
 
 
 def retry(call: Callable[[], Any], attempts: int = 3, first_wait: float = 0.3, factor: float = 2.0, on: tuple[type[Exception], ...] = (Exception,), sleep: Callable[[float], None] = time.sleep) -> Any:
