@@ -15,6 +15,22 @@ SCHEMAS = {
     "news_asset_links": "news_item_id string, asset_id string, relevance_score decimal(5,2)",
 }
 
+#: Columns that the files of a table are laid out by: readers of few series, or of few days, then read few files.
+PARTITIONS = {"candles": ("timeframe",), "ingestion_runs": ("job_name",)}
+
+
+def ddl(table: str, location: str, database: str = "default") -> str:
+    """The statement that creates a stored table as Parquet under ``location``, if it isn't there."""
+    by = f" PARTITIONED BY ({', '.join(PARTITIONS[table])})" if table in PARTITIONS else ""
+    return f"CREATE TABLE IF NOT EXISTS {database}.{table} ({SCHEMAS[table]}) USING parquet{by} LOCATION '{location.rstrip('/')}/{table}'"
+
+
+def create_tables(spark: SparkSession, location: str, database: str = "default") -> None:
+    """All stored tables, empty where they are new."""
+    for table in SCHEMAS:
+        spark.sql(ddl(table, location, database))
+
+
 # The rows that the tables are seeded with.
 PROVIDERS = [("ccxt", "CCXT", "market_data", 60), ("alpha_vantage", "Alpha Vantage", "market_data", 5)]
 ASSETS = [("BTCUSDT", "BTC/USDT", "BTC", "USDT", "crypto"), ("ETHUSDT", "ETH/USDT", "ETH", "USDT", "crypto"), ("EURUSD", "EUR/USD", "EUR", "USD", "forex")]

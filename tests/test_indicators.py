@@ -1,6 +1,7 @@
 """Indicators against pandas, and series at the edges."""
 
 import datetime as dt
+import json
 
 import numpy as np
 import pandas as pd
@@ -86,6 +87,14 @@ def test_long_series(spark):
     assert np.allclose(got.w, x.ewm(span=200, adjust=False, min_periods=14).mean(), rtol=1e-9, equal_nan=True)
 
 
+def test_document(spark, frame):
+    row = A.document(A.analyze(frame)).where("symbol = 'B'").first()
+    said = json.loads(row.document)
+    assert said["open_time"].endswith("Z") and said["regime"]["label"] == "bull_trend" and said["n"] == 300 and len(said["resistances"]) <= 5
+    with pytest.raises(ValueError):
+        A.analyze(frame, 59)
+
+
 def test_trend(spark, frame):
     row = A.analyze(frame).where("symbol = 'B'").first()
     assert row.regime.label == "bull_trend" and row.regime.confidence >= 0.55

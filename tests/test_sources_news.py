@@ -307,5 +307,18 @@ def test_stream_means(spark, tmp_path):
     assert len(got) == 80 and all((a is None or a != a) and (b is None) or abs(a - b) < 1e-9 for k in want for a, b in zip(got[k], want[k]))
 
 
+def test_tables(spark, tmp_path):
+    schemas.create_tables(spark, str(tmp_path))
+    try:
+        schemas.create_tables(spark, str(tmp_path))
+        for table, fields in schemas.SCHEMAS.items():
+            assert {f.name for f in spark.table(table).schema} == {x.split()[0] for x in re.split(", (?![0-9])", fields)}
+        spark.createDataFrame([], schemas.SCHEMAS["candles"]).select(*spark.table("candles").columns).write.insertInto("candles")
+        assert spark.table("candles").count() == 0
+    finally:
+        for table in schemas.SCHEMAS:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
 def test_seeds(spark):
     assert schemas.assets(spark).count() == 3 and schemas.providers(spark).count() == 2
