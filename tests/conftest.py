@@ -8,10 +8,11 @@ sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from marketloom.session import session
 
-    s = session("local[4]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__driver__memory="4g")
+    shared = str(tmp_path_factory.mktemp("shared"))
+    s = session("local[4]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__driver__memory="4g", spark__checkpoint__dir=shared)
     s.sparkContext.setLogLevel("OFF")
     yield s
     s.stop()
