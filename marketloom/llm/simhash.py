@@ -176,14 +176,6 @@ class _Forest:
             self.root = flat[self.root]
 
 
-class _Pairs(_Forest):
-    """Every pair of rows with different labels, which stay as they are."""
-
-    def add(self, i: np.ndarray, j: np.ndarray) -> None:
-        new = self.root[i] != self.root[j]
-        self.links += zip(i[new].tolist(), j[new].tolist())
-
-
 def trees_within(fps: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
     """For every row, the first row of its tree of pairs of one group within ``radius`` bits. Rows are sorted by group; fps is (n, bytes)."""
     return _linked(_Forest(np.arange(len(fps))), fps, group, radius).root
@@ -228,9 +220,9 @@ def _linked(forest: _Forest, fps: np.ndarray, group: np.ndarray, radius: int) ->
                 forest.add(rows_left[i], rows_left[i + s])
 
 
-def links_between(a: np.ndarray, b: np.ndarray, label_a: np.ndarray, label_b: np.ndarray, radius: int, kind: type[_Forest] = _Forest) -> list[tuple[int, int]]:
-    """Links that span all pairs of a row of a and a row of b within ``radius`` bits, or all pairs; each row of a goes over b's planes."""
-    forest = kind(np.concatenate([label_a, label_b]))
+def links_between(a: np.ndarray, b: np.ndarray, label_a: np.ndarray, label_b: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links that span all pairs of a row of a and a row of b within ``radius`` bits; each row of a goes over b's planes."""
+    forest = _Forest(np.concatenate([label_a, label_b]))
     p, n = _Planes(b), len(b)
     full = (1 << n) - 1
     for i, bits in enumerate(np.unpackbits(a, axis=1)):
@@ -387,34 +379,7 @@ def _first_links(shared: DataFrame, radius: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _real_links(shared: DataFrame, radius: int, kind: type[_Forest]) -> DataFrame:
-    """Pairs within blocks as they were compared: those that span the trees of rows of different labels, or all of different labels."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_rows: list[tuple] = []
-        group: list[int] = []
-        last, n = None, 0
-
-        def compare() -> pa.RecordBatch:
-            reps = np.array([x[0] for x in held_rows], np.int64)
-            forest = kind(np.array([x[2] for x in held_rows], np.int64))
-            return _link_batch(reps, reps, _linked(forest, _matrix([x[1] for x in held_rows]), np.array(group), radius).links)
-
-        for part, key, block, *row in rows(batches, "part", "key", "block", "rep", "fp", "label"):
-            if (part, key, block) != last:
-                last, n = (part, key, block), n + 1
-                if len(held_rows) > 8 * BLOCK:
-                    yield compare()
-                    held_rows, group = [], []
-            group.append(n)
-            held_rows.append(row)
-        if held_rows:
-            yield compare()
-
-    dealt = shared.select("part", "key", "block", "rep", "fp", "label").repartition("part", "key", "block").sortWithinPartitions("part", "key", "block", "rep")
-    return dealt.mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-
-
-def _cross_links(rest: DataFrame, radius: int, kind: type[_Forest] = _Forest) -> DataFrame:
+def _cross_links(rest: DataFrame, radius: int) -> DataFrame:
     """Links between different blocks of a bucket. A block is one row with its fingerprints; pairs of blocks in one component are left out."""
     cols = ["part", "key", "block"]
     blocks = rest.groupBy(*cols).agg(F.collect_list(F.struct("rep", "fp", "label")).alias("rows"), F.min("label").alias("least"), F.max("label").alias("most"))
@@ -426,7 +391,7 @@ def _cross_links(rest: DataFrame, radius: int, kind: type[_Forest] = _Forest) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ra, fa, la, rb, fb, lb in rows(batches, "a_reps", "a_fps", "a_labels", "b_reps", "b_fps", "b_labels"):
-            yield _link_batch(np.array(ra), np.array(rb), links_between(_matrix(fa), _matrix(fb), np.array(la), np.array(lb), radius, kind))
+            yield _link_batch(np.array(ra), np.array(rb), links_between(_matrix(fa), _matrix(fb), np.array(la), np.array(lb), radius))
 
     return pairs.repartition(2 * int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(run, "a long, b long").distinct()
 
@@ -446,55 +411,167 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col:
 SIMILAR_BITS, SIMILAR_WIDTH, SIMILAR_TABLES, SIMILAR_RADIUS = 256, 18, 64, 56
 
 
-def shingle_set(text: str | None, shingle: int = 5) -> frozenset[bytes]:
-    """The distinct shingles of a text, as simhash has them; none of a text without words."""
+#: Vertices of a group that are checked with each other in one go, and the central ones of a larger group that all others are checked with.
+GROUP, PIVOTS = 512, 64
+
+
+def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The distinct shingles of a text, as simhash has them, by their hashes in rising order; none of a text without words."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    return frozenset(b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))) if words else frozenset()
+    return np.unique(np.array([xxhash.xxh3_64_intdigest(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))] if words else [], _U))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two shingle sets have a similarity (Jaccard) of 0.8 or more."""
+    n, m = len(a), len(b)
+    if 5 * min(n, m) < 4 * max(n, m):
+        return False
+    both = np.concatenate([a, b])
+    both.sort()
+    return 9 * int((both[1:] == both[:-1]).sum()) >= 4 * (n + m)  # common / (n + m - common) >= 4 / 5
+
+
+class _Group:
+    """Vertices of one group with their sets. linked() checks pairs of trees that aren't connected yet, and nothing else."""
+
+    def __init__(self, fps: list[bytes], sets: list[bytes], labels: list[int]):
+        self.fps, self.sets = _matrix(fps), [np.frombuffer(x, _U) if x else np.zeros(0, _U) for x in sets]
+        self.forest = _Forest(np.array(labels, np.int64))
+
+    def linked(self, firsts: int, radius: int) -> list[tuple[int, int]]:
+        """Links that span all pairs of a similarity of 0.8 or more of one of the first rows and any later one. Bit planes leave only rows within the radius to check."""
+        n = len(self.sets)
+        planes, bits, full = _Planes(self.fps), np.unpackbits(self.fps, axis=1), (1 << n) - 1
+        for i in range(min(firsts, n - 1)):
+            other = self.forest.root != self.forest.root[i]
+            other[: i + 1] = False
+            if not other.any():
+                continue
+            mask = int.from_bytes(np.packbits(other, bitorder="little").tobytes(), "little")
+            found = _within((x ^ full if bit else x for x, bit in zip(planes.planes, bits[i].tolist())), mask, radius)
+            for j in _lanes(found, n).tolist() if found else ():
+                if self.forest.root[i] != self.forest.root[j] and similar(self.sets[i], self.sets[j]):
+                    self.forest.add(np.array([i]), np.array([j]))
+        return self.forest.links
+
 
+_CHECK = ["g", "block", "chunk", "role", "rep", "label", "fp", "shingles"]
 
-def _verified(pairs: DataFrame, vertices: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (a, b) of vertices whose shingle sets have a similarity of 0.8 or more. texts is (row, text)."""
-    needed = vertices.join(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "rep", "left_semi").select("rep", "row")
-    some = written(texts.join(needed, "row").groupBy("rep").agg(F.min("text").alias("text")))
-    both = pairs.join(some.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a").join(some.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
+
+def _checked_links(rows_of: DataFrame, radius: int, only_firsts: bool = False) -> DataFrame:
+    """Verified links within every (g, block, chunk) of rows as in _CHECK, without those of rows of one label: of all pairs, or of those with a row of role 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for a, b, x, y in rows(iter([batch]), "a", "b", "text_a", "text_b"):
-                one, other = shingle_set(x, shingle), shingle_set(y, shingle)
-                if 9 * len(one & other) >= 4 * (len(one) + len(other)):  # common / (one + other - common) >= 4 / 5
-                    found.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], schema=_LINK)
+        last: tuple | None = None
+        held_rows: list[tuple] = []
 
-    return written(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct())
+        def compare() -> pa.RecordBatch:
+            reps = np.array([x[1] for x in held_rows], np.int64)
+            group = _Group([x[3] for x in held_rows], [x[4] for x in held_rows], [x[2] for x in held_rows])
+            return _link_batch(reps, reps, group.linked(sum(x[0] for x in held_rows) if only_firsts else len(reps), radius))
 
+        for g, block, chunk, *row in rows(batches, *_CHECK):
+            if (g, block, chunk) != last:
+                if len(held_rows) > 1:
+                    yield compare()
+                last, held_rows = (g, block, chunk), []
+            held_rows.append(row)
+        if len(held_rows) > 1:
+            yield compare()
+
+    dealt = rows_of.select(*_CHECK).repartition("g", "block", "chunk").sortWithinPartitions("g", "block", "chunk", F.col("role").desc(), "rep")
+    return dealt.mapInArrow(run, "a long, b long").where("a <> b")
 
-def _candidates(vertices: DataFrame, tables: list[list[int]], radius: int, labels: DataFrame | None) -> DataFrame:
-    """Pairs (a, b) of vertices (rep, fp) within ``radius`` bits that meet in a key table: some that connect all such pairs, or, given labels (id, component), all pairs of different labels."""
-    shared, large = _buckets(vertices, tables)
-    kind = _Forest if labels is None else _Pairs
 
-    def labelled(df: DataFrame, of: DataFrame | None) -> DataFrame:
-        if of is None:
-            return df.withColumn("label", F.col("rep"))
-        return df.join(of.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
+def _central(members: DataFrame) -> DataFrame:
+    """members (g, block, ...) with far: in how many bits a fingerprint differs from what most of its block have."""
 
-    links = written(_real_links(labelled(shared, labels), radius, kind))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held_rows = None, []
+
+        def ranked() -> pa.RecordBatch:
+            bits = np.unpackbits(_matrix([x[3] for x in held_rows]), axis=1)
+            far = (bits != (2 * bits.sum(0, dtype=np.int64) > len(bits))).sum(1)
+            best = np.argsort(far, kind="stable")[:PIVOTS]
+            columns = [[held_rows[k][c] for k in best] for c in range(4)]
+            return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.binary()))), pa.array(far[best], pa.int64())], names=["g", "block", "rep", "fp", "far"])
+
+        for row in rows(batches, "g", "block", "rep", "fp"):
+            if row[:2] != last:
+                if held_rows:
+                    yield ranked()
+                last, held_rows = row[:2], []
+            held_rows.append(row)
+        if held_rows:
+            yield ranked()
+
+    dealt = members.select("g", "block", "rep", "fp").repartition("g", "block").sortWithinPartitions("g", "block", "rep")
+    return dealt.mapInArrow(run, "g long, block int, rep long, fp binary, far long")
+
+
+def _verified(vertices: DataFrame, groups: DataFrame, texts: DataFrame, shingle: int, radius: int) -> DataFrame:
+    """Links (a, b) of vertices (rep, row, fp) with a similarity of 0.8 or more that span all those within groups (id, component). texts is (row, text).
+
+    A group is checked in blocks of about GROUP vertices. A larger one is first checked block by block, each together with the group's PIVOTS most central
+    vertices, which connects a document with all its near copies. What is then still apart from the group's largest part is checked with every block.
+    No pair leaves its task but a verified link, and pairs that are connected already aren't checked."""
+    chosen = vertices.join(groups.select(F.col("id").alias("rep"), F.col("component").alias("g")), "rep")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 500):
+                part = b.slice(k, 500)
+                found = pa.array([shingle_hashes(t, shingle).tobytes() for t in part.column("text").to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("g"), part.column("fp").cast(pa.binary()), found], names=["rep", "g", "fp", "shingles"])
+
+    texts_of = texts.join(chosen.select("row", "rep", "g", "fp"), "row").groupBy("rep", "g", "fp").agg(F.min("text").alias("text"))
+    members = texts_of.select("rep", "g", "fp", "text").mapInArrow(sets, "rep long, g long, fp binary, shingles binary")
+    sizes = groups.groupBy(F.col("component").alias("g")).agg(F.count("*").alias("n"))
+    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / GROUP)).cast("int")
+    members = written(members.join(sizes, "g").withColumn("block", F.when(F.col("n") > GROUP, block).otherwise(0)))
+    rows_of = members.withColumns({"chunk": F.lit(0), "role": F.lit(0), "label": F.col("rep")})
+    large = members.where(F.col("n") > GROUP)
+    if large.isEmpty():
+        return written(_checked_links(rows_of, radius))
+    nearest = Window.partitionBy("g").orderBy("far", "rep")
+    pivots = written(_central(large).withColumn("_k", F.row_number().over(nearest)).where(F.col("_k") <= PIVOTS).select("rep"))
+    shown = written(members.join(pivots, "rep", "left_semi").select("g", "rep", "fp", "shingles", F.col("block").alias("own")))
+    blocks = written(large.select("g", "block").distinct())
+    also = shown.join(blocks, "g").where("own <> block").select("g", "block", F.lit(0).alias("chunk"), F.lit(1).alias("role"), "rep", F.col("rep").alias("label"), "fp", "shingles")
+    links = written(_checked_links(rows_of.select(*_CHECK).unionByName(also), radius))
+    labels = components(links).withColumnRenamed("id", "rep")
+    named = written(large.select("g", "rep").join(labels, "rep", "left").select("g", "rep", F.coalesce("component", "rep").alias("label")))
+    parts = named.groupBy("g", "label").agg(F.count("*").alias("n"))
+    main = parts.groupBy("g").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("g", "main")
+    apart = written(named.join(main, "g").where("label <> main").select("g", "rep", "label"))
+    if apart.isEmpty():
+        return links
+    many = apart.groupBy("g").agg(F.ceil(F.count("*") / GROUP).alias("chunks"))
+    rest = apart.join(many, "g").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    rest = written(rest.select("g", "rep", "label", "chunk").join(members.select("rep", "fp", "shingles"), "rep"))
+    whole = large.join(main, "g").join(named.select("rep", "label"), "rep").select("g", "block", "rep", "label", "fp", "shingles")
+    chunks = rest.select("g", "chunk").distinct()
+    tasks = rest.join(blocks, "g").select("g", "block", "chunk", F.lit(1).alias("role"), "rep", "label", "fp", "shingles").unionByName(whole.join(chunks, "g").select("g", "block", "chunk", F.lit(0).alias("role"), "rep", "label", "fp", "shingles"))
+    return links.union(written(_checked_links(tasks, radius, only_firsts=True)))
+
+
+def _candidates(vertices: DataFrame, tables: list[list[int]], radius: int) -> DataFrame:
+    """Links (a, b) that span all pairs of vertices (rep, fp) within ``radius`` bits that meet in a key table."""
+    shared, large = _buckets(vertices, tables)
+    links = written(_fewer(written(_first_links(shared, radius))))
     if not large.isEmpty():
-        rest = labelled(shared.where("n is not null"), components(links) if labels is None else labels)
-        cross = _cross_links(rest, radius, kind).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        links = written(links.union(cross).where("a < b").distinct())
+        labels = components(links)
+        rest = shared.where("n is not null").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
+        links = links.union(written(_cross_links(rest, radius)))
     return links
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row, component_id and stays for every row: documents whose five-word shingle sets have a similarity of 0.8 or more are linked. A wider SimHash finds candidates, each is checked.
+    """doc_id, row, component_id and stays for every row: documents whose five-word shingle sets have a similarity of 0.8 or more are linked. A wider SimHash finds groups, in which pairs are checked.
 
     Bits are 256, so that a similarity of 0.8 is 39 differing bits, with a standard deviation of 6. The radius is 56. SIMILAR_TABLES random key tables
-    of SIMILAR_WIDTH bits find a pair of similarity 0.8 with probability 0.96, 0.9 with 0.99993.
-    Texts of the same words are one vertex, whatever ids they have. Candidates that connect all others are checked first. Where one of them fails, pairs of its group that
-    the remaining links leave apart are all checked, so that every candidate is either checked or between documents already linked.
+    of SIMILAR_WIDTH bits find a pair of similarity 0.8 with probability 0.96, 0.9 with 0.99993; what they connect is a group, and within it every pair in the radius is checked or connected already.
+    Texts of the same words are one vertex, whatever ids they have.
     row is row_key of the row. Of a component, the row with the least doc_id stays, nulls last, then the least row; component_id is that doc_id.
     Rows alike in all columns are one. Null and wordless texts are one component. An empty table gives no rows."""
     tables = drawn_parts(SIMILAR_BITS, SIMILAR_WIDTH, SIMILAR_TABLES)
@@ -503,15 +580,8 @@ def similar_documents(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id",
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")).alias("first")
     grouped = prints.groupBy("words_hash", "fp").agg(first)
     vertices = written(grouped.select("words_hash", "fp", "first", F.col("first.row").alias("row"), F.monotonically_increasing_id().alias("rep")))  # fixed once they are written
-    loose_links = _candidates(vertices, tables, SIMILAR_RADIUS, None)
-    links = _verified(loose_links, vertices, texts, shingle)
-    labels = components(links)
-    groups = components(loose_links).withColumnRenamed("component", "loose").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    torn = groups.groupBy("loose").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
-    unsure = written(vertices.join(groups.join(torn, "loose", "left_semi").select(F.col("id").alias("rep")), "rep", "left_semi"))
-    if not unsure.isEmpty():
-        more = _candidates(unsure, tables, SIMILAR_RADIUS, labels).join(loose_links, ["a", "b"], "left_anti")
-        labels = components(links.union(_verified(written(more), vertices, texts, shingle)))
+    groups = components(_candidates(vertices, tables, SIMILAR_RADIUS))
+    labels = components(_verified(vertices, groups, texts, shingle, SIMILAR_RADIUS))
     named = vertices.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("words_hash", "first", F.coalesce("component", "rep").alias("component"))
     keepers = named.groupBy("component").agg(F.min("first").alias("keeper"))
     of_words = written(named.join(keepers, "component").select("words_hash", F.col("keeper.doc_id").alias("component_id"), F.col("keeper.row").alias("kept_row")))
