@@ -20,6 +20,8 @@ SPACE = "▁"
 #: Added to every count of a piece; the probability of a character that no piece has.
 SMOOTH, STRANGE = 0.05, 1e-7
 KEEP = 400_000
+#: Different words that a task counts before it passes their counts on.
+COUNTED = 100_000
 #: Characters of a word that are segmented together in training.
 CUT = 32
 
@@ -172,7 +174,7 @@ def train(docs: DataFrame, pieces: str, rounds: int = 2, most_languages: int = 5
         out = lambda: batched(((lang, w, n) for lang, words in by.items() for w, n in words.items()), schema, 20_000)
         for lang, text in rows(batches, "lang", "text"):
             by.setdefault(lang, Counter()).update(words_of(text))
-            if sum(map(len, by.values())) > KEEP:
+            if sum(map(len, by.values())) > COUNTED:
                 yield from out()
                 by = {}
         yield from out()
