@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,6 +30,7 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _local:
             _local.append(tempfile.mkdtemp(prefix="marketloom-"))
+            atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
         root = _local[0]
     return f"{root.rstrip('/')}/marketloom-{uuid.uuid4().hex}"
 
