@@ -188,13 +188,56 @@ def test_similar_documents_are_verified(spark):
             words[10 + i * 20] = f"x{k}y{i}"
         rows += [(2 * k, " ".join(f"k{k}w{i}" for i in range(n))), (2 * k + 1, " ".join(words))]
     rows += [(1000 + i, "a short text") for i in range(2)] + [(1002, "A  short text"), (1003, "a short")]
-    sets = {i: simhash.shingle_set(t) for i, t in rows}
+    sets = {i: shingle_set(t) for i, t in rows}
     want = brute_components(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
     got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[i] in (i, want[i]) for i in got)
     assert sum(got[i] != want[i] for i in got) <= 1  # the tables miss a pair of 0.8 with probability 0.04
 
 
+def shingle_set(text, n=5):
+    w = text.encode().lower().split()
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 30), max_size=40), st.lists(st.integers(0, 30), max_size=40))
+def test_similar_sets(x, y):
+    a, b = set(x), set(y)
+    assert simhash.similar(*(np.array(sorted(s), np.uint64) for s in (a, b))) == (5 * len(a & b) >= 4 * len(a | b))
+    assert len(simhash.shingle_hashes(" ".join(map(str, x)))) == len(shingle_set(" ".join(map(str, x))))
+
+
+def test_similar_documents_in_large_groups(spark, monkeypatch):
+    """Near copies of one text that aren't near to each other, two such stars that nearly meet, and a chain, in groups of many blocks."""
+    monkeypatch.setattr(simhash, "GROUP", 8)
+    monkeypatch.setattr(simhash, "PIVOTS", 2)
+    rng, rows = np.random.default_rng(11), []
+    first = [f"w{i}" for i in range(300)]
+    second = [w if i % 28 else f"v{i}" for i, w in enumerate(first)]
+
+    def changed(words, k, tag):
+        out = list(words)
+        for i in rng.choice(300, k, replace=False):
+            out[i] = f"{tag}{i}"
+        return out
+
+    for star in (first, second):
+        rows += [" ".join(star)] + [" ".join(changed(star, 6, f"x{len(rows)}n{k}y")) for k in range(40)]
+    chain = [f"c{i}" for i in range(300)]
+    for k in range(30):
+        rows.append(" ".join(chain))
+        chain = [f"d{k}e{i}" if i % 75 == k % 75 else w for i, w in enumerate(chain)]
+    order = rng.permutation(len(rows))
+    texts = {int(i): rows[k] for k, i in enumerate(order)}
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    want = brute_components(sets, lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
+    found = simhash.similar_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    got = {r.doc_id: (r.component_id, r.stays) for r in found.collect()}
+    assert {i: c for i, (c, _) in got.items()} == want
+    assert all(stays == (c == i) for i, (c, stays) in got.items())
+
+
 def test_similar_documents_recall(spark):
     """Pairs of similarity 0.8 to 0.95 among others below 0.8: found at 0.9 or more, and nothing below 0.8 is linked."""
     rng, rows = np.random.default_rng(9), []
@@ -205,7 +248,7 @@ def test_similar_documents_recall(spark):
         for i in rng.choice(n, int(rng.integers(1, max(2, n // 35))), replace=False):
             other[i] = f"x{k}y{i}"
         rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
-    sets = {i: simhash.shingle_set(t) for i, t in rows}
+    sets = {i: shingle_set(t) for i, t in rows}
     true = {k for k in range(250) if len(sets[2 * k] & sets[2 * k + 1]) >= 0.8 * len(sets[2 * k] | sets[2 * k + 1])}
     got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     found = {k for k in range(250) if got[2 * k] == got[2 * k + 1]}
@@ -679,6 +722,26 @@ def test_pipeline_stages(spark, odd):
     assert mixed.join(mixing.mix(docs), "doc_id").where("n <> taken").count() == 0
 
 
+def test_stages_against_plain_versions(spark, docs):
+    """Language, quality and packing row by row in plain Python; near duplicates and mixing have tests of their own."""
+    import corpus_pipeline as P
+
+    rows = docs.select(*P.COLUMNS).collect()
+    model = language.train(docs.where(~toxicity.held_out(F.col("doc_id"), 4, 2)), PIECES)
+    plain = language.Languages(PIECES, *model)
+    want = {r.doc_id: lang for r in rows for lang, score in plain.predict([r.text]) if lang != "und" and score > 0.5}
+    assert {r.doc_id: r.lang for r in P.identified(spark, docs, SF).collect()} == want
+    measured = {r.doc_id: quality.measures(r.text) for r in rows}
+    good = quality.fit(dict(collections.Counter(quality.votes(m) for m in measured.values())))
+    keep = {i for i, m in measured.items() if m["n_words"] >= 10 and 100 * m["n_repeat_words"] <= 20 * m["n_words"] and good[quality.votes(m)] >= 0.5}
+    assert {r.doc_id for r in P.judged(spark, docs, SF).collect()} == keep
+    whole = collections.defaultdict(list)
+    for r in P.packed(spark, docs, SF).collect():
+        whole[r.doc_id].append((r.start, bytes(r.ids)))
+    ids = dict(zip((r.doc_id for r in rows), library_ids(WORDS, [r.text for r in rows])))
+    assert {i: b"".join(x for _, x in sorted(p)) for i, p in whole.items()} == {i: np.array([*x, 1], "<u4").tobytes() for i, x in ids.items()}
+
+
 def test_mixed_rows_without_ids(spark):
     import corpus_pipeline as P
 
