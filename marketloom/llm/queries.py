@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, html_text, language, lexical, mixing, packing, quality, simhash, spelling, token_count, token_files, toxicity
+from . import fingerprint, html_text, language, lexical, mixing, nearest, packing, quality, simhash, spelling, token_count, token_files, toxicity
 from .common import shared_folder, table
 
 
@@ -66,12 +66,16 @@ def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(lexical.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(nearest.index(table(spark, sf_dir, "embeddings")), F.col("id") % 100 == 0)
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict:
-    ops = (op1_fingerprints, op2_simhash, op3_token_files, op4_packing, op5_main_text, op6_language, op7_token_counts, op8_quality, op9_toxicity, op10_mixing, op11_lexical, op13_spelling)
+    ops = (op1_fingerprints, op2_simhash, op3_token_files, op4_packing, op5_main_text, op6_language, op7_token_counts, op8_quality, op9_toxicity, op10_mixing, op11_lexical, op12_nearest, op13_spelling)
     return {f.__name__: f for f in ops}
 
 
