@@ -14,9 +14,9 @@ def with_keys(candidates: DataFrame) -> DataFrame:
 
 
 def first_seen(candidates: DataFrame, seq: str = "seq") -> DataFrame:
-    """The first row of every dedup key in order of arrival. An aggregate, so that repeats are combined before the shuffle."""
+    """The first row of every dedup key in order of arrival, of equal ones the least row. An aggregate, so that repeats are combined before the shuffle."""
     rest = [c for c in candidates.columns if c != "dedup_key"]
-    first = candidates.groupBy("dedup_key").agg(F.min_by(F.struct(*rest), F.col(seq)).alias("_first"))
+    first = candidates.groupBy("dedup_key").agg(F.min_by(F.struct(*rest), F.struct(seq, *(F.col(c) for c in rest if c != seq))).alias("_first"))
     return first.select(*("dedup_key" if c == "dedup_key" else F.col(f"_first.{c}").alias(c) for c in candidates.columns))
 
 
@@ -79,7 +79,7 @@ def recent(items: DataFrame, as_of: Column, hours: int = 72) -> DataFrame:
     return items.where(F.col("published_at") >= as_of - F.make_dt_interval(F.lit(0), F.lit(in_range("hours", hours, 1, 720))))
 
 
-def feed(items: DataFrame, changes: DataFrame, as_of: Column, hours: int = 72, limit: int | None = 20, symbol: str | None = None, item_id: str = "id", stored_links: DataFrame | None = None) -> DataFrame:
+def feed(items: DataFrame, changes: DataFrame, as_of: Column, hours: int = 72, limit: int | None = 20, symbol: str | Column | None = None, item_id: str = "id", stored_links: DataFrame | None = None) -> DataFrame:
     """The newest items of the last ``hours``, with the symbols linked to them and their contradiction signals; items without links have empty arrays.
 
     With a symbol, only items linked to it. Links are the items' tags, or those of a stored table (item, symbol, relevance). The page of items is

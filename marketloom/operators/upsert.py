@@ -27,15 +27,18 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: tuple[str, ...] = CANDLE
     """All rows after the upsert, with action: insert, update (a value differs), same, or kept (not delivered). One full outer join on the key.
 
     Of deliveries that repeat a key the last by ``seq`` counts, or the greatest. A null in a key is a value like any other. ``carry`` are columns
-    of the delivery that are shown and not compared."""
-    a = stored.select(*key, *values, F.lit(True).alias("_here")).alias("a")
+    of the delivery that are shown and not compared. Stored columns outside key and values stay as they are, and are null in new rows."""
+    rest = [c for c in stored.columns if c not in (*key, *values)]
+    if clash := {*rest} & {*carry, "action"}:
+        raise ValueError(f"columns {sorted(clash)} stand in both the stored table and the result")
+    a = stored.select(*key, *values, *rest, F.lit(True).alias("_here")).alias("a")
     b = last_wins(incoming.select(*dict.fromkeys([*key, *values, *carry, *([seq] if seq else [])])), key, seq).withColumn("_here", F.lit(True)).alias("b")
     on = reduce(and_, (F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key))
     here, there = F.col("b._here").isNotNull(), F.col("a._here").isNotNull()
     differs = reduce(or_, (~F.col(f"a.{v}").eqNullSafe(F.col(f"b.{v}")) for v in values), F.lit(False))
     action = F.when(~there, "insert").when(~here, "kept").when(differs, "update").otherwise("same")
     new = [F.when(here, F.col(f"b.{v}")).otherwise(F.col(f"a.{v}")).alias(v) for v in values]
-    return a.join(b, on, "full_outer").select(*(F.coalesce(f"b.{k}", f"a.{k}").alias(k) for k in key), *new, *(F.col(f"b.{c}").alias(c) for c in carry), action.alias("action"))
+    return a.join(b, on, "full_outer").select(*(F.coalesce(f"b.{k}", f"a.{k}").alias(k) for k in key), *new, *(F.col(f"a.{c}").alias(c) for c in rest), *(F.col(f"b.{c}").alias(c) for c in carry), action.alias("action"))
 
 
 def counts(upserted: DataFrame) -> DataFrame:
@@ -47,6 +50,14 @@ def absent(stored: DataFrame, incoming: DataFrame, key: tuple[str, ...]) -> Data
     return last_wins(incoming, key).join(stored.select(*key), list(key), "left_anti")
 
 
+def with_stored_id(rows: DataFrame, by: Column, stored: DataFrame, key: str, name: str) -> DataFrame:
+    """rows with a column ``name``: the id of the stored row whose ``key`` is ``by``, the least if there are several, or the hash that a new row will have.
+
+    One equi-join with a row a key of the stored table, which Spark broadcasts while that is small."""
+    ids = stored.groupBy(F.col(key).alias("_key")).agg(F.min("id").alias("_id"))
+    return rows.withColumn("_by", by).join(ids, F.col("_by") == F.col("_key"), "left").withColumn(name, F.coalesce("_id", F.sha2("_by", 256))).drop("_by", "_key", "_id")
+
+
 def provider_rows(codes: DataFrame, category: str) -> DataFrame:
     """Rows of providers as get-or-create makes them, from a column code."""
     code = F.col("code")
@@ -79,16 +90,17 @@ def news_groups(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def upsert_news(stored: DataFrame, incoming: DataFrame, grouped: DataFrame | None = None) -> DataFrame:
-    """Items after the upsert, with action. A match is overwritten but for its source_name; a new item's id is the hash of its url, or of its key.
-
-    Rows of one batch that meet the same item, or share a new url or key, give one item: the last delivery by seq wins."""
-    shown = [c for c in stored.columns if c not in ("id", "source_name")]
-    found = (news_groups(stored, incoming) if grouped is None else grouped).select("id", "seq", "match_id", "source_name", *shown)
-    latest = last_wins(found, ("id",), "seq")
-    old = stored.select(F.col("id").cast("string").alias("id"), F.col("source_name").alias("kept_source"))
-    new = latest.join(old, "id", "left").select("id", F.coalesce("kept_source", "source_name").alias("source_name"), *shown, F.when(F.col("match_id").isNull(), "insert").otherwise("update").alias("action"))
-    rest = stored.withColumn("id", F.col("id").cast("string")).join(new.select("id"), "id", "left_anti").select("id", "source_name", *shown, F.lit("kept").alias("action"))
-    return new.unionByName(rest)
+    """The stored columns of all items after the upsert, with action. A match is overwritten but for its source_name and what the delivery doesn't have; a new item's id is the hash of its url, or of its key.
+
+    Rows of one batch that meet the same item, or share a new url or key, give one item: the last delivery by seq wins. Values take the stored columns' types."""
+    groups = news_groups(stored, incoming) if grouped is None else grouped
+    brought = [c for c in stored.columns if c in groups.columns and c not in ("id", "source_name")]
+    rest = [c for c in stored.columns if c not in ("id", "source_name", *brought)]
+    latest = last_wins(groups.select("id", "seq", "match_id", "source_name", *(F.col(c).cast(stored.schema[c].dataType).alias(c) for c in brought)), ("id",), "seq")
+    old = stored.select(F.col("id").cast("string").alias("id"), F.col("source_name").alias("_source"), *rest)
+    new = latest.join(old, "id", "left").withColumns({"source_name": F.coalesce("_source", "source_name"), "action": F.when(F.col("match_id").isNull(), "insert").otherwise("update")})
+    kept = stored.withColumns({"id": F.col("id").cast("string"), "action": F.lit("kept")}).join(latest.select("id"), "id", "left_anti")
+    return new.select(*stored.columns, "action").unionByName(kept.select(*stored.columns, "action"))
 
 
 def upsert_links(stored: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -18,6 +18,22 @@ def _candles(name: str, unit: str, tf: str, table: str, symbol: str, ts: str, pr
   max({price}) AS high, min({price}) AS low, last({price} ORDER BY {ts}, {tie}) AS close, count(*)::DOUBLE AS volume FROM {table} GROUP BY 1, 2, 3)"""
 
 
+def _pick(values, n: str) -> str:
+    return f"[{', '.join(_q(v) for v in values)}][({n})::BIGINT % {len(values)} + 1]"
+
+
+def _normal() -> str:
+    fx = ", ".join(map(_q, FOREX))
+    ends = lambda out: " ".join(f"WHEN suffix(c, '{q}') AND len(c) > {len(q)} THEN {out(q)}" for q in QUOTES)
+    made = f"{_pick(FOREX, 'c_custkey')} || {_pick(('/', '-', '_', ''), 'c_custkey // 8')} || {_pick(QUOTES, 'c_custkey // 32')}"
+    return f"""s(raw, class) AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN {made} ELSE lower({made}) END, {_pick((None, 'crypto', 'forex'), 'c_custkey')} FROM customer UNION SELECT {_pick([x[0] for x in SYMBOLS], 'c_custkey')}, {_pick([x[1] for x in SYMBOLS], 'c_custkey')} FROM customer),
+na AS (SELECT *, upper(regexp_replace(raw, '[^A-Za-z0-9]', '', 'g')) AS c, regexp_split_to_array(upper(raw), '[/_-]') AS p FROM s),
+nb AS (SELECT *, len(p) = 2 AND p[1] <> '' AND p[-1] <> '' AS sp, len(p) > 1 AS del, coalesce(class = 'forex', FALSE) AS fxc, len(c) = 6 AND ((substr(c, 1, 3) IN ({fx}) AND substr(c, 4, 3) IN ({fx})) OR coalesce(class = 'forex', FALSE)) AS fxp FROM na),
+nc AS (SELECT *, CASE WHEN sp THEN p[1] WHEN del THEN NULL WHEN fxp THEN substr(c, 1, 3) WHEN fxc THEN NULL {ends(lambda q: f'substr(c, 1, len(c) - {len(q)})')} END AS base, CASE WHEN sp THEN p[-1] WHEN del THEN NULL WHEN fxp THEN substr(c, 4, 3) WHEN fxc THEN NULL {ends(_q)} END AS quote FROM nb),
+nd AS (SELECT *, len(c) >= 6 AND quote IS NOT NULL AS ok FROM nc), normal AS (SELECT *, CASE WHEN ok THEN coalesce(class, CASE WHEN quote IN ({fx}) THEN 'forex' ELSE 'crypto' END) END AS kind FROM nd)"""
+
+
+_NORMAL = _normal()
 EV = _candles("ev", "hour", "1h", "events", "event_type", "ts", "value", "event_id")
 EV_DAY = _candles("evd", "day", "1d", "events", "event_type", "ts", "value", "event_id")
 ORD = _candles("ord", "day", "1d", "orders", "o_orderpriority", "o_orderdate", "o_totalprice", "o_orderkey")
@@ -175,6 +191,17 @@ tg AS (SELECT seq, symbol, greatest(CASE WHEN list_contains(tickers, symbol) THE
 _ITEMS = f"""{_KEYED}, {_sent("firsts", "sen", "title || ' ' || summary")}, {_tags("firsts")}, most AS (SELECT seq, max(relevance) AS rel FROM tagged GROUP BY seq),
 items AS (SELECT sen.*, round(greatest(0, least(100, 20 + greatest(0, 25 - 1.1::DOUBLE * greatest(0, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(published_at)) / 3.6e9::DOUBLE)) + least(abs(sentiment_score) * 30, 25) + least(coalesce(rel, 0) * 25, 25)
   + CASE WHEN provider_importance IS NULL THEN 8 ELSE greatest(0, least(1, provider_importance)) * 20 END)), 2) AS importance_score FROM sen LEFT JOIN most USING (seq))"""
+#: All later news with some urls of their own, the items that all earlier ones have left, and what each later one meets.
+_BATCH = (
+    _CANDS.replace("FROM events", f"FROM events WHERE ts >= TIMESTAMP '{SPLIT}'").replace("event_id % 50", "event_id % 80")
+    + _ITEMS[len(_CANDS) :]
+    + f""", e0 AS (SELECT event_id AS seq, event_type AS source_name, [{", ".join(_q(h[0]) for h in HEADLINES)}][event_id % {len(HEADLINES)} + 1] AS title, ts AS published_at, 'https://news.example/' || (event_id % 50)::VARCHAR AS url, 'item ' || (event_id % 50)::VARCHAR AS id FROM events WHERE ts < TIMESTAMP '{SPLIT}'),
+st AS (SELECT *, {_key("source_name", "title", "published_at")} AS dedup_key FROM e0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq DESC) = 1),
+su AS (SELECT url, min(id) AS m FROM st GROUP BY 1), sk AS (SELECT dedup_key, source_name, min(id) AS m FROM st GROUP BY 1, 2),
+met AS (SELECT f.*, least(su.m, sk.m) AS hit, coalesce(least(su.m, sk.m), sha256(f.url)) AS id FROM firsts f LEFT JOIN su USING (url) LEFT JOIN sk ON sk.dedup_key = f.dedup_key AND sk.source_name = f.source_name)"""
+)
+_NAMED = """na AS (SELECT *, CASE symbol WHEN 'click' THEN 'BTC/USDT' WHEN 'view' THEN 'ETH/USDT' WHEN 'error' THEN 'SOL/USDC' ELSE upper(substr(symbol, 1, 3)) || '/USDT' END AS display FROM ev),
+nb AS (SELECT *, replace(display, '/', '') AS normalized_symbol, split_part(display, '/', 1) AS base, split_part(display, '/', 2) AS quote FROM na), named AS (SELECT *, CASE WHEN normalized_symbol IN ('BTCUSDT', 'ETHUSDT') THEN 'a-' || normalized_symbol ELSE sha256(normalized_symbol) END AS asset_id FROM nb)"""
 _NAMES = "CASE symbol WHEN 'click' THEN 'BTCUSDT' WHEN 'view' THEN 'ETHUSDT' WHEN 'error' THEN 'EURUSD' ELSE symbol END"
 
 
@@ -218,13 +245,15 @@ th AS (SELECT *, CASE WHEN cs < 45 THEN 'low' WHEN cs < 70 THEN 'medium' ELSE 'h
 )
 
 
+def _runs(when: str, which: str) -> str:
+    """A row per request: of the good ones those ``when``, of the odd ones ``which``."""
+    return f"""WITH {EV}, r AS (SELECT *, CASE symbol WHEN 'click' THEN 'btc/usdt' WHEN 'view' THEN 'ETHUSDT' WHEN 'error' THEN 'SOL-USDC' ELSE upper(substr(symbol, 1, 3)) || '/USDT' END AS raw, row_number() OVER (PARTITION BY symbol, date_trunc('day', open_time) ORDER BY open_time) AS k FROM ev), g AS (SELECT raw || ' ' || strftime(open_time, '%Y-%m-%d') AS request_id, 'success' AS status, upper(regexp_replace(raw, '[/-]', '')) AS symbol, count(*) AS fetched, count(*) FILTER (hour(open_time) >= 12) AS inserted, count(*) FILTER (hour(open_time) = 3) AS updated, NULL::VARCHAR AS error FROM r WHERE k <= 20 AND {when} GROUP BY ALL) FROM g UNION ALL SELECT * FROM (VALUES ('fine', 'success', 'EURUSD', 1, 1, 0, NULL), ('failed 1', 'failed', 'BTCUSDT', NULL, NULL, NULL, 'not a provider: nobody'), ('failed 2', 'failed', 'BTCUSDT', NULL, NULL, NULL, 'not a timeframe: 2h'), ('failed 3', 'failed', 'EURUSD', NULL, NULL, NULL, 'Note: null'), ('failed 4', 'failed', 'EURUSD', NULL, NULL, NULL, 'no time series in the payload'), ('failed 5', 'failed', 'BTCUSDT', NULL, NULL, NULL, 'no route for crypto 1h'), ('failed 6', 'failed', 'BTCUSDT', NULL, NULL, NULL, 'not an array of rows'), ('bad 1', 'rejected', NULL, NULL, NULL, NULL, 'not a symbol: x'), ('bad 2', 'rejected', NULL, NULL, NULL, NULL, 'not a symbol: BTC/USD/T'), ('bad 3', 'rejected', NULL, NULL, NULL, NULL, 'not an asset class: stock'), ('bad 4', 'rejected', NULL, NULL, NULL, NULL, 'limit must be 1..1000')) v(request_id, status, symbol, fetched, inserted, updated, error) WHERE {which}"""
+
+
 def oracle_sql() -> dict[str, str]:
     r = lambda *c: ", ".join(f"round({x}, 6) AS {x}" for x in c)
     ev_f = f"WITH {EV}, {_frame('ev')}"
     walk_f = f"WITH {WALK}, {_frame('walk')}"
-    upper = "upper(regexp_replace(raw, '[^A-Za-z0-9]', '', 'g'))"
-    fx = ", ".join(map(_q, FOREX))
-    ends = lambda out: " ".join(f"WHEN suffix(c, '{q}') AND len(c) > {len(q)} THEN {out(q)}" for q in QUOTES)
     stored = f"st AS (SELECT symbol AS asset_id, open_time, open::DECIMAL(20,8) AS open, high::DECIMAL(20,8) AS high, low::DECIMAL(20,8) AS low, close::DECIMAL(20,8) AS close, volume FROM ev)"
     ups = f"WITH {EV}, {stored}, up AS (SELECT asset_id, open_time, CASE WHEN hour(open_time) = 9 THEN close + 1 ELSE close END::DOUBLE AS close, CASE WHEN hour(open_time) >= 18 THEN 'insert' WHEN hour(open_time) < 6 THEN 'kept' WHEN hour(open_time) = 9 THEN 'update' ELSE 'same' END AS action FROM st)"
     return {
@@ -248,8 +277,8 @@ def oracle_sql() -> dict[str, str]:
         "score_breakdown": f"{ROWS}, d AS (SELECT *, {_MR} AS direction FROM al WHERE t >= 60), s AS (SELECT *, coalesce({_MR_SCORE}, 35.0) AS setup, {_SCORES} FROM d) SELECT symbol, open_time, {_SCORE_OUT}, {_clamped('setup')} AS setup_score, {_clamped('0.35 * trend + 0.25 * momentum + 0.15 * volatility + 0.25 * setup')} AS total_score FROM s",
         "analyze_all": f"{_ANALYSIS} SELECT symbol, n, close, label AS regime, CASE WHEN setup_type IS NULL THEN 0 ELSE 1 END::BIGINT AS n_setups, n_supports, n_resistances, support, resistance, trend_score, momentum_score, volatility_score, total_score, {r('rsi_14', 'macd_hist', 'adx_14')} FROM an",
         "rejected_series": f"WITH {EV}, {EV_DAY}, x AS (FROM ev UNION ALL FROM evd) SELECT symbol, timeframe, least(count(*), 300) AS n FROM x GROUP BY 1, 2 HAVING count(*) < 60",
-        "symbol_normalize": f"WITH s(raw, class) AS (VALUES {', '.join(f'({_q(a)}, {_q(b)})' for a, b in SYMBOLS)}), a AS (SELECT *, {upper} AS c, regexp_split_to_array(upper(raw), '[/_-]') AS p FROM s), b AS (SELECT *, len(p) = 2 AND p[1] <> '' AND p[-1] <> '' AS sp, len(p) > 1 AS del, coalesce(class = 'forex', FALSE) AS fxc, len(c) = 6 AND ((substr(c, 1, 3) IN ({fx}) AND substr(c, 4, 3) IN ({fx})) OR coalesce(class = 'forex', FALSE)) AS fxp FROM a), d AS (SELECT *, CASE WHEN sp THEN p[1] WHEN del THEN NULL WHEN fxp THEN substr(c, 1, 3) WHEN fxc THEN NULL {ends(lambda q: f'substr(c, 1, len(c) - {len(q)})')} END AS base, CASE WHEN sp THEN p[-1] WHEN del THEN NULL WHEN fxp THEN substr(c, 4, 3) WHEN fxc THEN NULL {ends(_q)} END AS quote FROM b), e AS (SELECT *, len(c) >= 6 AND quote IS NOT NULL AS ok FROM d) SELECT raw, class, CASE WHEN ok THEN base || quote END AS normalized, CASE WHEN ok THEN base END AS base, CASE WHEN ok THEN quote END AS quote, CASE WHEN ok THEN coalesce(class, CASE WHEN quote IN ({fx}) THEN 'forex' ELSE 'crypto' END) END AS asset_class, CASE WHEN ok THEN base || '/' || quote END AS at_ccxt FROM e",
-        "timeframe_interval": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v}::INT)" for k, v in TIMEFRAMES.items()) + ", ('2h', NULL)) v(timeframe, minutes)",
+        "symbol_normalize": f"WITH {_NORMAL} SELECT raw, class, CASE WHEN ok THEN base || quote END AS normalized, CASE WHEN ok THEN base END AS base, CASE WHEN ok THEN quote END AS quote, kind AS asset_class, CASE WHEN ok THEN base || '/' || quote END AS at_ccxt FROM normal",
+        "timeframe_interval": f"WITH e AS (SELECT event_id, ts, {_pick([*TIMEFRAMES, '2h'], 'event_id')} AS timeframe, {_pick([*TIMEFRAMES.values(), None], 'event_id')}::INT AS minutes FROM events) SELECT event_id, timeframe, minutes, ts + to_minutes(minutes) AS close_time FROM e",
         "news_dedup_key": "SELECT doc_id, " + _key("source", "text", "TIMESTAMP '2024-01-05 06:30:00'") + " AS dedup_key FROM documents",
         "news_batch_dedup": f"WITH {_KEYED} SELECT seq, dedup_key FROM firsts",
         "news_sentiment": f"""WITH {_CANDS}, {_sent("cand0", "sen", "title || ' ' || summary")} SELECT seq, sentiment_label, round(sentiment_score, 6) AS sentiment_score FROM sen""",
@@ -260,11 +289,19 @@ def oracle_sql() -> dict[str, str]:
         "candle_upsert": f"{ups} SELECT asset_id, open_time, CASE WHEN action = 'kept' THEN close ELSE close END AS close, action FROM up",
         "candle_upsert_counts": f"{ups} SELECT count(*) FILTER (action = 'insert') AS inserted, count(*) FILTER (action = 'update') AS updated FROM up",
         "news_upsert_match": f"WITH {_KEYED}, st AS (SELECT * FROM keyed WHERE published_at < TIMESTAMP '{SPLIT}'), su AS (SELECT url, min(seq) AS m FROM st GROUP BY 1), sk AS (SELECT dedup_key, source_name, min(seq) AS m FROM st GROUP BY 1, 2) SELECT k.seq, least(su.m, sk.m) AS match_id FROM keyed k LEFT JOIN su USING (url) LEFT JOIN sk ON sk.dedup_key = k.dedup_key AND sk.source_name = k.source_name WHERE k.published_at >= TIMESTAMP '{SPLIT}'",
-        "news_ingest": f"WITH {_CANDS.replace('FROM events', f"FROM events WHERE ts >= TIMESTAMP '{SPLIT}'")}, {_KEYED[len(_CANDS) + 2:]}, {_tags('firsts')}, old AS (SELECT event_id AS seq, event_type AS source_name, [{', '.join(_q(h[0]) for h in HEADLINES)}][event_id % {len(HEADLINES)} + 1] AS title, ts, 'https://news.example/' || (event_id % 50)::VARCHAR AS url FROM events WHERE ts < TIMESTAMP '{SPLIT}' AND event_id % 50 < 30), st AS (SELECT *, {_key('source_name', 'title', 'ts')} AS dedup_key FROM old), new AS (SELECT * FROM firsts f WHERE f.url NOT IN (SELECT url FROM st) AND (f.dedup_key, f.source_name) NOT IN (SELECT (dedup_key, source_name) FROM st)) SELECT (SELECT count(*) FROM cand0) AS fetched, (SELECT count(*) FROM cand0) - (SELECT count(*) FROM firsts) AS deduplicated, (SELECT count(DISTINCT url) FROM new) AS inserted, (SELECT count(*) FROM firsts) - (SELECT count(DISTINCT url) FROM new) AS updated, (SELECT count(*) FROM tagged) AS tagged_links",
-        "ohlcv_ingest": f"WITH {EV}, r AS (SELECT *, CASE symbol WHEN 'click' THEN 'btc/usdt' WHEN 'view' THEN 'ETHUSDT' WHEN 'error' THEN 'SOL-USDC' ELSE upper(substr(symbol, 1, 3)) || '/USDT' END AS raw, row_number() OVER (PARTITION BY symbol, date_trunc('day', open_time) ORDER BY open_time) AS k FROM ev), g AS (SELECT raw || ' ' || strftime(open_time, '%Y-%m-%d') AS request_id, 'success' AS status, upper(regexp_replace(raw, '[/-]', '')) AS symbol, count(*) AS fetched, count(*) FILTER (hour(open_time) >= 12) AS inserted, count(*) FILTER (hour(open_time) = 3) AS updated, NULL::VARCHAR AS error FROM r WHERE k <= 20 GROUP BY ALL) FROM g UNION ALL SELECT * FROM (VALUES ('fine', 'success', 'EURUSD', 1, 1, 0, NULL), ('failed 1', 'failed', 'BTCUSDT', NULL, NULL, NULL, 'not a provider: nobody'), ('failed 2', 'failed', 'BTCUSDT', NULL, NULL, NULL, 'not a timeframe: 2h'), ('failed 3', 'failed', 'EURUSD', NULL, NULL, NULL, 'Note: null'), ('failed 4', 'failed', 'EURUSD', NULL, NULL, NULL, 'no time series in the payload'), ('failed 5', 'failed', 'BTCUSDT', NULL, NULL, NULL, 'no route for crypto 1h'), ('failed 6', 'failed', 'BTCUSDT', NULL, NULL, NULL, 'not an array of rows'), ('bad 1', 'rejected', NULL, NULL, NULL, NULL, 'not a symbol: x'), ('bad 2', 'rejected', NULL, NULL, NULL, NULL, 'not a symbol: BTC/USD/T'), ('bad 3', 'rejected', NULL, NULL, NULL, NULL, 'not an asset class: stock'), ('bad 4', 'rejected', NULL, NULL, NULL, NULL, 'limit must be 1..1000')) v",
-        "insert_if_absent": "SELECT 'GBPUSD' AS normalized_symbol, 'GBP/USD' AS display_symbol",
+        "news_ingest": f"WITH {_BATCH} SELECT (SELECT count(*) FROM cand0) AS fetched, (SELECT count(*) FROM cand0) - (SELECT count(*) FROM firsts) AS deduplicated, (SELECT count(DISTINCT id) FROM met WHERE hit IS NULL) AS inserted, (SELECT count(*) FROM firsts) - (SELECT count(DISTINCT id) FROM met WHERE hit IS NULL) AS updated, (SELECT count(*) FROM tagged) AS tagged_links",
+        "news_items_upsert": f"""WITH {_BATCH}, tagl AS (SELECT seq, string_agg(symbol, ',' ORDER BY relevance DESC, symbol) AS tagged FROM tagged GROUP BY seq)
+          SELECT m.id, 'p-7' AS provider_id, NULL AS external_id, coalesce(st.source_name, m.source_name) AS source_name, m.title, m.url, m.published_at, sentiment_label, importance_score::DOUBLE AS importance_score, m.dedup_key, m.provider_label AS label, m.provider_score AS score, replace(array_to_string(m.tickers, ','), 'EUR', 'eur') AS tickers, coalesce(tagged, '') AS tagged,
+            CASE WHEN hit IS NULL THEN 'insert' ELSE 'update' END AS action FROM (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1) m JOIN items i USING (seq) LEFT JOIN st ON st.id = m.id LEFT JOIN tagl ON tagl.seq = m.seq
+          UNION ALL SELECT id, 'p-7', 'e-' || seq, source_name, title, url, published_at, NULL, NULL, dedup_key, NULL, NULL, NULL, NULL, 'kept' FROM st WHERE id NOT IN (SELECT id FROM met)""",
+        "news_links_upsert": f"WITH {_BATCH}, l AS (SELECT id AS news_item_id, 'a-' || symbol AS asset_id, seq, relevance FROM met JOIN tagged USING (seq) UNION ALL SELECT id, 'a-EURUSD', -1, 0.11 FROM st) SELECT news_item_id, asset_id, relevance::DECIMAL(5, 2)::DOUBLE AS relevance_score FROM l QUALIFY row_number() OVER (PARTITION BY news_item_id, asset_id ORDER BY seq DESC) = 1",
+        "ohlcv_ingest": _runs("TRUE", "TRUE"),
+        "ohlcv_landed": _runs(f"open_time >= TIMESTAMP '{SPLIT}'", "request_id <> 'failed 1'"),
+        "ohlcv_candles": f"WITH {EV}, {_NAMED}, k AS (SELECT *, row_number() OVER (PARTITION BY symbol, date_trunc('day', open_time) ORDER BY open_time) <= 20 AS sent, hour(open_time) < 12 AS here, hour(open_time) = 3 AS off FROM named) SELECT asset_id, normalized_symbol, 'ccxt' AS code, '1h' AS timeframe, date_trunc('millisecond', open_time)::TIMESTAMP AS open_time, round(open, 4) AS open, round(close, 4) + CASE WHEN off AND NOT sent THEN 1 ELSE 0 END AS close, volume, CASE WHEN here THEN hour(open_time)::DOUBLE END AS quality_score, CASE WHEN NOT here THEN 'insert' WHEN NOT sent THEN 'kept' WHEN off THEN 'update' ELSE 'same' END AS action FROM k WHERE here OR sent UNION ALL SELECT 'a-EURUSD', 'EURUSD', 'alpha_vantage', '1d', TIMESTAMP '2025-01-01', 1.0, 2.0, NULL, NULL, 'insert'",
+        "provider_mappings": f"WITH {EV}, {_NAMED} SELECT DISTINCT asset_id, 'p-1' AS provider_id, display AS provider_symbol, TRUE AS is_primary FROM named UNION ALL SELECT 'a-EURUSD', sha256('alpha_vantage'), 'EURUSD', TRUE",
+        "insert_if_absent": f"WITH {_NORMAL} SELECT DISTINCT base || quote AS normalized_symbol, base || '/' || quote AS display_symbol, base || ' / ' || quote AS name FROM normal WHERE ok AND base || quote NOT IN ({', '.join(_q(x[0]) for x in ASSETS)})",
         "link_upsert": f"WITH {_CANDS}, {_tags('cand0')} SELECT seq AS news_item_id, symbol AS asset_id, CASE WHEN seq % 3 <> 1 THEN relevance ELSE 0.1 END::DOUBLE AS relevance_score FROM tagged",
-        "asset_listing": "SELECT sha256(a) AS id, a AS normalized_symbol, b AS display_symbol, c || ' / ' || d AS name, TRUE AS is_active, c AS base_currency, d AS quote_currency, e AS asset_class FROM (VALUES " + ", ".join("(" + ", ".join(map(_q, x)) + ")" for x in ASSETS) + ") v(a, b, c, d, e)",
+        "asset_listing": f"WITH {EV}, {_NAMED} SELECT DISTINCT asset_id AS id, normalized_symbol, display AS display_symbol, base || ' / ' || quote AS name, base AS base_currency, quote AS quote_currency, CASE WHEN quote IN ({', '.join(map(_q, FOREX))}) THEN 'forex' ELSE 'crypto' END AS asset_class, TRUE AS is_active FROM named WHERE asset_id NOT LIKE 'a-%' UNION ALL SELECT 'a-' || a, a, b, c || ' / ' || d, c, d, e, TRUE FROM (VALUES " + ", ".join("(" + ", ".join(map(_q, x)) + ")" for x in ASSETS) + ") v(a, b, c, d, e)",
         "price_change_30": f"WITH {EV}, {_change('ev')} SELECT symbol, round(change_pct, 4) AS change_pct FROM chg",
         "contradiction_signals": f"WITH {_SIG} SELECT * FROM sig",
         "news_feed": f"WITH {_feed(20)} SELECT * FROM feed",

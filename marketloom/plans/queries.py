@@ -17,7 +17,8 @@ from ..operators import news as N
 from ..operators import rules as R
 from ..operators import thesis as H
 from ..operators import upsert as U
-from ..sources import parsers, schemas
+from ..session import shared_folder
+from ..sources import landing, parsers, schemas
 from ..streaming.candles import stream_candles
 from . import analysis as A
 from . import ingest as G
@@ -182,15 +183,27 @@ def rejected_series(spark, sf_dir):
 SYMBOLS = (("btc/usdt", "crypto"), ("eurusd", None), ("ETHUSDT", "crypto"), ("BTCUSD", None), ("EURUSD", "crypto"), ("sol-usdc", None), ("ADABTC", None), ("gbp_jpy", None), ("x", None), ("XAUEUR", "forex"), ("QQQQQQ", None), ("BTC/USD/T", None), ("BTC//USDT", None), ("EURUSDT", "forex"), ("/EURUSD", None), ("EUR-USD", "forex"))
 
 
+def raw_symbols(spark, sf_dir) -> DataFrame:
+    """raw and class, once each: for every customer a symbol of two currencies in some writing, and one of SYMBOLS."""
+    k = F.col("c_custkey")
+    at = lambda values, n: F.get(F.array(*(F.lit(v).cast("string") for v in values)), F.pmod(n, F.lit(len(values))).cast("int"))
+    made = F.concat(at(Y.FOREX, k), at(("/", "-", "_", ""), F.floor(k / 8)), at(Y.QUOTES, F.floor(k / 32)))
+    customers = table(spark, sf_dir, "customer")
+    mixed = customers.select(F.when(k % 2 == 0, made).otherwise(F.lower(made)).alias("raw"), at((None, "crypto", "forex"), k).alias("class"))
+    return mixed.union(customers.select(at([x[0] for x in SYMBOLS], k), at([x[1] for x in SYMBOLS], k))).distinct()
+
+
 def symbol_normalize(spark, sf_dir):
-    df = spark.createDataFrame(list(SYMBOLS), "raw string, class string")
     s = Y.normalize_symbol(F.col("raw"), F.col("class"), strict=False)
-    return df.withColumn("s", s).select("raw", "class", F.col("s.normalized").alias("normalized"), F.col("s.base").alias("base"), F.col("s.quote").alias("quote"), F.col("s.asset_class").alias("asset_class"), Y.provider_symbol(F.col("s"), F.lit("ccxt")).alias("at_ccxt"))
+    return raw_symbols(spark, sf_dir).withColumn("s", s).select("raw", "class", F.col("s.normalized").alias("normalized"), F.col("s.base").alias("base"), F.col("s.quote").alias("quote"), F.col("s.asset_class").alias("asset_class"), Y.provider_symbol(F.col("s"), F.lit("ccxt")).alias("at_ccxt"))
 
 
 def timeframe_interval(spark, sf_dir):
-    df = spark.createDataFrame([(x,) for x in (*Y.TIMEFRAMES, "2h")], "timeframe string")
-    return df.select("timeframe", Y.timeframe_minutes(F.col("timeframe"), strict=False).alias("minutes"))
+    """For every event a timeframe, its minutes and the close of a candle that opens with the event; "2h" is none."""
+    names = F.array(*(F.lit(x) for x in (*Y.TIMEFRAMES, "2h")))
+    df = table(spark, sf_dir, "events").select("event_id", "ts", F.get(names, F.pmod("event_id", F.lit(len(Y.TIMEFRAMES) + 1)).cast("int")).alias("timeframe"))
+    minutes = Y.timeframe_minutes(F.col("timeframe"), strict=False)
+    return df.select("event_id", "timeframe", minutes.alias("minutes"), (F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), minutes, F.lit(0))).alias("close_time"))
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,13 +290,42 @@ def news_upsert_match(spark, sf_dir):
     return U.match_news(stored, keyed.where(F.col("published_at") >= SPLIT).select("seq", "url", "dedup_key", "source_name")).select("seq", "match_id")
 
 
-def news_ingest(spark, sf_dir):
-    """The counters of a batch of all later news against items stored from some of the earlier ones."""
+def _foreign(df: DataFrame, prefix: str, of: str) -> DataFrame:
+    """A stored table whose ids are no hashes."""
+    return df.withColumn("id", F.concat(F.lit(prefix), F.col(of)))
+
+
+def _news_batch(spark, sf_dir) -> dict[str, DataFrame]:
+    """All later news against the items that all earlier ones have left, the last one of every url; the later ones have some urls of their own."""
     everything = candidates(spark, sf_dir)
-    early = N.with_keys(everything.where((F.col("published_at") < SPLIT) & (F.pmod("seq", F.lit(50)) < 30)))
-    stored = early.select(F.col("seq").alias("id"), "source_name", "title", "summary", "url", "published_at", "dedup_key")
-    links = spark.createDataFrame([], schemas.SCHEMAS["news_asset_links"]).withColumn("relevance_score", F.col("relevance_score").cast("double"))
-    return G.news(everything.where(F.col("published_at") >= SPLIT), stored, links, schemas.assets(spark), F.lit(AS_OF).cast("timestamp"))["counters"]
+    last = N.with_keys(everything.where(F.col("published_at") < SPLIT)).groupBy("url").agg(F.max(F.struct("seq", "source_name", "title", "summary", "published_at", "dedup_key")).alias("x"))
+    kept = F.concat(F.lit("e-"), F.col("x.seq").cast("string"))
+    items = last.select(F.concat(F.lit("item "), F.substring_index("url", "/", -1)).alias("id"), F.lit("p-7").alias("provider_id"), kept.alias("external_id"), "x.source_name", "x.title", "x.summary", "url", F.col("x.published_at").cast("timestamp").alias("published_at"),
+                        F.lit(None).cast("string").alias("sentiment_label"), F.lit(None).cast("decimal(5,2)").alias("importance_score"), "x.dedup_key", F.lit("{}").alias("metadata"))
+    links = items.select(F.col("id").alias("news_item_id"), F.lit("a-EURUSD").alias("asset_id"), F.lit(0.11).cast("decimal(5,2)").alias("relevance_score"))
+    providers = schemas.providers(spark).withColumn("id", F.when(F.col("code") == "alpha_vantage", "p-7").otherwise(F.col("id")))
+    stored = {"providers": providers, "assets": _foreign(schemas.assets(spark), "a-", "normalized_symbol"), "news_items": items, "news_asset_links": links}
+    later = everything.where(F.col("published_at") >= SPLIT).withColumn("url", F.concat(F.lit("https://news.example/"), F.pmod("seq", F.lit(80)).cast("string")))
+    return G.news(later, stored, F.lit(AS_OF).cast("timestamp"))
+
+
+def news_ingest(spark, sf_dir):
+    """The counters of a batch of all later news against the items stored from all earlier ones."""
+    return _news_batch(spark, sf_dir)["counters"]
+
+
+def news_items_upsert(spark, sf_dir):
+    """The stored items after that batch, with what their metadata says."""
+    of = lambda c: F.get_json_object("metadata", f"$.{c}")
+    listed = lambda c: F.array_join(F.from_json(of(c), "array<string>"), ",")
+    items = _news_batch(spark, sf_dir)["items"]
+    return items.select("id", "provider_id", "external_id", "source_name", "title", "url", F.col("published_at").cast("timestamp_ntz").alias("published_at"), "sentiment_label", F.col("importance_score").cast("double").alias("importance_score"), "dedup_key",
+                        of("provider_sentiment_label").alias("label"), of("provider_sentiment_score").cast("double").alias("score"), listed("provider_tickers").alias("tickers"), listed("tagged_assets").alias("tagged"), "action")
+
+
+def news_links_upsert(spark, sf_dir):
+    """The stored links after that batch."""
+    return _news_batch(spark, sf_dir)["links"].select("news_item_id", "asset_id", F.col("relevance_score").cast("double").alias("relevance_score"))
 
 
 def ohlcv_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,25 +348,62 @@ BAD_REQUESTS = (
 )
 
 
-def ohlcv_ingest(spark, sf_dir):
-    """A row per request: whether it was rejected, failed or brought candles, and how many; half of the hours are stored before, some with another close."""
-    requests = ohlcv_requests(spark, sf_dir)
+def _ohlcv_batch(spark, sf_dir, requests: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Half of the hours are stored before, some with another close; the stored assets' and provider's ids are no hashes, and candles have a quality."""
+    requests = ohlcv_requests(spark, sf_dir) if requests is None else requests
     before = event_candles(spark, sf_dir).where(F.hour("open_time") < 12)
     raw = F.when(F.col("symbol") == "click", "BTCUSDT").when(F.col("symbol") == "view", "ETHUSDT").when(F.col("symbol") == "error", "SOLUSDC").otherwise(F.concat(F.upper(F.substring("symbol", 1, 3)), F.lit("USDT")))
     at, price = F.col("open_time").cast("timestamp"), lambda c: F.round(c, 4).cast(schemas.PRICE)
     close = F.when(F.hour("open_time") == 3, price("close") + F.lit(1).cast(schemas.PRICE)).otherwise(price("close")).cast(schemas.PRICE)
-    candles = before.select(F.sha2(raw, 256).alias("asset_id"), F.sha2(F.lit("ccxt"), 256).alias("provider_id"), "timeframe", at.alias("open_time"), Y.close_time(at, F.col("timeframe")).alias("close_time"), *(price(c).alias(c) for c in ("open", "high", "low")), close.alias("close"), F.col("volume").cast(schemas.VOLUME).alias("volume"), F.lit(None).cast(schemas.VOLUME).alias("quote_volume"), F.lit(None).cast("int").alias("trade_count"))
-    stored = {"providers": schemas.providers(spark), "assets": schemas.assets(spark), "asset_provider_symbols": spark.createDataFrame([], schemas.SCHEMAS["asset_provider_symbols"]), "candles": candles}
-    out = G.ohlcv(requests, stored, F.lit(AS_OF).cast("timestamp"))
+    asset = F.when(raw.isin("BTCUSDT", "ETHUSDT"), F.concat(F.lit("a-"), raw)).otherwise(F.sha2(raw, 256))
+    candles = before.select(asset.alias("asset_id"), F.lit("p-1").alias("provider_id"), "timeframe", at.alias("open_time"), Y.close_time(at, F.col("timeframe")).alias("close_time"), *(price(c).alias(c) for c in ("open", "high", "low")), close.alias("close"), F.col("volume").cast(schemas.VOLUME).alias("volume"),
+                            F.lit(None).cast(schemas.VOLUME).alias("quote_volume"), F.lit(None).cast("int").alias("trade_count"), F.hour("open_time").cast("decimal(5,2)").alias("quality_score"))
+    stored = {"providers": schemas.providers(spark).withColumn("id", F.when(F.col("code") == "ccxt", "p-1").otherwise(F.col("id"))), "assets": _foreign(schemas.assets(spark), "a-", "normalized_symbol"), "asset_provider_symbols": spark.createDataFrame([], schemas.SCHEMAS["asset_provider_symbols"]), "candles": candles}
+    return G.ohlcv(requests, stored, F.lit(AS_OF).cast("timestamp"))
+
+
+def _requests_and_runs(out: dict[str, DataFrame]) -> DataFrame:
     of = lambda c: F.get_json_object("details", f"$.{c}")
     runs = out["runs"].select("request_id", "status", of("symbol").alias("symbol"), *(of(f"{c}_count").cast("long").alias(c) for c in ("fetched", "inserted", "updated")), of("error").alias("error"))
     return runs.unionByName(out["rejected"].withColumn("status", F.lit("rejected")), allowMissingColumns=True)
 
 
+def ohlcv_ingest(spark, sf_dir):
+    """A row per request: whether it was rejected, failed or brought candles, and how many."""
+    return _requests_and_runs(_ohlcv_batch(spark, sf_dir))
+
+
+def landed(spark: SparkSession, sf_dir: str) -> str:
+    """The folder where the same requests land by provider and day."""
+    requests, path = ohlcv_requests(spark, sf_dir), shared_folder(spark)
+    day = F.coalesce(F.to_date(F.try_to_timestamp(F.substring_index("request_id", " ", -1))), F.lit("2025-01-01").cast("date"))
+    landing.land(requests.withColumn("day", day), path)
+    return path
+
+
+def ohlcv_landed(spark, sf_dir):
+    """ohlcv_ingest from a landing zone: what one provider sent from a day on, and all that the other did."""
+    path = landed(spark, sf_dir)
+    asked = landing.payloads(spark, path, provider="ccxt", since=SPLIT[:10]).unionByName(landing.payloads(spark, path, provider="alpha_vantage"))
+    return _requests_and_runs(_ohlcv_batch(spark, sf_dir, asked.drop("day", "file", "at", "since")))
+
+
+def ohlcv_candles(spark, sf_dir):
+    """The stored candles after that batch, with the symbols of their assets."""
+    out = _ohlcv_batch(spark, sf_dir)
+    named = out["candles"].join(out["assets"].select(F.col("id").alias("asset_id"), "normalized_symbol"), "asset_id").join(out["providers"].select(F.col("id").alias("provider_id"), "code"), "provider_id")
+    return named.select("asset_id", "normalized_symbol", "code", "timeframe", F.col("open_time").cast("timestamp_ntz").alias("open_time"), *(F.col(c).cast("double").alias(c) for c in ("open", "close", "volume", "quality_score")), "action")
+
+
+def provider_mappings(spark, sf_dir):
+    """What that batch maps assets to: the symbol that a provider knows them by, once each."""
+    return _ohlcv_batch(spark, sf_dir)["asset_provider_symbols"]
+
+
 def insert_if_absent(spark, sf_dir):
-    seeds = schemas.assets(spark).select("normalized_symbol", "display_symbol")
-    new = spark.createDataFrame([("EURUSD", "EUR/USD"), ("GBPUSD", "GBP/USD"), ("GBPUSD", "GBP/USD")], "normalized_symbol string, display_symbol string")
-    return U.absent(seeds, new, ("normalized_symbol",))
+    """The assets of customers' symbols that the stored ones lack."""
+    named = raw_symbols(spark, sf_dir).select(Y.normalize_symbol(F.col("raw"), F.col("class"), strict=False).alias("s")).where("s is not null")
+    return U.absent(schemas.assets(spark), U.asset_rows(named, "s"), ("normalized_symbol",)).select("normalized_symbol", "display_symbol", "name")
 
 
 def link_upsert(spark, sf_dir):
@@ -334,7 +413,8 @@ def link_upsert(spark, sf_dir):
 
 
 def asset_listing(spark, sf_dir):
-    return _assets(spark).select("id", "normalized_symbol", "display_symbol", "name", "base_currency", "quote_currency", "asset_class", "is_active")
+    """The active assets after that batch of candles."""
+    return schemas.active(_ohlcv_batch(spark, sf_dir)["assets"]).select("id", "normalized_symbol", "display_symbol", "name", "base_currency", "quote_currency", "asset_class", "is_active")
 
 
 def _changes(spark, sf_dir) -> DataFrame:
@@ -408,7 +488,7 @@ def stream_hourly(spark, sf_dir):
 ALL = (
     candle_resample, candles_latest_n, candles_joined_dims, sma_volume_sma, bollinger, true_range, directional_movement, ema_20_50_200, macd, atr_rsi, adx, swing_points, support_resistance, trend_regime,
     setups_mean_reversion, setups_pullback, setups_breakout_given_levels, score_breakdown, analyze_all, rejected_series, symbol_normalize, timeframe_interval, news_dedup_key, news_batch_dedup, news_sentiment,
-    sentiment_lexicon, news_tagging, news_importance, news_ingest_counts, candle_upsert, candle_upsert_counts, news_upsert_match, news_ingest, ohlcv_ingest, insert_if_absent, link_upsert, asset_listing, price_change_30, contradiction_signals,
+    sentiment_lexicon, news_tagging, news_importance, news_ingest_counts, candle_upsert, candle_upsert_counts, news_upsert_match, news_ingest, news_items_upsert, news_links_upsert, ohlcv_ingest, ohlcv_landed, ohlcv_candles, provider_mappings, insert_if_absent, link_upsert, asset_listing, price_change_30, contradiction_signals,
     news_feed, news_feed_symbol, thesis_confidence, thesis_invalidation, thesis_text, exchange_payloads, stream_hourly,
 )
 

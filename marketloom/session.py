@@ -1,5 +1,10 @@
 """A session with the settings that the operators rely on."""
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -8,3 +13,19 @@ def session(master: str = "local[*]", **conf: str) -> SparkSession:
     for k, v in conf.items():
         builder = builder.config(k.replace("__", "."), v)
     return builder.getOrCreate()
+
+
+_own: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir. Where that is unset a temporary folder serves a local session, and a cluster is refused."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="marketloom-"))
+            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+        root = _own[0]
+    return f"{root.rstrip('/')}/market-{uuid.uuid4().hex}"

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import in_range, number
-from ..functions.symbols import close_time
+from ..functions.symbols import base_currencies, close_time
 from .schemas import PRICE, VOLUME
 
 #: Keys of a payload that tell of a failure, and the minutes of the intraday routes.
@@ -14,9 +14,13 @@ FAILURES = ("Error Message", "Information", "Note")
 INTRADAY = {"1m": "1min", "5m": "5min", "15m": "15min", "30m": "30min", "1h": "60min"}
 
 
-def exchange_rows(payloads: DataFrame, rows: str = "rows", timeframe: str = "timeframe", limit: Column | None = None) -> DataFrame:
-    """Candles from arrays [epoch ms, open, high, low, close, volume]; rows of under six fields are skipped, a null volume stays null. ``limit`` keeps the first of each payload."""
+def exchange_rows(payloads: DataFrame, rows: str = "rows", timeframe: str = "timeframe", limit: Column | None = None, since: Column | None = None) -> DataFrame:
+    """Candles from arrays [epoch ms, open, high, low, close, volume]; rows of under six fields are skipped, a null volume stays null.
+
+    ``since`` (null: no bound) leaves out what opens before it, then ``limit`` keeps the first rows of each payload."""
     parsed = F.from_json(rows, "array<array<double>>")
+    if since is not None:
+        parsed = F.filter(parsed, lambda r: since.isNull() | (F.get(r, F.lit(0)) >= F.unix_millis(since)))
     each = payloads.withColumn("r", F.explode(parsed if limit is None else F.slice(parsed, F.lit(1), limit))).where(F.size("r") >= 6)
     at = F.timestamp_millis(F.col("r")[0].cast("long"))
     each = each.withColumn("open_time", at).withColumn("close_time", close_time(F.col("open_time"), F.col(timeframe)))
@@ -87,14 +91,19 @@ def no_feed(payload: Column) -> Column:
     return F.when(~F.coalesce(F.get_json_object(payload, "$.feed"), F.lit("")).startswith("["), F.lit("no feed array in the payload"))
 
 
-def news_feed(payloads: DataFrame, as_of: Column, payload: str = "payload", limit: int | None = None) -> DataFrame:
+def news_feed(payloads: DataFrame, as_of: Column, payload: str = "payload", limit: int | None = None, symbols: Column | None = None, asset_class: Column | None = None) -> DataFrame:
     """News candidates from the array under "feed", with raw_payload, the item's JSON: trimmed, blank titles and non-objects skipped, empty id and label null, source "unknown" by default.
 
-    A payload that tells of a failure or has no such array raises an error. Of the items that are left, ``limit`` (1 to 200) keeps the first ones of each payload."""
+    A payload that tells of a failure or has no such array raises an error. ``symbols``, an array of raw symbols (null or empty: no filter), keeps items with a ticker that is,
+    or of which the part behind a colon is, the base currency of one of them. Of the items that are left, ``limit`` (1 to 200) keeps the first ones of each payload."""
     item = "struct<id:string,title:string,summary:string,url:string,source:string,time_published:string,overall_sentiment_score:string,overall_sentiment_label:string,ticker_sentiment:string>"
     good = checked(F.col(payload), no_feed(F.col(payload)))
     items = F.transform(F.from_json(F.get_json_object(good, "$.feed"), "array<string>"), lambda t: F.struct(t.alias("text"), F.from_json(t, item).alias("i")))
     items = F.filter(items, lambda x: F.trim(x["i"]["title"]) != "")
+    if symbols is not None:
+        wanted = base_currencies(symbols, asset_class)
+        told = lambda x: F.transform(F.coalesce(F.from_json(x["i"]["ticker_sentiment"], "array<string>"), F.array().cast("array<string>")), lambda t: F.substring_index(F.upper(F.trim(F.get_json_object(t, "$.ticker"))), ":", -1))
+        items = F.filter(items, lambda x: wanted.isNull() | (F.size(wanted) == 0) | F.coalesce(F.arrays_overlap(told(x), wanted), F.lit(False)))
     if limit is not None:
         items = F.slice(items, 1, in_range("limit", limit, 1, 200))
     each = payloads.select(F.posexplode(items).alias("seq", "x")).select("seq", "x.text", "x.i")

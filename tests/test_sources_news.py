@@ -1,6 +1,7 @@
 """Parsers, news rules, upserts, the thesis rules and the streaming plan."""
 
 import datetime as dt
+import json
 import random
 import re
 
@@ -195,20 +196,78 @@ def test_ohlcv_tables(spark):
     assert U.counts(again["candles"]).first().asDict() == {"inserted": 0, "updated": 0} and again["candles"].where("action = 'same'").count() == 2
 
 
+def empty(spark, table):
+    return spark.createDataFrame([], schemas.SCHEMAS[table])
+
+
+CANDIDATE = "seq long, source_name string, title string, summary string, url string, published_at timestamp_ntz, provider_label string, provider_score double, provider_importance double, tickers array<string>"
+
+
 def test_news_tables(spark):
+    """Into the engine's own tables, with ids that are no hashes."""
     from marketloom.plans import ingest as G
 
     at = dt.datetime(2025, 1, 1)
-    rows = [(1, "s", "BTC rally", "", "u1", at, None, None, None, ["BTC"]), (2, "s", "btc  RALLY!", "again", "u9", at, None, None, None, []), (3, "s", "ETH drop", "", "u1", at, None, None, None, []), (4, "s", "Old news", "", "u0", at, None, None, None, ["EURUSD"])]
-    candidates = spark.createDataFrame(rows, "seq long, source_name string, title string, summary string, url string, published_at timestamp_ntz, provider_label string, provider_score double, provider_importance double, tickers array<string>")
-    stored = spark.createDataFrame([("7", "first", "t", "", "u0", at, "k")], "id string, source_name string, title string, summary string, url string, published_at timestamp_ntz, dedup_key string")
-    links = spark.createDataFrame([("7", "gone", 0.5)], "news_item_id string, asset_id string, relevance_score double")
-    assets = schemas.assets(spark).withColumn("is_active", F.col("base_currency") != "ETH")
-    out = G.news(candidates, stored, links, assets, F.lit("2025-01-01 01:00:00").cast("timestamp"))
+    rows = [(1, "s", "BTC rally", "", "u1", at, None, None, None, ["BTC"]), (2, "s", "btc  RALLY!", "again", "u9", at, None, None, None, []), (3, "s", "ETH drop", "", "u1", at, "Bearish", -0.4, None, []), (4, "s", "Old news", "", "u0", at, None, None, None, ["EURUSD"])]
+    candidates = spark.createDataFrame(rows, CANDIDATE).withColumn("external_id", F.concat(F.lit("x"), "seq"))
+    items = spark.createDataFrame([("7", "p-old", "e", "first", "t", None, "u0", at, None, None, "k", "{}"), ("8", "p-old", "e8", "s", "t", None, "u8", at, "neutral", None, "k8", '{"a":1}')], schemas.SCHEMAS["news_items"])
+    links = spark.createDataFrame([("7", "gone")], "news_item_id string, asset_id string").withColumn("relevance_score", F.lit(0.5).cast("decimal(5,2)"))
+    assets = schemas.assets(spark).withColumns({"is_active": F.col("base_currency") != "ETH", "id": F.concat(F.lit("uuid-"), "normalized_symbol")})
+    stored = {"providers": schemas.providers(spark).where("code = 'ccxt'"), "assets": assets, "news_items": items, "news_asset_links": links}
+    out = G.news(candidates, stored, F.lit("2025-01-01 01:00:00").cast("timestamp"))
     assert out["counters"].first().asDict() == {"fetched": 4, "deduplicated": 1, "inserted": 1, "updated": 2, "tagged_links": 2}
-    items = {r.url: r for r in out["items"].collect()}
-    assert (items["u0"].id, items["u0"].action, items["u0"].source_name, items["u0"].title) == ("7", "update", "first", "Old news") and (items["u1"].action, items["u1"].title) == ("insert", "ETH drop")
-    assert sorted((r.news_item_id == "7", float(r.relevance_score)) for r in out["links"].collect()) == [(False, 0.82), (True, 0.5), (True, 0.95)]
+    assert out["items"].columns == [*items.columns, "action"] and out["items"].drop("action").dtypes == items.dtypes
+    made = {r.code: (r.id, r.category) for r in out["providers"].collect()}
+    assert made["alpha_vantage"][1] == "news_context" and len(made) == 2
+    found = {r.url: r for r in out["items"].collect()}
+    assert (found["u0"].id, found["u0"].action, found["u0"].source_name, found["u0"].title, found["u0"].external_id) == ("7", "update", "first", "Old news", "x4") and (found["u1"].action, found["u1"].title) == ("insert", "ETH drop")
+    assert found["u0"].provider_id == found["u1"].provider_id == made["alpha_vantage"][0]
+    assert json.loads(found["u1"].metadata) == {"provider_sentiment_score": -0.4, "provider_sentiment_label": "Bearish", "provider_tickers": [], "tagged_assets": []} and json.loads(found["u0"].metadata)["tagged_assets"] == ["EURUSD"]
+    assert (found["u8"].provider_id, found["u8"].external_id, found["u8"].metadata, found["u8"].action) == ("p-old", "e8", '{"a":1}', "kept")
+    assert sorted((r.asset_id, float(r.relevance_score)) for r in out["links"].collect()) == [("gone", 0.5), ("uuid-BTCUSDT", 0.82), ("uuid-EURUSD", 0.95)]
+    again = G.news(candidates, {"providers": out["providers"], "assets": assets, "news_items": out["items"].drop("action"), "news_asset_links": out["links"]}, F.lit("2025-01-01 01:00:00").cast("timestamp"))
+    assert again["counters"].first().inserted == 0 and again["providers"].count() == 2 and again["items"].count() == 3
+    none = G.news(candidates.limit(0), {**stored, "news_items": empty(spark, "news_items"), "news_asset_links": empty(spark, "news_asset_links")}, F.lit("2025-01-01 01:00:00").cast("timestamp"))
+    assert none["items"].count() == none["links"].count() == 0 and none["counters"].first().fetched == 0
+
+
+def test_ohlcv_keeps_ids_and_columns(spark):
+    """A stored asset and provider keep their ids, candles and mapping are filed under them, other stored columns stay."""
+    from marketloom.plans import ingest as G
+
+    requests = spark.createDataFrame([("r1", "ccxt", "btc/usdt", None, "1h", 9, "[[0,1,2,1,9,5],[3600000,2,3,2,3,1]]", None), ("r2", "ccxt", "ETHUSDT", None, "1h", 1, "[[0,1,2,1,2,5],[3600000,2,3,2,3,1],[7200000,3,3,3,3,1]]", dt.datetime(1970, 1, 1, 1))],
+                                     "request_id string, provider_code string, raw_symbol string, asset_class string, timeframe string, row_limit int, payload string, since timestamp")
+    assets = schemas.assets(spark).where("base_currency = 'BTC'").withColumn("id", F.lit("uuid-BTC"))
+    providers = schemas.providers(spark).withColumn("id", F.concat(F.lit("uuid-"), "code"))
+    t = dt.datetime(1970, 1, 1)
+    candles = empty(spark, "candles").unionByName(spark.createDataFrame([("uuid-BTC", "uuid-ccxt", "1h", t, t, 4.5), ("other", "uuid-ccxt", "1h", t, t, 1.5)], "asset_id string, provider_id string, timeframe string, open_time timestamp, close_time timestamp, quality_score double").withColumn("quality_score", F.col("quality_score").cast("decimal(5,2)")), allowMissingColumns=True)
+    out = G.ohlcv(requests, {"providers": providers, "assets": assets, "asset_provider_symbols": empty(spark, "asset_provider_symbols"), "candles": candles}, F.lit("2025-01-01 00:00:00").cast("timestamp"), F.lit("2025-01-01 00:00:02").cast("timestamp"))
+    ids = {r.normalized_symbol: r.id for r in out["assets"].collect()}
+    assert ids["BTCUSDT"] == "uuid-BTC" and set(ids) == {"BTCUSDT", "ETHUSDT"}
+    got = sorted((r.asset_id, r.open_time.hour, r.action, None if r.quality_score is None else float(r.quality_score)) for r in out["candles"].collect())
+    assert got == sorted([("uuid-BTC", 0, "update", 4.5), ("uuid-BTC", 1, "insert", None), ("other", 0, "kept", 1.5), (ids["ETHUSDT"], 1, "insert", None)])  # since leaves out the first hour, the limit the third
+    assert {r.provider_id for r in out["candles"].collect()} == {"uuid-ccxt"} == {r.provider_id for r in out["runs"].collect()}
+    assert sorted((r.asset_id, r.provider_id) for r in out["asset_provider_symbols"].collect()) == sorted([("uuid-BTC", "uuid-ccxt"), (ids["ETHUSDT"], "uuid-ccxt")])
+    assert {json.loads(r.details)["duration_ms"] for r in out["runs"].collect()} == {2000}
+    assert set(out["candles"].columns) == {*candles.columns, "request_id", "action"}
+    with pytest.raises(ValueError):
+        U.upsert(candles.withColumn("request_id", F.lit("x")), out["candles"], carry=("request_id",))
+
+
+def test_news_request_filters(spark):
+    from marketloom.plans import ingest as G
+
+    item = lambda n, *t: {"title": f"n{n}", "url": f"u{n}", "time_published": "20250101T000000", "ticker_sentiment": [{"ticker": x} for x in t]}
+    payload = json.dumps({"feed": [item(1, "CRYPTO:BTC"), item(2, "FOREX:EUR", "AAPL"), item(3), item(4, "btc"), item(5, "BTCX")]})
+    df, as_of = spark.createDataFrame([(payload,)], "payload string"), F.lit("2025-01-02 00:00:00").cast("timestamp")
+    titles = lambda symbols, **k: [r.title for r in parsers.news_feed(df, as_of, symbols=symbols, **k).collect()]
+    assert titles(F.array(F.lit("btc/usdt"))) == ["n1", "n4"] and titles(F.array(F.lit("BTCUSDT"), F.lit("eurusd"))) == ["n1", "n2", "n4"] and titles(F.array(F.lit("BTCUSDT")), limit=1) == ["n1"]
+    assert titles(None) == titles(F.array().cast("array<string>")) == titles(F.lit(None).cast("array<string>")) == ["n1", "n2", "n3", "n4", "n5"]
+    items = spark.createDataFrame([(1, dt.datetime(2025, 1, 1), "positive", None, None, [(0.9, "EURUSD")])], "id int, published_at timestamp, sentiment_label string, summary string, url string, tags array<struct<relevance:double,symbol:string>>")
+    changes = spark.createDataFrame([], "symbol string, change_pct double")
+    assert G.read_feed(items, changes, as_of, symbol="eur/usd", asset_class="forex").count() == G.read_feed(items, changes, as_of).count() == 1 and G.read_feed(items, changes, as_of, symbol="btc-usdt").count() == 0
+    with pytest.raises(ValueError):
+        G.read_feed(items, changes, as_of, asset_class="stock")
 
 
 def test_read_candles(spark):
