@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..functions.ewm import KEY
 from ..operators import candles as C
 from ..operators import indicators as I
+from ..operators import joins as J
 from ..operators import levels as L
 from ..operators import news as N
 from ..operators import rules as R
@@ -471,6 +472,28 @@ def thesis_text(spark, sf_dir):
     return _theses(spark, sf_dir).select("symbol", "timeframe", F.array_join("supporting_factors", " | ").alias("supporting"), F.array_join("contradictory_factors", " | ").alias("contradicting"), "summary", "disclaimer")
 
 
+def _headlines(spark, sf_dir) -> DataFrame:
+    return candidates(spark, sf_dir).select("seq", F.col("source_name").alias("symbol"), "published_at")
+
+
+def headline_returns(spark, sf_dir):
+    """Every headline with the last candle that had closed by then and the first that opens a day later or after, and the change between them."""
+    c = event_candles(spark, sf_dir).withColumn("close_time", Y.close_time(F.col("open_time"), F.col("timeframe")))
+    met = J.asof(_headlines(spark, sf_dir), c.select("symbol", "close_time", "close"), ("symbol",), "published_at", "close_time", name="before")
+    met = met.withColumn("later", F.col("published_at") + F.expr("INTERVAL 1 DAY"))
+    met = J.asof(met, c.select("symbol", "open_time", "open"), ("symbol",), "later", "open_time", name="after", forward=True)
+    change = (F.col("after.open") - F.col("before.close")) / F.nullif(F.col("before.close"), F.lit(0.0)) * 100
+    return met.select("seq", "symbol", F.col("before.close_time").alias("closed_at"), F.col("after.open_time").alias("opened_at"), F.round(change, 6).alias("change_pct"))
+
+
+def headline_windows(spark, sf_dir):
+    """The candles of a headline's symbol that open within six hours of it: how many, their extremes and volume."""
+    h = _headlines(spark, sf_dir).select("seq", "symbol", *((F.col("published_at") + F.expr(f"INTERVAL {n} HOUR")).alias(c) for n, c in ((-6, "first"), (6, "last"))))
+    c = event_candles(spark, sf_dir).select("symbol", "open_time", "high", "low", "volume")
+    met = J.meeting(h, c, ("symbol",), "first", "last", "open_time", seconds=6 * 3600)
+    return met.groupBy("seq", "symbol").agg(F.count("*").alias("candles"), F.round(F.max("high"), 6).alias("highest"), F.round(F.min("low"), 6).alias("lowest"), F.sum("volume").alias("volume"))
+
+
 def exchange_payloads(spark, sf_dir):
     rows = F.concat(F.lit("[["), F.concat_ws(",", F.unix_millis(F.col("ts").cast("timestamp")).cast("string"), F.lit("1.5"), F.lit("2"), F.lit("1"), F.col("event_id").cast("string"), F.lit("null")), F.lit("],[1,2]]"))
     df = table(spark, sf_dir, "events").select("event_id", F.lit("1h").alias("timeframe"), rows.alias("rows"))
@@ -489,7 +512,7 @@ ALL = (
     candle_resample, candles_latest_n, candles_joined_dims, sma_volume_sma, bollinger, true_range, directional_movement, ema_20_50_200, macd, atr_rsi, adx, swing_points, support_resistance, trend_regime,
     setups_mean_reversion, setups_pullback, setups_breakout_given_levels, score_breakdown, analyze_all, rejected_series, symbol_normalize, timeframe_interval, news_dedup_key, news_batch_dedup, news_sentiment,
     sentiment_lexicon, news_tagging, news_importance, news_ingest_counts, candle_upsert, candle_upsert_counts, news_upsert_match, news_ingest, news_items_upsert, news_links_upsert, ohlcv_ingest, ohlcv_landed, ohlcv_candles, provider_mappings, insert_if_absent, link_upsert, asset_listing, price_change_30, contradiction_signals,
-    news_feed, news_feed_symbol, thesis_confidence, thesis_invalidation, thesis_text, exchange_payloads, stream_hourly,
+    news_feed, news_feed_symbol, thesis_confidence, thesis_invalidation, thesis_text, headline_returns, headline_windows, exchange_payloads, stream_hourly,
 )
 
 
