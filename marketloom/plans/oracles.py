@@ -315,6 +315,9 @@ def oracle_sql() -> dict[str, str]:
           printf('%s %s: %s thesis from %s with %s confidence. View this as a conditional scenario, not a prediction, and monitor %d opposing signal(s).', symbol, timeframe, direction, coalesce(setup_type, 'no clear setup'), cl, na) AS summary, {_q(DISCLAIMER)} AS disclaimer FROM th""",
         "headline_returns": f"WITH {EV}, h AS (SELECT event_id AS seq, event_type AS symbol, ts FROM events), c AS (SELECT *, open_time + INTERVAL 1 HOUR AS close_time FROM ev) SELECT h.seq, h.symbol, a.close_time AS closed_at, b.open_time AS opened_at, round((b.open - a.close) / nullif(a.close, 0) * 100, 6) AS change_pct FROM h ASOF LEFT JOIN c a ON h.symbol = a.symbol AND h.ts >= a.close_time ASOF LEFT JOIN c b ON h.symbol = b.symbol AND h.ts + INTERVAL 1 DAY <= b.open_time",
         "headline_windows": f"WITH {EV} SELECT event_id AS seq, event_type AS symbol, count(*) AS candles, round(max(high), 6) AS highest, round(min(low), 6) AS lowest, sum(volume) AS volume FROM events JOIN ev ON symbol = event_type AND open_time BETWEEN ts - INTERVAL 6 HOUR AND ts + INTERVAL 6 HOUR GROUP BY 1, 2",
+        "news_sessions": f"""WITH {_CANDS}, {_sent("cand0", "sen", "title || ' ' || summary")}, g AS (SELECT *, CASE WHEN source_name = 'click' THEN 600 ELSE 1800 END AS gap FROM sen),
+          n AS (SELECT *, coalesce(epoch_us(published_at) - epoch_us(lag(published_at) OVER w) >= gap * 1000000, TRUE)::INT AS fresh FROM g WINDOW w AS (PARTITION BY source_name ORDER BY published_at, seq)), i AS (SELECT *, sum(fresh) OVER (PARTITION BY source_name ORDER BY published_at, seq ROWS UNBOUNDED PRECEDING) AS k FROM n)
+          SELECT source_name, min(published_at) AS first_at, max(published_at) AS last_at, first(seq ORDER BY published_at, seq) AS first_item, count(*) AS items, round(sum(coalesce(sentiment_score, 0)), 6) AS net_sentiment FROM i GROUP BY source_name, k""",
         "exchange_payloads": "SELECT event_id, date_trunc('millisecond', ts)::TIMESTAMP AS open_time, date_trunc('millisecond', ts)::TIMESTAMP + INTERVAL 1 HOUR AS close_time, event_id::DOUBLE AS close, NULL::DOUBLE AS volume FROM events",
         "stream_hourly": f"WITH {EV} SELECT symbol, open_time, {r('open', 'high', 'low', 'close')}, volume FROM ev",
     }

@@ -21,6 +21,7 @@ from ..operators import upsert as U
 from ..session import shared_folder
 from ..sources import landing, parsers, schemas
 from ..streaming.candles import stream_candles
+from ..streaming.sessions import sessions
 from . import analysis as A
 from . import ingest as G
 
@@ -494,6 +495,13 @@ def headline_windows(spark, sf_dir):
     return met.groupBy("seq", "symbol").agg(F.count("*").alias("candles"), F.round(F.max("high"), 6).alias("highest"), F.round(F.min("low"), 6).alias("lowest"), F.sum("volume").alias("volume"))
 
 
+def news_sessions(spark, sf_dir):
+    """Bursts of headlines of a source, whose gap is ten minutes for one of them and half an hour for the others."""
+    gap = F.when(F.col("source_name") == "click", 600).otherwise(1800)
+    found = sessions(N.labelled(candidates(spark, sf_dir)), gap, "source_name", "published_at", "seq")
+    return found.withColumn("net_sentiment", F.round("net_sentiment", 6))
+
+
 def exchange_payloads(spark, sf_dir):
     rows = F.concat(F.lit("[["), F.concat_ws(",", F.unix_millis(F.col("ts").cast("timestamp")).cast("string"), F.lit("1.5"), F.lit("2"), F.lit("1"), F.col("event_id").cast("string"), F.lit("null")), F.lit("],[1,2]]"))
     df = table(spark, sf_dir, "events").select("event_id", F.lit("1h").alias("timeframe"), rows.alias("rows"))
@@ -512,7 +520,7 @@ ALL = (
     candle_resample, candles_latest_n, candles_joined_dims, sma_volume_sma, bollinger, true_range, directional_movement, ema_20_50_200, macd, atr_rsi, adx, swing_points, support_resistance, trend_regime,
     setups_mean_reversion, setups_pullback, setups_breakout_given_levels, score_breakdown, analyze_all, rejected_series, symbol_normalize, timeframe_interval, news_dedup_key, news_batch_dedup, news_sentiment,
     sentiment_lexicon, news_tagging, news_importance, news_ingest_counts, candle_upsert, candle_upsert_counts, news_upsert_match, news_ingest, news_items_upsert, news_links_upsert, ohlcv_ingest, ohlcv_landed, ohlcv_candles, provider_mappings, insert_if_absent, link_upsert, asset_listing, price_change_30, contradiction_signals,
-    news_feed, news_feed_symbol, thesis_confidence, thesis_invalidation, thesis_text, headline_returns, headline_windows, exchange_payloads, stream_hourly,
+    news_feed, news_feed_symbol, thesis_confidence, thesis_invalidation, thesis_text, headline_returns, headline_windows, news_sessions, exchange_payloads, stream_hourly,
 )
 
 

@@ -24,8 +24,29 @@ def stream_headlines(headlines: DataFrame, delay: str = "2 hours") -> DataFrame:
     return headlines.withWatermark("published_at", delay).dropDuplicatesWithinWatermark(["dedup_key"])
 
 
-def read_store(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
-    """The rows of a store that into_store writes, with day: of each day its newest version, or the newest before batch ``before``. Empty if nothing is stored yet."""
+def versions(spark: SparkSession, path: str, day: str) -> list[int]:
+    """The versions of one day of a store, ascending: one listing of that day's folder, in any store that Spark reaches."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/day={day}")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    return sorted(int(n.split("=")[1]) for n in found if n.startswith("version="))
+
+
+def _drop(spark: SparkSession, path: str, day: str, version: int) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/day={day}/version={version}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def read_store(spark: SparkSession, path: str, schema: str, days: list[str] | None = None, before: int | None = None) -> DataFrame:
+    """The rows of a store that into_store writes, with day: of each day its newest version, or the newest before batch ``before``. Empty if nothing is stored yet.
+
+    With ``days`` (yyyy-mm-dd, few) only the folders of these days are listed and read."""
+    if days is not None:
+        newest = {d: [v for v in versions(spark, path, d) if before is None or v < before][-1:] for d in days}
+        folders = [f"{path}/day={d}/version={v[0]}" for d, v in newest.items() if v]
+        if not folders:
+            return spark.createDataFrame([], f"{schema}, day date")
+        return spark.read.schema(f"{schema}, day date, version long").option("basePath", path).parquet(*folders).drop("version")
     try:
         rows = spark.read.schema(f"{schema}, day date, version long").parquet(path)
     except AnalysisException as e:
@@ -39,17 +60,22 @@ def read_store(spark: SparkSession, path: str, schema: str, before: int | None =
 
 
 def into_store(path: str, key: tuple[str, ...], values: tuple[str, ...], at: str = "open_time") -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: late candles correct stored ones. Only the days that a batch touches are read and written.
+    """For foreachBatch: late candles correct stored ones. Only the days that a batch touches are listed, read and written.
 
     A day's rows are a folder by batch id, day=.../version=..., and the newest one counts (see read_store). A repeated batch writes the same
-    folders again from the versions before it."""
+    folders again from the versions before it. Of a touched day the version that the batch reads and the one that it writes stay, older ones are removed: batches before are committed by then.
+    Rows without a key or moment are stored under the day of the default partition. The days of a batch are gathered on the driver, as many as its rows are late by."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         new = batch.select(*key, *values, F.to_date(at).alias("day"))
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.select(*key, *values).schema.fields)
-        stored = read_store(spark, path, schema, batch_id).join(new.select("day").distinct(), "day", "left_semi")
+        days = ["__HIVE_DEFAULT_PARTITION__" if r.day is None else str(r.day) for r in new.select("day").distinct().collect()]
+        stored = read_store(spark, path, schema, days, batch_id)
         after = upsert(stored, new, (*key, "day"), values).drop("action").withColumn("version", F.lit(batch_id).cast("long"))
         after.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "version").parquet(path)
+        for day in days:
+            for old in [v for v in versions(spark, path, day) if v < batch_id][:-1]:
+                _drop(spark, path, day, old)
 
     return write

@@ -349,23 +349,6 @@ def test_stream_headlines(spark, tmp_path):
     assert sorted(r.dedup_key for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
 
 
-def test_stream_means(spark, tmp_path):
-    from marketloom.functions.ewm import with_ew
-    from marketloom.streaming.means import stream_means
-
-    at = dt.datetime(2025, 1, 1)
-    rows = [(s, "1h", at + dt.timedelta(hours=h), None if h % 7 == 3 else float((h * 37) % 11 + (s == "B"))) for s in "AB" for h in range(40)]
-    schema, means = "symbol string, timeframe string, open_time timestamp, close double", {"e": ("close", 0.2, 1), "w": ("close", 1 / 14, 14)}
-    for part in (rows[:25] + rows[40:50], rows[25:40] + rows[50:]):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        q = stream_means(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), means).writeStream.option("checkpointLocation", str(tmp_path / "cp")).format("parquet").option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
-        q.awaitTermination(120)
-    numbered = spark.createDataFrame(rows, schema).withColumn("t", F.row_number().over(Window.partitionBy("symbol").orderBy("open_time")))
-    want = {(r.symbol, r.open_time): (r.e, r.w) for r in with_ew(numbered, means).collect()}
-    got = {(r.symbol, r.open_time): (r.e, r.w) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert len(got) == 80 and all((a is None or a != a) and (b is None) or abs(a - b) < 1e-9 for k in want for a, b in zip(got[k], want[k]))
-
-
 def test_tables(spark, tmp_path):
     schemas.create_tables(spark, str(tmp_path))
     try:
