@@ -138,3 +138,28 @@ def test_breakout_and_reversion(spark):
     assert df.select(R.breakout(F.lit(None).cast("double"), F.lit(None).cast("double")).alias("s")).first().s is None
     s = df.withColumn("close", F.lit(97.9)).withColumn("adx_14", F.lit(17.0)).select(R.mean_reversion(F.lit("range")).alias("s")).first().s
     assert s.direction == "bullish" and abs(s.score - 57.8) < 1e-9
+
+
+def test_segments_and_groups_are_carried(spark, monkeypatch):
+    """With short segments and groups of them, gaps and late starts, each row has what a plain loop gives; many groups are passed."""
+    import random
+
+    from marketloom.functions import ewm
+
+    monkeypatch.setattr(ewm, "SEGMENT", 5)
+    monkeypatch.setattr(ewm, "FAN", 3)
+    rng = random.Random(2)
+    rows = [("A", "1h", t, None if t < 20 or rng.random() < 0.3 or 100 < t < 140 else rng.random()) for t in range(1, 301)] + [("B", "1h", t, 1.0 * t) for t in range(1, 46)]
+    means = {"e": ("x", 0.05, 1), "w": ("x", 0.3, 4)}
+    got = {(r.symbol, r.t): (r.e, r.w) for r in ewm.with_ew(spark.createDataFrame(rows, "symbol string, timeframe string, t int, x double"), means).collect()}
+    for symbol in "AB":
+        for k, (_, a, least) in enumerate(means.values()):
+            y, n, gap = None, 0, 0
+            for s, _, t, x in rows:
+                if s == symbol:
+                    if x is None:
+                        gap += 1
+                    else:
+                        w = (1 - a) ** (gap + 1)
+                        y, n, gap = x if y is None else (w * y + a * x) / (w + a), n + 1, 0
+                    assert (got[s, t][k] is None) == (n < least) and (n < least or abs(got[s, t][k] - y) < 1e-9)
