@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import batched, rows
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(/?)>|</?[a-zA-Z][^<>]*$|<(?=/?[a-zA-Z])[^>]*>?", re.S)
-MARKERS = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: A comment, another declaration, or a tag: its name, then anything up to the first ">" that is in no quoted value. Quotes open a value only behind "=".
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z>][^>]*(?:>|\Z)|</>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 MAY_HIDE = re.compile(r"hidden|display", re.I)
 NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
@@ -27,6 +27,7 @@ SPACE = re.compile(r"\s+")
 
 # HTML elements by what they mean here.
 RAW = frozenset("script style noscript template textarea select iframe svg math object canvas video audio title option datalist".split())
+ENDLESS = frozenset("script style textarea title".split())  # without an end tag they go on to the end of the page
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 APART = frozenset("nav aside footer form button menu dialog head".split())
 BLOCK = frozenset(
@@ -59,8 +60,8 @@ def hidden(attributes: str) -> bool:
 def marked(attributes: str) -> set[str]:
     """What class, id and role call an element: of every token the leading word, behind words of PLACES. has-sidebar is no sidebar."""
     out = set()
-    for x in MARKERS.finditer(attributes):
-        for token in (x[1] or x[2] or x[3] or "").lower().split():
+    for x in ATTRIBUTE.finditer(attributes):
+        for token in (x[2] or x[3] or x[4] or "").lower().split() if x[1].lower() in ("class", "id", "role") else ():
             words = [w for w in re.split(r"[^a-z]+", token) if w]
             while len(words) > 1 and words[0] in PLACES:
                 del words[0]
@@ -72,7 +73,7 @@ def marked(attributes: str) -> set[str]:
 LONG, MEDIUM, SHORT = 1.0, 0.5, 0.0  # from 200 characters, from 70, below
 MANY_STOP, SOME_STOP, NO_STOP = 1.0, 0.5, -0.5  # a share of stop words from 0.2, from 0.1, below 0.05; not for short blocks
 MOSTLY_LINK, HALF_LINK, LINK_ITEM, RIGHTS = -1.5, -0.5, -1.0, -1.5
-IN_ARTICLE, BESIDE_ARTICLE, IN_PART = 1.0, -3.0, -4.0
+IN_ARTICLE, BESIDE_ARTICLE, IN_PART = 1.0, -2.5, -4.0  # no prose makes up for a part such as an advert or comment; prose beside an article is left to its neighbours
 GOOD, BAD = 1.5, -1.0
 
 
@@ -94,6 +95,7 @@ def blocks(page: str) -> list[Block]:
     places: dict[str, list[int]] = {}  # where the open elements of a name stand in the stack
     walls = [-1]  # open articles and bodies, which end tags of inner elements don't close
     parts: list[str] = []
+    endless: dict[str, int] = {}  # from where on an element has no end tag
     linked = in_part = in_article = held = 0  # held: open elements that an article doesn't break out of
     at = 0
 
@@ -103,6 +105,14 @@ def blocks(page: str) -> list[Block]:
             out.append(Block(text, linked, any(x[0] == "li" for x in stack[-3:]), in_part > 0, in_article > 0))
         parts, linked = [], 0
 
+    def past(name: str, start: int) -> int:
+        """Behind the end tag of an element whose content is no text. That there is none from some place on is found once a name."""
+        stop = None if endless.get(name, len(page) + 1) <= start else re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(page, start)
+        if stop:
+            return stop.end()
+        endless[name] = min(start, endless.get(name, start))
+        return len(page) if name in ENDLESS else start
+
     def pop(to: int) -> None:
         nonlocal in_part, in_article, held
         while len(stack) > to:
@@ -114,24 +124,21 @@ def blocks(page: str) -> list[Block]:
             if walls[-1] >= len(stack):
                 walls.pop()
 
-    for m in TOKEN.finditer(page):
+    while m := TOKEN.search(page, at):
         start = m.start()
-        if start < at:
-            continue
         if start > at:
             text = html.unescape(page[at:start])
             parts.append(text)
             if places.get("a"):
                 linked += len(text.strip())
         at = m.end()
-        name = (m[1] or "").lower()
+        name, attributes = (m[2] or "").lower(), m[3] or ""
         if not name:
             continue
-        end = page[start + 1] == "/"
+        end, empty = m[1] == "/", attributes.endswith("/")
         if name in RAW:
-            if not end and m[3] != "/":
-                stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = stop.end() if stop else len(page)
+            if not end and not empty:
+                at = past(name, at)
             parts.append(" ")
             continue
         if name in BLOCK:
@@ -143,13 +150,12 @@ def blocks(page: str) -> list[Block]:
             if known and (known[-1] >= walls[-1] or name == "body" or name == "html"):
                 pop(known[-1])
             continue
-        if name in VOID or m[3] == "/":
+        if name in VOID or empty:
             continue
         if name in BLOCK and (p := places.get("p")) and p[-1] >= len(stack) - 6:  # a new block ends a paragraph
             pop(p[-1])
         if name == "li" and stack and stack[-1][0] == "li" or name == "a" and known and known[-1] > walls[-1]:
             pop(known[-1])
-        attributes = m[2] or ""
         part = article = False
         if attributes and ("=" in attributes or MAY_HIDE.search(attributes)):
             marks = marked(attributes)
@@ -197,21 +203,21 @@ def decide(found: list[Block]) -> list[bool | None]:
 def inherit(found: list[Block], labels: list[bool | None]) -> list[bool]:
     """The second pass: blocks that aren't decided take the label of the nearest decided block, those of an article among themselves.
 
-    At equal distance of unlike labels, and where nothing is decided, they are text."""
-    out = list(labels)
+    At equal distance of unlike labels, and where nothing is decided, they are text; beside an article they aren't."""
+    out, some = list(labels), any(b.article and not b.part for b in found)
     for region in (True, False):
-        group = [k for k, b in enumerate(found) if b.article is region]
+        group, default = [k for k, b in enumerate(found) if b.article is region], region or not some
         before: list[tuple[int, bool]] = [(-1, True)] * len(group)  # how far the last decided block is, and its label
         last = None
         for k, i in enumerate(group):
             last = (k, labels[i]) if labels[i] is not None else last
-            before[k] = (k - last[0], last[1]) if last else (len(found) + 1, True)
+            before[k] = (k - last[0], last[1]) if last else (len(found) + 1, default)
         last = None
         for k in range(len(group) - 1, -1, -1):
             i = group[k]
             last = (k, labels[i]) if labels[i] is not None else last
             if labels[i] is None:
-                after = (last[0] - k, last[1]) if last else (len(found) + 1, True)
+                after = (last[0] - k, last[1]) if last else (len(found) + 1, default)
                 out[i] = before[k][1] if before[k][0] < after[0] else after[1] if after[0] < before[k][0] else before[k][1] or after[1]
     return out
 

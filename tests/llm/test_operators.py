@@ -5,6 +5,7 @@ import functools
 import hashlib
 import html.parser
 import itertools
+import re
 import time
 import zlib
 
@@ -469,14 +470,14 @@ def plain_text(page):
         s = 1.0 * (n >= 200) + 0.5 * (70 <= n < 200)
         s += 0 if n < 70 else 1.0 if stop >= 0.2 else 0.5 if stop >= 0.1 else -0.5 if stop < 0.05 else 0
         s -= (1.5 + b.item) if link > 0.5 else 0.5 if link > 0.25 else 0
-        s -= 1.5 * ("©" in b.text and n < 200) + 4 * b.part - (1 if b.article else -3 if some else 0)
+        s -= 1.5 * ("©" in b.text and n < 200) + 4 * b.part - (1 if b.article else -2.5 if some else 0)
         labels.append(True if s >= 1.5 else False if s <= -1 else None)
     good = []
     for k, b in enumerate(found):
         near = [(abs(i - k), not labels[i]) for i in range(len(found)) if found[i].article == b.article and labels[i] is not None]
         group = [i for i in range(len(found)) if found[i].article == b.article]
         near = [(abs(group.index(i) - group.index(k)), not labels[i]) for i in group if labels[i] is not None]
-        good.append(labels[k] if labels[k] is not None else not min(near)[1] if near else True)
+        good.append(labels[k] if labels[k] is not None else not min(near)[1] if near else b.article or not some)
     return "\n\n".join(b.text for b, g in zip(found, good) if g)
 
 
@@ -495,7 +496,69 @@ def test_html_against_a_plain_version():
     for page in [*MADE, *pages]:
         assert html_text.main_text(page) == plain_text(page)
     without = sum("\n\n".join(b.text for b in html_text.blocks(p)) != html_text.main_text(p) for p in pages)
-    assert without > 0.9 * len(pages)  # the passes decide, not the elements
+    assert without > 0.9 * len(pages)  # all blocks, menus and adverts included, would be another text
+
+
+def by_parts(page):
+    """The blocks that elements and their names alone would take: in no part, and inside the article if there is one."""
+    found = html_text.blocks(page)
+    some = any(b.article and not b.part for b in found)
+    return "\n\n".join(b.text for b in found if not b.part and (b.article or not some))
+
+
+def test_passes_decide_where_elements_do_not():
+    """Lists of links and rights in an article go and short lines between go with them: elements alone would give other texts."""
+    links = "<ul>" + "".join(f"<li><a href=/{k}>Another story of the day, number {k}</a></li>" for k in range(6)) + "</ul>"
+    pages = [f"<article><p>{PROSE * 2}</p>{links}</article>", f"<body><div>{links}</div><div><p>{PROSE * 2}</p><p>Short.</p></div></body>", f"<main><p>{PROSE * 2}</p><p><a href=/>More like this of all that we have, and of the rest, in the list of stories</a></p>{links}</main>", f"<article><p>{PROSE * 2}</p>{links}<p>© the firm and its writers</p>{links}<p>{PROSE * 2}</p></article>"]
+    texts = [(html_text.main_text(p), by_parts(p)) for p in pages]
+    assert all(t != p for t, p in texts) and all("number 3" not in t and "©" not in t and PROSE in t for t, _ in texts)
+    inside = f"<article><p>{PROSE * 2}</p><div class=related><p>{PROSE * 3} Other.</p></div><p>{PROSE * 2}</p></article><p>{PROSE} Beside.</p>"
+    assert "Other" not in html_text.main_text(inside) and "Beside" not in html_text.main_text(inside)
+
+
+NAMED = re.compile(r"\s(?:class|id|role)\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+SEMANTIC = re.compile(r"(</?)(?:article|main|nav|aside|header|footer|section|form|menu|dialog|figure)(?=[\s>/])", re.I)
+
+
+def test_passes_without_elements_and_names():
+    """With semantic elements made to div and class, id and role removed, the passes alone keep 0.99 of the text at a precision of 0.97."""
+    pages = [r for (r,) in duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet' WHERE html IS NOT NULL").fetchall()]
+    kept = taken = whole = 0
+    for page in pages:
+        want = collections.Counter(html_text.main_text(page).split("\n\n"))
+        got = collections.Counter(html_text.main_text(SEMANTIC.sub(r"\1div", NAMED.sub("", page))).split("\n\n"))
+        size = lambda c: sum(len(k) * n for k, n in c.items())
+        kept, taken, whole = kept + size(want & got), taken + size(got), whole + size(want)
+    assert kept / whole >= 0.99 and kept / taken >= 0.97, (kept / whole, kept / taken)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<script>document.write("<!-- ");</script><article><p>A</p></article>', "A"), ("<script>if(i<n){/* don't */}</script><article><p>It's here</p></article>", "It's here"),
+        ("<p>Rock 'n' roll x<b it's</p><p>whole paragraph</p><p>that's all</p>", "Rock 'n' roll x\n\nwhole paragraph\n\nthat's all"), ("<p>one</p><svg><path d=1><p>two</p>", "one\n\ntwo"), ("<video><p>a</p>", "a"), ("<p>a</p><script>x<p>b</p>", "a"),
+        ('<p title="a>b" x=\'>\'>q</p>', "q"), ("<p>1 < 2 and 3<4</p>", "1 < 2 and 3<4"), ("<!--><p>a</p><!-- x --!><p>b</p><!---><p>c</p>", "a\n\nb\n\nc"), ("<p>a</ p>b</p>", "ab"), ("<svg/><p>a</p>", "a"), ("<SCRIPT>1</script x><p>a</p>", "a"),
+        ('<p title="class=nav id=ad">kept</p>', "kept"), ("<p>a<script></scripty></script>b</p>", "a b"), ('<p title="x>y</p><p>z</p>', "y\n\nz"),
+    ],
+)
+def test_html_scanner(page, text):
+    assert html_text.main_text(page) == text
+
+
+PIECES_OF_HTML = ["<p>", "</p>", "<div class='x'>", "</div>", "<script>", "</script>", "<!--", "-->", "'", '"', "it's", "word", " ", "<b", ">", "=", "<br/>", "<svg>", "</svg>", "&lt;i&gt;", "<style>p{}</style>", "<a href=\"q\">", "</a>", "<article>", "</article>", "document.write('<p>')", "<", "</"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(PIECES_OF_HTML), max_size=30))
+def test_no_tag_reaches_the_text(pieces):
+    """Whatever order tags, scripts, comments and stray quotes come in: what comes out has no tag but those that were written as references."""
+    text = html_text.main_text("".join(pieces)).replace("<i>", "")
+    assert not re.search(r"</?(?:p|div|script|style|svg|article|br)\b[^<]*>|<!--", text), text
+
+
+def test_whole_paragraphs_around_broken_markup():
+    for broken in ("<b it's>", "<script>a<b 'c'</script>", "<!-- ' -->", "<i x='>'>", "<svg><g>", '<img alt="a>b">', "<style>p::before{content:'<p>'}</style>", "'", '"', "<a b=c'd>"):
+        assert html_text.main_text(f"<p>{PROSE} One.</p>{broken}<p>{PROSE} Two.</p><p>it's {PROSE}</p>").count(PROSE) == 3, broken
 
 
 @pytest.mark.parametrize("page", ["<b>" * 170_000 + "</i>" * 120_000, "<i><article>" + "<b>" * 150_000 + "</i>" * 100_000, "<b>" * 70_000 + "<aside>" + "<article></article>" * 45_000, "<a '" * 250_000, "<div>" * 200_000], ids=range(5))
