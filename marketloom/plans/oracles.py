@@ -318,6 +318,27 @@ def oracle_sql() -> dict[str, str]:
         "news_sessions": f"""WITH {_CANDS}, {_sent("cand0", "sen", "title || ' ' || summary")}, g AS (SELECT *, CASE WHEN source_name = 'click' THEN 600 ELSE 1800 END AS gap FROM sen),
           n AS (SELECT *, coalesce(epoch_us(published_at) - epoch_us(lag(published_at) OVER w) >= gap * 1000000, TRUE)::INT AS fresh FROM g WINDOW w AS (PARTITION BY source_name ORDER BY published_at, seq)), i AS (SELECT *, sum(fresh) OVER (PARTITION BY source_name ORDER BY published_at, seq ROWS UNBOUNDED PRECEDING) AS k FROM n)
           SELECT source_name, min(published_at) AS first_at, max(published_at) AS last_at, first(seq ORDER BY published_at, seq) AS first_item, count(*) AS items, round(sum(coalesce(sentiment_score, 0)), 6) AS net_sentiment FROM i GROUP BY source_name, k""",
+        "candle_cascade": f"""WITH {EV}, tf AS (SELECT event_type AS symbol, event_id, ts, value, n AS timeframe, w, time_bucket(w, ts, TIMESTAMP '2000-01-01') AS open_time FROM events, (VALUES ('4h', INTERVAL 4 HOUR), ('1d', INTERVAL 24 HOUR)) v(n, w)),
+          c AS (SELECT symbol, timeframe, w, open_time, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close, count(*)::DOUBLE AS volume, count(DISTINCT date_trunc('hour', ts)) AS candles FROM tf GROUP BY 1, 2, 3, 4),
+          n AS (SELECT *, coalesce(lead(open_time) OVER (PARTITION BY symbol, timeframe ORDER BY open_time), open_time + w) AS upto FROM c), g AS (SELECT *, unnest(range(0, epoch_us(upto) - epoch_us(open_time), epoch_us(TIMESTAMP '1970-01-01' + w))) AS us FROM n)
+          SELECT symbol, timeframe, open_time + to_microseconds(us) AS open_time, round(CASE WHEN us > 0 THEN close ELSE open END, 6) AS open, round(CASE WHEN us > 0 THEN close ELSE high END, 6) AS high, round(CASE WHEN us > 0 THEN close ELSE low END, 6) AS low, round(close, 6) AS close, CASE WHEN us > 0 THEN 0 ELSE volume END::DOUBLE AS volume, CASE WHEN us > 0 THEN 0 ELSE candles END AS candles, us > 0 AS filled FROM g""",
+        "timeframe_trends": f"""WITH {WALK}, a AS (SELECT symbol, n AS timeframe, time_bucket(w, open_time, TIMESTAMP '2000-01-01') AS b, last(close ORDER BY open_time) AS close FROM walk, (VALUES ('1h', INTERVAL 1 HOUR), ('4h', INTERVAL 4 HOUR), ('1d', INTERVAL 24 HOUR)) v(n, w) GROUP BY 1, 2, 3),
+          r AS (SELECT *, row_number() OVER (PARTITION BY symbol, timeframe ORDER BY b DESC) AS k FROM a), e AS (SELECT symbol, timeframe, sign(max(CASE WHEN k = 1 THEN close END) - max(CASE WHEN k = 4 THEN close END))::INT AS s FROM r GROUP BY 1, 2)
+          SELECT symbol, max(CASE WHEN timeframe = '1h' THEN s END) AS trend_1h, max(CASE WHEN timeframe = '4h' THEN s END) AS trend_4h, max(CASE WHEN timeframe = '1d' THEN s END) AS trend_1d, CASE WHEN min(s) = 1 THEN 'up' WHEN max(s) = -1 THEN 'down' ELSE 'mixed' END AS alignment FROM e WHERE s IS NOT NULL GROUP BY symbol""",
+        "drawdown_episodes": f"""WITH {WALK}, p AS (SELECT *, max(close) OVER (PARTITION BY symbol ORDER BY open_time ROWS UNBOUNDED PRECEDING) AS peak FROM walk), g AS (SELECT *, max(CASE WHEN close >= peak THEN open_time END) OVER (PARTITION BY symbol ORDER BY open_time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS peak_at FROM p)
+          SELECT symbol, peak_at, round(max(peak) FILTER (close < peak), 6) AS peak, min(open_time) FILTER (close < peak) AS start_at, arg_min(open_time, (close, open_time)) FILTER (close < peak) AS trough_at, round(min(close) FILTER (close < peak), 6) AS trough, min(open_time) FILTER (close >= peak) AS recovered_at, round((min(close) FILTER (close < peak) / max(peak) FILTER (close < peak) - 1) * 100, 6) AS depth_pct, count(*) FILTER (close < peak) AS rows
+          FROM g WHERE peak_at IS NOT NULL GROUP BY symbol, peak_at HAVING count(*) FILTER (close < peak) > 0""",
+        "structure_breaks": f"""{walk_f}, a AS (SELECT *, lag(close) OVER w AS pc, CASE WHEN t >= 7 AND lag(high, 3) OVER w = max(high) OVER x THEN lag(high, 3) OVER w END AS sh, CASE WHEN t >= 7 AND lag(low, 3) OVER w = min(low) OVER x THEN lag(low, 3) OVER w END AS sl FROM f WINDOW w AS (PARTITION BY symbol ORDER BY t), x AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)),
+          hs AS (SELECT symbol, t, sh AS v, lag(sh) OVER (PARTITION BY symbol ORDER BY t) AS pv FROM a WHERE sh IS NOT NULL), ls AS (SELECT symbol, t, sl AS v, lag(sl) OVER (PARTITION BY symbol ORDER BY t) AS pv FROM a WHERE sl IS NOT NULL),
+          b AS (SELECT a.*, hs.v AS last_high, hs.pv AS ph, ls.v AS last_low, ls.pv AS pl FROM a ASOF LEFT JOIN hs ON a.symbol = hs.symbol AND a.t >= hs.t ASOF LEFT JOIN ls ON a.symbol = ls.symbol AND a.t >= ls.t),
+          c AS (SELECT *, CASE WHEN ph IS NULL OR pl IS NULL THEN NULL WHEN last_high > ph AND last_low > pl THEN 'up' WHEN last_high < ph AND last_low < pl THEN 'down' ELSE 'mixed' END AS state, CASE WHEN close > last_high AND pc <= last_high THEN 'break_up' WHEN close < last_low AND pc >= last_low THEN 'break_down' END AS event FROM b)
+          SELECT symbol, open_time, last_high, last_low, state, event, CASE WHEN event IS NOT NULL THEN coalesce(event = 'break_up' AND state = 'down' OR event = 'break_down' AND state = 'up', FALSE) END AS reversal FROM c""",
+        "volatility_ranks": f"""{ev_f}, {_moves('f')}, {_strength('mv')}, v AS (SELECT symbol, t, round(atr_pct, 9) AS atr_pct FROM str), c AS (SELECT v.symbol, v.t, v.atr_pct, count(*) FILTER (p.atr_pct <= v.atr_pct) AS below, count(p.atr_pct) AS n FROM v JOIN v p ON p.symbol = v.symbol AND p.t BETWEEN v.t - 249 AND v.t GROUP BY 1, 2, 3), r AS (SELECT *, CASE WHEN atr_pct IS NOT NULL AND n >= 50 THEN below / n END AS rank_pct FROM c)
+          SELECT symbol, t, atr_pct, round(rank_pct, 6) AS rank_pct, CASE WHEN rank_pct <= 0.2 THEN 'low' WHEN rank_pct >= 0.8 THEN 'high' WHEN rank_pct IS NOT NULL THEN 'normal' END AS volatility FROM r""",
+        "score_bands": f"{ROWS}, d AS (SELECT *, {_MR} AS direction FROM al WHERE t >= 60), s AS (SELECT *, coalesce({_MR_SCORE}, 35.0) AS setup, {_SCORES} FROM d), o AS (SELECT symbol, open_time, {_SCORE_OUT}, {_clamped('0.35 * trend + 0.25 * momentum + 0.15 * volatility + 0.25 * setup')} AS total_score FROM s WHERE open_time::DATE BETWEEN DATE '{SPLIT[:10]}' AND DATE '{AS_OF[:10]}') SELECT symbol, count(*) AS n, {', '.join(f'round(quantile_disc({c}, {p / 100}), 2) AS {c}_p{p}' for c in ('total_score', 'trend_score') for p in (10, 50, 90))} FROM o GROUP BY symbol",
+        "sketch_errors": "SELECT event_type, share::DOUBLE AS share, count(*) AS n, TRUE AS rank_within, count(DISTINCT user_id) AS users, TRUE AS distinct_within FROM events, (VALUES (0.05), (0.25), (0.5), (0.75), (0.95)) v(share) GROUP BY 1, 2",
+        "payload_paths": "SELECT event_id, CASE WHEN event_id % 10 <> 3 THEN event_type END AS kind, CASE WHEN event_id % 10 <> 3 THEN json_extract(props, '$.k')::INT END AS k, CASE WHEN event_id % 10 <> 3 THEN user_id END AS user_id, NULL::BIGINT AS odd, NULL::VARCHAR AS nothing FROM events",
+        "payload_damage": "SELECT event_type, count(*) AS texts, count(*) FILTER (event_id % 7 = 1) AS missing, count(*) FILTER (event_id % 7 <> 1 AND event_id % 10 = 3) AS damaged FROM events GROUP BY event_type",
         "exchange_payloads": "SELECT event_id, date_trunc('millisecond', ts)::TIMESTAMP AS open_time, date_trunc('millisecond', ts)::TIMESTAMP + INTERVAL 1 HOUR AS close_time, event_id::DOUBLE AS close, NULL::DOUBLE AS volume FROM events",
         "stream_hourly": f"WITH {EV} SELECT symbol, open_time, {r('open', 'high', 'low', 'close')}, volume FROM ev",
     }

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import payloads as V
 from ..functions import symbols as Y
 from ..functions import text as T
 from ..functions.ewm import KEY
@@ -16,6 +17,8 @@ from ..operators import joins as J
 from ..operators import levels as L
 from ..operators import news as N
 from ..operators import rules as R
+from ..operators import series as S
+from ..operators import sketches as K
 from ..operators import thesis as H
 from ..operators import upsert as U
 from ..session import shared_folder
@@ -502,6 +505,71 @@ def news_sessions(spark, sf_dir):
     return found.withColumn("net_sentiment", F.round("net_sentiment", 6))
 
 
+def candle_cascade(spark, sf_dir):
+    """Four-hour and daily candles from hourly ones, with gaps filled."""
+    out = S.filled(S.cascade(event_candles(spark, sf_dir)))
+    return rounded(out, "open", "high", "low", "close").select("symbol", "timeframe", "open_time", "open", "high", "low", "close", "volume", "candles", "filled")
+
+
+def timeframe_trends(spark, sf_dir):
+    """For every symbol the trends of three timeframes, and whether they agree."""
+    hourly = walk_candles(spark, sf_dir)
+    coarse = S.cascade(hourly).select(*hourly.columns)
+    of = lambda n: F.try_element_at("trends", F.lit(n))
+    return S.trends(hourly.unionByName(coarse)).select("symbol", of("1h").alias("trend_1h"), of("4h").alias("trend_4h"), of("1d").alias("trend_1d"), "alignment")
+
+
+def drawdown_episodes(spark, sf_dir):
+    found = S.drawdowns(walk_candles(spark, sf_dir), seconds=3 * J.DAY)
+    return rounded(found, "peak", "trough", "depth_pct").drop("timeframe")
+
+
+def structure_breaks(spark, sf_dir):
+    """Every row's structure as it was known then."""
+    out = S.structure(C.series_frame(walk_candles(spark, sf_dir)))
+    return out.select("symbol", "open_time", "last_high", "last_low", "state", "event", "reversal")
+
+
+def volatility_ranks(spark, sf_dir):
+    """The rank of every row's volatility among the last 250."""
+    frame = I.strength(I.movements(_frame(spark, sf_dir))).withColumn("atr_pct", F.round("atr_pct", 9))
+    return S.volatility_regime(frame).select("symbol", F.col("t").cast("long").alias("t"), "atr_pct", F.round("rank_pct", 6).alias("rank_pct"), "volatility")
+
+
+def score_bands(spark, sf_dir):
+    """The bands of scores over the last half of the month, from stored sketches of its days; so few rows are kept whole by the sketches, and bands are exact."""
+    path, scores = shared_folder(spark), score_breakdown(spark, sf_dir)
+    K.daily(scores, ("total_score", "trend_score"), key=("symbol",)).write.partitionBy("day").parquet(path)
+    days = spark.read.parquet(path)
+    out = K.bands(K.span(days, F.lit(SPLIT).cast("date"), F.lit(AS_OF).cast("date"), ("symbol",)), key=("symbol",))
+    return out.select("symbol", "n", *(F.round(F.get(c, F.lit(k)), 2).alias(f"{c}_p{p}") for c in ("total_score", "trend_score") for k, p in enumerate((10, 50, 90))))
+
+
+def sketch_errors(spark, sf_dir):
+    """Merged sketches of the days of all events against the events themselves: whether ranks and distinct users are within their bounds."""
+    events = table(spark, sf_dir, "events")
+    days, shares = K.daily(events, ("value",), ("user_id",), ("event_type",), "ts", k=200), (0.05, 0.25, 0.5, 0.75, 0.95)
+    merged = K.bands(K.span(days, F.lit("2000-01-01").cast("date"), F.lit("2100-01-01").cast("date"), ("event_type",)), shares, ("event_type",))
+    each = merged.select("event_type", "n", "distinct_user_id", F.posexplode("value").alias("k", "q"))
+    both = events.select("event_type", "value", "user_id").join(each, "event_type")
+    below = both.groupBy("event_type", "k").agg(F.any_value("n").alias("n"), F.any_value("distinct_user_id").alias("estimate"), F.count_if(F.col("value") < F.col("q")).alias("less"), F.count_if(F.col("value") <= F.col("q")).alias("upto"), F.count_distinct("user_id").alias("users"))
+    share, error = F.get(F.array(*(F.lit(p) for p in shares)), "k"), F.lit(K.rank_error(200))
+    near = (F.col("less") / F.col("n") - error <= share) & (F.col("upto") / F.col("n") + error >= share)
+    return below.select("event_type", share.alias("share"), "n", near.alias("rank_within"), "users", (F.abs(F.col("estimate") - F.col("users")) <= F.lit(K.distinct_error()) * F.col("users")).alias("distinct_within"))
+
+
+def payload_paths(spark, sf_dir):
+    """The payloads of events by path; of every tenth the end is missing."""
+    text = F.when(F.pmod("event_id", F.lit(10)) == 3, F.expr("substr(props, 1, length(props) - 1)")).otherwise(F.concat(F.lit('{"type":"'), F.col("event_type"), F.lit('","props":'), F.col("props"), F.lit(',"tags":["a",'), F.col("user_id").cast("string"), F.lit("]}")))
+    df = V.parsed(table(spark, sf_dir, "events").select("event_id", text.alias("text")), "text")
+    return V.at_paths(df, {"kind": ("$.type", "string"), "k": ("$.props.k", "int"), "user_id": ("$.tags[1]", "long"), "odd": ("$.tags[0]", "long"), "nothing": ("$.no.where", "string")}).drop("text", "payload")
+
+
+def payload_damage(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select("event_type", F.when(F.pmod("event_id", F.lit(7)) == 1, F.lit(None)).when(F.pmod("event_id", F.lit(10)) == 3, F.expr("substr(props, 1, length(props) - 1)")).otherwise(F.col("props")).alias("text"))
+    return V.damage(V.parsed(df, "text"), "text", key=("event_type",))
+
+
 def exchange_payloads(spark, sf_dir):
     rows = F.concat(F.lit("[["), F.concat_ws(",", F.unix_millis(F.col("ts").cast("timestamp")).cast("string"), F.lit("1.5"), F.lit("2"), F.lit("1"), F.col("event_id").cast("string"), F.lit("null")), F.lit("],[1,2]]"))
     df = table(spark, sf_dir, "events").select("event_id", F.lit("1h").alias("timeframe"), rows.alias("rows"))
@@ -520,7 +588,7 @@ ALL = (
     candle_resample, candles_latest_n, candles_joined_dims, sma_volume_sma, bollinger, true_range, directional_movement, ema_20_50_200, macd, atr_rsi, adx, swing_points, support_resistance, trend_regime,
     setups_mean_reversion, setups_pullback, setups_breakout_given_levels, score_breakdown, analyze_all, rejected_series, symbol_normalize, timeframe_interval, news_dedup_key, news_batch_dedup, news_sentiment,
     sentiment_lexicon, news_tagging, news_importance, news_ingest_counts, candle_upsert, candle_upsert_counts, news_upsert_match, news_ingest, news_items_upsert, news_links_upsert, ohlcv_ingest, ohlcv_landed, ohlcv_candles, provider_mappings, insert_if_absent, link_upsert, asset_listing, price_change_30, contradiction_signals,
-    news_feed, news_feed_symbol, thesis_confidence, thesis_invalidation, thesis_text, headline_returns, headline_windows, news_sessions, exchange_payloads, stream_hourly,
+    news_feed, news_feed_symbol, thesis_confidence, thesis_invalidation, thesis_text, headline_returns, headline_windows, news_sessions, candle_cascade, timeframe_trends, drawdown_episodes, structure_breaks, volatility_ranks, score_bands, sketch_errors, payload_paths, payload_damage, exchange_payloads, stream_hourly,
 )
 
 
