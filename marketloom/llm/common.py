@@ -80,9 +80,9 @@ def batched(items: Iterator[tuple], schema: pa.Schema, n: int = 2000) -> Iterato
 
 
 def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text) in partitions of ascending id, nulls first, and rows of one id by a hash of their texts, so that no id, nor null, has to fit in one of them."""
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
-    return chosen.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie", "text").select("id", "text")
+    """(id, text) in partitions of ascending id, nulls first, rows of one id by a hash of their texts, and rows alike in both by their number in the table, so that none of them has to fit in one partition."""
+    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"), F.monotonically_increasing_id().alias("nth"))
+    return chosen.repartitionByRange("id", "tie", "nth").sortWithinPartitions("id", "tie", "text").select("id", "text")
 
 
 def slabs(items: Iterator[tuple], text_at: int, chars: int = 2_000_000) -> Iterator[list[tuple]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -22,7 +23,7 @@ SMOOTH, STRANGE = 0.05, 1e-7
 KEEP = 400_000
 #: Different words that a task counts before it passes their counts on.
 COUNTED = 100_000
-#: Characters of a word that are segmented together in training.
+#: Words of more characters go one by one, letter by letter, with no more than the last few places in memory; shorter ones of one length go together.
 CUT = 32
 
 
@@ -60,6 +61,88 @@ class _Lattice:
             self.spans.append(here)
 
 
+def _steps(s: str, piece: dict[str, int], longest: int) -> Iterator[tuple[list[int], list[int]]]:
+    """At each place of a long word, how long the pieces are that may stand there, and their rows of P."""
+    get, none = piece.get, len(piece)
+    for i in range(len(s)):
+        sizes, at = [], []
+        for k in range(1, min(longest, len(s) - i) + 1):
+            row = get(s[i : i + k])
+            if row is not None:
+                sizes.append(k)
+                at.append(row)
+            elif k == 1:
+                sizes.append(1)
+                at.append(none + 1)
+        yield sizes, at
+
+
+def forward_long(s: str, p: np.ndarray, piece: dict[str, int], longest: int) -> np.ndarray:
+    """Log probabilities of a long word for each language. The places that are still open stand in a ring."""
+    size = longest + 1
+    ring, scale = np.zeros((size, p.shape[1])), np.zeros(p.shape[1])
+    ring[0] = 1
+    for i, (sizes, at) in enumerate(_steps(s, piece, longest)):
+        here = i % size
+        value = ring[here].copy()
+        ring[here] = 0
+        ring[(i + np.array(sizes)) % size] += value * p[at]
+        if i % 8 == 7:
+            top = ring.max(0)
+            top[top <= 0] = 1
+            ring /= top
+            scale += np.log(top)
+    return np.log(np.maximum(ring[len(s) % size], 1e-300)) + scale
+
+
+def _sweep(steps: Iterator[tuple[list[int], list[int]]], n: int, p: list[float], size: int) -> np.ndarray:
+    """Logs of the forward values of one language at all places of a long word: small ones are scaled up as they go."""
+    ring, logs, level = [0.0] * size, np.full(n + 1, -np.inf), 0.0
+    ring[0] = 1.0
+    for i, (sizes, at) in enumerate(steps):
+        here = i % size
+        value, ring[here] = ring[here], 0.0
+        if value <= 0:
+            continue
+        logs[i] = math.log(value) + level
+        if value < 1e-80:
+            up = 1 / value
+            ring = [x * up for x in ring]
+            value, level = 1.0, level - math.log(up)
+        for k, row in zip(sizes, at):
+            ring[(i + k) % size] += value * p[row]
+    if ring[n % size] > 0:
+        logs[n] = math.log(ring[n % size]) + level
+    return logs
+
+
+def counts_of_long(s: str, p: np.ndarray, piece: dict[str, int], longest: int) -> dict[int, float]:
+    """Rows of P and how often each is expected in a long word under one language: forward from the left, backward as forward over the word turned round."""
+    chances, turned = p.tolist(), _Turned(piece)
+    forward = _sweep(_steps(s, piece, longest), len(s), chances, longest + 1)
+    backward = _sweep(_steps(s[::-1], turned, longest), len(s), chances, longest + 1)[::-1]
+    found: dict[int, float] = {}
+    for i, (sizes, at) in enumerate(_steps(s, piece, longest)):
+        base = forward[i] - forward[-1]
+        if base > -math.inf:
+            for k, row in zip(sizes, at):
+                found[row] = found.get(row, 0.0) + math.exp(base + backward[i + k]) * chances[row]
+    return found
+
+
+class _Turned:
+    """The pieces by their letters turned round."""
+
+    def __init__(self, piece: dict[str, int]):
+        self.piece = piece
+
+    def get(self, s: str) -> int | None:
+        return self.piece.get(s[::-1])
+
+    def __len__(self) -> int:
+        return len(self.piece)
+
+
 class Languages:
     """Piece probabilities of each language over one public vocabulary, and the forward algorithm over words.
 
@@ -76,6 +159,8 @@ class Languages:
 
     def forward(self, words: list[str]) -> np.ndarray:
         """Log probabilities (words, languages) of words of one length."""
+        if len(words[0]) > CUT:
+            return np.array([forward_long(SPACE + w, self.p, self.piece, self.longest) for w in words])
         lattice = _Lattice([SPACE + w for w in words], self.piece, self.longest)
         a = np.zeros((len(words), lattice.n + 1, len(self.names)))
         a[:, 0] = 1
@@ -132,15 +217,16 @@ def probabilities(counts: np.ndarray) -> np.ndarray:
 
 
 def expected_counts(words: list[str], times: list[int], p: np.ndarray, piece: dict[str, int], longest: int) -> np.ndarray:
-    """How often each piece stands in the words, over all segmentations by their probability under p (rows as in _Lattice, one language): forward, then backward.
-
-    Words of over CUT characters are counted in parts of so many, whose probabilities don't underflow."""
+    """How often each piece stands in the words, over all segmentations by their probability under p (rows as in _Lattice, one language): forward, then backward."""
     by_length: dict[int, list[tuple[str, int]]] = {}
-    for w, k in zip(words, times):
-        s = SPACE + w
-        for i in range(0, len(s), CUT):
-            by_length.setdefault(min(CUT, len(s) - i), []).append((s[i : i + CUT], k))
     places, amounts = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for w, k in zip(words, times):
+        if len(w) > CUT:
+            found = counts_of_long(SPACE + w, p, piece, longest)
+            places.append(np.array(list(found), np.int64))
+            amounts.append(np.array(list(found.values())) * k)
+        else:
+            by_length.setdefault(len(w), []).append((SPACE + w, k))
     for same in by_length.values():
         for k in range(0, len(same), 4096):
             part = same[k : k + 4096]

@@ -21,14 +21,14 @@ class TokenCounter(dict):
 
     ``whole`` has the vocabulary strings that are proven to encode alone as one token: the library itself, given the
     string, returns exactly one id. A pre-token in it counts as one; only the rest is merged, by the library.
-    Special strings are found first, as the library's default has it. ``keep`` bounds the chunks held."""
+    Special strings are found first, as the library's default has it. ``keep`` bounds the chunks held and ``keep_chars`` their characters."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 400_000, keep_chars: int = 16_000_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.keep = Tokenizer.from_file(path), keep
+        self.library, self.keep, self.keep_chars, self.chars = Tokenizer.from_file(path), keep, keep_chars, 0
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.added = added
@@ -48,6 +48,7 @@ class TokenCounter(dict):
     def __missing__(self, chunk: str) -> int:
         n = 1 if chunk in self.whole else self.merged(PRE_TOKEN.findall(chunk))
         self[chunk] = n
+        self.chars += len(chunk)
         return n
 
     def ordinary(self, text: str) -> int:
@@ -63,8 +64,9 @@ class TokenCounter(dict):
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        if len(self) > self.keep:
+        if len(self) > self.keep or self.chars > self.keep_chars:
             self.clear()
+            self.chars = 0
         if self.special and any(a in text for a in self.added):
             return sum(1 if p in self.added else self.ordinary(p) for p in self.special.split(text))
         return self.ordinary(text)

@@ -65,13 +65,13 @@ class WordEncoder:
     A text is therefore the concatenation of its words' ids, and a word is looked up once it is known. A new word of letters that stay letters with
     marks behind them is split there, as the tokenizer does; the parts go to the library, those of letters alone many at once.
     The library finds special strings before it lowers case, so a text with one, in whatever case, goes to it whole.
-    ``keep`` bounds the number of words held; beyond it, the words are forgotten."""
+    ``keep`` bounds the number of words held and ``keep_chars`` their characters, as texts without spaces are words of any length; beyond either, the words are forgotten."""
 
-    def __init__(self, path: str, keep: int = 700_000):
+    def __init__(self, path: str, keep: int = 700_000, keep_chars: int = 16_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.library, self.letters, self.keep = Tokenizer.from_file(path), Tokenizer.from_file(path), keep
+        self.library, self.letters, self.keep, self.keep_chars, self.chars = Tokenizer.from_file(path), Tokenizer.from_file(path), keep, keep_chars, 0
         # Lower-case letters below OTHER are normal already, and white space alone parts them: the library needs none of its patterns there.
         self.letters.normalizer = normalizers.Sequence([])
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -115,6 +115,7 @@ class WordEncoder:
 
     def _learn(self) -> None:
         words, self.words.index.waiting = self.words.index.waiting, []
+        self.chars += sum(map(len, words))
         split: list[str] = []
         pieces = []
         for w in words:
@@ -135,8 +136,8 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) one after another, and the number of ids of each text; ``end`` is put behind each text."""
-        if len(self.words.index) > self.keep:
-            self.words, self.parts = _Rows(), _Rows()
+        if len(self.words.index) > self.keep or self.chars > self.keep_chars:
+            self.words, self.parts, self.chars = _Rows(), _Rows(), 0
         odd = [k for k, t in enumerate(texts) if t and self.hint in t and self.special and self.special.search(t)]
         if odd:
             return self._with_whole(texts, odd, end)

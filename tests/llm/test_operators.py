@@ -598,6 +598,61 @@ def test_forward_sums_all_segmentations():
         assert np.isclose(np.exp(lang.forward([w])[0, 0]), total("▁" + w))
 
 
+def test_long_words_letter_by_letter(monkeypatch):
+    """Words beyond CUT give what short ones do: probabilities and counts, with a ring of places instead of a lattice."""
+    rng = np.random.default_rng(8)
+    lang = language.Languages(PIECES, ["a", "b"], rng.random((len(language._pieces(PIECES)[1]), 2)) * 50)
+    words = ["extraordinarily", "straßenbahnhaltestelle", "qqzzxxééщщ", "x" * 30, "thequickbrownfoxjumpsoverthelazydog"]
+    _, piece, _ = language._pieces(PIECES)
+    p = lang.p[:, 0]
+    want, counts = [], []
+    monkeypatch.setattr(language, "CUT", 1000)
+    for w in words:
+        want.append(lang.forward([w])[0])
+        counts.append(language.expected_counts([w], [3], p, piece, lang.longest))
+    monkeypatch.setattr(language, "CUT", 5)
+    for w, logs, found in zip(words, want, counts):
+        assert np.allclose(lang.forward([w])[0], logs, rtol=1e-9) and np.allclose(language.expected_counts([w], [3], p, piece, lang.longest), found, rtol=1e-7, atol=1e-9)
+
+
+def test_many_unbroken_letters():
+    import tracemalloc
+
+    lang = language.Languages(PIECES, ["a", "b"], np.random.default_rng(8).random((len(language._pieces(PIECES)[1]), 2)))
+    word = "thequickbrownfox" * 6_250
+    tracemalloc.start()
+    began = time.time()
+    assert np.isfinite(lang.forward([word])).all() and time.time() - began < 60
+    assert tracemalloc.get_traced_memory()[1] < 5 << 20
+    tracemalloc.stop()
+
+
+def test_caches_are_bounded_by_characters():
+    """Texts without spaces are words of any length: what an encoder or counter holds stays bounded, and the ids stay right."""
+    from marketloom.llm.tokens import WordEncoder
+
+    library, encoder, counter = Tokenizer.from_file(WORDS), WordEncoder(WORDS, keep_chars=5000), token_count.TokenCounter(BYTES, keep_chars=5000)
+    counts = Tokenizer.from_file(BYTES)
+    for k in range(40):
+        text = f"{k}" + "abcdefghij" * 100
+        ids, n = encoder.encode([text])
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids and n.tolist() == [len(ids)] and encoder.chars <= 7000
+        assert counter.count(text) == len(counts.encode(text, add_special_tokens=False)) and sum(map(len, counter)) <= 7000
+
+
+def test_rows_alike_are_spread(spark):
+    """Rows of one id and text don't meet in one partition, and their order gives the same files."""
+    from marketloom.llm.common import in_order
+
+    df = spark.createDataFrame([(7, "same text")] * 4000 + [(1, "a"), (9, "b")], "doc_id long, text string").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = in_order(df, "doc_id", "text").withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) == 4 and max(r["count"] for r in parts) < 2000
+
+
 def test_expected_counts_against_all_segmentations():
     _, piece, _ = language._pieces(PIECES)
     p = language.probabilities(np.random.default_rng(3).random((len(piece), 1)) ** 6)[:, 0]
