@@ -413,6 +413,8 @@ SIMILAR_BITS, SIMILAR_WIDTH, SIMILAR_TABLES, SIMILAR_RADIUS = 256, 18, 64, 56
 
 #: Vertices of a group that are checked with each other in one go, and the central ones of a larger group that all others are checked with.
 GROUP, PIVOTS = 512, 64
+#: Bytes of sets that a task should hold at most.
+SET_BYTES = 64 << 20
 
 
 def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
@@ -458,8 +460,8 @@ class _Group:
 _CHECK = ["g", "block", "chunk", "role", "rep", "label", "fp", "shingles"]
 
 
-def _checked_links(rows_of: DataFrame, radius: int, only_firsts: bool = False) -> DataFrame:
-    """Verified links within every (g, block, chunk) of rows as in _CHECK, without those of rows of one label: of all pairs, or of those with a row of role 1."""
+def _checked_links(rows_of: DataFrame, radius: int) -> DataFrame:
+    """Verified links within every (g, block, chunk) of rows as in _CHECK, without those of rows of one label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple | None = None
@@ -468,7 +470,7 @@ def _checked_links(rows_of: DataFrame, radius: int, only_firsts: bool = False) -
         def compare() -> pa.RecordBatch:
             reps = np.array([x[1] for x in held_rows], np.int64)
             group = _Group([x[3] for x in held_rows], [x[4] for x in held_rows], [x[2] for x in held_rows])
-            return _link_batch(reps, reps, group.linked(sum(x[0] for x in held_rows) if only_firsts else len(reps), radius))
+            return _link_batch(reps, reps, group.linked(len(reps), radius))
 
         for g, block, chunk, *row in rows(batches, *_CHECK):
             if (g, block, chunk) != last:
@@ -512,9 +514,9 @@ def _central(members: DataFrame) -> DataFrame:
 def _verified(vertices: DataFrame, groups: DataFrame, texts: DataFrame, shingle: int, radius: int) -> DataFrame:
     """Links (a, b) of vertices (rep, row, fp) with a similarity of 0.8 or more that span all those within groups (id, component). texts is (row, text).
 
-    A group is checked in blocks of about GROUP vertices. A larger one is first checked block by block, each together with the group's PIVOTS most central
-    vertices, which connects a document with all its near copies. What is then still apart from the group's largest part is checked with every block.
-    No pair leaves its task but a verified link, and pairs that are connected already aren't checked."""
+    A group is checked in blocks of about GROUP vertices, or fewer where their sets are large. A larger one is first checked block by block, each together with the group's PIVOTS most central
+    vertices, which connects a document with all its near copies. What is then still apart from the group's largest part meets the rest of the group by rare shingles (see _rare_links).
+    Pairs that are connected already aren't checked."""
     chosen = vertices.join(groups.select(F.col("id").alias("rep"), F.col("component").alias("g")), "rep")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -526,11 +528,12 @@ def _verified(vertices: DataFrame, groups: DataFrame, texts: DataFrame, shingle:
 
     texts_of = texts.join(chosen.select("row", "rep", "g", "fp"), "row").groupBy("rep", "g", "fp").agg(F.min("text").alias("text"))
     members = texts_of.select("rep", "g", "fp", "text").mapInArrow(sets, "rep long, g long, fp binary, shingles binary")
-    sizes = groups.groupBy(F.col("component").alias("g")).agg(F.count("*").alias("n"))
-    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / GROUP)).cast("int")
-    members = written(members.join(sizes, "g").withColumn("block", F.when(F.col("n") > GROUP, block).otherwise(0)))
+    members = written(members)
+    sizes = members.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum(F.length("shingles")) / SET_BYTES)).alias("blocks"))
+    large_ones = written(sizes.where("blocks > 1"))  # few, so that Spark can broadcast them by their size
+    members = members.join(large_ones, "g", "left").withColumn("block", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("rep"), F.col("blocks"))).cast("int"))
     rows_of = members.withColumns({"chunk": F.lit(0), "role": F.lit(0), "label": F.col("rep")})
-    large = members.where(F.col("n") > GROUP)
+    large = members.where("blocks > 1")
     if large.isEmpty():
         return written(_checked_links(rows_of, radius))
     nearest = Window.partitionBy("g").orderBy("far", "rep")
@@ -543,16 +546,56 @@ def _verified(vertices: DataFrame, groups: DataFrame, texts: DataFrame, shingle:
     named = written(large.select("g", "rep").join(labels, "rep", "left").select("g", "rep", F.coalesce("component", "rep").alias("label")))
     parts = named.groupBy("g", "label").agg(F.count("*").alias("n"))
     main = parts.groupBy("g").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("g", "main")
-    apart = written(named.join(main, "g").where("label <> main").select("g", "rep", "label"))
-    if apart.isEmpty():
+    main = written(main)
+    if main.isEmpty():
         return links
-    many = apart.groupBy("g").agg(F.ceil(F.count("*") / GROUP).alias("chunks"))
-    rest = apart.join(many, "g").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    rest = written(rest.select("g", "rep", "label", "chunk").join(members.select("rep", "fp", "shingles"), "rep"))
-    whole = large.join(main, "g").join(named.select("rep", "label"), "rep").select("g", "block", "rep", "label", "fp", "shingles")
-    chunks = rest.select("g", "chunk").distinct()
-    tasks = rest.join(blocks, "g").select("g", "block", "chunk", F.lit(1).alias("role"), "rep", "label", "fp", "shingles").unionByName(whole.join(chunks, "g").select("g", "block", "chunk", F.lit(0).alias("role"), "rep", "label", "fp", "shingles"))
-    return links.union(written(_checked_links(tasks, radius, only_firsts=True)))
+    opened = named.join(main, "g").select("g", "rep", "label", (F.col("label") != F.col("main")).alias("apart"))
+    return links.union(written(_rare_links(members.join(opened, ["g", "rep"]).select("g", "rep", "label", "apart", "shingles"))))
+
+
+def _rare_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of vertices of one group and different labels, one of them apart, that may have a similarity of 0.8 or more: none that has is missed.
+
+    With all shingles in one order, two sets of such similarity share one of their first n // 5 + 1 (n: a set's own size). The order is by rising frequency in the group, so what all texts
+    of a family share stands last, and texts meet by what only few have. Shingles that one text has alone meet nothing and go before anything is sorted.
+    Every step is an aggregate or an equi-join of rows (group, shingle, vertex), in proportion to the sets' sizes and to the pairs that share a rare shingle."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 200):
+                part = b.slice(k, 200)
+                sets = [np.frombuffer(x, np.int64) for x in part.column("shingles").to_pylist()]
+                size = np.array([len(x) for x in sets], np.int64)
+                at = pa.array(np.repeat(np.arange(len(sets)), size))
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in ("g", "rep", "label", "apart")), pa.array(np.repeat(size, size)), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))], names=["g", "rep", "label", "apart", "size", "h"])
+
+    tokens = members.mapInArrow(explode, "g long, rep long, label long, apart boolean, size long, h long")
+    common = tokens.groupBy("g", "h").agg(F.count("*").alias("f"), F.bool_or("apart").alias("some"), F.min("label").alias("least"), F.max("label").alias("most")).where("f > 1")
+    shared = tokens.join(common, ["g", "h"])
+    of = Window.partitionBy("g", "rep")
+    alone = F.col("size") - F.count("*").over(of)
+    place = F.row_number().over(of.orderBy("f", "h")) + alone
+    first = shared.withColumn("place", place).where("place <= floor(size / 5) + 1 and some and least < most")
+    first = written(first.select("g", "h", "rep", "label", "apart", "size"))
+    a, b = first.where("apart").alias("a"), first.alias("b")
+    sizes = 5 * F.least("a.size", "b.size") >= 4 * F.greatest("a.size", "b.size")
+    on = (F.col("a.g") == F.col("b.g")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.label") != F.col("b.label")) & sizes & (~F.col("b.apart") | (F.col("a.rep") < F.col("b.rep")))
+    return a.join(b, on).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
+
+
+def _rare_links(members: DataFrame) -> DataFrame:
+    """Verified links (a, b) between vertices of one group and different labels, one of them apart. members is (g, rep, label, apart, shingles)."""
+    sets = members.select("rep", "shingles")
+    pairs = _rare_pairs(members).join(sets.withColumnsRenamed({"rep": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"rep": "b", "shingles": "y"}), "b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                good = [similar(np.frombuffer(x, _U), np.frombuffer(y, _U)) for x, y in zip(part.column("x").to_pylist(), part.column("y").to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(good, pa.bool_())) for c in ("a", "b")], schema=_LINK)
+
+    return pairs.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
 def _candidates(vertices: DataFrame, tables: list[list[int]], radius: int) -> DataFrame:

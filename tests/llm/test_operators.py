@@ -239,6 +239,28 @@ def test_similar_documents_in_large_groups(spark, monkeypatch):
     assert all(stays == (c == i) for i, (c, stays) in got.items())
 
 
+def test_work_on_a_chain_is_linear(spark, monkeypatch):
+    """Whatever a chain's length, a document is held against the few that share its rare shingles (within 75 steps here), and all links are found."""
+    monkeypatch.setattr(simhash, "GROUP", 8)
+    monkeypatch.setattr(simhash, "PIVOTS", 2)
+    seen, pairs_of = [], simhash._rare_pairs
+
+    def counted(members):
+        found = simhash.written(pairs_of(members))
+        seen.append(found.count())
+        return found
+
+    monkeypatch.setattr(simhash, "_rare_pairs", counted)
+    for n in (100, 300):
+        words, rows = [f"c{i}" for i in range(300)], []
+        for k in range(n):
+            rows.append((k, " ".join(words)))
+            words = [f"d{k}e{i}" if i % 75 == k % 75 else w for i, w in enumerate(words)]
+        got = {r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {0}
+    assert len(seen) == 2 and 0 < seen[0] < 75 * 100 and 0 < seen[1] < 75 * 300
+
+
 def test_similar_documents_recall(spark):
     """Pairs of similarity 0.8 to 0.95 among others below 0.8: found at 0.9 or more, and nothing below 0.8 is linked."""
     rng, rows = np.random.default_rng(9), []
