@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import clamp, nz, ratio
 
+# Labels, thresholds and the texts of reasons below are what readers of an analysis are promised.
 RANGES, LOOSE = ("range", "range_compression"), ("range", "range_compression", "transition")
 SETUP = "struct<setup_type:string,direction:string,triggered:boolean,score:double,reasons:array<string>,trigger_price:double,stop_hint:double,target_hint:double>"
 

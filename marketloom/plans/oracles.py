@@ -210,7 +210,7 @@ def _change(source: str, where: str = "TRUE", name: str = "symbol") -> str:
 chg AS (SELECT symbol, (last(close ORDER BY open_time) - first(close ORDER BY open_time)) / first(close ORDER BY open_time) * 100 AS change_pct FROM rec GROUP BY symbol HAVING count(*) >= 2 AND first(close ORDER BY open_time) <> 0)"""
 
 
-_SIG = f"""{_ITEMS}, {EV}, {_change("ev", "symbol IN ('click', 'view', 'error')", _NAMES)},
+_SIG = f"""{_ITEMS}, {EV}, {_change("ev", "TRUE", _NAMES)},
 sig AS (SELECT i.seq AS id, t.symbol, round(change_pct, 4) AS price_change_pct_24h, (sentiment_label = 'positive' AND change_pct <= -1) OR (sentiment_label = 'negative' AND change_pct >= 1) AS is_contradiction FROM items i JOIN tagged t USING (seq) JOIN chg USING (symbol))"""
 
 

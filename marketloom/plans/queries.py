@@ -423,9 +423,8 @@ def asset_listing(spark, sf_dir):
 
 
 def _changes(spark, sf_dir) -> DataFrame:
-    named = event_candles(spark, sf_dir).where("symbol in ('click', 'view', 'error')")
-    symbol = F.when(F.col("symbol") == "click", "BTCUSDT").when(F.col("symbol") == "view", "ETHUSDT").otherwise("EURUSD")
-    return C.price_change(named.withColumn("symbol", symbol))
+    symbol = F.when(F.col("symbol") == "click", "BTCUSDT").when(F.col("symbol") == "view", "ETHUSDT").when(F.col("symbol") == "error", "EURUSD").otherwise(F.col("symbol"))
+    return C.price_change(event_candles(spark, sf_dir).withColumn("symbol", symbol))
 
 
 def price_change_30(spark, sf_dir):

@@ -52,10 +52,11 @@ def test_feed_reads_little(spark):
     assert plan(spark, "news_feed").count("Exchange hashpartitioning") <= 8
 
 
-def test_entry_without_the_training_data_operators(tmp_path):
-    """The entry in a copy of the repository without those folders."""
+@pytest.mark.parametrize("gone", [("llm", "corpus_pipeline.py"), ("llm",)])
+def test_entry_without_the_training_data_operators(tmp_path, gone):
+    """The entry in a copy of the repository without those folders, with and without the pipeline's file."""
     here = Path(__file__).resolve().parents[1]
-    shutil.copytree(here, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    shutil.copytree(here, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "__pycache__", *gone))
     code = "import __spark_entry__ as e; print(len(e.queries()), sorted(e.queries()) == sorted(e.oracle_sql()), any(x.startswith('op') or x == 'pipeline' for x in e.queries()))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", capture_output=True, text=True, timeout=120, env=os.environ | {"PYTHONPATH": str(tmp_path / "copy")})
     assert out.stdout.split() == [str(len(queries.queries())), "True", "False"], out.stderr
