@@ -40,9 +40,32 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark)
     df.write.parquet(path)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_tables: list[str] = []
+
+
+class swept:
+    """A stretch of work of which only the last table that ``written`` made is read afterwards: the others are removed at its end, and all of them where it fails."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> swept:
+        self.first = len(_tables)
+        return self
+
+    def __exit__(self, failed, *_) -> None:
+        kept = [] if failed else _tables[-1:]
+        for path in _tables[self.first :]:
+            if path not in kept:
+                folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _tables[self.first :] = kept
+
+
 def row_key(df: DataFrame) -> Column:
     """16 bytes that are the same for rows alike in all columns, and for no others."""
     marked = [F.coalesce(F.concat(F.length(df[c].cast("string")), F.lit(":"), df[c].cast("string")), F.lit("-")) for c in df.columns]
