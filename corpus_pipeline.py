@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm import language, mixing, packing, quality, simhash, toxicity
-from marketloom.llm.common import row_key, written
+from marketloom.llm.common import row_key, swept, written
 from marketloom.llm.queries import vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -62,7 +62,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another. Of their tables under spark.checkpoint.dir the last one stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+    with swept(spark):
+        for _, stage in STAGES:
+            docs = written(stage(spark, docs, sf_dir))
     return docs
