@@ -901,3 +901,21 @@ def test_entry_without_this_folder(spark):
     import __spark_entry__
 
     assert {"pipeline", *queries.queries()} <= set(__spark_entry__.queries())
+
+
+def test_pipeline_leaves_one_table(spark, tmp_path):
+    """The tables between stages are removed, the result can be read, and a run that fails leaves none."""
+    import pathlib
+
+    import corpus_pipeline as P
+    from marketloom.llm import common
+
+    root = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(root.iterdir())
+    out = P.run(spark, SF)
+    assert out.count() > 0 and len(set(root.iterdir()) - before) == 1
+    before = set(root.iterdir())
+    with pytest.raises(ZeroDivisionError), common.swept(spark):
+        common.written(spark.range(3))
+        1 / 0
+    assert set(root.iterdir()) == before
