@@ -15,8 +15,8 @@ from .common import rows, shared_folder, slabs, written
 
 #: Bytes of UTF-8 that end a term become spaces, A-Z become a-z; digits, letters and all that is not ASCII stay.
 TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-POSTING = pa.schema([("term", pa.string()), ("row", pa.int64()), ("doc_id", pa.int64()), ("tf", pa.int64()), ("n", pa.int64())])
-#: Postings of no term stand for their documents.
+POSTING = pa.schema([("term", pa.string()), ("row", pa.int64()), ("tf", pa.int64()), ("n", pa.int64())])
+#: Postings of no term stand for their documents; their tf is the document's id, which no other posting has to carry.
 DOCUMENTS = -1
 
 
@@ -29,23 +29,22 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A posting for each document and term, and one without a term for each document that has terms."""
     for slab in slabs(rows(batches, "row", "doc_id", "text"), 2, 500_000):
         found, times, per, lengths = [], [], [], []
-        for _, _, text in slab:
+        for _, doc_id, text in slab:
             held = Counter(terms(text))
             n = sum(held.values())
             found.extend(held)
             times.extend(held.values())
             if n:
                 found.append(None)
-                times.append(n)
+                times.append(doc_id)
             per.append(len(held) + (n > 0))
             lengths.append(n)
-        ids = pa.array([i for _, i, _ in slab], pa.int64()).take(pa.array(np.repeat(np.arange(len(slab)), per)))
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(np.repeat(np.array([r for r, _, _ in slab]), per)), ids, pa.array(times, pa.int64()), pa.array(np.repeat(np.array(lengths), per))], schema=POSTING)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(np.repeat(np.array([r for r, _, _ in slab]), per)), pa.array(times, pa.int64()), pa.array(np.repeat(np.array(lengths), per))], schema=POSTING)
 
 
 @dataclass(frozen=True)
 class Index:
-    """postings: bucket, term, row (of the table, unique), doc_id, tf, n (the document's terms), in a folder per bucket and sorted by term there.
+    """postings: bucket, term, row (of the table, unique), tf, n (the document's terms), in a folder per bucket and sorted by term there; in the bucket DOCUMENTS, without a term, tf is the document's id.
     documents: those that have terms. length: all their terms with repeats."""
 
     postings: DataFrame
@@ -64,12 +63,12 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucke
     A term's postings are dealt over ``salts`` parts by their rows, so that a term of every document is no task of its own. Each row is a document, repeated rows and rows
     without an id too. Null and empty texts have no terms and don't count as documents. Texts are whole; one document and its terms have to fit in a worker."""
     chosen = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = chosen.mapInArrow(_postings, "term string, row long, doc_id long, tf long, n long").select("term", "row", "doc_id", F.col("tf").cast("int"), F.col("n").cast("int"))
+    found = chosen.mapInArrow(_postings, "term string, row long, tf long, n long")
     bucket = F.when(F.col("term").isNull(), DOCUMENTS).otherwise(bucket_of(F.col("term"), buckets))
     path = shared_folder(docs.sparkSession)
     dealt = found.repartition(bucket, F.pmod(F.hash("row"), F.lit(salts))).withColumn("bucket", bucket)
     dealt.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
-    postings = docs.sparkSession.read.schema("term string, row long, doc_id long, tf int, n int, bucket int").parquet(path)
+    postings = docs.sparkSession.read.schema("term string, row long, tf long, n long, bucket int").parquet(path)
     total = postings.where(F.col("bucket") == DOCUMENTS).agg(F.count("*").alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("l")).first()
     return Index(postings, buckets, total.n, total.l)
 
@@ -95,6 +94,7 @@ def search(of: Index, items: DataFrame, k: int = 20, item_col: str = "item_id",
 
     A document's m is 75 + (25 n N) div L; a term adds w * ((10**9 tf) div (1000 tf + 12 m)), all in 64-bit integers (25 n N has to stay below 2**63).
     Postings of the items' terms are dealt by row, meet the items there, and a document's sum is whole in its task; only the k best of an item and task move on.
+    Documents' ids meet their rows there too, so postings don't carry them.
     So the items' terms are broadcast; beyond ``most_broadcast`` of them (or 32 MB of terms) they are joined by term and salt instead, and the sums shuffled.
     Repeated item rows count once; different texts of one item_id are one item. Items without terms, or whose terms no document has, have no rows."""
     chosen = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).distinct()
@@ -106,16 +106,17 @@ def search(of: Index, items: DataFrame, k: int = 20, item_col: str = "item_id",
     hit = of.postings.where(F.col("bucket") != DOCUMENTS).withColumn("m", m)
     keys = wanted.select("bucket", "term").distinct()
     if small:
-        hit = hit.join(F.broadcast(keys), ["bucket", "term"], "left_semi").select("term", "row", "doc_id", "tf", "m").repartition("row")
+        hit = hit.join(F.broadcast(keys), ["bucket", "term"], "left_semi").select("term", "row", "tf", "m").repartition("row")
         met = hit.join(F.broadcast(wanted.drop("bucket")), "term")
     else:
         salts = 32
         salted = wanted.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
         met = hit.withColumn("salt", F.pmod(F.hash("row"), F.lit(salts))).join(salted, ["bucket", "term", "salt"])
     score = F.sum(F.expr("w * ((1000000000L * tf) div (1000L * tf + 12L * m))"))
-    scored = met.groupBy("item_id", "row", "doc_id").agg(score.alias("score")).where("score > 0")
+    scored = met.groupBy("item_id", "row").agg(score.alias("score")).where("score > 0")
+    ids = of.postings.where(F.col("bucket") == DOCUMENTS).select("row", F.col("tf").alias("doc_id")).hint("shuffle_hash")
     best = Window.partitionBy("item_id").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last(), "row")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
+    return scored.join(ids, "row").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
 
 
 ORACLE = r"""
