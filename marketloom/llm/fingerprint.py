@@ -247,7 +247,8 @@ def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     One shuffle of texts: rows go to buckets between quantiles of (id, hash of the text), and the first row of a bucket goes to the bucket with rows
     before it as well, so that every row meets its successor. Null texts count as empty. Null ids come first; repeated ids
     stay, ordered by the hash of their texts, and follow one another. A table of one row is its own successor; an empty table gives no rows.
-    near_edited and near_next go through the trees' branches; first_change and changed_chars say where the text has pieces that
+    near_edited and near_next go through the branches of the trees whose roots and slots the fingerprint columns show; ``estimate`` gives about the same from two such columns alone (a test holds
+    it near them on the query's rows). first_change and changed_chars say where the text has pieces that
     the edited text's tree lacks, and how many characters they have (null and 0 if there are none)."""
     spark = docs.sparkSession
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))

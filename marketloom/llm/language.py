@@ -40,24 +40,65 @@ def words_of(text: str | None) -> list[str]:
     return LETTERS.findall(text.lower()) if text else []
 
 
+class _Trie:
+    """The pieces letter by letter: keys are (node, letter) in rising order, child the node that each leads to, row the piece that ends at a node or none."""
+
+    def __init__(self, piece: dict[str, int]):
+        nodes: dict[tuple[int, int], int] = {}
+        row = [len(piece)]
+        for s, k in piece.items():
+            at = 0
+            for c in map(ord, s):
+                at = nodes.setdefault((at, c), len(row))
+                if at == len(row):
+                    row.append(len(piece))
+            row[at] = k
+        pairs = sorted(nodes.items())
+        self.keys = np.array([n << 21 | c for (n, c), _ in pairs] or [-1], np.int64)
+        self.child, self.row = np.array([c for _, c in pairs] or [0], np.int64), np.array(row, np.int64)
+        self.of = piece
+
+    def onwards(self, node: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which nodes have a way on by the letter at their side, and the nodes that it leads to."""
+        key = node << 21 | letter
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        going = np.flatnonzero(self.keys[at] == key)
+        return going, self.child[at[going]]
+
+
+_tries: list[_Trie] = []
+
+
+def _trie(piece: dict[str, int]) -> _Trie:
+    """The trie of a vocabulary, kept for the last one asked for."""
+    if not _tries or _tries[0].of is not piece:
+        _tries[:] = [_Trie(piece)]
+    return _tries[0]
+
+
 class _Lattice:
     """Words of one length and the pieces that may stand at each place of theirs: spans (begin, end, row of P for every word).
 
     Rows of P are the pieces, then one for no such piece (0) and one for a character that no piece has."""
 
     def __init__(self, words: list[str], piece: dict[str, int], longest: int):
-        self.n, none = len(words[0]), len(piece)
+        self.n, none, trie = len(words[0]), len(piece), _trie(piece)
         self.spans: list[list[tuple[int, np.ndarray]]] = []
-        get = piece.get
+        letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), self.n).T.astype(np.int64)
         for i in range(self.n):
             here = []
+            alive, node = np.arange(len(words)), np.zeros(len(words), np.int64)  # the words of which a piece begins so, and where in the trie they are
             for j in range(i + 1, min(self.n, i + longest) + 1):
-                at = np.array([get(s[i:j], none) for s in words])
-                if j == i + 1:
-                    at[at == none] = none + 1
-                elif (at == none).all():
-                    continue
-                here.append((j, at))
+                going, node = trie.onwards(node, letters[j - 1][alive])
+                alive, rows_of = alive[going], trie.row[node]
+                if j == i + 1 or (rows_of != none).any():
+                    at = np.full(len(words), none)
+                    at[alive] = rows_of
+                    if j == i + 1:
+                        at[at == none] = none + 1
+                    here.append((j, at))
+                if not len(alive):
+                    break
             self.spans.append(here)
 
 

@@ -94,6 +94,14 @@ def test_estimate_and_moves():
     assert fingerprint.differing(fa, fh, a)[0][0] == len("\n".join(lines[:150])) + 1
 
 
+def test_estimates_from_the_columns_are_near(spark, docs):
+    """On the query's own rows, what two fingerprint columns say alone is near what the trees say."""
+    rows_of = fingerprint.with_edited(docs).orderBy("doc_id").collect()
+    off = [abs(fingerprint.estimate(r.fingerprint, r.edited_fingerprint) - r.near_edited) for r in rows_of]
+    off += [abs(fingerprint.estimate(r.fingerprint, n.fingerprint) - r.near_next) for r, n in zip(rows_of, rows_of[1:] + rows_of[:1])]
+    assert np.mean(off) < 0.1 and np.quantile(off, 0.9) < 0.25
+
+
 def test_branch_walk_is_linear():
     words = [f"w{i}" for i in range(400_000)]
     a, b = " ".join(words), " ".join(words[::-1])
