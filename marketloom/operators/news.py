@@ -33,13 +33,15 @@ def tags(candidates: DataFrame, assets: DataFrame, seq: str = "seq") -> DataFram
     """seq, asset symbol and relevance of every pair over the threshold 0.35.
 
     Headlines and assets meet in one equi-join on what may match: tickers, words, pairs of words with a slash, and the parts of words that are
-    as long as some symbol. So the work grows with the texts and the matches, not with texts times assets; Spark broadcasts the registry while it is small."""
+    as long as some symbol. So the work grows with the texts and the matches, not with texts times assets; Spark broadcasts the registry while it is small.
+    The join keeps headlines' keys without a match, which the threshold drops after the aggregate: Spark can't broadcast the side that an outer join keeps, and it
+    takes exploded keys for as small as the file of the headlines."""
     names = assets.select(F.col("normalized_symbol").alias("symbol"), F.explode(T.asset_keys(F.col("normalized_symbol"), F.col("base_currency"), F.col("display_symbol"))).alias("k"))
     keys = names.select("symbol", "k.*").groupBy("kind", "key", "symbol").agg(F.max("relevance").alias("relevance"))
     lengths = keys.where("kind = 'inside'").agg(F.collect_set(F.length("key"))).scalar()
     read = candidates.withColumns({"_text": T.tag_text(F.col("title"), F.col("summary")), "_lengths": lengths})
     asked = read.select(seq, F.explode(T.headline_keys(F.col("_text"), F.col("tickers"), F.col("_lengths"))).alias("k"))
-    found = asked.select(seq, "k.*").join(keys, ["kind", "key"])
+    found = asked.select(seq, "k.*").where("key is not null").join(keys, ["kind", "key"], "left")
     best = found.groupBy(seq, "symbol").agg(F.max("relevance").alias("relevance"))
     return best.where("relevance >= 0.35").select(seq, "symbol", F.round("relevance", 2).alias("relevance"))
 

@@ -151,6 +151,19 @@ def test_tags_against_every_pair(spark):
     assert N.tags(b, a.limit(0)).count() == 0
 
 
+def test_tags_never_broadcast_the_headlines(spark, tmp_path):
+    """The file of the headlines is small, their exploded keys aren't. A registry of unknown size is shuffled, one of a known small size is broadcast."""
+    news = [(i, "BTC/USDT and EURUSD", "the eth", [None, "btc"]) for i in range(50)]
+    spark.createDataFrame(news, "seq int, title string, summary string, tickers array<string>").write.parquet(str(tmp_path / "news"))
+    read, seeds = spark.read.parquet(str(tmp_path / "news")), schemas.assets(spark)
+    unknown = spark.createDataFrame(seeds.collect(), seeds.schema)
+    plans = [N.tags(read, registry)._jdf.queryExecution().executedPlan().toString() for registry in (unknown, seeds)]
+    assert "BroadcastHashJoin" not in plans[0]
+    assert "LeftOuter, BuildRight" in plans[1] and "BuildLeft" not in plans[1]
+    found = [{tuple(r) for r in N.tags(read, registry).collect()} for registry in (unknown, seeds)]
+    assert found[0] == found[1] == {(i, s, r) for i in range(50) for s, r in (("BTCUSDT", 0.82), ("EURUSD", 0.9), ("ETHUSDT", 0.6))}
+
+
 def test_feed(spark):
     items = spark.createDataFrame([(1, dt.datetime(2025, 1, 1), "positive", None, None, []), (2, dt.datetime(2025, 1, 1, 1), "negative", "s", "u", [(0.9, "B"), (0.8, "A")])], "id int, published_at timestamp_ntz, sentiment_label string, summary string, url string, tags array<struct<relevance:double,symbol:string>>")
     changes = spark.createDataFrame([("A", 2.0)], "symbol string, change_pct double")
