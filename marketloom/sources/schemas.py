@@ -36,12 +36,17 @@ PROVIDERS = [("ccxt", "CCXT", "market_data", 60), ("alpha_vantage", "Alpha Vanta
 ASSETS = [("BTCUSDT", "BTC/USDT", "BTC", "USDT", "crypto"), ("ETHUSDT", "ETH/USDT", "ETH", "USDT", "crypto"), ("EURUSD", "EUR/USD", "EUR", "USD", "forex")]
 
 
+def _seeded(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
+    """Rows whose size Spark knows when it plans; a DataFrame from a Python list counts as larger than any table in joins."""
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, rows))} AS t({names})")
+
+
 def providers(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PROVIDERS, "code string, name string, category string, rate_limit_per_minute int").selectExpr("sha2(code, 256) AS id", "*", "true AS is_active")
+    return _seeded(spark, PROVIDERS, "code, name, category, rate_limit_per_minute").selectExpr("sha2(code, 256) AS id", "*", "true AS is_active")
 
 
 def assets(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ASSETS, "normalized_symbol string, display_symbol string, base_currency string, quote_currency string, asset_class string").selectExpr("sha2(normalized_symbol, 256) AS id", "*", "concat(base_currency, ' / ', quote_currency) AS name", "true AS is_active")
+    return _seeded(spark, ASSETS, "normalized_symbol, display_symbol, base_currency, quote_currency, asset_class").selectExpr("sha2(normalized_symbol, 256) AS id", "*", "concat(base_currency, ' / ', quote_currency) AS name", "true AS is_active")
 
 
 def active(assets: DataFrame) -> DataFrame:
