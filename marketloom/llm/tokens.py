@@ -36,7 +36,7 @@ class _Rows:
     def __init__(self):
         self.index = _Index()
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.begin, self.length = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
+        self.begin, self.length, self.asked = (np.zeros(1 << 15, np.int64) for _ in range(3))
         self.used = self.rows = 0
 
     def add(self, ids: np.ndarray, n: np.ndarray) -> None:
@@ -44,7 +44,7 @@ class _Rows:
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while self.rows + len(n) > len(self.begin):
-            self.begin, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length))
+            self.begin, self.length, self.asked = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length, self.asked))
         self.ids[self.used : self.used + len(ids)] = ids
         self.begin[self.rows : self.rows + len(n)] = self.used + np.cumsum(n) - n
         self.length[self.rows : self.rows + len(n)] = n
@@ -52,11 +52,24 @@ class _Rows:
 
     def joined(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of rows one after another, and where each ends."""
+        self.asked[: self.rows] += np.bincount(at, minlength=self.rows)
         size = self.length.take(at)
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
         return self.ids.take(np.repeat(self.begin.take(at) - (ends - size), size) + np.arange(total)), ends
 
+    def often(self, most: int, chars: int) -> _Rows:
+        """The strings that were asked for most often, at least twice: at most so many, with at most so many characters and ids. Counts begin anew."""
+        names = sorted(self.index, key=self.index.__getitem__)
+        size = np.maximum(np.fromiter(map(len, names), np.int64, len(names)), self.length[: self.rows])
+        asked, least = self.asked[: self.rows], 2
+        while len(at := np.flatnonzero(asked >= least)) > most or size[at].sum() > chars:
+            least *= 2
+        kept = _Rows()
+        kept.index.update(zip(map(names.__getitem__, at.tolist()), range(len(at))))
+        kept.add(self.joined(at)[0], self.length[at])
+        return kept
+
 
 class WordEncoder:
     """ids of texts by a tokenizer that drops white space and never joins across it.
@@ -65,7 +78,8 @@ class WordEncoder:
     A text is therefore the concatenation of its words' ids, and a word is looked up once it is known. A new word of letters that stay letters with
     marks behind them is split there, as the tokenizer does; the parts go to the library, those of letters alone many at once.
     The library finds special strings before it lowers case, so a text with one, in whatever case, goes to it whole.
-    ``keep`` bounds the number of words held and ``keep_chars`` their characters, as texts without spaces are words of any length; beyond either, the words are forgotten."""
+    ``keep`` bounds the number of words held and ``keep_chars`` their characters, as texts without spaces are words of any length; beyond either, the words are forgotten
+    but for those that came most often, which fill half of that at most."""
 
     def __init__(self, path: str, keep: int = 700_000, keep_chars: int = 16_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -137,7 +151,8 @@ class WordEncoder:
     def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) one after another, and the number of ids of each text; ``end`` is put behind each text."""
         if len(self.words.index) > self.keep or self.chars > self.keep_chars:
-            self.words, self.parts, self.chars = _Rows(), _Rows(), 0
+            self.words, self.parts = (x.often(self.keep // 2, self.keep_chars // 2) for x in (self.words, self.parts))
+            self.chars = sum(map(len, self.words.index))
         odd = [k for k, t in enumerate(texts) if t and self.hint in t and self.special and self.special.search(t)]
         if odd:
             return self._with_whole(texts, odd, end)

@@ -670,6 +670,26 @@ def test_caches_are_bounded_by_characters():
         assert counter.count(text) == len(counts.encode(text, add_special_tokens=False)) and sum(map(len, counter)) <= 7000
 
 
+def test_frequent_words_outlast_a_full_cache():
+    """When an encoder is full, the words that came most often stay, at most half of what it holds, and the ids stay right."""
+    from marketloom.llm.tokens import WordEncoder
+
+    library, encoder, stayed = Tokenizer.from_file(WORDS), WordEncoder(WORDS, keep=100), 0
+    for k in range(40):
+        text = "often the same, words " + " ".join(f"rare{k}x{j}, twice{k} twice{k}" for j in range(20))
+        full = len(encoder.words.index) > 100
+        known = {"often", "same,", "words"} <= set(encoder.words.index)
+        if full:
+            kept = encoder.words.often(50, 1000)
+            assert len(kept.index) == kept.rows <= 50 and sum(map(len, kept.index)) <= 1000 and "often" in kept.index
+        ids, n = encoder.encode([text])
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids and n.tolist() == [len(ids)]
+        if full and known:
+            stayed += 1
+            assert encoder.words.index["often"] < 50 and encoder.words.index["same,"] < 50
+    assert stayed >= 5
+
+
 def test_rows_alike_are_spread(spark):
     """Rows of one id and text don't meet in one partition, and their order gives the same files."""
     from marketloom.llm.common import in_order
