@@ -51,7 +51,7 @@ class _Model:
 
     def __init__(self, vocab: int, lanes: int, inverse: bool):
         self.vocab, self.inverse = vocab, inverse
-        self.after1, self.after2, self.second2 = np.zeros(vocab, np.int32), np.zeros(1 << _HASH_BITS, np.int32), np.zeros(1 << _HASH_BITS, np.int32)
+        self.after1, self.after2 = np.zeros(vocab, np.int32), np.zeros(1 << _HASH_BITS, np.int64)  # after2: a row is two int32, the guess and the second id, read and written at once
         self.seen, self.counts = np.zeros(vocab, np.int64), np.zeros(512, np.int64)
         self.last, self.hashed, self.mixed = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, np.uint32)
         self.step, self.due, self.ids, self.places = 0, 1, [], []
@@ -79,7 +79,7 @@ class _Model:
 
     def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The two guesses of order 2, that of order 1, and the place of their confidences in the tables of weights."""
-        self.v2, self.v1, self.c = self.after2.take(self.hashed), self.after1.take(self.last), self.second2.take(self.hashed)
+        self.v1, (self.v2, self.c) = self.after1.take(self.last, mode="clip"), self.after2.take(self.hashed, mode="clip").view(np.int32).reshape(-1, 2).T
         self.a, b = self.v2 >> 3, self.v1 >> 3
         return self.a, self.c, b, ((self.v2 & 7) << 4) + ((self.v1 & 7) << 1) + (self.a == b)
 
@@ -88,10 +88,12 @@ class _Model:
         self.ids.append(ids)
         self.places.append(place)
         fresh = ids << 3
-        steps = _STEPS.take(place)
+        steps = _STEPS.take(place, mode="clip")
         newer = ids + ((self.a - ids) & -(steps & 1))  # a first guess that is replaced becomes the second, else the id that came instead of it does
-        self.second2[self.hashed] = self.c + ((newer - self.c) & -(ids != self.a).view(np.int8).astype(np.int32))
-        self.after2[self.hashed] = self.v2 + ((fresh - self.v2) & -(steps & 1)) + ((steps >> 2 & 15) - 8)
+        after = np.empty((len(ids), 2), np.int32)
+        after[:, 0] = self.v2 + ((fresh - self.v2) & -(steps & 1)) + ((steps >> 2 & 15) - 8)
+        after[:, 1] = self.c + ((newer - self.c) & -(ids != self.a).view(np.int8).astype(np.int32))
+        self.after2[self.hashed] = after.view(np.int64)[:, 0]
         self.after1[self.last] = self.v1 + ((fresh - self.v1) & -(steps >> 1 & 1)) + ((steps >> 6) - 8)
         mixed = ids.astype(np.uint32) * np.uint32(0x9E3779B1)
         self.hashed = ((self.mixed + mixed) * np.uint32(0x85EBCA6B) >> np.uint32(32 - _HASH_BITS)).astype(np.int64)
@@ -153,11 +155,11 @@ def encode_block(ids: np.ndarray, vocab: int = VOCAB) -> bytes:
             fourth = third & (x != b)
             place = at + _kinds(second, third, fourth)
             part = width >> _WEIGHT_BITS
-            share = model.shares.take(place)
+            share = model.shares.take(place, mode="clip")
             low += part * (share >> _CUM_BITS)
             part *= share & _FREQ
             part >>= _ID_BITS
-            slot = model.slots.take(vocab + ((x - vocab) & -fourth.view(np.int8).astype(np.int32)))
+            slot = model.slots.take(vocab + ((x - vocab) & -fourth.view(np.int8).astype(np.int32)), mode="clip")
             low += part * (slot >> _CUM_BITS)
             width = part * (slot & _FREQ)
             model.learn(x, place)
@@ -196,10 +198,10 @@ def decode_block(block: bytes) -> np.ndarray:
             a, c, b, at_weights = model.predict()
             part = width >> _WEIGHT_BITS
             ahead = code - low
-            bound = model.bounds.take(at_weights)
+            bound = model.bounds.take(at_weights, mode="clip")
             second, third, fourth = ahead >= part * (bound >> _U(42)), ahead >= part * (bound >> _CUM_BITS & _FREQ), ahead >= part * (bound & _FREQ)
             place = at_weights + _kinds(second, third, fourth)
-            share = model.shares.take(place)
+            share = model.shares.take(place, mode="clip")
             low += part * (share >> _CUM_BITS)
             part *= share & _FREQ
             part >>= _ID_BITS
@@ -209,9 +211,9 @@ def decode_block(block: bytes) -> np.ndarray:
             if len(go):
                 wi, lo = part.take(go), low.take(go)
                 q = np.minimum((code.take(go) - lo) // wi, _U((1 << 20) - 1))
-                got = model.owner.take(q.view(np.int64))
+                got = model.owner.take(q.view(np.int64), mode="clip")
                 x[go] = got
-                slot = model.slots.take(got)
+                slot = model.slots.take(got, mode="clip")
                 low[go] = lo + wi * (slot >> _CUM_BITS)
                 width[go] = wi * (slot & _FREQ)
             grid[i] = x

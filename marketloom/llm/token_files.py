@@ -42,7 +42,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
             row = [part], [block], [len(all_ids)], [doc_ids], [lengths], [encode_block(all_ids, max(vocab, end_id + 1))]
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, _ARROW)], schema=_ARROW)
 
-        for slab in slabs(rows(batches, "id", "text"), 1):
+        for slab in slabs(rows(batches, "id", "text"), 1, 8_000_000):
             got, n = encoder.encode([t for _, t in slab], end=end_id)
             doc_ids += [i for i, _ in slab]
             ids.append(got)

@@ -5,6 +5,7 @@ import functools
 import hashlib
 import html.parser
 import itertools
+import random
 import re
 import time
 import zlib
@@ -690,6 +691,45 @@ def test_frequent_words_outlast_a_full_cache():
     assert stayed >= 5
 
 
+def test_distinct_words_are_looked_up_once():
+    """What an encoder asks its words for grows with the distinct words of a call, not with their occurrences."""
+    from marketloom.llm.tokens import WordEncoder
+
+    encoder = WordEncoder(WORDS)
+
+    class Counted(type(encoder.words.index)):
+        asked = 0
+
+        def __getitem__(self, word):
+            Counted.asked += 1
+            return super().__getitem__(word)
+
+        def get(self, *of):
+            Counted.asked += 1
+            return super().get(*of)
+
+    encoder.words.index = Counted()
+    texts = ["one, two\nthree one, " * 500, None, "", " ", "three"]
+    for _ in range(2):
+        ids, n = encoder.encode(texts, end=2)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [[*x, 2] for x in library_ids(WORDS, texts)]
+    assert Counted.asked <= 12
+
+
+def test_words_are_split_where_letters_and_marks_meet():
+    """So parts are learned once, whatever stands around them; where letters, marks, digits and what falls apart mix, the ids are the library's."""
+    from marketloom.llm.tokens import WordEncoder
+
+    encoder = WordEncoder(WORDS)
+    encoder.encode(['"alpha," Beta,gamma (\u00e9t\u00e9)... \u0130. 3\u00d7, x\u0301,'])
+    assert set(encoder.parts.index) == {'"', "alpha", ',"', "Beta", ",", "gamma", "(", "\u00e9t\u00e9", ")...", "\u0130.", "3\u00d7,", "x\u0301,"}
+    draw = random.Random(3)
+    signs = [*"aAsStT\u0130\u0131\u00c9\u00e9\u00d7\u00f7\u00df\u017f\u0149\u00aa.,'\"|*<>=(19 \t\n\r\x0b\x0c\x1f\x00\x85\xa0\u0301\u0307\u0331\u0338\u2014\u2019\u1e9e\u212a\u4e2d", "'s", "\u00c0.", "H\u0331"]
+    texts = ["".join(draw.choices(signs, k=draw.randrange(14))) for _ in range(6000)]
+    ids, n = encoder.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == library_ids(WORDS, texts)
+
+
 def test_rows_alike_are_spread(spark):
     """Rows of one id and text don't meet in one partition, and their order gives the same files."""
     from marketloom.llm.common import in_order
