@@ -110,21 +110,18 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2048, id_co
     def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer)
         packed = run(encoder, TaskContext.get().partitionId())
-        doc_ids: list = []
-        ids: list[np.ndarray] = []
-        lengths: list[np.ndarray] = []
-        held = 0
-        for slab in slabs(rows(batches, "id", "text"), 1, 1_000_000):
+        doc_ids, ids, lengths = [], np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        for slab in slabs(rows(batches, "id", "text"), 1, 4_000_000):
             got, n = encoder.encode([t for _, t in slab], end=end_id)
             doc_ids += [i for i, _ in slab]
-            ids.append(got)
-            lengths.append(n)
-            held += len(got)
-            if held >= run_ids:
-                yield packed(doc_ids, np.concatenate(ids), np.concatenate(lengths))
-                doc_ids, ids, lengths, held = [], [], [], 0
+            ids, lengths = np.concatenate([ids, got]), np.concatenate([lengths, n])
+            del got
+            while len(ids) >= run_ids:
+                docs_in = int(np.searchsorted(ends := np.cumsum(lengths), run_ids)) + 1
+                yield packed(doc_ids[:docs_in], ids[: ends[docs_in - 1]], lengths[:docs_in])
+                doc_ids, ids, lengths = doc_ids[docs_in:], ids[ends[docs_in - 1] :], lengths[docs_in:]
         if doc_ids:
-            yield packed(doc_ids, np.concatenate(ids), np.concatenate(lengths))
+            yield packed(doc_ids, ids, lengths)
 
     out = in_order(docs, id_col, text_col).mapInArrow(partition, SCHEMA)
     return out if with_ids else out.drop("ids")

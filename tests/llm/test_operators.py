@@ -362,6 +362,15 @@ def test_token_files(spark, odd, tmp_path):
             at += len(ids) + 1
 
 
+def test_packing_runs_end_inside_a_slab(spark):
+    """However many texts are encoded at once, a run ends with the document that fills it."""
+    df = spark.createDataFrame([(k, "some words and more " * (1 + k % 7)) for k in range(60)], "doc_id long, text string").coalesce(1)
+    pieces = packing.pack(df, WORDS, 1, run_ids=1).collect()
+    assert len(pieces) == len({p.sequence_id for p in pieces}) == 60 and all(p.start == p.offset == 0 and p.length == p.doc_tokens for p in pieces)
+    few = {p.sequence_id for p in packing.pack(df, WORDS, 1, run_ids=200).collect()}
+    assert 1 < len(few) < 20
+
+
 def test_packing(spark, odd):
     rows = odd.select("doc_id", "text").collect()
     pieces = packing.pack(odd, WORDS, 1, run_ids=20_000).collect()
